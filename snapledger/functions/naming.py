@@ -7,20 +7,27 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The date shapes a dump name may carry, in the order they are tried.
-# Each is (regular expression, start of year, start of month, start of day), 1-based in the hit.
+# The date shapes a dump name may carry, in the order they are tried. Each is the
+# regular expression that finds it and the order of its parts.
 LENIENT_PATTERNS = [
-    (r"[0-9]{2}[_-][0-9]{2}[_-][0-9]{4}", 7, 4, 1),
-    (r"[0-9]{4}[_-][0-9]{2}[_-][0-9]{2}", 1, 6, 9),
-    (r"[0-9]{8}", 5, 3, 1),
-    (r"[0-9]{8}", 1, 5, 7),
+    (r"[0-9]{2}[_-][0-9]{2}[_-][0-9]{4}", "dmy"),
+    (r"[0-9]{4}[_-][0-9]{2}[_-][0-9]{2}", "ymd"),
+    (r"[0-9]{8}", "compact dmy"),
+    (r"[0-9]{8}", "compact ymd"),
 ]
 STRICT_PATTERNS = [
-    (r"[0-9]{2}_[0-9]{2}_[0-9]{4}", 7, 4, 1),
-    (r"[0-9]{4}_[0-9]{2}_[0-9]{2}", 1, 6, 9),
-    (r"[0-9]{2}-[0-9]{2}-[0-9]{4}", 7, 4, 1),
-    (r"[0-9]{4}-[0-9]{2}-[0-9]{2}", 1, 6, 9),
+    (r"[0-9]{2}_[0-9]{2}_[0-9]{4}", "dmy"),
+    (r"[0-9]{4}_[0-9]{2}_[0-9]{2}", "ymd"),
+    (r"[0-9]{2}-[0-9]{2}-[0-9]{4}", "dmy"),
+    (r"[0-9]{4}-[0-9]{2}-[0-9]{2}", "ymd"),
 ]
+# How the parts of a hit are put in the order year, month, day.
+REORDER = {
+    "dmy": (r"^(..).(..).(....)$", "$3-$2-$1"),
+    "ymd": (r"^(....).(..).(..)$", "$1-$2-$3"),
+    "compact dmy": (r"^(..)(..)(....)$", "$3-$2-$1"),
+    "compact ymd": (r"^(....)(..)(..)$", "$1-$2-$3"),
+}
 
 DATE_MODES = ("valid", "compat", "strict")
 
@@ -29,26 +36,22 @@ def _as_column(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
-def _date_texts(name: Column, patterns: list[tuple[str, int, int, int]]) -> list[Column]:
-    """``yyyy-mm-dd`` text per pattern, NULL where the pattern has no hit."""
-    texts = []
-    for pattern, year, month, day in patterns:
-        hit = F.nullif(F.regexp_extract(name, pattern, 0), F.lit(""))
-        texts.append(F.concat(
-            F.substring(hit, year, 4), F.lit("-"),
-            F.substring(hit, month, 2), F.lit("-"),
-            F.substring(hit, day, 2)))
-    return texts
+def _date_text(name: Column, pattern: tuple[str, str]) -> Column:
+    """``yyyy-mm-dd`` text of the first hit, empty without one."""
+    find, order = pattern
+    return F.regexp_replace(F.regexp_extract(name, find, 0), *map(F.lit, REORDER[order]))
 
 
 def _real_date(text: Column) -> Column:
-    # Year 0 is a date to Spark but to no source we load.
-    return F.when(F.substring(text, 1, 4) != "0000", text.try_cast("date"))
+    # Each text is worked out once here: no NULL tests around it that would repeat its regular
+    # expressions. Year 0 is a date to Spark but to no source we load, hence the second replacement.
+    return F.regexp_replace(text, F.lit("^0000-"), F.lit("-")).try_cast("date")
 
 
 def date_text_compat(name: Column | str) -> Column:
     """First pattern that hits wins, and its text is not checked (``0115-24-20`` can come out)."""
-    return F.coalesce(*_date_texts(_as_column(name), LENIENT_PATTERNS))
+    column = _as_column(name)
+    return F.coalesce(*[F.nullif(_date_text(column, p), F.lit("")) for p in LENIENT_PATTERNS])
 
 
 def snapshot_date(name: Column | str, mode: str = "valid",
@@ -70,7 +73,7 @@ def snapshot_date(name: Column | str, mode: str = "valid",
         found = F.when(text.isNotNull(), _real_date(text)).otherwise(F.lit(default).cast("date"))
         return F.coalesce(F.lit(override).cast("date"), found) if override else found
     patterns = STRICT_PATTERNS if mode == "strict" else LENIENT_PATTERNS
-    options = [_real_date(text) for text in _date_texts(column, patterns)]
+    options = [_real_date(_date_text(column, pattern)) for pattern in patterns]
     if override:
         options.insert(0, F.lit(override).cast("date"))
     if default:

@@ -44,52 +44,84 @@ def shown_type(data_type: T.DataType) -> str:
     return SHOWN_TYPES.get(data_type.simpleString(), data_type.simpleString().upper())
 
 
-# The ladder, narrowest type first. Each rung is (Spark type, shape a value must have): the shape
-# keeps out texts that casts accept but a reader would not call such a value ('2020' as a date).
-LADDER = [
-    ("boolean", r"^(?i:true|false)$"),
-    ("bigint", r"^[+-]?[0-9]+$"),
-    ("double", r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"),
-    ("date", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"),
-    ("timestamp_ntz", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,6})?)?)?$"),
-]
+# The ladder, narrowest type first.
+LADDER = ("boolean", "bigint", "double", "date", "timestamp_ntz")
 
+# The shape a value must have: it keeps out texts that casts accept but a reader would not call such
+# a value ('2020' as a date, '1d' as a number).
+INTEGER_SHAPE = r"^[+-]?[0-9]+$"
+NUMBER_SHAPE = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+TIME_SHAPE = (r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"
+              r"([ T][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,6})?)?)?$")
 
-def fits(value: Column, rung: tuple[str, str]) -> Column:
-    type_name, shape = rung
-    return value.rlike(shape) & value.try_cast(type_name).isNotNull()
+
+def fit_mask(value: Column) -> Column:
+    """Bit i is set when the value fits rung i of the ladder; NULL for NULL.
+
+    A value takes one branch: text is told by its first character, numbers and dates by one
+    regular expression each.
+    """
+    first = F.ascii(value)
+    boolean, bigint, double, date, timestamp = (F.lit(1 << i) for i in range(len(LADDER)))
+    none = F.lit(0)
+    # A failing cast to bigint costs an exception, so only integers long enough to be out of range
+    # are tried.
+    whole = (F.when((F.length(value) <= 18) | value.try_cast("bigint").isNotNull(),
+                    bigint.bitwiseOR(double)).otherwise(double))
+    # A date is a timestamp too, so columns that mix both become timestamps.
+    time = (F.when(value.try_cast("timestamp_ntz").isNull(), none)
+            .when(F.length(value) == 10, date.bitwiseOR(timestamp)).otherwise(timestamp))
+    digit = first.between(ord("0"), ord("9"))
+    numeric = digit | first.isin(*map(ord, "+-."))
+    return (F.when(value.isNull(), F.lit(None).cast("int"))
+            .when(numeric & value.rlike(INTEGER_SHAPE), whole)
+            .when(numeric & value.rlike(NUMBER_SHAPE), double)
+            .when(digit & value.rlike(TIME_SHAPE), time)
+            .when(first.isin(*map(ord, "tTfF")) & F.lower(value).isin("true", "false"), boolean)
+            .otherwise(none))
 
 
 def infer_text_types(df: DataFrame, columns: list[str] | None = None) -> dict[str, str]:
     """Narrowest type that holds every value of each text column, from one aggregate over all rows.
 
-    Per value a bit mask of the rungs it fits, per column the AND of the masks: one long of state
-    per column however many types are tried, and one row back to the driver.
+    Per value a bit mask of the rungs it fits, per column the AND of the masks: one int of state
+    per column in each task, and one row per column back to the driver. Columns are turned to rows
+    first, so that the compiled expression is one, and small, however wide the table is.
     """
     names = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
     names = [name for name in names if columns is None or name in columns]
     if not names:
         return {}
-    aggregates = [F.bit_and(fit_mask(F.col(f"`{name}`"))).alias(f"m{i}")
-                  for i, name in enumerate(names)]
-    masks = df.agg(*aggregates).first()
-    return {name: type_of_mask(masks[i]) for i, name in enumerate(names)}
+    rows = text_cells(df, names).groupBy("column_name").agg(
+        F.bit_and(fit_mask(F.col("value"))).alias("mask")).collect()
+    masks = {row["column_name"]: row["mask"] for row in rows}
+    return {name: type_of_mask(masks.get(name)) for name in names}
 
 
-def fit_mask(value: Column) -> Column:
-    """Bit i is set when the value fits rung i; NULL for NULL."""
-    # A cheap look at the first character spares free text the five regular expressions.
-    plausible = F.substring(value, 1, 1).rlike(r"[-+.0-9tTfF]")
-    mask = F.lit(0)
-    for i, rung in enumerate(LADDER):
-        mask = mask.bitwiseOR(F.when(fits(value, rung), F.lit(1 << i)).otherwise(F.lit(0)))
-    return F.when(value.isNull(), F.lit(None).cast("int")).when(plausible, mask).otherwise(F.lit(0))
+def text_cells(df: DataFrame, names: list[str]) -> DataFrame:
+    return df.select(F.inline(F.array(*[
+        F.struct(F.lit(name).alias("column_name"), F.col(f"`{name}`").alias("value"))
+        for name in names])))
+
+
+def type_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Per text column: its values, how many fit each type, and the type that holds them all."""
+    names = columns or [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+    masks = text_cells(df, names).select("column_name", fit_mask(F.col("value")).alias("mask"))
+    counts = masks.groupBy("column_name").agg(
+        F.count("mask").alias("n_values"), F.bit_and("mask").alias("mask"),
+        *[F.count_if(F.col("mask").bitwiseAND(F.lit(1 << i)) != 0).alias(f"n_{rung}")
+          for i, rung in enumerate(LADDER)])
+    inferred = F.lit("string")
+    for i, rung in reversed(list(enumerate(LADDER))):
+        inferred = F.when(F.col("mask").bitwiseAND(F.lit(1 << i)) != 0, rung).otherwise(inferred)
+    return counts.withColumn("inferred_type", inferred).drop("mask")
 
 
 def type_of_mask(mask: int | None) -> str:
     """First rung of an AND-ed mask; text when none fits or when there was no value."""
     if mask:
-        for i, (type_name, _) in enumerate(LADDER):
+        for i, type_name in enumerate(LADDER):
             if mask & (1 << i):
                 return type_name
     return "string"

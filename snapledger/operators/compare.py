@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from snapledger.functions.digest import comparable, hash_pieces, row_hashes
 from snapledger.functions.types import shown_type, wider_type
 from snapledger.sources.dataset import Dataset
+from snapledger.sources.local import local_frame
 
 ADDED, REMOVED, CHANGED, SAME = "added", "removed", "changed", "same"
 
@@ -35,8 +36,8 @@ def compare_tables(left: Dataset, right: Dataset) -> DataFrame:
 
 
 def schema_rows(df: DataFrame) -> DataFrame:
-    return df.sparkSession.createDataFrame(
-        [(f.name, shown_type(f.dataType)) for f in df.schema], "column_name string, column_type string")
+    return local_frame(df.sparkSession, [(f.name, shown_type(f.dataType)) for f in df.schema],
+                       "column_name string, column_type string")
 
 
 def compare_schemas(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -16,6 +16,9 @@ from pyspark.sql import types as T
 
 from snapledger.functions.types import spark_type
 from snapledger.sources.dataset import Dataset
+from snapledger.sources.local import local_frame
+
+REPORT_SCHEMA = "table_name string, rule string, column_name string, n_violations bigint"
 
 
 def declared_columns(schemas: dict | None, table: str) -> dict[str, dict]:
@@ -93,8 +96,7 @@ def null_and_key_check(df: DataFrame, table: str, columns: dict[str, dict]) -> D
                         "n_violations")
         report = unique if report is None else report.unionByName(unique)
     if report is None:
-        return df.sparkSession.createDataFrame(
-            [], "table_name string, rule string, column_name string, n_violations bigint")
+        return local_frame(df.sparkSession, [], REPORT_SCHEMA)
     return report
 
 
@@ -230,6 +232,5 @@ def validation_report(dataset: Dataset, schemas: dict | None, rules: dict | None
             "table_name", F.lit("foreign_key").alias("rule"), "column_name",
             F.col("n_rows").alias("n_violations")))
     if not parts:
-        return dataset.spark.createDataFrame(
-            [], "table_name string, rule string, column_name string, n_violations bigint")
+        return local_frame(dataset.spark, [], REPORT_SCHEMA)
     return functools.reduce(DataFrame.unionByName, parts)

@@ -21,8 +21,11 @@ from snapledger.plans import log as load_log
 from snapledger.sources.csv import read_table_dump
 from snapledger.sources.discover import (SOURCE_OF_PATH, describe_files, discover_sources,
                                          list_source_tables)
+from snapledger.sources.local import local_frame
 
 ON_CONFLICT = ("keep", "replace")
+# At some 100 bytes a source, 5 MB at most.
+BROADCAST_SOURCES = 50_000
 
 
 @dataclass(frozen=True)
@@ -129,9 +132,13 @@ def _load_table(spark: SparkSession, store: str, table: str, plan: list, paths:
     """One scan of all files of a table into its dated partitions; rows per date from the result."""
     known = _known_types(spark, log, table) if options.typing == "infer" else None
     rows = read_table_dump(spark, paths, options.typing, options.read_mode, known, keep_path=True)
-    # The date of a row is an expression on its file's path, the one the plan was made with.
-    source = F.regexp_extract("__path", SOURCE_OF_PATH, 1)
-    dated = rows.withColumn("__date", dump_date(source, options)).drop("__path")
+    # One short row per source of this table; beyond the limit Spark is left to join as it sees fit.
+    dates = local_frame(spark, [(row["source_file"], row["snapshot_date"]) for row in plan],
+                        "__source string, __date date")
+    if len(plan) <= BROADCAST_SOURCES:
+        dates = F.broadcast(dates)
+    rows = rows.withColumn("__source", F.regexp_extract("__path", SOURCE_OF_PATH, 1))
+    dated = rows.join(dates, "__source").drop("__source", "__path")
     # A dump may itself have a column of the partition column's name.
     names = unique_names(["snapshot_date", *dated.columns[:-1]])[1:]
     dated = dated.toDF(*names, "snapshot_date")
@@ -185,7 +192,7 @@ def import_files(spark: SparkSession, files: DataFrame, store: str,
             # A header without rows has nothing to read back: logged as empty, no table.
             note(row, load_log.LOADED if rows else load_log.EMPTY, rows, None, path if rows else None)
 
-    result = spark.createDataFrame(entries, load_log.LOG_SCHEMA)
+    result = local_frame(spark, entries, load_log.LOG_SCHEMA)
     if entries:
         load_log.append_log(spark, log_path(store), result)
     return load_log.read_log(spark, log_path(store)).where(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from snapledger.sources.local import local_frame
 from snapledger.storage import exists
 
 # Both log shapes the converters write, in one schema, plus what a load needs to find its data again.
@@ -21,7 +22,7 @@ ERROR = "ERROR"
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     if not exists(spark, path):
-        return spark.createDataFrame([], LOG_SCHEMA)
+        return local_frame(spark, [], LOG_SCHEMA)
     return spark.read.schema(LOG_SCHEMA).parquet(path)
 
 

@@ -12,7 +12,8 @@ from snapledger.functions.naming import unique_names
 from snapledger.functions.types import infer_text_types, wider_type
 from snapledger.storage import file_path, plain_glob
 
-# Quotes are doubled inside quoted values, and column pruning is off: with it, which rows count as
+# Empty and absent are the same in these dumps, quoted or not: both are NULL when read. Quotes are
+# doubled inside quoted values, and column pruning is off: with it, which rows count as
 # malformed would depend on the columns a query asks for.
 CSV_OPTIONS = {
     "quote": '"', "escape": '"', "nullValue": "", "emptyValue": "",
@@ -48,9 +49,7 @@ def _read_group(spark: SparkSession, paths: list[str], names: list[str], mode: s
     reader = spark.read.schema(schema).options(
         header=True, mode=READ_MODES[mode], columnPruning=False, multiLine=multi_line, **CSV_OPTIONS)
     df = reader.csv([plain_glob(path) for path in paths])
-    # Empty and absent are the same in these dumps, quoted or not.
-    return df.select(*[F.nullif(F.col(name), F.lit("")).alias(name) for name in names],
-                     file_path().alias("__path"))
+    return df.select("*", file_path().alias("__path"))
 
 
 def read_csv_text(spark: SparkSession, paths: list[str], mode: str = "drop",

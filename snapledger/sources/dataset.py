@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from snapledger.functions.types import shown_type
 from snapledger.sources.csv import read_table_dump
+from snapledger.sources.local import local_frame
 from snapledger.storage import exists, list_children
 
 FORMATS = ("parquet", "orc", "json", "csv")
@@ -36,14 +37,15 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 class Dataset:
-    """Tables by name. Nothing here writes, and every result stays a DataFrame."""
+    """Tables by name. Nothing here writes, and every result stays a DataFrame.
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], prefix: str = ""):
+    A table may be given as a path; it is then looked at when it is first used.
+    """
+
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame | str], prefix: str = ""):
         self.spark = spark
         self.prefix = prefix
         self._tables = dict(sorted(tables.items()))
-        for name, df in self._tables.items():
-            df.createOrReplaceTempView(prefix + name)
 
     @property
     def tables(self) -> list[str]:
@@ -52,18 +54,20 @@ class Dataset:
     def table(self, name: str) -> DataFrame:
         if name not in self._tables:
             raise UnknownTable(f"Table not found: {name}")
+        if isinstance(self._tables[name], str):
+            self._tables[name] = read_table(self.spark, self._tables[name])
         return self._tables[name]
 
     def list_tables(self) -> DataFrame:
-        return self.spark.createDataFrame([(name,) for name in self._tables], "table_name string")
+        return local_frame(self.spark, [(name,) for name in self._tables], "table_name string")
 
     def describe(self, name: str) -> DataFrame:
         """Columns of a table from its metadata alone."""
         rows = [(name, i, f.name, shown_type(f.dataType), "YES" if f.nullable else "NO")
                 for i, f in enumerate(self.table(name).schema)]
-        return self.spark.createDataFrame(
-            rows, "table_name string, position int, column_name string, column_type string, "
-                  "is_nullable string")
+        return local_frame(self.spark, rows,
+                           "table_name string, position int, column_name string, "
+                           "column_type string, is_nullable string")
 
     def preview(self, name: str, rows: int | None = None,
                 order_by: list[str] | None = None) -> DataFrame:
@@ -105,8 +109,13 @@ class Dataset:
         """Any query over the tables, with ``:name`` parameters.
 
         The text runs as a subquery, where only queries parse: no statement can change anything.
+        Tables are known by their name, with the dataset's prefix in front.
         """
         text = query.strip().rstrip(";")
+        mentioned = text.lower()
+        for name in self._tables:
+            if name.lower() in mentioned:
+                self.table(name).createOrReplaceTempView(self.prefix + name)
         return self.spark.sql(f"SELECT * FROM (\n{text}\n)", args=parameters or None)
 
 
@@ -114,22 +123,22 @@ def open_dataset(spark: SparkSession, path: str | None = None, default: str | No
                  prefix: str = "") -> Dataset:
     """Open a folder of tables: ``path``, else the environment variable, else ``default``.
 
-    Opening again in the same session replaces the views of the same names. With a ``prefix``
-    several datasets can be open beside each other.
+    Queries see the tables of the dataset they are put to. With a ``prefix`` the tables of several
+    datasets can be told apart in a session.
     """
     root = path or os.environ.get(DATASET_VARIABLE) or default
     if not root:
         raise ValueError(f"no dataset given: pass a path or set {DATASET_VARIABLE}")
     if not exists(spark, root):
         raise FileNotFoundError(f"Dataset not found: {root}")
-    tables: dict[str, DataFrame] = {}
+    tables: dict[str, DataFrame | str] = {}
     for name, entry, _ in list_children(spark, root):
         stem, dot, suffix = name.rpartition(".")
         if not dot or suffix.lower() not in FORMATS:
             continue
         if stem in tables:
             raise ValueError(f"table {stem} is there in two formats in {root}")
-        tables[stem] = read_table(spark, entry)
+        tables[stem] = entry
     if not tables:
         raise ValueError(f"no {', '.join(FORMATS)} tables in {root}")
     return Dataset(spark, tables, prefix)

@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from snapledger.storage import exists
+from snapledger.sources.local import local_frame
+from snapledger.storage import exists, list_children
 
 # A dump tree is <root>/<source>/<table>.csv, each table one file or a folder of part files. The
-# folders may be written as source=<source> and table=<table>.csv, as one Spark job leaves them.
-SOURCE_OF_PATH = r"(?:[^/=]+=)?([^/=]+)/[^/]+\.csv(?:/[^/]+)?$"
-TABLE_OF_PATH = r"(?:[^/=]+=)?([^/=]+)\.csv(?:/[^/]+)?$"
+# folders may be written as source=<source> and table=<table>.csv, as one Spark job leaves them. The leading
+# greedy part makes the match start from the end of the path; the look-behind tells a table folder
+# from a source, as part files end in .csv as well.
+SOURCE_OF_PATH = r"^.*/(?:[^/=]+=)?([^/=]+)(?<!\.csv)/[^/]+\.csv(?:/[^/]+)?$"
+TABLE_OF_PATH = r"^.*(?<!\.csv)/(?:[^/=]+=)?([^/=]+)\.csv(?:/[^/]+)?$"
 
 FILE_SCHEMA = T.StructType([
     T.StructField("path", T.StringType()),
@@ -31,12 +34,23 @@ def describe_files(files: DataFrame) -> DataFrame:
 
 
 def discover_sources(spark: SparkSession, root: str, glob: str = FILE_GLOB) -> DataFrame:
-    """All matching files below a folder. The file contents are not read."""
+    """All matching files below a folder. The file contents are not read.
+
+    Spark's listing leaves out files of zero bytes, so a table with nothing else gets a row of
+    length 0 from the folder tree.
+    """
     if not exists(spark, root):
         raise FileNotFoundError(f"no such folder: {root}")
-    files = (spark.read.format("binaryFile")
-             .option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root))
-    return describe_files(files)
+    files = describe_files(
+        spark.read.format("binaryFile").option("recursiveFileLookup", True)
+        .option("pathGlobFilter", glob).load(root))
+    tables = [(path,) for _, source, is_folder in list_children(spark, root) if is_folder
+              for name, path, _ in list_children(spark, source) if name.endswith(".csv")]
+    folders = local_frame(spark, tables, "path string").select(
+        "path", F.lit(0).cast("bigint").alias("length"), F.lit(None).cast("timestamp").alias("modified_at"),
+        F.regexp_extract("path", SOURCE_OF_PATH, 1).alias("source_file"),
+        F.regexp_extract("path", TABLE_OF_PATH, 1).alias("table_name"))
+    return files.unionByName(folders.join(files, ["source_file", "table_name"], "left_anti"))
 
 
 def list_source_tables(files: DataFrame, table_type: str | None = None) -> DataFrame:
@@ -65,7 +79,7 @@ def newest(df: DataFrame, by: list[Column | str], per: list[str] | None = None)
 def pick_subset(tables: DataFrame, wanted: list[str]) -> DataFrame:
     """The wanted tables with what was found of each; an absent or empty one stays, with a note."""
     spark = tables.sparkSession
-    names = spark.createDataFrame([(name,) for name in wanted], "table_name string")
+    names = local_frame(spark, [(name,) for name in wanted], "table_name string")
     found = tables.where(F.col("table_name").isin(*wanted)).groupBy("table_name").agg(
         F.count(F.lit(1)).alias("n_sources"), F.sum("n_bytes").alias("n_bytes"))
     return names.join(found, "table_name", "left").select(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from snapledger.functions.naming import (date_text_compat, sanitize_name, snapshot_date,
                                          snapshot_table_name)
-from snapledger.functions.types import LADDER, fits, infer_text_types
+from snapledger.functions.types import type_profile
 from snapledger.operators.reshape import columns_to_rows, is_ragged
 from snapledger.plans import load, log
 from snapledger.plans.load import LoadOptions, batch_import, open_snapshots
@@ -205,13 +205,7 @@ def infer_types(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_format("l_shipdate", "yyyy-MM-dd").alias("l_shipdate"),
         (F.col("l_returnflag") == "R").cast("string").alias("is_returned"),
         F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss").alias("shipped_at"))
-    types = infer_text_types(texts)
-    counts = texts.agg(*[
-        F.struct(F.lit(name).alias("column_name"), F.count(name).alias("n_values"),
-                 *[F.count_if(fits(F.col(name), rung)).alias(f"n_{rung[0]}") for rung in LADDER],
-                 F.lit(types[name]).alias("inferred_type")).alias(name)
-        for name in texts.columns])
-    return counts.select(F.inline(F.array(*[F.col(name) for name in texts.columns])))
+    return type_profile(texts)
 
 
 @workload("load_as_varchar", """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,7 +58,6 @@ def like(spark: SparkSession, sf_dir: str) -> DataFrame:
            AND l_returnflag IN ('A', 'R') AND NOT (l_discount >= 0.05 OR l_quantity < 10))
        OR (l_linestatus = 'O' AND l_extendedprice > 90000 AND l_tax IS NOT NULL)""")
 def filter_and_or(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import datetime
     return filter_rows(read(spark, sf_dir, "lineitem"), {"or": [
         {"and": [
             {"column": "l_shipdate", "op": "between",
@@ -72,14 +73,14 @@ def filter_and_or(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @workload("built_query", """
     SELECT l_returnflag, l_linestatus, count(*) AS n_lines, max(l_shipdate) AS last_shipped,
-           CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,2))) AS DOUBLE) AS revenue
+           CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4))) AS DOUBLE) AS revenue
     FROM lineitem WHERE l_shipdate < TIMESTAMP '2000-01-01 00:00:00' AND l_tax >= 0.02
     GROUP BY l_returnflag, l_linestatus HAVING count(*) > 10
     ORDER BY l_returnflag DESC, l_linestatus LIMIT 4""")
 def built_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     built = build_query(open_dataset(spark, sf_dir), {
         "table": "lineitem",
-        "derive": {"net": "CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,2))"},
+        "derive": {"net": "CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4))"},
         "filter": {"and": [{"column": "l_shipdate", "op": "<", "value": "2000-01-01"},
                            {"column": "l_tax", "op": ">=", "value": 0.02}]},
         "group_by": ["l_returnflag", "l_linestatus"],

@@ -9,6 +9,7 @@ from snapledger.functions.digest import comparable, hash_pieces, row_hashes
 from snapledger.functions.types import shown_type, wider_type
 from snapledger.sources.dataset import Dataset
 from snapledger.sources.local import local_frame
+from snapledger.storage import materialized
 
 ADDED, REMOVED, CHANGED, SAME = "added", "removed", "changed", "same"
 
@@ -114,16 +115,18 @@ def compare_cells(left: DataFrame, right: DataFrame, keys: list[str],
                   columns: list[str] | None = None) -> DataFrame:
     """Changed cells ``(key, column_name, old_value, new_value, n_cells)``, values as text.
 
-    The keys that changed are found first, on digests; only their rows go on to be unpivoted.
+    The keys that changed are found first, on digests, and written out (so this runs a job); only
+    their rows go on to be unpivoted.
     Equal cells cancel out per (key, column, value). For a key that is unique on both sides the two
     remaining values form one row; for one that is not there is no telling which cells belong
     together, so each surplus value is a row of its own with how often it is in surplus.
     """
     names = _common_columns(left, right, keys, columns)
     left, right = _aligned(left, right, keys + names)
-    changed = compare_rows(left, right, keys, names).where(F.col("status") == CHANGED).select(
-        *[F.col(key).alias(f"__key_{key}") for key in keys],
-        ((F.col("n_left") == 1) & (F.col("n_right") == 1)).alias("__unique"))
+    changed = materialized(
+        compare_rows(left, right, keys, names).where(F.col("status") == CHANGED).select(
+            *[F.col(key).alias(f"__key_{key}") for key in keys],
+            ((F.col("n_left") == 1) & (F.col("n_right") == 1)).alias("__unique")), "changed")
 
     def cells(df: DataFrame, sign: int) -> DataFrame:
         # Null-safe: a key value may be NULL like any other.

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from snapledger.functions.types import spark_type
 from snapledger.sources.dataset import Dataset
 from snapledger.sources.local import local_frame
+from snapledger.storage import materialized
 
 REPORT_SCHEMA = "table_name string, rule string, column_name string, n_violations bigint"
 
@@ -136,9 +137,9 @@ def orphan_keys(child: DataFrame, column: str, parent: DataFrame, parent_column:
 
 
 def orphan_rows(child: DataFrame, column: str, parent: DataFrame, parent_column: str) -> DataFrame:
-    """The rows without a parent, whole."""
-    missing = orphan_keys(child, column, parent, parent_column).select(
-        F.col("fk_value").alias("__fk"))
+    """The rows without a parent, whole. Runs a job that finds the orphan values first."""
+    missing = materialized(orphan_keys(child, column, parent, parent_column).select(
+        F.col("fk_value").alias("__fk")), "orphans")
     return child.join(missing, child[column] == missing["__fk"], "left_semi")
 
 
@@ -184,7 +185,8 @@ def cascade_delete(tables: dict[str, DataFrame], keys: list[ForeignKey],
     """Mark the rows that fall when the given ones are deleted, through all CASCADE levels.
 
     ``deleted`` maps a table to a condition. Each table comes back whole with a boolean ``deleted``
-    column; each is read once per level and joined only with the keys of fallen parents.
+    column. The keys of fallen parents are written out level by level (one job each), and a child
+    is joined with nothing else.
     """
     cascading = [k for k in keys if k.on_delete == "CASCADE"]
     marked: dict[str, DataFrame] = {}
@@ -192,9 +194,9 @@ def cascade_delete(tables: dict[str, DataFrame], keys: list[ForeignKey],
         df = tables[table]
         falls = [F.coalesce(F.expr(deleted[table]), F.lit(False))] if table in deleted else []
         for i, key in enumerate(k for k in cascading if k.table == table and k.parent in marked):
-            gone = (marked[key.parent].where("deleted")
-                    .select(F.col(key.parent_column).alias(f"__gone{i}"))
-                    .where(F.col(f"__gone{i}").isNotNull()).distinct())
+            fallen = marked[key.parent].where("deleted").select(
+                F.col(key.parent_column).alias(f"__gone{i}"))
+            gone = materialized(fallen.where(F.col(f"__gone{i}").isNotNull()).distinct(), "fallen")
             df = df.join(gone, df[key.column] == gone[f"__gone{i}"], "left")
             falls.append(F.col(f"__gone{i}").isNotNull())
         names = tables[table].columns

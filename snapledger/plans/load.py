@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import json
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -39,6 +40,7 @@ class LoadOptions:
     typing: str = "infer"              # or 'text'
     read_mode: str = "drop"            # or 'fail'
     tables: tuple[str, ...] | None = None
+    parallel_tables: int = 4
 
     def __post_init__(self):
         if self.on_conflict not in ON_CONFLICT:
@@ -178,19 +180,33 @@ def import_files(spark: SparkSession, files: DataFrame, store: str,
             note(row, load_log.ERROR, message="no valid date in the name and no default given")
         elif row["action"] != "LOAD":
             note(row, row["action"], 0 if row["action"] == load_log.EMPTY else None)
-    for table in sorted({row["table_name"] for row in plan if row["action"] == "LOAD"}):
-        todo = [row for row in plan if row["table_name"] == table and row["action"] == "LOAD"]
+    to_load: dict[str, list] = {}
+    for row in plan:
+        if row["action"] == "LOAD":
+            to_load.setdefault(row["table_name"], []).append(row)
+
+    def load(table: str, todo: list) -> list[tuple]:
         sources = [path for row in todo for path in paths_of[row["source_file"], table]]
         try:
             path, counts = _load_table(spark, store, table, todo, sources, log, options)
+            return [(row, counts.get(row["snapshot_date"], 0), path, None) for row in todo]
         except Exception as error:  # noqa: BLE001 - one bad table must not stop the others
-            for row in todo:
-                note(row, load_log.ERROR, message=str(error)[:500])
-            continue
-        for row in todo:
-            rows = counts.get(row["snapshot_date"], 0)
-            # A header without rows has nothing to read back: logged as empty, no table.
-            note(row, load_log.LOADED if rows else load_log.EMPTY, rows, None, path if rows else None)
+            if len(todo) > 1:
+                # Together they failed: load each source by itself, so that only bad ones are lost.
+                return [result for row in todo for result in load(table, [row])]
+            return [(todo[0], None, None, str(error)[:500] or type(error).__name__)]
+
+    # Small tables would leave a cluster idle one after the other, so a few load side by side.
+    with ThreadPoolExecutor(max_workers=options.parallel_tables) as pool:
+        outcomes = list(pool.map(load, to_load, to_load.values()))
+    for row, rows, path, error in (result for results in outcomes for result in results):
+        if error:
+            note(row, load_log.ERROR, message=error)
+        elif rows:
+            note(row, load_log.LOADED, rows, path=path)
+        else:
+            # A header without rows leaves nothing to read back.
+            note(row, load_log.EMPTY, 0)
 
     result = local_frame(spark, entries, load_log.LOG_SCHEMA)
     if entries:

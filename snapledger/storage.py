@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -21,11 +21,16 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def use_checkpoint_dir(spark: SparkSession) -> None:
-    """Give the session a checkpoint folder, its configured one if it has one."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(scratch_dir(spark, "checkpoint"))
+def materialized(df: DataFrame, label: str) -> DataFrame:
+    """Write a result that later joins look up, and read it back from the shared folder.
+
+    It is then worked out once, survives lost executors, and its true size is known: Spark
+    broadcasts it below the session's limit, and otherwise shuffles both sides afresh, which is
+    the form in which adaptive execution can split a hot key of the other side over many tasks.
+    """
+    path = f"{scratch_dir(df.sparkSession, label)}/data"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _hadoop_path(spark: SparkSession, path: str):

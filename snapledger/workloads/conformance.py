@@ -71,24 +71,36 @@ _register("sql_join_range", """
     ON e.event_type = c.event_type AND e.ts >= c.starts AND e.ts < c.ends
     GROUP BY e.event_type, c.starts""")
 
-# Last view of the user at or before each purchase. Windows run within one hour of a user; what lies
-# further back comes from one row per user and hour. No window group grows with a user's events in
-# total, as one over the whole history would.
+# Last view of the user at or before each purchase. The events of a user are reduced to distinct
+# times first. A window then runs within one second, and what lies further back comes from one row
+# per second of the same hour, or one per earlier hour: no window group grows with the number of
+# events a user has.
 _register("sql_join_asof", """
-    WITH relevant AS (
-        SELECT event_id, user_id, ts, event_type, date_trunc('HOUR', ts) AS hour,
-               CASE WHEN event_type = 'view' THEN ts END AS view_ts
-        FROM events WHERE event_type IN ('view', 'purchase')),
-    hourly AS (
-        SELECT user_id, hour, max(view_ts) AS last_view FROM relevant GROUP BY user_id, hour),
+    WITH times AS (
+        SELECT user_id, ts, date_trunc('SECOND', ts) AS second, date_trunc('HOUR', ts) AS hour,
+               max(CASE WHEN event_type = 'view' THEN ts END) AS view_ts
+        FROM events WHERE event_type IN ('view', 'purchase') GROUP BY user_id, ts),
+    in_second AS (
+        SELECT *, max(view_ts) OVER (PARTITION BY user_id, second ORDER BY ts) AS view_in_second
+        FROM times),
+    seconds AS (
+        SELECT user_id, hour, second, max(view_ts) AS last_view FROM times
+        GROUP BY user_id, hour, second),
+    in_hour AS (
+        SELECT user_id, second, max(last_view) OVER (PARTITION BY user_id, hour ORDER BY second
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS view_in_hour FROM seconds),
+    hours AS (
+        SELECT user_id, hour, max(last_view) AS last_view FROM seconds GROUP BY user_id, hour),
     earlier AS (
         SELECT user_id, hour, max(last_view) OVER (PARTITION BY user_id ORDER BY hour
-               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS view_before FROM hourly),
-    within AS (
-        SELECT *, max(view_ts) OVER (PARTITION BY user_id, hour ORDER BY ts) AS view_within FROM relevant)
-    SELECT w.event_id, w.user_id, w.ts, coalesce(view_within, view_before) AS view_ts
-    FROM within w JOIN earlier e ON w.user_id = e.user_id AND w.hour = e.hour
-    WHERE w.event_type = 'purchase'""", """
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS view_earlier FROM hours),
+    points AS (
+        SELECT t.user_id, t.ts, coalesce(view_in_second, view_in_hour, view_earlier) AS view_ts
+        FROM in_second t JOIN in_hour s ON t.user_id = s.user_id AND t.second = s.second
+        JOIN earlier h ON t.user_id = h.user_id AND t.hour = h.hour)
+    SELECT e.event_id, e.user_id, e.ts, p.view_ts
+    FROM events e JOIN points p ON e.user_id = p.user_id AND e.ts = p.ts
+    WHERE e.event_type = 'purchase'""", """
     SELECT p.event_id, p.user_id, p.ts, v.ts AS view_ts
     FROM (SELECT * FROM events WHERE event_type = 'purchase') p
     ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v

@@ -62,7 +62,7 @@ def _dump_names(orders: DataFrame) -> DataFrame:
     def date(pattern: str):
         return F.date_format("o_orderdate", pattern)
 
-    name = (F.when(F.col("o_orderpriority") == "1-URGENT", F.concat(F.lit("DB2_"), date("dd_MM_yyyy")))
+    name = (F.when(F.col("o_orderpriority") == "1-URGENT", F.concat(F.lit("dump_"), date("dd_MM_yyyy")))
             .when(F.col("o_orderpriority") == "2-HIGH", F.concat(F.lit("db "), date("yyyy-MM-dd")))
             .when(F.col("o_orderpriority") == "3-MEDIUM", F.concat(F.lit("x"), date("ddMMyyyy")))
             .when(F.col("o_orderpriority") == "4-NOT SPECIFIED", F.concat(F.lit("x"), date("yyyyMMdd")))
@@ -70,19 +70,19 @@ def _dump_names(orders: DataFrame) -> DataFrame:
             .when(F.col("o_orderstatus") == "O", F.concat(F.lit("a_32_13_"), date("yyyy"), F.lit("_x_"),
                                                           date("yyyy-MM-dd")))
             .otherwise(F.lit("none")))
-    return orders.select("o_orderkey", F.concat(name, F.lit(".mdb")).alias("file_name"))
+    return orders.select("o_orderkey", F.concat(name, F.lit(".bak")).alias("file_name"))
 
 
 _NAMES_SQL = """
     names AS (SELECT o_orderkey, concat(CASE
-        WHEN o_orderpriority = '1-URGENT' THEN 'DB2_' || strftime(o_orderdate, '%d_%m_%Y')
+        WHEN o_orderpriority = '1-URGENT' THEN 'dump_' || strftime(o_orderdate, '%d_%m_%Y')
         WHEN o_orderpriority = '2-HIGH' THEN 'db ' || strftime(o_orderdate, '%Y-%m-%d')
         WHEN o_orderpriority = '3-MEDIUM' THEN 'x' || strftime(o_orderdate, '%d%m%Y')
         WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'x' || strftime(o_orderdate, '%Y%m%d')
         WHEN o_orderstatus = 'F' THEN 'm_' || strftime(o_orderdate, '%d-%m_%Y')
         WHEN o_orderstatus = 'O' THEN 'a_32_13_' || strftime(o_orderdate, '%Y') || '_x_'
                                        || strftime(o_orderdate, '%Y-%m-%d')
-        ELSE 'none' END, '.mdb') AS file_name FROM orders)"""
+        ELSE 'none' END, '.bak') AS file_name FROM orders)"""
 
 
 @workload("snapshot_date_lenient", f"""

@@ -145,7 +145,8 @@ def _load_table(spark: SparkSession, store: str, table: str, plan: list, paths:
     names = unique_names(["snapshot_date", *dated.columns[:-1]])[1:]
     dated = dated.toDF(*names, "snapshot_date")
     path = write_snapshots(dated, store, table)
-    counts = (spark.read.parquet(path)
+    # The schema is given because a dump without rows leaves no file to take it from.
+    counts = (spark.read.schema(dated.schema).parquet(path)
               .where(F.col("snapshot_date").isin([row["snapshot_date"] for row in plan]))
               .groupBy("snapshot_date").count().collect())
     return path, {row["snapshot_date"]: row["count"] for row in counts}

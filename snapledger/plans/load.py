@@ -21,7 +21,7 @@ from snapledger.functions.types import wider_type
 from snapledger.plans import log as load_log
 from snapledger.sources.csv import read_table_dump
 from snapledger.sources.discover import (SOURCE_OF_PATH, describe_files, discover_sources,
-                                         list_source_tables)
+                                         list_source_tables, newest)
 from snapledger.sources.local import local_frame
 
 ON_CONFLICT = ("keep", "replace")
@@ -73,7 +73,8 @@ def plan_load(files: DataFrame, log: DataFrame, options: LoadOptions) -> DataFra
         "snapshot_date", dump_date(F.col("source_file"), options))
     usable = found.where((F.col("n_bytes") > 0) & F.col("snapshot_date").isNotNull())
     pick = F.min if options.on_conflict == "keep" else F.max
-    winners = usable.groupBy("table_name", "snapshot_date").agg(pick("source_file").alias("winner"))
+    winners = usable.groupBy("table_name", "snapshot_date").agg(
+        pick(F.struct("source_file", "location")).alias("winner"))
     planned = found.join(winners, ["table_name", "snapshot_date"], "left")
     if options.on_conflict == "keep":
         done = load_log.loaded_keys(log).select(
@@ -85,9 +86,9 @@ def plan_load(files: DataFrame, log: DataFrame, options: LoadOptions) -> DataFra
     action = (F.when(F.col("snapshot_date").isNull(), load_log.ERROR)
               .when(F.col("n_bytes") == 0, load_log.EMPTY)
               .when(F.coalesce("done", F.lit(False)), load_log.SKIPPED)
-              .when(F.col("winner") != F.col("source_file"), load_log.SKIPPED)
+              .when(F.col("winner") != F.struct("source_file", "location"), load_log.SKIPPED)
               .otherwise("LOAD"))
-    return planned.select("source_file", "table_name", "snapshot_date", "n_files", "n_bytes",
+    return planned.select("source_file", "table_name", "location", "snapshot_date", "n_files", "n_bytes",
                           action.alias("action"))
 
 
@@ -129,10 +130,11 @@ def _known_types(spark: SparkSession, log: DataFrame, table: str) -> dict[str, s
     return types
 
 
-def _load_table(spark: SparkSession, store: str, table: str, plan: list, paths: list[str],
+def _load_table(spark: SparkSession, store: str, table: str, plan: list,
                 log: DataFrame, options: LoadOptions) -> tuple[str, dict]:
     """One scan of all files of a table into its dated partitions; rows per date from the result."""
     known = _known_types(spark, log, table) if options.typing == "infer" else None
+    paths = [row["location"] for row in plan]
     rows = read_table_dump(spark, paths, options.typing, options.read_mode, known, keep_path=True)
     # One short row per source of this table; beyond the limit Spark is left to join as it sees fit.
     dates = local_frame(spark, [(row["source_file"], row["snapshot_date"]) for row in plan],
@@ -156,15 +158,11 @@ def import_files(spark: SparkSession, files: DataFrame, store: str,
                  run_at: datetime.datetime, options: LoadOptions = LoadOptions()) -> DataFrame:
     """Load the listed dump files, table by table, and log what became of each.
 
-    A table that fails is logged as ERROR and the others go on. Returns this run's log rows.
+    What comes to the driver is a row per source and table, not per file. A table that fails is
+    logged as ERROR and the others go on. Returns this run's log rows.
     """
     log = load_log.read_log(spark, log_path(store))
     plan = plan_load(files, log, options).collect()
-    paths = files.groupBy("source_file", "table_name").agg(
-        F.collect_list(F.when(F.col("length") > 0, F.col("path"))).alias("paths"))
-    if options.tables is not None:
-        paths = paths.where(F.col("table_name").isin(*options.tables))
-    paths_of = {(r["source_file"], r["table_name"]): r["paths"] for r in paths.collect()}
 
     entries = []
 
@@ -187,9 +185,8 @@ def import_files(spark: SparkSession, files: DataFrame, store: str,
             to_load.setdefault(row["table_name"], []).append(row)
 
     def load(table: str, todo: list) -> list[tuple]:
-        sources = [path for row in todo for path in paths_of[row["source_file"], table]]
         try:
-            path, counts = _load_table(spark, store, table, todo, sources, log, options)
+            path, counts = _load_table(spark, store, table, todo, log, options)
             return [(row, counts.get(row["snapshot_date"], 0), path, None) for row in todo]
         except Exception as error:  # noqa: BLE001 - one bad table must not stop the others
             if len(todo) > 1:
@@ -222,6 +219,23 @@ def batch_import(spark: SparkSession, root: str, store: str, run_at: datetime.da
     return import_files(spark, discover_sources(spark, root), store, run_at, options)
 
 
+def import_source(spark: SparkSession, folder: str, store: str, run_at: datetime.datetime,
+                  options: LoadOptions = LoadOptions()) -> DataFrame:
+    """Load the dump of one source."""
+    return import_files(spark, discover_sources(spark, folder, single=True), store, run_at, options)
+
+
+def import_latest(spark: SparkSession, root: str, store: str, run_at: datetime.datetime,
+                  options: LoadOptions = LoadOptions()) -> DataFrame:
+    """Load only the newest source below a folder, by file time and then path."""
+    files = discover_sources(spark, root)
+    latest = newest(files.where("length > 0"), ["modified_at", "path"]).first()
+    if latest is None:
+        raise FileNotFoundError(f"no dumps in {root}")
+    return import_files(spark, files.where(F.col("source_file") == latest["source_file"]), store, run_at,
+                        options)
+
+
 def import_paths(spark: SparkSession, listing: DataFrame, store: str, run_at: datetime.datetime,
                  options: LoadOptions = LoadOptions()) -> DataFrame:
     """`import_files` for a raw listing (path, modificationTime, length), as a stream delivers it."""

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from snapledger.functions.naming import unique_names
 from snapledger.functions.types import infer_text_types, wider_type
-from snapledger.storage import file_path, plain_glob
+from snapledger.storage import file_path, materialized, plain_glob
 
 # Empty and absent are the same in these dumps, quoted or not: both are NULL when read. Quotes are
 # doubled inside quoted values, and column pruning is off: with it, which rows count as
@@ -62,14 +62,16 @@ def read_csv_text(spark: SparkSession, paths: list[str], mode: str = "drop",
     """
     if mode not in READ_MODES:
         raise ValueError(f"unknown read mode {mode!r}; use one of {sorted(READ_MODES)}")
-    groups = csv_profiles(spark, paths).groupBy("header", "multi_line").agg(
-        F.sort_array(F.collect_list("path")).alias("paths")).orderBy("header", "multi_line").collect()
+    profiles = materialized(csv_profiles(spark, paths).where(F.trim("header") != ""), "profiles")
+    groups = profiles.select("header", "multi_line").distinct().orderBy("header", "multi_line").collect()
     result = None
     for group in groups:
-        if group["header"] is None or not group["header"].strip():
-            continue
         names = unique_names(header_names(group["header"]))
-        df = _read_group(spark, group["paths"], names, mode, group["multi_line"])
+        # Only files that do not all have the same header need to be named one by one.
+        own = paths if len(groups) == 1 else [row["path"] for row in profiles.where(
+            (F.col("header") == group["header"]) & (F.col("multi_line") == group["multi_line"]))
+            .select("path").collect()]
+        df = _read_group(spark, own, names, mode, group["multi_line"])
         result = df if result is None else result.unionByName(df, allowMissingColumns=True)
     if result is None:
         raise ValueError(f"nothing but empty files in {paths}")

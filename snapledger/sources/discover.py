@@ -14,6 +14,7 @@ from snapledger.storage import exists, list_children
 # greedy part makes the match start from the end of the path; the look-behind tells a table folder
 # from a source, as part files end in .csv as well.
 SOURCE_OF_PATH = r"^.*/(?:[^/=]+=)?([^/=]+)(?<!\.csv)/[^/]+\.csv(?:/[^/]+)?$"
+LOCATION_OF_PATH = (r"(\.csv)/[^/]+$", "$1")
 TABLE_OF_PATH = r"^.*(?<!\.csv)/(?:[^/=]+=)?([^/=]+)\.csv(?:/[^/]+)?$"
 
 FILE_SCHEMA = T.StructType([
@@ -26,30 +27,33 @@ FILE_GLOB = "*.csv"
 
 
 def describe_files(files: DataFrame) -> DataFrame:
-    """File listing with the source and table each path belongs to."""
+    """File listing with the source and table each path belongs to, and the table's own path."""
     return files.select(
         "path", "length", F.col("modificationTime").alias("modified_at"),
         F.regexp_extract("path", SOURCE_OF_PATH, 1).alias("source_file"),
-        F.regexp_extract("path", TABLE_OF_PATH, 1).alias("table_name"))
+        F.regexp_extract("path", TABLE_OF_PATH, 1).alias("table_name"),
+        F.regexp_replace("path", *LOCATION_OF_PATH).alias("location"))
 
 
-def discover_sources(spark: SparkSession, root: str, glob: str = FILE_GLOB) -> DataFrame:
-    """All matching files below a folder. The file contents are not read.
+def discover_sources(spark: SparkSession, root: str, glob: str = FILE_GLOB,
+                     single: bool = False) -> DataFrame:
+    """All matching files below a folder of sources, or of one source if it is a ``single`` one.
 
-    Spark's listing leaves out files of zero bytes, so a table with nothing else gets a row of
-    length 0 from the folder tree.
+    The file contents are not read. Spark's listing leaves out files of zero bytes, so a table with
+    nothing else gets a row of length 0 from the folder tree.
     """
     if not exists(spark, root):
         raise FileNotFoundError(f"no such folder: {root}")
     files = describe_files(
         spark.read.format("binaryFile").option("recursiveFileLookup", True)
         .option("pathGlobFilter", glob).load(root))
-    tables = [(path,) for _, source, is_folder in list_children(spark, root) if is_folder
+    sources = [root] if single else [
+        path for _, path, is_folder in list_children(spark, root) if is_folder]
+    tables = [(path,) for source in sources
               for name, path, _ in list_children(spark, source) if name.endswith(".csv")]
-    folders = local_frame(spark, tables, "path string").select(
-        "path", F.lit(0).cast("bigint").alias("length"), F.lit(None).cast("timestamp").alias("modified_at"),
-        F.regexp_extract("path", SOURCE_OF_PATH, 1).alias("source_file"),
-        F.regexp_extract("path", TABLE_OF_PATH, 1).alias("table_name"))
+    folders = describe_files(local_frame(spark, tables, "path string").select(
+        "path", F.lit(0).cast("bigint").alias("length"),
+        F.lit(None).cast("timestamp").alias("modificationTime")))
     return files.unionByName(folders.join(files, ["source_file", "table_name"], "left_anti"))
 
 
@@ -57,7 +61,7 @@ def list_source_tables(files: DataFrame, table_type: str | None = None) -> DataF
     """Tables per source. A listing with a ``table_type`` column can be held to one type."""
     if table_type is not None:
         files = files.where(F.col("table_type") == table_type)
-    return files.groupBy("source_file", "table_name").agg(
+    return files.groupBy("source_file", "table_name", "location").agg(
         F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("n_bytes"),
         F.max("modified_at").alias("modified_at"))
 

@@ -71,8 +71,8 @@ _COMPARED = f"""
                   IS DISTINCT FROM
                   (r.o_custkey, r.o_orderstatus, r.o_totalprice, r.o_orderdate, r.o_orderpriority)
              THEN 'changed' ELSE 'same' END AS status,
-        CASE WHEN l.o_orderkey IS NULL THEN 0 ELSE 1 END AS n_left,
-        CASE WHEN r.o_orderkey IS NULL THEN 0 ELSE 1 END AS n_right
+        CAST(CASE WHEN l.o_orderkey IS NULL THEN 0 ELSE 1 END AS BIGINT) AS n_left,
+        CAST(CASE WHEN r.o_orderkey IS NULL THEN 0 ELSE 1 END AS BIGINT) AS n_right
         FROM l FULL JOIN r ON l.o_orderkey = r.o_orderkey)"""
 
 
@@ -91,7 +91,7 @@ def compare_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs AS (SELECT l.o_orderkey, l.o_orderstatus AS s1, r.o_orderstatus AS s2,
                      CAST(l.o_totalprice AS VARCHAR) AS p1, CAST(r.o_totalprice AS VARCHAR) AS p2
               FROM l JOIN r ON l.o_orderkey = r.o_orderkey)
-    SELECT o_orderkey, 'o_orderstatus' AS column_name, s1 AS old_value, s2 AS new_value, 1 AS n_cells
+    SELECT o_orderkey, 'o_orderstatus' AS column_name, s1 AS old_value, s2 AS new_value, CAST(1 AS BIGINT) AS n_cells
     FROM pairs WHERE s1 <> s2
     UNION ALL SELECT o_orderkey, 'o_totalprice', p1, p2, 1 FROM pairs WHERE p1 <> p2""")
 def compare_cells(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -120,8 +120,8 @@ _register("sql_agg_distinct", """
     FROM lineitem GROUP BY l_returnflag""")
 
 _register("sql_cube", """
-    SELECT o_orderstatus, o_orderpriority, grouping(o_orderstatus) AS all_status,
-           grouping(o_orderpriority) AS all_priority, count(*) AS n
+    SELECT o_orderstatus, o_orderpriority, CAST(grouping(o_orderstatus) AS INT) AS all_status,
+           CAST(grouping(o_orderpriority) AS INT) AS all_priority, count(*) AS n
     FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)""")
 
 _register("sql_rollup", """
@@ -136,10 +136,11 @@ _register("sql_grouping_sets", """
 
 # The estimate itself is the engine's own; what must hold is that it is near the exact number.
 _register("sql_approx_distinct", """
-    SELECT l_returnflag, count(DISTINCT l_orderkey) AS n_orders,
-           abs(approx_count_distinct(l_orderkey, 0.01) - count(DISTINCT l_orderkey))
-               <= 0.05 * count(DISTINCT l_orderkey) AS is_near
-    FROM lineitem GROUP BY l_returnflag""", """
+    WITH estimate AS (SELECT l_returnflag, approx_count_distinct(l_orderkey, 0.01) AS n_near
+                      FROM lineitem GROUP BY l_returnflag),
+    exact AS (SELECT l_returnflag, count(DISTINCT l_orderkey) AS n_orders FROM lineitem GROUP BY l_returnflag)
+    SELECT e.l_returnflag, n_orders, abs(n_near - n_orders) <= 0.05 * n_orders AS is_near
+    FROM exact e JOIN estimate n ON e.l_returnflag = n.l_returnflag""", """
     SELECT l_returnflag, count(DISTINCT l_orderkey) AS n_orders, true AS is_near
     FROM lineitem GROUP BY l_returnflag""")
 
@@ -150,7 +151,8 @@ _register("sql_window_rank", """
     ranked AS (
         SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY revenue DESC, p_partkey) AS place
         FROM revenue)
-    SELECT p_brand, p_partkey, CAST(revenue AS DOUBLE) AS revenue, place FROM ranked WHERE place <= 3""")
+    SELECT p_brand, p_partkey, CAST(revenue AS DOUBLE) AS revenue, CAST(place AS INT) AS place
+    FROM ranked WHERE place <= 3""")
 
 _register("sql_window_frame", """
     WITH daily AS (
@@ -159,7 +161,8 @@ _register("sql_window_frame", """
     SELECT event_type, day, n, lag(n) OVER w AS n_before, lead(n, 2) OVER w AS n_in_two,
            CAST(sum(n) OVER (PARTITION BY event_type ORDER BY day
                              ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS BIGINT) AS n_week,
-           first_value(n) OVER w AS n_first, rank() OVER (PARTITION BY event_type ORDER BY n DESC) AS place
+           first_value(n) OVER w AS n_first,
+           CAST(rank() OVER (PARTITION BY event_type ORDER BY n DESC) AS INT) AS place
     FROM daily WINDOW w AS (PARTITION BY event_type ORDER BY day)""")
 
 _register("sql_window_range", """
@@ -199,13 +202,13 @@ _register("sql_subquery", """
       AND c_nationkey IN (SELECT s_nationkey FROM supplier)""")
 
 _register("sql_scalar", """
-    SELECT p_partkey, upper(p_name) AS name_up, length(p_name) AS name_length, substr(p_name, 1, 3) AS head,
+    SELECT p_partkey, upper(p_name) AS name_up, CAST(length(p_name) AS INT) AS name_length, substr(p_name, 1, 3) AS head,
            replace(p_name, ' ', '-') AS dashed, concat(p_brand, '/', p_type) AS label,
            p_size % 7 AS rest, floor(p_retailprice / 10) AS tens, abs(p_size - 25) AS distance,
            CASE WHEN p_size BETWEEN 10 AND 20 THEN 'mid' ELSE nullif(p_type, 'ECONOMY') END AS class,
            greatest(p_size, 10) AS at_least_10, lpad(CAST(p_size AS STRING), 4, '0') AS padded
     FROM part""", """
-    SELECT p_partkey, upper(p_name) AS name_up, length(p_name) AS name_length, substr(p_name, 1, 3) AS head,
+    SELECT p_partkey, upper(p_name) AS name_up, CAST(length(p_name) AS INT) AS name_length, substr(p_name, 1, 3) AS head,
            replace(p_name, ' ', '-') AS dashed, concat(p_brand, '/', p_type) AS label,
            p_size % 7 AS rest, CAST(floor(p_retailprice / 10) AS BIGINT) AS tens, abs(p_size - 25) AS distance,
            CASE WHEN p_size BETWEEN 10 AND 20 THEN 'mid' ELSE nullif(p_type, 'ECONOMY') END AS class,
@@ -218,9 +221,9 @@ _register("sql_scalar_dates", """
            datediff(DATE '2002-01-01', o_orderdate) AS age_days,
            CAST(o_orderdate + INTERVAL '30' DAY AS DATE) AS due, date_format(o_orderdate, 'yyyy/MM') AS label
     FROM orders""", """
-    SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d,
-           quarter(o_orderdate) AS q, CAST(date_trunc('month', o_orderdate) AS DATE) AS month_start,
-           date_diff('day', CAST(o_orderdate AS DATE), DATE '2002-01-01') AS age_days,
+    SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS y, CAST(month(o_orderdate) AS INT) AS m,
+           CAST(day(o_orderdate) AS INT) AS d, CAST(quarter(o_orderdate) AS INT) AS q, CAST(date_trunc('month', o_orderdate) AS DATE) AS month_start,
+           CAST(date_diff('day', CAST(o_orderdate AS DATE), DATE '2002-01-01') AS INT) AS age_days,
            CAST(o_orderdate + INTERVAL 30 DAY AS DATE) AS due, strftime(o_orderdate, '%Y/%m') AS label
     FROM orders""")
 
@@ -235,7 +238,8 @@ _register("sql_array_functions", """
            CAST(array_max(embedding) AS DOUBLE) AS top,
            CAST(element_at(transform(embedding, x -> abs(x)), 1) AS DOUBLE) AS first_abs
     FROM embeddings""", """
-    SELECT vec_id, len(embedding) AS n, len(list_filter(embedding, lambda x: x > 0)) AS n_positive,
+    SELECT vec_id, CAST(len(embedding) AS INT) AS n,
+           CAST(len(list_filter(embedding, lambda x: x > 0)) AS INT) AS n_positive,
            CAST(list_max(embedding) AS DOUBLE) AS top,
            CAST(list_transform(embedding, lambda x: abs(x))[1] AS DOUBLE) AS first_abs
     FROM embeddings""")

@@ -358,7 +358,8 @@ def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 @workload("import_summary", f"""
     WITH entries AS ({_LOG_SQL})
     SELECT TIMESTAMP '2024-01-15 12:00:00' AS import_timestamp, count(*) AS tables_imported,
-           CAST(sum(row_count) AS BIGINT) AS total_rows, 0 AS n_empty, 0 AS n_skipped, 0 AS n_failed
+           CAST(sum(row_count) AS BIGINT) AS total_rows, CAST(0 AS BIGINT) AS n_empty,
+           CAST(0 AS BIGINT) AS n_skipped, CAST(0 AS BIGINT) AS n_failed
     FROM entries""")
 def import_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     run, _ = _imported(spark, sf_dir)
@@ -368,7 +369,7 @@ def import_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @workload("load_manifest", f"""
     WITH entries AS ({_LOG_SQL})
     SELECT source_file, 'store' AS output_db, '2024-01-15T12:00:00Z' AS converted_at,
-           count(*) AS table_count, list_sort(list(table_name)) AS tables
+           count(*) AS table_count, string_agg(table_name, ',' ORDER BY table_name) AS tables
     FROM entries GROUP BY source_file""")
 def load_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written as JSON and read back."""
@@ -376,7 +377,8 @@ def load_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     log.write_manifest(log.load_manifest(run, "store", "2024-01-15T12:00:00Z"), f"{store}/manifest.json")
     return spark.read.schema(
         "source_file string, output_db string, converted_at string, table_count bigint, "
-        "tables array<string>").json(f"{store}/manifest.json")
+        "tables array<string>").json(f"{store}/manifest.json").withColumn(
+        "tables", F.array_join("tables", ","))
 
 
 @workload("row_count_report", """

@@ -32,7 +32,7 @@ def exploded(spark: SparkSession, sf_dir: str) -> DataFrame:
            count(*) FILTER (event_type = 'error') AS fail_count,
            CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total_time,
            round(CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(*), 2) AS average_time,
-           CASE WHEN event_type = 'error' THEN 0.0 ELSE 100.0 END AS success_rate
+           CAST(CASE WHEN event_type = 'error' THEN 0 ELSE 100 END AS DOUBLE) AS success_rate
     FROM events GROUP BY event_type""")
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kept as JSON first, as the harness does, and summed up from there."""

@@ -19,15 +19,15 @@ from snapledger.workloads import read, workload
 _SEARCH = """
     WITH hits AS (SELECT doc_id, lang, text, contains(strip_accents(lower(text)), '{word}') AS t,
                          contains(strip_accents(lower(source)), '{word}') AS s FROM documents)
-    SELECT doc_id, list_filter([CASE WHEN t THEN 'text' END, CASE WHEN s THEN 'source' END],
-                               lambda x: x IS NOT NULL) AS matched_columns
+    SELECT doc_id, concat_ws(',', CASE WHEN t THEN 'text' END, CASE WHEN s THEN 'source' END)
+           AS matched_columns
     FROM hits WHERE t OR s"""
 
 
 @workload("search_ci_ai", _SEARCH.format(word="etion"))
 def search_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = search(read(spark, sf_dir, "documents"), "ÉTION", ["text", "source"])
-    return hits.select("doc_id", "matched_columns")
+    return hits.select("doc_id", F.array_join("matched_columns", ",").alias("matched_columns"))
 
 
 @workload("search_ci_ai_keyed", _SEARCH.format(word="eauou"))
@@ -36,15 +36,16 @@ def search_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{scratch_dir(spark, 'keyed')}/documents.parquet"
     add_search_key(read(spark, sf_dir, "documents"), ["text", "source"]).write.parquet(path)
     hits = search(spark.read.parquet(path), "eauôu", ["text", "source"], key_suffix="_search")
-    return hits.select("doc_id", "matched_columns")
+    return hits.select("doc_id", F.array_join("matched_columns", ",").alias("matched_columns"))
 
 
 @workload("search_conversations", """
-    SELECT conv_id, turn, role, ['text'] AS matched_columns FROM conversations
+    SELECT conv_id, turn, role, 'text' AS matched_columns FROM conversations
     WHERE contains(strip_accents(lower(text)), 'etion')""")
 def search_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = search(read(spark, sf_dir, "conversations"), "Étion")
-    return hits.select("conv_id", "turn", "role", "matched_columns")
+    return hits.select("conv_id", "turn", "role",
+                       F.array_join("matched_columns", ",").alias("matched_columns"))
 
 
 @workload("search_like", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%red%w_dget%'")

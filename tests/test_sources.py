@@ -83,8 +83,8 @@ def test_discovery(spark, tmp_path):
     assert tables["a_02_02_2020", "zero"] == 0
     notes = pick_subset(list_source_tables(files), ["t", "zero", "gone"]).collect()
     assert {r["table_name"]: r["note"] for r in notes} == {"t": "FOUND", "zero": "EMPTY", "gone": "MISSING"}
-    typed = local_frame(spark, [("s", "t", "TABLE", 1), ("s", "v", "VIEW", 1)],
-                        "source_file string, table_name string, table_type string, length bigint")
+    typed = local_frame(spark, [("s", "t", "TABLE", 1, "s/t"), ("s", "v", "VIEW", 1, "s/v")],
+                        "source_file string, table_name string, table_type string, length bigint, location string")
     typed = typed.withColumn("modified_at", F.lit(None).cast("timestamp"))
     assert [r["table_name"] for r in list_source_tables(typed, "TABLE").collect()] == ["t"]
     with pytest.raises(FileNotFoundError):

@@ -4,19 +4,20 @@ from __future__ import annotations
 
 import argparse
 import datetime
-import json
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
 
 from snapledger.operators.compare import compare_cells, compare_rows, compare_schemas, compare_tables
+from snapledger.operators.present import default_view
 from snapledger.operators.rules import validation_report
 from snapledger.operators.search import search
 from snapledger.plans.load import LoadOptions, batch_import, import_latest, import_source, open_snapshots
 from snapledger.plans.log import load_manifest, write_manifest
 from snapledger.session import local_session
+from snapledger.sources.config import read_config
 from snapledger.sources.csv import write_csv
-from snapledger.sources.dataset import DEFAULT_ROWS, open_dataset
+from snapledger.sources.dataset import DEFAULT_ROWS, open_dataset, shown_limit
 
 
 def arguments() -> argparse.ArgumentParser:
@@ -48,15 +49,16 @@ def arguments() -> argparse.ArgumentParser:
 
     viewer("tables", "list the tables with their row counts", table=False)
     viewer("schema", "columns of a table")
-    viewer("preview", "first rows of a table").add_argument("--order-by", nargs="+")
+    look = viewer("preview", "first rows of a table")
+    look.add_argument("--order-by", nargs="+")
+    look.add_argument("--config", help="folder with declared views: show the table's default view")
     viewer("count", "rows of a table")
     viewer("sql", "run a query", table=False).add_argument("query")
     find = viewer("search", "find a word, ignoring case and accents")
     find.add_argument("word")
     find.add_argument("--columns", nargs="+")
     check = viewer("validate", "check declared rules", table=False)
-    check.add_argument("--schemas", help="JSON file with tables, columns, types and keys")
-    check.add_argument("--rules", help="JSON file with foreign keys")
+    check.add_argument("--config", help="folder with declared schemas and rules")
     diff = viewer("compare", "compare with another dataset", table=False)
     diff.add_argument("other")
     diff.add_argument("--table")
@@ -84,14 +86,6 @@ def run_import(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
         .orderBy("import_id")
 
 
-def declared(path: str | None) -> dict | None:
-    """A configuration file; none given means nothing is declared."""
-    if not path:
-        return None
-    with open(path, encoding="utf-8") as file:
-        return json.load(file)
-
-
 def result(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     if args.command == "import":
         return run_import(spark, args)
@@ -103,6 +97,9 @@ def result(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     if args.command == "schema":
         return data.describe(args.table)
     if args.command == "preview":
+        view = read_config(spark, args.config).view(args.table)
+        if view:
+            return default_view(data.table(args.table), view).limit(shown_limit(args.rows))
         return data.preview(args.table, args.rows, args.order_by)
     if args.command == "count":
         return data.view_summary(args.table, args.rows)
@@ -111,7 +108,8 @@ def result(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     if args.command == "search":
         return search(data.table(args.table), args.word, args.columns)
     if args.command == "validate":
-        return validation_report(data, declared(args.schemas), declared(args.rules))
+        config = read_config(spark, args.config)
+        return validation_report(data, config.schemas, config.rules)
     other = open_dataset(spark, args.other, prefix="other_")
     if not args.table:
         return compare_tables(data, other).orderBy("table_name")

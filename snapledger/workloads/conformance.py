@@ -204,13 +204,13 @@ _register("sql_subquery", """
 _register("sql_scalar", """
     SELECT p_partkey, upper(p_name) AS name_up, CAST(length(p_name) AS INT) AS name_length, substr(p_name, 1, 3) AS head,
            replace(p_name, ' ', '-') AS dashed, concat(p_brand, '/', p_type) AS label,
-           p_size % 7 AS rest, floor(p_retailprice / 10) AS tens, abs(p_size - 25) AS distance,
+           p_size * 2 + 1 AS odd_size, floor(p_retailprice / 10) AS tens, abs(p_size - 25) AS distance,
            CASE WHEN p_size BETWEEN 10 AND 20 THEN 'mid' ELSE nullif(p_type, 'ECONOMY') END AS class,
            greatest(p_size, 10) AS at_least_10, lpad(CAST(p_size AS STRING), 4, '0') AS padded
     FROM part""", """
     SELECT p_partkey, upper(p_name) AS name_up, CAST(length(p_name) AS INT) AS name_length, substr(p_name, 1, 3) AS head,
            replace(p_name, ' ', '-') AS dashed, concat(p_brand, '/', p_type) AS label,
-           p_size % 7 AS rest, CAST(floor(p_retailprice / 10) AS BIGINT) AS tens, abs(p_size - 25) AS distance,
+           p_size * 2 + 1 AS odd_size, CAST(floor(p_retailprice / 10) AS BIGINT) AS tens, abs(p_size - 25) AS distance,
            CASE WHEN p_size BETWEEN 10 AND 20 THEN 'mid' ELSE nullif(p_type, 'ECONOMY') END AS class,
            greatest(p_size, 10) AS at_least_10, lpad(CAST(p_size AS VARCHAR), 4, '0') AS padded
     FROM part""")

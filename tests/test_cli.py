@@ -1,6 +1,7 @@
 import json
 
 from snapledger.__main__ import main
+from snapledger.sources.config import Config, read_config
 
 
 def run(capsys, *argv):
@@ -43,6 +44,18 @@ def test_view_search_compare_and_export(spark, small, tmp_path, capsys):
     assert "same" in run(capsys, *same)[1]
     assert run(capsys, *same, "--key", "n_nationkey")[1].count("same") == 25
     assert "NATION" not in run(capsys, *same, "--key", "n_nationkey", "--cells")[1]
-    (tmp_path / "s.json").write_text(json.dumps(
-        {"tables": {"nation": {"columns": {"n_nationkey": {"type": "INTEGER", "primary_key": True}}}}}))
-    assert "primary_key" in run(capsys, "validate", "--dataset", small, "--schemas", str(tmp_path / "s.json"))[1]
+    config = tmp_path / "config"
+    for folder, name, content in [
+            ("schemas", "a.json", {"tables": {"nation": {"columns": {"n_nationkey": {"type": "INTEGER"}}}}}),
+            ("schemas", "b.json", {"tables": {"nation": {"columns": {"n_nationkey": {"primary_key": True}}}}}),
+            ("table_rules", "r.json", {"foreign_keys": {"nation": {"n_regionkey": {
+                "references": "region.r_regionkey"}}}}),
+            ("display_preferences", "v.json", {"nation": {"visible_columns": ["n_name"], "sort_by": "n_nationkey",
+                                                          "sort_order": "DESC"}})]:
+        (config / folder).mkdir(parents=True, exist_ok=True)
+        (config / folder / name).write_text(json.dumps(content))
+    out = run(capsys, "validate", "--dataset", small, "--config", str(config))[1]
+    assert "primary_key" in out and "foreign_key" in out
+    shown = run(capsys, "preview", "nation", "--dataset", small, "--config", str(config), "--rows", "1")[1]
+    assert "NATION_24" in shown and "n_regionkey" not in shown
+    assert read_config(spark, str(tmp_path / "nowhere")) == Config() == read_config(spark, None)

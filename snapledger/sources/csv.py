@@ -49,7 +49,7 @@ def _read_group(spark: SparkSession, paths: list[str], names: list[str], mode: s
     reader = spark.read.schema(schema).options(
         header=True, mode=READ_MODES[mode], columnPruning=False, multiLine=multi_line, **CSV_OPTIONS)
     df = reader.csv([plain_glob(path) for path in paths])
-    return df.select("*", file_path().alias("__path"))
+    return df.select(*names, file_path().alias("__path"))
 
 
 def read_csv_text(spark: SparkSession, paths: list[str], mode: str = "drop",

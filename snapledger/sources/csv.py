@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from snapledger.functions.naming import unique_names
 from snapledger.functions.types import infer_text_types, wider_type
+from snapledger.sources.records import csv_records, has_stray_quote, parse_records, quote_count
 from snapledger.storage import file_path, materialized, plain_glob
 
 # Empty and absent are the same in these dumps, quoted or not: both are NULL when read. Quotes are
@@ -33,10 +34,9 @@ def csv_profiles(spark: SparkSession, paths: list[str]) -> DataFrame:
         F.col("value"), file_path().alias("path"),
         F.col("_metadata.file_block_start").alias("block_start"),
         F.monotonically_increasing_id().alias("line"))
-    quotes = F.char_length("value") - F.char_length(F.replace("value", F.lit('"'), F.lit("")))
     return lines.groupBy("path").agg(
         F.min_by("value", F.when(F.col("block_start") == 0, F.col("line"))).alias("header"),
-        F.array_contains(F.collect_set(quotes % 2), 1).alias("multi_line"))
+        F.array_contains(F.collect_set(quote_count(F.col("value")) % 2), 1).alias("multi_line"))
 
 
 def header_names(line: str) -> list[str]:
@@ -44,7 +44,7 @@ def header_names(line: str) -> list[str]:
 
 
 def _read_group(spark: SparkSession, paths: list[str], names: list[str], mode: str,
-                multi_line: bool) -> DataFrame:
+                multi_line: bool = False) -> DataFrame:
     schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
     reader = spark.read.schema(schema).options(
         header=True, mode=READ_MODES[mode], columnPruning=False, multiLine=multi_line, **CSV_OPTIONS)
@@ -52,13 +52,24 @@ def _read_group(spark: SparkSession, paths: list[str], names: list[str], mode: s
     return df.select(*names, file_path().alias("__path"))
 
 
+def _read_records(spark: SparkSession, paths: list[str], names: list[str], mode: str) -> DataFrame:
+    """Put records together once, in a scratch table that later passes split as they like."""
+    records = materialized(csv_records(spark, paths), "records")
+    # In files with quotes inside bare values only reading in sequence tells where records end.
+    odd = [row["path"] for row in records.where(has_stray_quote(F.col("record")))
+           .select("path").distinct().collect()]
+    sound = records.where(~F.col("path").isin(odd)) if odd else records
+    df = parse_records(sound, names, READ_MODES[mode], CSV_OPTIONS)
+    return df.unionByName(_read_group(spark, odd, names, mode, multi_line=True)) if odd else df
+
+
 def read_csv_text(spark: SparkSession, paths: list[str], mode: str = "drop",
                   keep_path: bool = False) -> DataFrame:
     """All columns as text. ``drop`` leaves malformed rows out, ``fail`` stops at the first one.
 
     Spark matches CSV columns by position, so files are grouped by header and the groups united by
-    name. Only files in which a quoted value runs over a line end are read in the unsplittable
-    multi-line way.
+    name. Files in which a quoted value runs over a line end would be read by one task each; their
+    records are put together in parallel instead (see `records`).
     """
     if mode not in READ_MODES:
         raise ValueError(f"unknown read mode {mode!r}; use one of {sorted(READ_MODES)}")
@@ -71,7 +82,7 @@ def read_csv_text(spark: SparkSession, paths: list[str], mode: str = "drop",
         own = paths if len(groups) == 1 else [row["path"] for row in profiles.where(
             (F.col("header") == group["header"]) & (F.col("multi_line") == group["multi_line"]))
             .select("path").collect()]
-        df = _read_group(spark, own, names, mode, group["multi_line"])
+        df = (_read_records if group["multi_line"] else _read_group)(spark, own, names, mode)
         result = df if result is None else result.unionByName(df, allowMissingColumns=True)
     if result is None:
         raise ValueError(f"nothing but empty files in {paths}")

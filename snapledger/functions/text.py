@@ -51,6 +51,8 @@ def search_key_of(word: str) -> str:
 
 def add_search_key(df: DataFrame, columns: list[str], suffix: str = "_search") -> DataFrame:
     """Store the keys beside the data once, so that later searches are plain native scans."""
+    if not columns:
+        return df
     return df.withColumns({f"{name}{suffix}": search_key(name) for name in columns})
 
 

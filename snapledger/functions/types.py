@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,6 +46,13 @@ def shown_type(data_type: T.DataType) -> str:
     return SHOWN_TYPES.get(data_type.simpleString(), data_type.simpleString().upper())
 
 
+def literal(value) -> Column:
+    """A Python value as a literal. A time without zone is a wall-clock time in any session zone."""
+    if isinstance(value, datetime.datetime) and value.tzinfo is None:
+        return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
+    return F.lit(value)
+
+
 # The ladder, narrowest type first.
 LADDER = ("boolean", "bigint", "double", "date", "timestamp_ntz")
 

@@ -8,6 +8,8 @@ import operator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from snapledger.functions.types import literal
+
 COMPARISONS = {
     "=": operator.eq, "<>": operator.ne, "<": operator.lt,
     "<=": operator.le, ">": operator.gt, ">=": operator.ge,
@@ -34,12 +36,12 @@ def condition(spec: dict) -> Column:
 
 def _test(column: Column, op: str, value) -> Column:
     if op in COMPARISONS:
-        return COMPARISONS[op](column, F.lit(value))
+        return COMPARISONS[op](column, literal(value))
     if op == "in":
-        return column.isin(list(value))
+        return column.isin([literal(item) for item in value])
     if op == "between":
         low, high = value
-        return column.between(low, high)
+        return column.between(literal(low), literal(high))
     if op == "like":
         return column.like(value)
     if op == "contains":

@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from snapledger.functions.naming import sanitize_text, snapshot_date, unique_names
-from snapledger.functions.types import wider_type
+from snapledger.functions.text import add_search_key
+from snapledger.functions.types import literal, wider_type
 from snapledger.plans import log as load_log
 from snapledger.sources.csv import read_table_dump
 from snapledger.sources.discover import (SOURCE_OF_PATH, describe_files, discover_sources,
@@ -40,6 +41,7 @@ class LoadOptions:
     typing: str = "infer"              # or 'text'
     read_mode: str = "drop"            # or 'fail'
     tables: tuple[str, ...] | None = None
+    search_columns: tuple[str, ...] = ()   # text columns to store search keys of
     parallel_tables: int = 4
 
     def __post_init__(self):
@@ -136,6 +138,8 @@ def _load_table(spark: SparkSession, store: str, table: str, plan: list,
     known = _known_types(spark, log, table) if options.typing == "infer" else None
     paths = [row["location"] for row in plan]
     rows = read_table_dump(spark, paths, options.typing, options.read_mode, known, keep_path=True)
+    keyed = [name for name, kind in rows.dtypes if kind == "string" and name in options.search_columns]
+    rows = add_search_key(rows, keyed)
     # One short row per source of this table; beyond the limit Spark is left to join as it sees fit.
     dates = local_frame(spark, [(row["source_file"], row["snapshot_date"]) for row in plan],
                         "__source string, __date date")
@@ -210,7 +214,7 @@ def import_files(spark: SparkSession, files: DataFrame, store: str,
     if entries:
         load_log.append_log(spark, log_path(store), result)
     return load_log.read_log(spark, log_path(store)).where(
-        F.col("import_timestamp") == F.lit(run_at).cast("timestamp_ntz"))
+        F.col("import_timestamp") == literal(run_at))
 
 
 def batch_import(spark: SparkSession, root: str, store: str, run_at: datetime.datetime,

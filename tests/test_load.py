@@ -1,11 +1,13 @@
 import datetime
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from snapledger.operators.history import union_snapshots
+from snapledger.operators.search import search
 from snapledger.plans import log as load_log
-from snapledger.plans.load import (LoadOptions, batch_import, load_if_absent, load_snapshot, log_path,
+from snapledger.plans.load import (LoadOptions, batch_import, import_latest, load_if_absent, load_snapshot, log_path,
                                    open_snapshots, unite)
 from snapledger.plans.log import import_summary, load_manifest, read_log, write_manifest
 from snapledger.streaming.incremental import import_new
@@ -113,6 +115,29 @@ def test_options(spark, tmp_path):
     assert {r["file_date"] for r in other.collect()} == {date("2022-01-01")}
 
 
+def test_search_keys_are_stored_at_load(spark, tmp_path):
+    root, store = tmp_path / "in", str(tmp_path / "store")
+    dump(root, "a_01_02_2020", "t", "id,name,note\n1,Étienne,x\n2,other,étienne\n")
+    dump(root, "a_02_02_2020", "t", "id,name,note\n3,ETIENNE,x\n")
+    options = LoadOptions(search_columns=("name", "absent", "id"))
+    batch_import(spark, str(root), store, RUN, options)
+    df = open_snapshots(spark, store, "t")
+    assert df.columns == ["id", "name", "note", "name_search", "snapshot_date"]
+    assert sorted(r["id"] for r in search(df, "étiennE", ["name"], "_search").collect()) == [1, 3]
+
+
+def test_newest_source(spark, tmp_path):
+    root = tmp_path / "in"
+    for day, age in (("01_02_2020", 100), ("02_02_2020", 300), ("03_02_2020", 200)):
+        dump(root, f"a_{day}", "t", "id\n1\n")
+        os.utime(root / f"a_{day}" / "t.csv", (10**9 - age, 10**9 - age))
+    run = import_latest(spark, str(root), str(tmp_path / "store"), RUN)
+    assert [r["source_file"] for r in run.collect()] == ["a_01_02_2020"]
+    (tmp_path / "bare").mkdir()
+    with pytest.raises(FileNotFoundError):
+        import_latest(spark, str(tmp_path / "bare"), str(tmp_path / "store"), RUN)
+
+
 def test_a_column_named_like_the_partition_column(spark, tmp_path):
     root, store = tmp_path / "in", str(tmp_path / "store")
     dump(root, "a_01_02_2020", "t", "id,snapshot_date\n1,later\n")

@@ -43,6 +43,20 @@ def test_filters(df, spec, expected):
     assert ids(filter_rows(df, spec)) == expected
 
 
+def test_times_do_not_depend_on_the_session_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    noon = datetime.datetime(2024, 1, 1, 12)
+    try:
+        for name in ("America/New_York", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            df = spark.sql("SELECT TIMESTAMP_NTZ '2024-01-01 12:00:00' AS t")
+            for test in ({"op": "=", "value": noon}, {"op": "in", "value": [noon]},
+                         {"op": "between", "value": [noon, noon]}):
+                assert filter_rows(df, {"column": "t", **test}).count() == 1
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_unknown_operator():
     with pytest.raises(ValueError):
         condition({"column": "id", "op": "~", "value": 1})

@@ -90,9 +90,12 @@ def fit_mask(value: Column) -> Column:
             .otherwise(none))
 
 
-def infer_text_types(df: DataFrame, columns: list[str] | None = None) -> dict[str, str]:
+def infer_text_types(df: DataFrame, columns: list[str] | None = None,
+                     without_values: str | None = "string") -> dict[str, str | None]:
     """Narrowest type that holds every value of each text column, from one aggregate over all rows.
 
+    A column without values is of the type ``without_values``.
+
     Per value a bit mask of the rungs it fits, per column the AND of the masks: one int of state
     per column in each task, and one row per column back to the driver. Columns are turned to rows
     first, so that the compiled expression is one, and small, however wide the table is.
@@ -104,7 +107,8 @@ def infer_text_types(df: DataFrame, columns: list[str] | None = None) -> dict[st
     rows = text_cells(df, names).groupBy("column_name").agg(
         F.bit_and(fit_mask(F.col("value"))).alias("mask")).collect()
     masks = {row["column_name"]: row["mask"] for row in rows}
-    return {name: type_of_mask(masks.get(name)) for name in names}
+    return {name: without_values if masks.get(name) is None else type_of_mask(masks[name])
+            for name in names}
 
 
 def text_cells(df: DataFrame, names: list[str]) -> DataFrame:
@@ -127,15 +131,24 @@ def type_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return counts.withColumn("inferred_type", inferred).drop("mask")
 
 
-def type_of_mask(mask: int | None) -> str:
-    """First rung of an AND-ed mask; text when none fits or when there was no value."""
-    if mask:
-        for i, type_name in enumerate(LADDER):
-            if mask & (1 << i):
-                return type_name
+def type_of_mask(mask: int) -> str:
+    """First rung of an AND-ed mask; text when none fits."""
+    for i, type_name in enumerate(LADDER):
+        if mask & (1 << i):
+            return type_name
     return "string"
 
 
+def misfits(types: dict[str, str]) -> Column:
+    """Whether a row of text has a value that is not of the type named for its column."""
+    found = F.lit(False)
+    for name, kind in types.items():
+        if kind != "string":
+            mask = fit_mask(F.col(f"`{name}`"))
+            found = found | (mask.bitwiseAND(F.lit(1 << LADDER.index(kind))) == 0)
+    return F.coalesce(found, F.lit(False))
+
+
 WIDENING = ["tinyint", "smallint", "int", "bigint", "float", "double"]
 
 

@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from snapledger.functions.naming import sanitize_text, snapshot_date, unique_names
 from snapledger.functions.text import add_search_key
-from snapledger.functions.types import literal, wider_type
+from snapledger.functions.types import LADDER, literal, misfits, wider_type
 from snapledger.plans import log as load_log
-from snapledger.sources.csv import read_table_dump
+from snapledger.sources.csv import cast_columns, infer_types, read_csv_text
 from snapledger.sources.discover import (SOURCE_OF_PATH, describe_files, discover_sources,
                                          list_source_tables, newest)
 from snapledger.sources.local import local_frame
@@ -134,10 +134,34 @@ def _known_types(spark: SparkSession, log: DataFrame, table: str) -> dict[str, s
 
 def _load_table(spark: SparkSession, store: str, table: str, plan: list,
                 log: DataFrame, options: LoadOptions) -> tuple[str, dict]:
-    """One scan of all files of a table into its dated partitions; rows per date from the result."""
-    known = _known_types(spark, log, table) if options.typing == "infer" else None
-    paths = [row["location"] for row in plan]
-    rows = read_table_dump(spark, paths, options.typing, options.read_mode, known, keep_path=True)
+    """All files of a table into its dated partitions; returns the folder and the rows per date.
+
+    The first load of a table scans the values twice, for their types and to write them. Later ones
+    write them as the types the table has and look for misfits on the way: only if there are any
+    are the types worked out anew.
+    """
+    text = read_csv_text(spark, [row["location"] for row in plan], options.read_mode, keep_path=True)
+    columns = [name for name in text.columns if name != "__path"]
+    if options.typing == "text":
+        return _write_dated(text, store, table, plan, options)
+    known = _known_types(spark, log, table)
+    types = {name: known.get(name) for name in columns}
+    # Replacing would overwrite data in use with a first try, so it always works out the types.
+    if options.on_conflict == "keep" and all(t == "string" or t in LADDER for t in types.values()):
+        counted = Observation()
+        tried = cast_columns(text.observe(counted, F.count_if(misfits(types)).alias("misfits")), types,
+                             strict=False)
+        result = _write_dated(tried, store, table, plan, options)
+        if not counted.get["misfits"]:
+            return result
+    types = infer_types(text.drop("__path"), known)
+    return _write_dated(cast_columns(text, types), store, table, plan, options)
+
+
+def _write_dated(rows: DataFrame, store: str, table: str, plan: list,
+                 options: LoadOptions) -> tuple[str, dict]:
+    """Date the rows by the source their file belongs to and write them; rows per date."""
+    spark = rows.sparkSession
     keyed = [name for name, kind in rows.dtypes if kind == "string" and name in options.search_columns]
     rows = add_search_key(rows, keyed)
     # One short row per source of this table; beyond the limit Spark is left to join as it sees fit.

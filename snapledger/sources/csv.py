@@ -89,11 +89,15 @@ def read_csv_text(spark: SparkSession, paths: list[str], mode: str = "drop",
     return result if keep_path else result.drop("__path")
 
 
-def cast_columns(df: DataFrame, types: dict[str, str]) -> DataFrame:
-    """Cast the named columns. For inferred types only: a value that does not fit is an error."""
-    return df.select(*[
-        F.col(f"`{name}`").cast(types[name]).alias(name)
-        if types.get(name, "string") != "string" else F.col(f"`{name}`") for name in df.columns])
+def cast_columns(df: DataFrame, types: dict[str, str], strict: bool = True) -> DataFrame:
+    """Cast the named columns. A value that does not fit is an error, or NULL if not ``strict``."""
+    columns = []
+    for name in df.columns:
+        value = F.col(f"`{name}`")
+        if types.get(name, "string") != "string":
+            value = (value.cast(types[name]) if strict else value.try_cast(types[name])).alias(name)
+        columns.append(value)
+    return df.select(*columns)
 
 
 def read_table_dump(spark: SparkSession, paths: list[str], typing: str = "infer",
@@ -108,11 +112,16 @@ def read_table_dump(spark: SparkSession, paths: list[str], typing: str = "infer"
         return df
     if typing != "infer":
         raise ValueError(f"unknown typing {typing!r}; use 'infer' or 'text'")
-    types = infer_text_types(df.drop("__path"))
-    for name, known in (known_types or {}).items():
-        if name in types:
-            types[name] = wider_type(types[name], known)
-    return cast_columns(df, types)
+    return cast_columns(df, infer_types(df.drop("__path"), known_types or {}))
+
+
+def infer_types(df: DataFrame, known_types: dict[str, str]) -> dict[str, str]:
+    """Types for text columns: what all values allow, no narrower than what was known before."""
+    types = infer_text_types(df, without_values=None)
+    for name, kind in types.items():
+        known = known_types.get(name)
+        types[name] = (kind or known or "string") if not (kind and known) else wider_type(kind, known)
+    return types
 
 
 def load_as_text(df: DataFrame) -> DataFrame:

@@ -115,6 +115,34 @@ def test_options(spark, tmp_path):
     assert {r["file_date"] for r in other.collect()} == {date("2022-01-01")}
 
 
+def test_later_loads_keep_the_types_while_they_fit(spark, tmp_path, monkeypatch):
+    import snapledger.plans.load as load
+    root, store = tmp_path / "in", str(tmp_path / "store")
+    calls = []
+    inferred = load.infer_types
+    monkeypatch.setattr(load, "infer_types", lambda *a: calls.append(1) or inferred(*a))
+
+    def add(day, text):
+        dump(root, f"a_{day}_02_2020", "t", "id,v,d\n" + text)
+        statuses = batch_import(spark, str(root), store, RUN + int(day) * DAY)
+        return {r["status"] for r in statuses.collect()}, len(calls)
+
+    assert add("01", "1,1.5,2024-01-01\n") == ({"OK"}, 1)
+    # Whole numbers fit a double, and a column without values any type.
+    assert add("02", "2,7,\n,,\n")[1] == 1
+    types = dict(open_snapshots(spark, store, "t").dtypes)
+    assert (types["id"], types["v"], types["d"]) == ("bigint", "double", "date")
+    # A cast would take these, cutting the time off; the shape of the value says otherwise.
+    assert add("03", "3,2,2024-01-01 10:00:00\n")[1] == 2
+    assert add("04", "x4,2,2024-01-05\n")[1] == 3
+    df = open_snapshots(spark, store, "t")
+    types = dict(df.dtypes)
+    assert (types["id"], types["v"], types["d"]) == ("string", "double", "timestamp_ntz")
+    rows = {(r["id"], r["v"], str(r["d"])) for r in df.collect()}
+    assert rows == {("1", 1.5, "2024-01-01 00:00:00"), ("2", 7.0, "None"), (None, None, "None"),
+                    ("3", 2.0, "2024-01-01 10:00:00"), ("x4", 2.0, "2024-01-05 00:00:00")}
+
+
 def test_search_keys_are_stored_at_load(spark, tmp_path):
     root, store = tmp_path / "in", str(tmp_path / "store")
     dump(root, "a_01_02_2020", "t", "id,name,note\n1,Étienne,x\n2,other,étienne\n")

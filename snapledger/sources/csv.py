@@ -73,15 +73,20 @@ def read_csv_text(spark: SparkSession, paths: list[str], mode: str = "drop",
     """
     if mode not in READ_MODES:
         raise ValueError(f"unknown read mode {mode!r}; use one of {sorted(READ_MODES)}")
-    profiles = materialized(csv_profiles(spark, paths).where(F.trim("header") != ""), "profiles")
-    groups = profiles.select("header", "multi_line").distinct().orderBy("header", "multi_line").collect()
+    # One row per file, kept while the groups are told apart so that the lines are scanned once.
+    profiles = csv_profiles(spark, paths).where(F.trim("header") != "").persist()
+    try:
+        groups = profiles.select("header", "multi_line").distinct().orderBy("header", "multi_line").collect()
+        # Only files that do not all have the same header need to be named one by one.
+        files = [paths] if len(groups) == 1 else [
+            [row["path"] for row in profiles.where(
+                (F.col("header") == group["header"]) & (F.col("multi_line") == group["multi_line"]))
+             .select("path").collect()] for group in groups]
+    finally:
+        profiles.unpersist()
     result = None
-    for group in groups:
+    for group, own in zip(groups, files):
         names = unique_names(header_names(group["header"]))
-        # Only files that do not all have the same header need to be named one by one.
-        own = paths if len(groups) == 1 else [row["path"] for row in profiles.where(
-            (F.col("header") == group["header"]) & (F.col("multi_line") == group["multi_line"]))
-            .select("path").collect()]
         df = (_read_records if group["multi_line"] else _read_group)(spark, own, names, mode)
         result = df if result is None else result.unionByName(df, allowMissingColumns=True)
     if result is None:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from itertools import count
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,3 +45,26 @@ def running_starts(counts: DataFrame, part: str, size: str) -> dict[int, int]:
         starts[row[part]] = start
         start += row[size]
     return starts
+
+
+def sorted_groups(batches, keys: list[str]):
+    """Runs of rows with equal keys in batches that are sorted by them, as a dict of column arrays each.
+
+    At most one batch and one group are held.
+    """
+    carry = None
+    for batch in batches:
+        if carry is not None:
+            batch = pd.concat([carry, batch], ignore_index=True)
+        if not len(batch):
+            continue
+        columns = {c: batch[c].to_numpy() for c in batch.columns}
+        new = np.zeros(len(batch), dtype=bool)
+        for key in keys:
+            new[1:] |= columns[key][1:] != columns[key][:-1]
+        starts = [0, *np.flatnonzero(new).tolist()]
+        for start, end in zip(starts, starts[1:], strict=False):
+            yield {c: values[start:end] for c, values in columns.items()}
+        carry = batch.iloc[starts[-1]:]
+    if carry is not None:
+        yield {c: carry[c].to_numpy() for c in carry.columns}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapledger.llm import htmltext, langid, packing, sharding, warc
+from snapledger.llm import fingerprint, htmltext, jaccard, langid, packing, sharding, warc
 from snapledger.storage import scratch_dir
 from snapledger.workloads import Query, Workload, read
 
@@ -17,6 +17,10 @@ def pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similarity_classes(read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def web_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.write_archives(read(spark, sf_dir, "pages"), f"{scratch_dir(spark, 'warc')}/archives")
     return warc.read_records(index).select(
@@ -24,6 +28,10 @@ def web_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("refers_to").try_cast("long").alias("refers_to"))
 
 
+def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents").withColumn("held_out", langid.held_out(F.col("doc_id")))
     model = langid.train(documents.where(~F.col("held_out")), key="doc_id", text="text", lang="lang")
@@ -42,7 +50,9 @@ def main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_best_fit_packing": pack,
+    "op3_similarity_join": similar,
     "op4_web_archive": web_archive,
+    "op6_fingerprint": fingerprints,
     "op7_language": language,
     "op8_sharding": shard,
     "op10_html_text": main_text,

@@ -36,6 +36,8 @@ RECORD_ID = "<urn:record:{}>"
 DATE = "2000-01-01T00:00:00Z"
 #: Ranges that lie at most so far apart are read together, up to so many bytes at a time.
 GAP, SPAN = 64 << 10, 8 << 20
+#: Bytes of archives per task that reads them.
+SHARE = 8 << 20
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -139,7 +141,7 @@ def write_archives(pages: DataFrame, path: str, *, key: str = "page_id", url: st
     return written(rows.mapInPandas(write, INDEX_SCHEMA), "warc-index")
 
 
-def read_records(index: DataFrame, *, gap: int = GAP, span: int = SPAN) -> DataFrame:
+def read_records(index: DataFrame, *, gap: int = GAP, span: int = SPAN, share: int = SHARE) -> DataFrame:
     """The records that the given rows of an index point to, read by coalesced ranges.
 
     Rows of one archive go to one task, in the order of their offsets; an archive is as large as a
@@ -164,5 +166,7 @@ def read_records(index: DataFrame, *, gap: int = GAP, span: int = SPAN) -> DataF
                                    columns=[x.split()[0] for x in RECORD_SCHEMA.split(", ")])
                 i = j
 
-    ranges = index.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+    wanted = index.select("file", "offset", "length")
+    total = wanted.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    ranges = wanted.repartition(total // share + 1, "file").sortWithinPartitions("file", "offset")
     return ranges.mapInPandas(read, RECORD_SCHEMA)

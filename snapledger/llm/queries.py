@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapledger.llm import fingerprint, htmltext, jaccard, langid, packing, sharding, warc
+from snapledger.llm import fingerprint, htmltext, jaccard, langid, linededup, packing, sharding, warc
 from snapledger.storage import scratch_dir
 from snapledger.workloads import Query, Workload, read
 
@@ -28,6 +28,12 @@ def web_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("refers_to").try_cast("long").alias("refers_to"))
 
 
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+    return kept.select("doc_id", "removed", F.length("text").cast("long").alias("n_chars"),
+                       F.sha2("text", 256).alias("text_sha256"))
+
+
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(read(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -52,6 +58,7 @@ QUERIES: dict[str, Query] = {
     "op2_best_fit_packing": pack,
     "op3_similarity_join": similar,
     "op4_web_archive": web_archive,
+    "op5_line_dedup": lines,
     "op6_fingerprint": fingerprints,
     "op7_language": language,
     "op8_sharding": shard,

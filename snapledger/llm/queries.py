@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapledger.llm import fingerprint, htmltext, jaccard, langid, linededup, packing, sharding, warc
+from snapledger.llm import decontam, fingerprint, htmltext, jaccard, langid, linededup, packing, sharding, warc
 from snapledger.storage import scratch_dir
 from snapledger.workloads import Query, Workload, read
 
@@ -49,6 +49,12 @@ def shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(read(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
 
 
+def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), key="doc_id", text="text",
+                           item_key="item_id", item_text="text")
+    return found.withColumnsRenamed({"key": "doc_id", "item": "item_id"})
+
+
 def main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (htmltext.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
             .select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars")))
@@ -62,6 +68,7 @@ QUERIES: dict[str, Query] = {
     "op6_fingerprint": fingerprints,
     "op7_language": language,
     "op8_sharding": shard,
+    "op9_decontamination": benchmark_leaks,
     "op10_html_text": main_text,
 }
 SQL: dict[str, str] = {}

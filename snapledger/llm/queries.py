@@ -5,13 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapledger.llm import decontam, fingerprint, htmltext, jaccard, langid, linededup, packing, sharding, warc
+import corpus_pipeline
+from snapledger.llm import decontam, fingerprint, htmltext, jaccard, langid, linededup, packing, pii, sharding, warc
 from snapledger.storage import scratch_dir
 from snapledger.workloads import Query, Workload, read
 
 SHARDS = [f"shard-{n:03d}" for n in range(64)]
 
 
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(read(spark, sf_dir, "documents"), "doc_id", "text")
+    base = F.filter("spans", lambda x: x["base"])
+    number = lambda kind: F.size(F.filter(base, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(F.col("key").alias("doc_id"), *[number(kind) for kind in pii.BASE],
+                        F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 def pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -61,6 +70,7 @@ def main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_personal_data": personal_data,
     "op2_best_fit_packing": pack,
     "op3_similarity_join": similar,
     "op4_web_archive": web_archive,
@@ -70,6 +80,7 @@ QUERIES: dict[str, Query] = {
     "op8_sharding": shard,
     "op9_decontamination": benchmark_leaks,
     "op10_html_text": main_text,
+    "pipeline": corpus_pipeline.run,
 }
 SQL: dict[str, str] = {}
 

@@ -45,10 +45,12 @@ NOISE = frozenset("ad ads advert adverts advertisement advertising adbox sponsor
                   "nav navbar navigation menu breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices "
                   "newsletter subscribe subscription signup popup modal overlay comment comments reply replies respond "
                   "disqus share sharing social related recommended pagination pager widget toolbar complementary "
-                  "contentinfo search skip masthead topbar".split())
+                  "contentinfo search skip masthead topbar login".split())
+#: Those of them that mark an ``<article>`` or ``<main>`` itself as no article.
+NO_ARTICLE = frozenset("comment reply ad advert sponsored promo related widget".split())
 COPY = 0.8
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
-                 r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?][^>]*>", re.S)
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>"
+                 r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)>|<[!?][^<>]*>", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 PATH = re.compile(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)([^?#]*)")
 
@@ -60,8 +62,10 @@ def _noise(tag: str, attributes: str, in_main: bool) -> bool:
         return False
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
-        if name in ("class", "id", "role") and not NOISE.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            return tag not in ("html", "body", "article", "main")
+        if name in ("class", "id", "role") and tag not in ("html", "body"):
+            parts = re.split(r"[^a-z0-9]+", value)
+            if not (NO_ARTICLE if tag in ("article", "main") else NOISE).isdisjoint(parts) or "header" in parts and not in_main:
+                return True
         if name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
             return True
     return bool(re.search(r"(?:^|\s)hidden(?:$|[\s/=])", attributes, re.I))

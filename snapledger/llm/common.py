@@ -38,6 +38,11 @@ def free_name(df: DataFrame, stem: str) -> str:
     return name
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the corpus: never broadcast, whatever its size happens to be today."""
+    return df.hint("merge")
+
+
 def running_starts(counts: DataFrame, part: str, size: str) -> dict[int, int]:
     """Where each partition begins in a global numbering; one number per partition reaches the driver."""
     start, starts = 0, {}

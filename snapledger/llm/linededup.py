@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snapledger.llm.common import col, free_name, running_starts, sorted_groups, text_or_empty, written
+from snapledger.llm.common import col, free_name, running_starts, shuffled, sorted_groups, text_or_empty, written
 
 MIN_WORDS = 50
 
@@ -164,7 +164,7 @@ def dedup_lines(df: DataFrame, key: str, text: str, *, min_words: int = MIN_WORD
     kept = df.select(*[col(c) for c in df.columns if c != "removed" or c == text])
     d, r = free_name(kept, "_document"), free_name(kept, "_runs")
     joined = kept.withColumn(d, document(key, text)).join(
-        copies.select(F.col("document").alias(d), F.col("runs").alias(r)), d, "left")
+        shuffled(copies.select(F.col("document").alias(d), F.col("runs").alias(r))), d, "left")
     inside = lambda i: F.exists(F.col(r), lambda x: (i >= x["first"]) & (i <= x["last"]))
     left = F.array_join(F.filter(F.split(col(text), "\n", -1), lambda _, i: ~inside(i)), "\n")
     went = F.array_join(F.transform(F.col(r), lambda x: F.concat_ws("-", x["first"], x["last"])), ",")

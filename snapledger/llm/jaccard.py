@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapledger.llm.common import col, sorted_groups, text_or_empty, written
+from snapledger.llm.common import col, shuffled, sorted_groups, text_or_empty, written
 from snapledger.llm.graph import components
 
 WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-4
@@ -183,7 +183,7 @@ def _verified_in_tiles(texts: DataFrame, nodes: DataFrame, clusters: DataFrame,
                        F.pmod(F.xxhash64("id"), blocks).alias("_block")))
     described = written(members.join(nodes.select("_id", "_node", "_first", "_signature"), "_id"), "cluster-members")
     # The first row of each text, by text and key, so that a text with many copies is not gathered.
-    full = (texts.join(described, (texts["_hash"] == described["_node"])
+    full = (texts.join(shuffled(described), (texts["_hash"] == described["_node"])
                        & texts["_key"].eqNullSafe(described["_first"]))
             .select("_id", "component", "_blocks", "_block", "_signature", "_text").dropDuplicates(["_id"]))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))

@@ -119,6 +119,19 @@ def result(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     return compare_cells(left, right, args.key) if args.cells else compare_rows(left, right, args.key)
 
 
+#: Commands whose result is a row per table, source, column or rule: all of it is shown.
+REPORTS = ("import", "tables", "schema", "validate", "snapshots", "count")
+
+
+def shown(df: DataFrame, rows: int | None, whole: bool) -> None:
+    """Print a result, and how much of it that is where it was cut."""
+    limit = rows or (2 ** 31 - 2 if whole else DEFAULT_ROWS)
+    df.show(limit, truncate=False)
+    total = None if whole and not rows else df.count()
+    if total is not None and total > limit:
+        print(f"Showing {limit} of {total}")
+
+
 def main(argv: list[str] | None = None) -> int:
     args = arguments().parse_args(argv)
     spark = SparkSession.getActiveSession() or local_session()
@@ -130,7 +143,7 @@ def main(argv: list[str] | None = None) -> int:
     if getattr(args, "csv", None):
         write_csv(df, args.csv)
     else:
-        df.show(getattr(args, "rows", None) or DEFAULT_ROWS, truncate=False)
+        shown(df, getattr(args, "rows", None), args.command in REPORTS)
     return 0
 
 

@@ -30,6 +30,8 @@ REORDER = {
 }
 
 DATE_MODES = ("valid", "compat", "strict")
+# Years a date in a name may have where digits can be read more than one way.
+PLAUSIBLE_YEARS = (1900, 2100)
 
 
 def _as_column(value: Column | str) -> Column:
@@ -55,10 +57,12 @@ def date_text_compat(name: Column | str) -> Column:
 
 
 def snapshot_date(name: Column | str, mode: str = "valid",
-                  override: str | None = None, default: str | None = None) -> Column:
+                  override: str | None = None, default: str | None = None,
+                  years: tuple[int, int] = PLAUSIBLE_YEARS) -> Column:
     """Date of a dump: ``override``, else the date in its name, else ``default``.
 
-    ``valid``   separated or compact forms; the first one that is a real date.
+    ``valid``   separated or compact forms; the first one that is a real date in one of the ``years``
+                (20101231 is of 2010, not of 1231).
     ``compat``  the first form that hits; NULL when that is not a real date.
     ``strict``  separated forms with equal separators; the first one that is a real date.
 
@@ -74,6 +78,8 @@ def snapshot_date(name: Column | str, mode: str = "valid",
         return F.coalesce(F.lit(override).cast("date"), found) if override else found
     patterns = STRICT_PATTERNS if mode == "strict" else LENIENT_PATTERNS
     options = [_real_date(_date_text(column, pattern)) for pattern in patterns]
+    if mode == "valid":
+        options = [F.when(F.year(date).between(*years), date) for date in options]
     if override:
         options.insert(0, F.lit(override).cast("date"))
     if default:

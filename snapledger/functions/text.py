@@ -56,7 +56,12 @@ def add_search_key(df: DataFrame, columns: list[str], suffix: str = "_search") -
     return df.withColumns({f"{name}{suffix}": search_key(name) for name in columns})
 
 
-def display_text(column: Column | str) -> Column:
-    """What a grid shows: every value as text, NULL as the empty string."""
+def display_text(column: Column | str, kind: str = "string") -> Column:
+    """What a grid shows: every value as text, NULL as the empty string, and ``double`` as plain digits."""
     value = F.col(column) if isinstance(column, str) else column
-    return F.coalesce(value.cast("string"), F.lit(""))
+    text = value.cast("string")
+    if kind == "double":
+        # Beyond what a decimal can hold the exponent stays.
+        plain = F.regexp_replace(value.try_cast("decimal(38,16)").cast("string"), "(\\.[0-9]+?)0+$", "$1")
+        text = F.when(text.contains("E"), F.coalesce(plain, text)).otherwise(text)
+    return F.coalesce(text, F.lit(""))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +26,8 @@ SHOWN_TYPES = {
 
 
 def spark_type(declared: str) -> str:
-    name = declared.strip().upper()
+    """Spark's type for a declared one; the length of a text type is not part of it."""
+    name = re.sub(r"^((?:N|BP)?(?:VAR)?CHAR|TEXT|STRING)\s*(\(\s*\d+\s*\))?$", "VARCHAR", declared.strip().upper())
     if name in DECLARED_TYPES:
         return DECLARED_TYPES[name]
     if name.startswith(("DECIMAL", "NUMERIC")):
@@ -73,10 +75,12 @@ def fit_mask(value: Column) -> Column:
     first = F.ascii(value)
     boolean, bigint, double, date, timestamp = (F.lit(1 << i) for i in range(len(LADDER)))
     none = F.lit(0)
-    # A failing cast to bigint costs an exception, so only integers long enough to be out of range
-    # are tried.
-    whole = (F.when((F.length(value) <= 18) | value.try_cast("bigint").isNotNull(),
-                    bigint.bitwiseOR(double)).otherwise(double))
+    # Digits that are an identifier rather than a number stay text: with a leading zero, or too many
+    # for a bigint. Beyond 15 digits a double would change them. A failing cast costs an exception,
+    # so only integers long enough to be out of range are tried.
+    whole = (F.when(value.rlike("^[+-]?0[0-9]"), none)
+             .when(F.length(value) <= 15, bigint.bitwiseOR(double))
+             .when((F.length(value) <= 18) | value.try_cast("bigint").isNotNull(), bigint).otherwise(none))
     # A date is a timestamp too, so columns that mix both become timestamps.
     time = (F.when(value.try_cast("timestamp_ntz").isNull(), none)
             .when(F.length(value) == 10, date.bitwiseOR(timestamp)).otherwise(timestamp))
@@ -152,14 +156,35 @@ def misfits(types: dict[str, str]) -> Column:
 WIDENING = ["tinyint", "smallint", "int", "bigint", "float", "double"]
 
 
+# Decimal digits that the integer types need.
+INTEGER_DIGITS = {"tinyint": 3, "smallint": 5, "int": 10, "bigint": 19}
+
+
+def _digits(kind: str) -> tuple[int, int] | None:
+    """Digits before and after the point of a decimal or integer type."""
+    found = re.fullmatch(r"decimal\((\d+),(\d+)\)", kind)
+    if found:
+        return int(found[1]) - int(found[2]), int(found[2])
+    return (INTEGER_DIGITS[kind], 0) if kind in INTEGER_DIGITS else None
+
+
 def wider_type(left: str, right: str) -> str:
-    """Type that holds both, for columns whose type differs between snapshots."""
+    """Type that holds both, for columns whose type differs between snapshots.
+
+    Raises where a decimal meets a type with which it has no lossless one in common.
+    """
     if left == right:
         return left
+    if "decimal" in left + right and "string" not in (left, right):
+        a, b = _digits(left), _digits(right)
+        whole, scale = (max(a[0], b[0]), max(a[1], b[1])) if a and b else (39, 0)
+        if whole + scale > 38:
+            raise ValueError(f"no type holds both {left} and {right} without loss")
+        return f"decimal({whole + scale},{scale})"
     if left in WIDENING and right in WIDENING:
         # A float cannot hold every int, nor bigint text digits beyond a double: go to double.
         top = max(WIDENING.index(left), WIDENING.index(right))
         return "double" if top >= WIDENING.index("float") else WIDENING[top]
-    if {left, right} == {"date", "timestamp_ntz"}:
-        return "timestamp_ntz"
+    if "date" in (left, right) and {left, right} & {"timestamp_ntz", "timestamp"}:
+        return left if right == "date" else right
     return "string"

@@ -15,7 +15,7 @@ KEY_COLUMNS = ("UNIQID", "id")
 
 def display_rows(df: DataFrame) -> DataFrame:
     """Every cell as text, NULL as the empty string."""
-    return df.select(*[display_text(F.col(f"`{name}`")).alias(name) for name in df.columns])
+    return df.select(*[display_text(F.col(f"`{name}`"), kind).alias(name) for name, kind in df.dtypes])
 
 
 def rows_as_json(df: DataFrame) -> DataFrame:

@@ -10,11 +10,11 @@ import functools
 import operator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from snapledger.functions.types import spark_type
+from snapledger.functions.types import INTEGER_SHAPE, NUMBER_SHAPE, TIME_SHAPE, spark_type
 from snapledger.sources.dataset import Dataset
 from snapledger.sources.local import local_frame
 from snapledger.storage import materialized
@@ -28,12 +28,34 @@ def declared_columns(schemas: dict | None, table: str) -> dict[str, dict]:
 
 def apply_schema(df: DataFrame, columns: dict[str, dict]) -> DataFrame:
     """Cast the declared columns; a value that does not fit becomes NULL. Others stay as they are."""
+    def declared(name: str) -> Column:
+        kind = spark_type(columns[name]["type"])
+        return F.when(fits(df, name, kind), F.col(f"`{name}`").try_cast(kind)).alias(name)
+
     return df.select(*[
-        F.col(f"`{name}`").try_cast(spark_type(columns[name]["type"])).alias(name)
+        declared(name)
         if name in columns and "type" in columns[name] else F.col(f"`{name}`")
         for name in df.columns])
 
 
+# The texts a declared type can hold, by what Spark calls it; casts alone would take more.
+TEXT_SHAPES = {"tinyint": INTEGER_SHAPE, "smallint": INTEGER_SHAPE, "int": INTEGER_SHAPE, "bigint": INTEGER_SHAPE,
+               "float": NUMBER_SHAPE, "double": NUMBER_SHAPE, "date": r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$",
+               "timestamp_ntz": TIME_SHAPE}
+
+
+def fits(df: DataFrame, name: str, kind: str) -> Column:
+    """Whether a value survives being stored as a type: read as text it has its shape, else it can be cast back."""
+    value, own = F.col(f"`{name}`"), dict(df.dtypes)[name]
+    cast = value.try_cast(kind)
+    if own == "string":
+        shape = NUMBER_SHAPE if kind.startswith("decimal") else TEXT_SHAPES.get(kind)
+        return cast.isNotNull() & value.rlike(shape) if shape else cast.isNotNull()
+    if kind in (own, "string", "float", "binary"):
+        return cast.isNotNull()
+    return cast.isNotNull() & cast.try_cast(own).eqNullSafe(value)
+
+
 def _stack(counts: DataFrame, rows: list[tuple[list, str]], names: list[str], last: str) -> DataFrame:
     """One aggregate row to one row per check."""
     structs = [F.struct(*[F.lit(v).alias(n) for v, n in zip(values, names)], F.col(c).alias(last))
@@ -54,7 +76,7 @@ def schema_conformance(df: DataFrame, table: str, columns: dict[str, dict]) -> D
             value = F.col(f"`{name}`")
             aggregates.append(F.count(value).alias(f"n{i}"))
             aggregates.append(F.count_if(
-                value.isNotNull() & value.try_cast(spark_type(kind)).isNull()).alias(f"f{i}"))
+                value.isNotNull() & ~fits(df, name, spark_type(kind))).alias(f"f{i}"))
             counts = [F.col(f"n{i}"), F.col(f"f{i}")]
         else:
             counts = [F.lit(None).cast("bigint"), F.lit(None).cast("bigint")]
@@ -72,18 +94,27 @@ def primary_key(columns: dict[str, dict]) -> list[str]:
 
 def duplicate_keys(df: DataFrame, key: list[str]) -> DataFrame:
     """Key values that occur more than once, with how often. Counted map-side before the shuffle."""
-    return df.groupBy(*key).agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1")
+    return df.groupBy(*[F.col(f"`{name}`") for name in key]).agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1")
 
 
 def null_and_key_check(df: DataFrame, table: str, columns: dict[str, dict]) -> DataFrame:
     """Violations of ``nullable: false`` and ``primary_key: true`` as ``(table, rule, column, n)``.
 
-    For the key, ``n_violations`` counts the surplus rows (all but one of each key value).
+    For the key, ``n_violations`` counts the surplus rows (all but one of each key value). A required
+    column that the table lacks is a row of rule ``missing_column``, and a key with such a column is not counted.
     """
     names = ["table_name", "rule", "column_name"]
     key = primary_key(columns)
     required = [name for name, spec in columns.items()
                 if spec.get("nullable") is False or spec.get("primary_key")]
+    absent = [name for name in required if name not in df.columns]
+    required = [name for name in required if name not in absent]
+    if absent:
+        lacking = local_frame(df.sparkSession, [(table, "missing_column", name, 1) for name in absent], REPORT_SCHEMA)
+        rest = null_and_key_check(df, table, {
+            name: spec if set(key) <= set(df.columns) else {**spec, "primary_key": False, "nullable": name not in required}
+            for name, spec in columns.items() if name not in absent})
+        return lacking.unionByName(rest)
     report = None
     if required:
         counts = df.agg(*[F.count_if(F.col(f"`{name}`").isNull()).alias(f"n{i}")
@@ -170,7 +201,7 @@ def _cascade_order(keys: list[ForeignKey], roots: set[str]) -> list[str]:
         if table not in reached:
             reached.add(table)
             pending.extend(children.get(table, ()))
-    parents = {t: {k.parent for k in keys if k.table == t and k.parent in reached} for t in reached}
+    parents = {t: {k.parent for k in keys if k.table == t and k.parent in reached} - {t} for t in reached}
     order: list[str] = []
     while len(order) < len(reached):
         ready = sorted(t for t in reached if t not in order and parents[t] <= set(order))
@@ -193,7 +224,7 @@ def cascade_delete(tables: dict[str, DataFrame], keys: list[ForeignKey],
     for table in _cascade_order(cascading, set(deleted)):
         df = tables[table]
         falls = [F.coalesce(F.expr(deleted[table]), F.lit(False))] if table in deleted else []
-        for i, key in enumerate(k for k in cascading if k.table == table and k.parent in marked):
+        for i, key in enumerate(k for k in cascading if k.table == table and k.parent in marked and k.parent != table):
             fallen = marked[key.parent].where("deleted").select(
                 F.col(key.parent_column).alias(f"__gone{i}"))
             gone = materialized(fallen.where(F.col(f"__gone{i}").isNotNull()).distinct(), "fallen")
@@ -201,9 +232,28 @@ def cascade_delete(tables: dict[str, DataFrame], keys: list[ForeignKey],
             falls.append(F.col(f"__gone{i}").isNotNull())
         names = tables[table].columns
         marked[table] = df.select(*names, functools.reduce(operator.or_, falls).alias("deleted"))
+        for key in cascading:
+            if key.table == key.parent == table:
+                marked[table] = _fall_within(marked[table], key)
     return marked
 
 
+def _fall_within(df: DataFrame, key: ForeignKey) -> DataFrame:
+    """Deletion along a key that refers to its own table, level by level until no further row falls.
+
+    What a level looks up are the keys that fell in the one before; rows whose key is NULL have none.
+    """
+    names = df.columns
+    while True:
+        df = materialized(df, "falling")
+        gone = df.where("deleted").select(F.col(f"`{key.parent_column}`").alias("__gone")).where("__gone IS NOT NULL").distinct()
+        more = df.join(gone, F.col(f"`{key.column}`") == F.col("__gone"), "left").withColumn(
+            "__falls", F.col("deleted") | F.col("__gone").isNotNull())
+        if not more.where("__falls AND NOT deleted").limit(1).count():
+            return df
+        df = more.withColumn("deleted", F.col("__falls")).select(*[F.col(f"`{name}`") for name in names])
+
+
 def cascade_summary(marked: dict[str, DataFrame]) -> DataFrame:
     """Rows that fall and rows that stay, per table."""
     report = None
@@ -216,10 +266,17 @@ def cascade_summary(marked: dict[str, DataFrame]) -> DataFrame:
 
 
 def validation_report(dataset: Dataset, schemas: dict | None, rules: dict | None) -> DataFrame:
-    """All declared checks of a dataset as ``(table_name, rule, column_name, n_violations)``."""
+    """All declared checks of a dataset as ``(table_name, rule, column_name, n_violations)``.
+
+    Tables and columns that a declaration names and the dataset lacks are rows of the report themselves.
+    """
     parts = []
+    missing = []
     for table in (schemas or {}).get("tables", {}):
         columns = declared_columns(schemas, table)
+        if table not in dataset.tables:
+            missing.append((table, "missing_table", None, 1))
+            continue
         typed = {name: spec for name, spec in columns.items() if "type" in spec}
         df = dataset.table(table)
         if typed:
@@ -227,7 +284,16 @@ def validation_report(dataset: Dataset, schemas: dict | None, rules: dict | None
                 "table_name", F.lit("type").alias("rule"), "column_name",
                 F.col("n_failed").alias("n_violations")))
         parts.append(null_and_key_check(df, table, columns))
-    keys = foreign_keys(rules)
+    keys = []
+    for key in foreign_keys(rules):
+        lost = [(key.table, "missing_table" if name not in dataset.tables else "missing_column",
+                 column if name in dataset.tables else None, 1)
+                for name, column in ((key.table, key.column), (key.parent, key.parent_column))
+                if name not in dataset.tables or column not in dataset.table(name).columns]
+        missing += [row for row in lost if row not in missing]
+        keys += [] if lost else [key]
+    if missing:
+        parts.append(local_frame(dataset.spark, missing, REPORT_SCHEMA))
     if keys:
         tables = {name: dataset.table(name) for key in keys for name in (key.table, key.parent)}
         parts.append(orphan_report(tables, keys).select(

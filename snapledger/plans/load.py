@@ -8,8 +8,11 @@ folder holds the current data of a ``(table, date)``; a folder it does not name
 from __future__ import annotations
 
 import datetime
+import functools
 import hashlib
 import json
+import operator
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -26,8 +29,8 @@ from snapledger.sources.discover import (SOURCE_OF_PATH, describe_files, discove
 from snapledger.sources.local import local_frame
 
 ON_CONFLICT = ("keep", "replace")
-# At some 100 bytes a source, 5 MB at most.
-BROADCAST_SOURCES = 50_000
+# Loads of one schema lie side by side, told apart by this part of their path.
+LOAD_COLUMN = "__load"
 
 
 @dataclass(frozen=True)
@@ -60,7 +63,7 @@ def dump_date(source: Column, options: LoadOptions) -> Column:
 def table_folder(table: str) -> str:
     """Folder of a table; names that only differ in characters a folder cannot have stay apart."""
     clean = sanitize_text(table)
-    return clean if clean == table else f"{clean}_{hashlib.md5(table.encode()).hexdigest()[:8]}"
+    return clean if clean == table else f"{clean}_{hashlib.md5(table.encode()).hexdigest()}"
 
 
 def plan_load(files: DataFrame, log: DataFrame, options: LoadOptions) -> DataFrame:
@@ -97,15 +100,18 @@ def plan_load(files: DataFrame, log: DataFrame, options: LoadOptions) -> DataFra
 def schema_folder(df: DataFrame) -> str:
     """Name of the folder for this set of columns and types."""
     fields = json.dumps([[f.name.lower(), f.dataType.simpleString()] for f in df.schema])
-    return "schema=" + hashlib.md5(fields.encode()).hexdigest()[:12]
+    return "schema=" + hashlib.md5(fields.encode()).hexdigest()
 
 
-def write_snapshots(df: DataFrame, store: str, table: str) -> str:
+def write_snapshots(df: DataFrame, store: str, table: str, load: str | None = None) -> str:
     """Write rows with a ``snapshot_date`` column into the table, replacing just those dates.
 
     Replacing makes a repeated attempt harmless: a load that died before its log entry is done over.
+    A ``load`` of its own has its own folder, in which nothing else is found and none is replaced.
     """
     path = f"{store.rstrip('/')}/{table_folder(table)}/{schema_folder(df.drop('snapshot_date'))}"
+    if load:
+        path += f"/{LOAD_COLUMN}={load}"
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("snapshot_date").parquet(path))
     return path
@@ -119,11 +125,15 @@ def load_snapshot(df: DataFrame, store: str, table: str, date: str) -> tuple[str
     return path, counted.get["rows"]
 
 
+def _schema_path() -> Column:
+    return F.regexp_replace("store_path", f"/{LOAD_COLUMN}=[^/]*$", "").alias("schema_path")
+
+
 def _known_types(spark: SparkSession, log: DataFrame, table: str) -> dict[str, str]:
     """Types the table's columns have in the store, the widest where they differ."""
     types: dict[str, str] = {}
-    paths = load_log.loaded_keys(log).where(F.col("base_table") == table) \
-        .select("store_path").distinct().collect()
+    paths = (load_log.loaded_keys(log).where(F.col("base_table") == table)
+             .groupBy(_schema_path()).agg(F.min("store_path").alias("store_path")).collect())
     for row in paths:
         for field in spark.read.parquet(row["store_path"]).schema:
             kind = field.dataType.simpleString()
@@ -146,8 +156,7 @@ def _load_table(spark: SparkSession, store: str, table: str, plan: list,
         return _write_dated(text, store, table, plan, options)
     known = _known_types(spark, log, table)
     types = {name: known.get(name) for name in columns}
-    # Replacing would overwrite data in use with a first try, so it always works out the types.
-    if options.on_conflict == "keep" and all(t == "string" or t in LADDER for t in types.values()):
+    if all(t == "string" or t in LADDER for t in types.values()):
         counted = Observation()
         tried = cast_columns(text.observe(counted, F.count_if(misfits(types)).alias("misfits")), types,
                              strict=False)
@@ -164,17 +173,16 @@ def _write_dated(rows: DataFrame, store: str, table: str, plan: list,
     spark = rows.sparkSession
     keyed = [name for name, kind in rows.dtypes if kind == "string" and name in options.search_columns]
     rows = add_search_key(rows, keyed)
-    # One short row per source of this table; beyond the limit Spark is left to join as it sees fit.
+    # One short row per source of this table, of a size Spark knows, so it joins as it sees fit.
     dates = local_frame(spark, [(row["source_file"], row["snapshot_date"]) for row in plan],
                         "__source string, __date date")
-    if len(plan) <= BROADCAST_SOURCES:
-        dates = F.broadcast(dates)
     rows = rows.withColumn("__source", F.regexp_extract("__path", SOURCE_OF_PATH, 1))
     dated = rows.join(dates, "__source").drop("__source", "__path")
     # A dump may itself have a column of the partition column's name.
     names = unique_names(["snapshot_date", *dated.columns[:-1]])[1:]
     dated = dated.toDF(*names, "snapshot_date")
-    path = write_snapshots(dated, store, table)
+    # What is read back and counted is what this load wrote, even where it replaces a date.
+    path = write_snapshots(dated, store, table, f"l{uuid.uuid4().hex}")
     # The schema is given because a dump without rows leaves no file to take it from.
     counts = (spark.read.schema(dated.schema).parquet(path)
               .where(F.col("snapshot_date").isin([row["snapshot_date"] for row in plan]))
@@ -218,9 +226,10 @@ def import_files(spark: SparkSession, files: DataFrame, store: str,
             return [(row, counts.get(row["snapshot_date"], 0), path, None) for row in todo]
         except Exception as error:  # noqa: BLE001 - one bad table must not stop the others
             if len(todo) > 1:
-                # Together they failed: load each source by itself, so that only bad ones are lost.
-                return [result for row in todo for result in load(table, [row])]
-            return [(todo[0], None, None, str(error)[:500] or type(error).__name__)]
+                # Together they failed: halve them until only the bad ones are left alone.
+                half = len(todo) // 2
+                return load(table, todo[:half]) + load(table, todo[half:])
+            return [(todo[0], None, None, str(error) or type(error).__name__)]
 
     # Small tables would leave a cluster idle one after the other, so a few load side by side.
     with ThreadPoolExecutor(max_workers=options.parallel_tables) as pool:
@@ -234,6 +243,9 @@ def import_files(spark: SparkSession, files: DataFrame, store: str,
             # A header without rows leaves nothing to read back.
             note(row, load_log.EMPTY, 0)
 
+    # Ids go by source, table and date; the rows are here already, so they are numbered here.
+    entries.sort(key=lambda row: (row[1], row[9], row[2] or datetime.date.min))
+    entries = [(number, *row[1:]) for number, row in enumerate(entries, 1)]
     result = local_frame(spark, entries, load_log.LOG_SCHEMA)
     if entries:
         load_log.append_log(spark, log_path(store), result)
@@ -278,13 +290,25 @@ def open_snapshots(spark: SparkSession, store: str, table: str) -> DataFrame:
     """
     keys = load_log.loaded_keys(load_log.read_log(spark, log_path(store))).where(
         F.col("base_table") == table)
-    folders = keys.groupBy("store_path").agg(F.collect_list("file_date").alias("dates")) \
-        .orderBy("store_path").collect()
+    folders = keys.groupBy(_schema_path(), "store_path").agg(F.collect_list("file_date").alias("dates")) \
+        .orderBy("schema_path", "store_path").collect()
     if not folders:
         raise ValueError(f"Table not found: {table}")
-    parts = [spark.read.parquet(f["store_path"]).where(F.col("snapshot_date").isin(f["dates"]))
-             for f in folders]
-    return unite(parts)
+    by_schema: dict[str, list] = {}
+    for folder in folders:
+        by_schema.setdefault(folder["schema_path"], []).append(folder)
+    return unite([_read_loads(spark, path, loads) for path, loads in by_schema.items()])
+
+
+def _read_loads(spark: SparkSession, path: str, loads: list) -> DataFrame:
+    """The loads of one schema as one scan, each with the dates for which it is the current one."""
+    rows = spark.read.option("basePath", path).parquet(*[load["store_path"] for load in loads])
+    if LOAD_COLUMN not in rows.columns:
+        return rows.where(F.col("snapshot_date").isin([date for load in loads for date in load["dates"]]))
+    current = functools.reduce(operator.or_, [
+        (F.col(LOAD_COLUMN) == load["store_path"].rpartition("=")[2]) & F.col("snapshot_date").isin(load["dates"])
+        for load in loads])
+    return rows.where(current).drop(LOAD_COLUMN)
 
 
 def unite(parts: list[DataFrame]) -> DataFrame:

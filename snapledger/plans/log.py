@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapledger.sources.local import local_frame
@@ -26,22 +26,12 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LOG_SCHEMA).parquet(path)
 
 
-def number_log_rows(entries: DataFrame, after: Column | int = 0) -> DataFrame:
-    """Give new log rows the next ids, in order of source and table.
-
-    The single ordering is over log rows (one per table and dump), never over data rows.
-    """
-    order = Window.orderBy("source_file", "table_name", "file_date")
-    number = F.row_number().over(order).cast("bigint")
-    offset = F.lit(after) if isinstance(after, int) else after
-    return entries.withColumn("import_id", number + offset)
-
-
 def append_log(spark: SparkSession, path: str, entries: DataFrame) -> None:
-    """Append log rows. Writers of one log take turns: ids continue after the highest one there."""
+    """Append log rows numbered from 1. Writers of one log take turns: ids go on after the highest one there."""
     last = read_log(spark, path).agg(F.max("import_id")).first()[0] or 0
     columns = [part.split()[0] for part in LOG_SCHEMA.split(", ")]
-    number_log_rows(entries, last).select(*columns).coalesce(1).write.mode("append").parquet(path)
+    entries.withColumn("import_id", F.col("import_id") + F.lit(last)).select(*columns) \
+        .coalesce(1).write.mode("append").parquet(path)
 
 
 def loaded_keys(log: DataFrame) -> DataFrame:

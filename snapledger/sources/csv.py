@@ -35,7 +35,9 @@ def csv_profiles(spark: SparkSession, paths: list[str]) -> DataFrame:
         F.col("_metadata.file_block_start").alias("block_start"),
         F.monotonically_increasing_id().alias("line"))
     return lines.groupBy("path").agg(
-        F.min_by("value", F.when(F.col("block_start") == 0, F.col("line"))).alias("header"),
+        # The header is the first line that is not blank, as it is for Spark's reader.
+        F.min_by("value", F.when((F.col("block_start") == 0) & (F.trim("value") != ""), F.col("line")))
+        .alias("header"),
         F.array_contains(F.collect_set(quote_count(F.col("value")) % 2), 1).alias("multi_line"))
 
 

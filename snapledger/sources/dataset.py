@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -112,11 +113,26 @@ class Dataset:
         Tables are known by their name, with the dataset's prefix in front.
         """
         text = query.strip().rstrip(";")
-        mentioned = text.lower()
+        words = set(re.findall(r"\w+", text.lower()))
+        catalog, made = self.spark.catalog, []
+        known = {view.name.lower(): view.name for view in catalog.listTables() if view.isTemporary}
+        hidden = {}
         for name in self._tables:
-            if name.lower() in mentioned:
-                self.table(name).createOrReplaceTempView(self.prefix + name)
-        return self.spark.sql(f"SELECT * FROM (\n{text}\n)", args=parameters or None)
+            if set(re.findall(r"\w+", name.lower())) <= words:
+                view = self.prefix + name
+                if view.lower() in known:
+                    hidden[view] = self.spark.table(known[view.lower()])
+                self.table(name).createOrReplaceTempView(view)
+                made.append(view)
+        # The query is analysed here and holds its tables from then on, so their names can go again:
+        # another dataset's query must not find them.
+        try:
+            return self.spark.sql(f"SELECT * FROM (\n{text}\n)", args=parameters or None)
+        finally:
+            for view in made:
+                catalog.dropTempView(view)
+                if view in hidden:
+                    hidden[view].createOrReplaceTempView(view)
 
 
 def open_dataset(spark: SparkSession, path: str | None = None, default: str | None = None,

@@ -13,10 +13,14 @@ from pyspark.sql import functions as F
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder all executors can reach: below ``spark.checkpoint.dir`` where that is set.
 
-    Only a session without that setting (tests, one machine) falls back to a local temporary folder.
+    Only a local session without that setting (tests, one machine) has a temporary folder instead; on
+    a cluster, where executors would not see it, that is an error.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master!r} share")
         return tempfile.mkdtemp(prefix=f"{label}-")
     return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 

@@ -37,19 +37,35 @@ def _described_sql(table: str, columns: list[tuple[str, str]]) -> str:
         for i, (name, kind) in enumerate(columns))
 
 
-@workload("table_schema", " UNION ALL ".join([
-    _described_sql("orders", [("o_orderkey", "BIGINT"), ("o_custkey", "BIGINT"),
-                              ("o_orderstatus", "VARCHAR"), ("o_totalprice", "DOUBLE"),
-                              ("o_orderdate", "TIMESTAMP"), ("o_orderpriority", "VARCHAR")]),
-    _described_sql("embeddings", [("vec_id", "BIGINT"), ("embedding", "FLOAT[]"), ("label", "INTEGER")]),
-    _described_sql("nation", [("n_nationkey", "INTEGER"), ("n_name", "VARCHAR"),
-                              ("n_regionkey", "INTEGER")])]))
+# The columns of the given tables, as a catalogue shows them.
+COLUMNS = {
+    "benchmark": "item_id BIGINT, text VARCHAR",
+    "conversations": "conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR",
+    "customer": "c_custkey BIGINT, c_name VARCHAR, c_nationkey INTEGER, c_acctbal DOUBLE, c_mktsegment VARCHAR",
+    "documents": "doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT",
+    "embeddings": "vec_id BIGINT, embedding FLOAT[], label INTEGER",
+    "events": "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, value DOUBLE, props VARCHAR",
+    "labels": "doc_id BIGINT, quality INTEGER, toxic INTEGER",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INTEGER, l_quantity DOUBLE, "
+                "l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag VARCHAR, l_linestatus VARCHAR, "
+                "l_shipdate TIMESTAMP",
+    "nation": "n_nationkey INTEGER, n_name VARCHAR, n_regionkey INTEGER",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus VARCHAR, o_totalprice DOUBLE, o_orderdate TIMESTAMP, "
+              "o_orderpriority VARCHAR",
+    "pages": "page_id BIGINT, url VARCHAR, html VARCHAR",
+    "part": "p_partkey BIGINT, p_name VARCHAR, p_brand VARCHAR, p_type VARCHAR, p_size INTEGER, p_retailprice DOUBLE",
+    "region": "r_regionkey INTEGER, r_name VARCHAR",
+    "supplier": "s_suppkey BIGINT, s_name VARCHAR, s_nationkey INTEGER, s_acctbal DOUBLE",
+}
+
+
+@workload("table_schema", " UNION ALL ".join(
+    _described_sql(table, [tuple(c.split(" ")) for c in columns.split(", ")]) for table, columns in COLUMNS.items()))
 def table_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Columns from the metadata, with how many values each of them holds."""
+    """Columns of every table from the metadata, with how many values each of them holds."""
     dataset = open_dataset(spark, sf_dir)
     return functools.reduce(DataFrame.unionByName, [
-        dataset.describe(name).join(dataset.filled_counts(name), ["table_name", "column_name"])
-        for name in ("orders", "embeddings", "nation")])
+        dataset.describe(name).join(dataset.filled_counts(name), ["table_name", "column_name"]) for name in COLUMNS])
 
 
 @workload("preview_table", "SELECT * FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 100")
@@ -79,22 +95,25 @@ def adhoc_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
 @workload("display_rows", """
     SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, coalesce(nullif(o_orderstatus, 'P'), '') AS status,
            coalesce(CAST(CASE WHEN o_orderpriority <> '5-LOW' THEN o_custkey END AS VARCHAR), '')
-               AS o_custkey, strftime(o_orderdate, '%Y-%m-%d') AS ordered_on FROM orders""")
+               AS o_custkey, strftime(o_orderdate, '%Y-%m-%d') AS ordered_on,
+           CAST(o_totalprice AS VARCHAR) AS o_totalprice, CAST(o_totalprice * 1000 AS VARCHAR) AS thousandfold,
+           o_orderpriority FROM orders""")
 def displayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return display_rows(read(spark, sf_dir, "orders").select(
         "o_orderkey", F.nullif("o_orderstatus", F.lit("P")).alias("status"),
         F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_custkey")).alias("o_custkey"),
-        F.col("o_orderdate").cast("date").alias("ordered_on")))
+        F.col("o_orderdate").cast("date").alias("ordered_on"), "o_totalprice",
+        (F.col("o_totalprice") * 1000).alias("thousandfold"), "o_orderpriority"))
 
 
 @workload("rows_as_json", """
     SELECT concat('{"c_custkey":', c_custkey, ',"c_name":"', c_name, '","c_nationkey":', c_nationkey,
                   ',"c_mktsegment":', coalesce('"' || nullif(c_mktsegment, 'BUILDING') || '"', 'null'),
-                  '}') AS row_json FROM customer""")
+                  ',"c_acctbal":', c_acctbal, '}') AS row_json FROM customer""")
 def as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows_as_json(read(spark, sf_dir, "customer").select(
         "c_custkey", "c_name", "c_nationkey",
-        F.nullif("c_mktsegment", F.lit("BUILDING")).alias("c_mktsegment")))
+        F.nullif("c_mktsegment", F.lit("BUILDING")).alias("c_mktsegment"), "c_acctbal"))
 
 
 @workload("row_keys", """

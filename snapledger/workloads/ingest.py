@@ -86,19 +86,16 @@ _NAMES_SQL = """
 
 
 @workload("snapshot_date_lenient", f"""
-    WITH {_NAMES_SQL}, hits AS (SELECT *,
-        nullif(regexp_replace(regexp_extract(file_name, '\\d{{2}}[_-]\\d{{2}}[_-]\\d{{4}}'),
-            '(..).(..).(....)', '\\3-\\2-\\1'), '') AS t1,
-        nullif(regexp_replace(regexp_extract(file_name, '\\d{{4}}[_-]\\d{{2}}[_-]\\d{{2}}'),
-            '(....).(..).(..)', '\\1-\\2-\\3'), '') AS t2,
-        nullif(regexp_replace(regexp_extract(file_name, '\\d{{8}}'),
-            '(..)(..)(....)', '\\3-\\2-\\1'), '') AS t3,
-        nullif(regexp_replace(regexp_extract(file_name, '\\d{{8}}'),
-            '(....)(..)(..)', '\\1-\\2-\\3'), '') AS t4 FROM names)
-    SELECT o_orderkey, file_name, coalesce(t1, t2, t3, t4) AS compat_text,
-           coalesce(try_cast(t1 AS DATE), try_cast(t2 AS DATE), try_cast(t3 AS DATE),
-                    try_cast(t4 AS DATE), DATE '1900-01-01') AS snapshot_date
-    FROM hits""")
+    WITH {_NAMES_SQL}
+    SELECT o_orderkey, file_name, CASE
+               WHEN o_orderpriority = '4-NOT SPECIFIED' THEN strftime(o_orderdate, '%m%d-')
+                    || strftime(o_orderdate, '%Y')[3:4] || '-' || strftime(o_orderdate, '%Y')[1:2]
+               WHEN o_orderpriority = '5-LOW' AND o_orderstatus = 'O' THEN strftime(o_orderdate, '%Y-13-32')
+               WHEN o_orderpriority <> '5-LOW' OR o_orderstatus = 'F' THEN strftime(o_orderdate, '%Y-%m-%d')
+           END AS compat_text,
+           CASE WHEN o_orderpriority = '5-LOW' AND o_orderstatus NOT IN ('F', 'O') THEN DATE '1900-01-01'
+                ELSE CAST(o_orderdate AS DATE) END AS snapshot_date
+    FROM names JOIN orders USING (o_orderkey)""")
 def date_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dump_names(read(spark, sf_dir, "orders")).select(
         "o_orderkey", "file_name", date_text_compat("file_name").alias("compat_text"),
@@ -210,10 +207,11 @@ def infer_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @workload("load_as_varchar", """
     SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey,
-           o_orderstatus, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_orderpriority
+           o_orderstatus, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_orderpriority,
+           CAST(o_totalprice AS VARCHAR) AS o_totalprice
     FROM orders""")
 def load_as_varchar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load_as_text(read(spark, sf_dir, "orders").drop("o_totalprice"))
+    return load_as_text(read(spark, sf_dir, "orders"))
 
 
 @workload("sanitize_names", """

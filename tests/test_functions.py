@@ -1,13 +1,13 @@
 import datetime
-import re
 import unicodedata
 
+import pytest
 from pyspark.sql import functions as F
 
 from snapledger.functions.naming import (date_text_compat, sanitize_columns, sanitize_name, sanitize_text,
                                          snapshot_date, snapshot_table_name, unique_names)
 from snapledger.functions.text import display_text, search_key, search_key_of
-from snapledger.functions.types import infer_text_types, type_profile, wider_type
+from snapledger.functions.types import infer_text_types, spark_type, type_profile, wider_type
 
 
 def values(spark, items, expression):
@@ -16,34 +16,25 @@ def values(spark, items, expression):
     return [r[0] for r in df.orderBy("i").select(expression.alias("x")).collect()]
 
 
-NAMES = ["dump_20_11_2013.bak", "db 2024-01-15.bak", "x15012024.bak", "x20240115.bak", "a_32_13_2020.bak",
-         "a_32_13_2020_x_2021-02-03.bak", "m_20-11_2013.bak", "none.bak", "z_01_01_0000.bak", "", None,
-         "12_12_2012_and_2013_01_01", "v1234567.bak", "2023_02_30", "30_02_2023 2024_02_29"]
-
-
-def parsed(name, patterns):
-    """Brute force: first pattern of which the first hit is a real date."""
-    for pattern in patterns:
-        match = re.search(pattern, name)
-        if match:
-            a, b, c = match.groups()
-            year, month, day = (a, b, c) if len(a) == 4 else (c, b, a)
-            try:
-                return datetime.date(int(year), int(month), int(day))
-            except ValueError:
-                continue
-    return None
+# Names of dumps and the dates they carry, worked out by hand: leniently, and in strict mode.
+DATED = [
+    ("dump_20_11_2013.bak", "2013-11-20", "2013-11-20"), ("db 2024-01-15.bak", "2024-01-15", "2024-01-15"),
+    ("x15012024.bak", "2024-01-15", None), ("x20240115.bak", "2024-01-15", None), ("a_32_13_2020.bak", None, None),
+    ("a_32_13_2020_x_2021-02-03.bak", "2021-02-03", "2021-02-03"), ("m_20-11_2013.bak", "2013-11-20", None),
+    ("none.bak", None, None), ("z_01_01_0000.bak", None, None), ("", None, None), (None, None, None),
+    ("12_12_2012_and_2013_01_01", "2012-12-12", "2012-12-12"), ("v1234567.bak", None, None), ("2023_02_30", None, None),
+    ("30_02_2023 2024_02_29", "2024-02-29", "2024-02-29"), ("dump_20101231", "2010-12-31", None), ("a_20111210", "2011-12-10", None),
+    ("b_10122011", "2011-12-10", None), ("c_01_02_1850", None, "1850-02-01"),
+]
+NAMES = [name for name, _, _ in DATED]
 
 
 def test_dates_in_names(spark):
-    lenient = [r"(\d{2})[_-](\d{2})[_-](\d{4})", r"(\d{4})[_-](\d{2})[_-](\d{2})", r"(\d{2})(\d{2})(\d{4})",
-               r"(\d{4})(\d{2})(\d{2})"]
-    strict = [r"(\d{2})_(\d{2})_(\d{4})", r"(\d{4})_(\d{2})_(\d{2})", r"(\d{2})-(\d{2})-(\d{4})",
-              r"(\d{4})-(\d{2})-(\d{2})"]
-    expected = [None if n is None else parsed(n, lenient) for n in NAMES]
-    assert values(spark, NAMES, snapshot_date("v")) == expected
-    expected = [None if n is None else parsed(n, strict) for n in NAMES]
-    assert values(spark, NAMES, snapshot_date("v", "strict")) == expected
+    day = lambda text: text and datetime.date.fromisoformat(text)
+    assert values(spark, NAMES, snapshot_date("v")) == [day(d) for _, d, _ in DATED]
+    assert values(spark, NAMES, snapshot_date("v", "strict")) == [day(d) for _, _, d in DATED]
+    old = snapshot_date("v", years=(1800, 2100))
+    assert values(spark, ["c_01_02_1850"], old) == [datetime.date(1850, 2, 1)]
 
 
 def test_compat_text_takes_the_first_hit_unchecked(spark):
@@ -102,12 +93,16 @@ def test_search_key_of_composed_and_ascii_text(spark):
 
 def test_display_text(spark):
     assert values(spark, ["a", None], display_text("v")) == ["a", ""]
+    plain = display_text(F.col("v").cast("double"), "double")
+    assert values(spark, ["12345678.9", "1e7", "0.0001", "2.5", "1e30", None], plain) == ["12345678.9", "10000000.0", "0.0001", "2.5", "1.0E30", ""]
 
 
 def test_type_ladder(spark):
     columns = {
-        "b": (["true", "FALSE", None], "boolean"), "i": (["1", "-20", "007"], "bigint"),
-        "big": (["1", "9223372036854775807", "9223372036854775808"], "double"),
+        "b": (["true", "FALSE", None], "boolean"), "i": (["1", "-20", "7"], "bigint"),
+        "big": (["1", "9223372036854775807", "9223372036854775808"], "string"),
+        "long": (["1", "9223372036854775807", "-9223372036854775808"], "bigint"), "zeros": (["00123", "7", None], "string"),
+        "mixed": (["1.5", "12345678901234567", None], "string"),
         "d": (["1", "2.5", "-1e3"], "double"), "day": (["2024-01-31", None, "1999-12-01"], "date"),
         "t": (["2024-01-31", "2024-01-31 10:20:30.5", None], "timestamp_ntz"),
         "bad": (["2024-02-30", None, None], "string"), "year": (["2020", "2021", None], "bigint"),
@@ -119,7 +114,7 @@ def test_type_ladder(spark):
     assert infer_text_types(df) == expected
     profile = {r["column_name"]: r for r in type_profile(df).collect()}
     assert {c: r["inferred_type"] for c, r in profile.items()} == expected
-    assert profile["big"]["n_bigint"] == 2 and profile["big"]["n_double"] == 3
+    assert profile["big"]["n_bigint"] == 2 and profile["big"]["n_double"] == 1
     assert profile["mix"]["n_values"] == 2 and profile["mix"]["n_date"] == 1
 
 
@@ -129,3 +124,14 @@ def test_wider_types():
     assert wider_type("date", "timestamp_ntz") == "timestamp_ntz"
     assert wider_type("bigint", "string") == "string"
     assert wider_type("boolean", "bigint") == "string"
+    assert wider_type("decimal(10,2)", "decimal(12,4)") == "decimal(12,4)"
+    assert wider_type("int", "decimal(5,2)") == "decimal(12,2)"
+    assert wider_type("timestamp", "date") == "timestamp"
+    for pair in (("decimal(38,2)", "decimal(38,4)"), ("double", "decimal(5,2)")):
+        with pytest.raises(ValueError, match="without loss"):
+            wider_type(*pair)
+
+
+def test_declared_text_types_have_lengths():
+    assert {spark_type(x) for x in ("VARCHAR(20)", "char(3)", "TEXT", "nvarchar( 5 )", "CHAR")} == {"string"}
+    assert spark_type("DECIMAL(10,2)") == "decimal(10,2)"

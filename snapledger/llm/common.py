@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import count
 
 import numpy as np
@@ -29,6 +30,11 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """An expression over a value that is worked out once; named in a lambda, it would be for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that the frame does not have yet, whatever its own columns are called."""
     taken = {c.lower() for c in df.columns}

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snapledger.llm.common import col, text_or_empty, written
+from snapledger.llm.common import col, let, shuffled, text_or_empty, written
 
 WORDS, THRESHOLD = 5, 0.8
 BLOCKS, BLOCK_BITS, RADIUS = 8, 16, 31
@@ -34,7 +34,7 @@ def words_of(text: Column) -> Column:
 
 
 def grams(words: Column, n: int, as_hash: bool = False) -> Column:
-    """All word n-grams in order, as text or as hashes; none for fewer words."""
+    """All word n-grams in order of a column of words, as text or as hashes; none for fewer words."""
     made = lambda i: F.slice(words, i, F.lit(n))
     one = (lambda i: F.xxhash64(made(i))) if as_hash else (lambda i: F.array_join(made(i), " "))
     kind = "array<bigint>" if as_hash else "array<string>"
@@ -44,12 +44,12 @@ def grams(words: Column, n: int, as_hash: bool = False) -> Column:
 
 def simhash(parts: Column, seed: int) -> Column:
     """64 bits, each the majority of that bit over the hashes of the parts."""
-    hashes = F.transform(parts, lambda x: F.xxhash64(x, F.lit(seed)))
     bit = lambda h, b: F.call_function("shiftrightunsigned", h, b).bitwiseAND(F.lit(1).cast("long"))
-    votes = lambda b: F.aggregate(hashes, F.lit(0).cast("long"), lambda n, h: n + bit(h, b))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda out, b: out.bitwiseOR(
-        F.call_function("shiftleft", F.when(2 * votes(b) > F.size(parts), F.lit(1).cast("long"))
-                        .otherwise(F.lit(0).cast("long")), b)))
+    votes = lambda hashes, b: F.aggregate(hashes, F.lit(0).cast("long"), lambda n, h: n + bit(h, b))
+    return let(F.transform(parts, lambda x: F.xxhash64(x, F.lit(seed))), lambda hashes: F.aggregate(
+        F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda out, b: out.bitwiseOR(
+            F.call_function("shiftleft", F.when(2 * votes(hashes, b) > F.size(hashes), F.lit(1).cast("long"))
+                            .otherwise(F.lit(0).cast("long")), b))))
 
 
 def blocks(low: Column, high: Column) -> Column:
@@ -87,7 +87,7 @@ def windows(documents: DataFrame, items: DataFrame, sizes: list[int]) -> DataFra
             .select("h", "j", "n").distinct(), "benchmark-grams")
         parts = filed.count() // PART + 1
         placed = documents.select("key", F.xxhash64("text").alias("hash"), F.posexplode(
-            grams(words_of(F.col("text")), size, True)).alias("i", "h"))
+            let(words_of(F.col("text")), lambda words: grams(words, size, True))).alias("i", "h"))  # noqa: B023
         for part in range(parts):
             some = filed.where(F.pmod(F.xxhash64("h"), F.lit(parts)) == part) if parts > 1 else filed
             hits = placed.join(F.broadcast(some), "h").select(
@@ -114,7 +114,7 @@ def leaks(documents: DataFrame, items: DataFrame, *, key: str, text: str, item_k
         return rows.select("key", F.lit(None).cast(dict(items.dtypes)[item_key]).alias("item"), F.lit(0.0).alias("similarity"),
                            F.lit(0).alias("start"), F.lit(0).alias("length")).where(F.lit(False))
     laid = written(windows(rows, known, sizes), "windows")
-    read = (rows.withColumn("hash", F.xxhash64("text")).join(laid.withColumnRenamed("key", "k").withColumnRenamed("hash", "h"),
+    read = (rows.withColumn("hash", F.xxhash64("text")).join(shuffled(laid.withColumnsRenamed({"key": "k", "hash": "h"})),
                                                              F.col("key").eqNullSafe(F.col("k")) & (F.col("hash") == F.col("h")))
             .select("key", "start", F.slice(words_of(F.col("text")), F.col("start") + 1, F.col("length")).alias("words"))
             .withColumn("length", F.size("words")).withColumn("parts", gram(F.col("words"), F.least("length", F.lit(words)))))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from snapledger.llm.common import col, text_or_empty, written
+from snapledger.llm.common import col, let, text_or_empty, written
 
 #: Longs with two lanes of 32 bits each; two per bit of half a hash.
 PACKED, HASHES = 32, 2
@@ -38,22 +38,22 @@ def vector(text: Column) -> Column:
     Paragraphs are the non-empty lines. The empty text has the zero vector.
     """
     full = lambda x: F.length(x) > 0
-    phrases = F.filter(F.split(text, PHRASE_END, -1), full)
-    paragraphs = F.filter(F.split(text, "\n", -1), full)
+    hashed = lambda parts, seed: F.transform(parts, lambda x: F.xxhash64(x, F.lit(seed)))
 
-    def packed(seed: int) -> Column:
-        hashes = F.transform(phrases, lambda x: F.xxhash64(x, F.lit(seed)))
+    def packed(hashes: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.lit(PACKED - 1)), lambda bit: F.aggregate(
             hashes, _long(0), lambda total, h: total + F.call_function("shiftrightunsigned", h, bit).bitwiseAND(_long(BOTH_ONE))))
 
-    def identity(seed: int) -> list[Column]:
-        hashes = F.transform(paragraphs, lambda x: F.xxhash64(x, F.lit(seed)))
+    def identity(hashes: Column) -> Column:
         half = lambda shift: F.aggregate(hashes, _long(0), lambda total, h: total + F.shiftrightunsigned(h, shift)
                                          .bitwiseAND(_long(LOW))).bitwiseAND(_long(LOW))
-        return [half(0), half(32)]
+        return F.array(half(0), half(32))
 
-    return F.concat(F.array(F.size(phrases).cast("long"), *identity(101), *identity(102)),
-                    *[packed(seed) for seed in range(HASHES)])
+    phrases = let(F.filter(F.split(text, PHRASE_END, -1), full), lambda parts: F.concat(
+        F.array(F.size(parts).cast("long")), *[let(hashed(parts, seed), packed) for seed in range(HASHES)]))
+    paragraphs = let(F.filter(F.split(text, "\n", -1), full), lambda parts: F.concat(
+        *[let(hashed(parts, seed), identity) for seed in (101, 102)]))
+    return let(phrases, lambda lanes: F.concat(F.slice(lanes, 1, 1), paragraphs, F.slice(lanes, 2, PACKED * HASHES)))
 
 
 def combined(a: Column, b: Column, sign: int = 1) -> Column:

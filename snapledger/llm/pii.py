@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snapledger.llm.common import col, text_or_empty, written
+from snapledger.llm.common import col, let, text_or_empty, written
 
 BASE = ["email", "ip", "card", "phone"]
 KINDS = [*BASE, "secret", "masked_email", "local_phone", "ssn", "iban"]
@@ -69,10 +69,10 @@ LENGTHS, SHARES = [12, 18, 26], [0.2, 0.6]
 
 def spans(text: Column, pattern: str) -> Column:
     """Matches of a pattern in order: start and end in code points, text, and the text just before."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)), hits, lambda between, hit: F.struct(
-        F.length(between).alias("gap"), F.length(hit).alias("size"), F.right(between, F.lit(CONTEXT)).alias("context"),
-        hit.alias("hit")))
+    parts = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: F.zip_with(
+        F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)), hits, lambda between, hit: F.struct(
+            F.length(between).alias("gap"), F.length(hit).alias("size"), F.right(between, F.lit(CONTEXT)).alias("context"),
+            hit.alias("hit"))))
     none = F.array().cast("array<struct<start:int,end:int,hit:string,context:string>>")
     found = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), lambda done, x: F.struct(
         (done["at"] + x["gap"] + x["size"]).alias("at"),

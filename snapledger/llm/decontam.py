@@ -28,9 +28,13 @@ BLOCKS, BLOCK_BITS, RADIUS = 8, 16, 31
 PART = 500_000
 
 
+#: What stands between words: all ASCII characters but letters and digits.
+BETWEEN = r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
+
+
 def words_of(text: Column) -> Column:
-    """Words of a text: runs of letters and digits, lower case."""
-    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+", -1), "")
+    """Words of a text, lower case, without ASCII punctuation."""
+    return F.array_remove(F.split(F.lower(text), BETWEEN, -1), "")
 
 
 def grams(words: Column, n: int, as_hash: bool = False) -> Column:
@@ -101,7 +105,7 @@ def leaks(documents: DataFrame, items: DataFrame, *, key: str, text: str, item_k
           words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """``key``, ``item``, ``similarity``, ``start``, ``length`` of the best window of each document and item that match.
 
-    Words are compared in lower case and without punctuation. An item of fewer than ``words`` words
+    Words are compared in lower case and without ASCII punctuation. An item of fewer than ``words`` words
     counts as one n-gram; items without words match nothing, nor do null or empty documents. Windows
     at a document's edge are cut there. Rows of one key are one document here: the best of them
     counts. No items or no documents: an empty result. Other columns are ignored.

@@ -63,12 +63,18 @@ CUES = {
     "iban": "iban|bank|konto|account|compte|cuenta",
 }
 AGAINST = r"version|release|isbn|issn|order|invoice|part no|serial|section|chapter|\bv\.?\s*$|#\s*$"
+#: What a text must hold for a match at all; quick to look for, so that most texts need no more.
+HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][0-9 -]{11}", "phone": "+"}
+LOOSE_HINT = r"[:=]\s{0,3}+[\"']?[^\s\"']{6}|[(\[{]at[)\]}]|[0-9]{3}|[A-Z]{2}[0-9]{2}"
 CONTEXT = 40
 LENGTHS, SHARES = [12, 18, 26], [0.2, 0.6]
 
 
-def spans(text: Column, pattern: str) -> Column:
-    """Matches of a pattern in order: start and end in code points, text, and the text just before."""
+def spans(text: Column, pattern: str, hint: Column) -> Column:
+    """Matches of a pattern in order: start and end in code points, text, and the text just before.
+
+    Only texts for which ``hint`` holds can have any.
+    """
     parts = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: F.zip_with(
         F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)), hits, lambda between, hit: F.struct(
             F.length(between).alias("gap"), F.length(hit).alias("size"), F.right(between, F.lit(CONTEXT)).alias("context"),
@@ -79,7 +85,7 @@ def spans(text: Column, pattern: str) -> Column:
         F.concat(done["out"], F.array(F.struct((done["at"] + x["gap"]).alias("start"),
                                                (done["at"] + x["gap"] + x["size"]).alias("end"), x["hit"].alias("hit"),
                                                x["context"].alias("context")))).alias("out")))["out"]
-    return F.when(text.rlike(pattern), found).otherwise(none)
+    return F.when(hint, found).otherwise(none)
 
 
 def luhn(hit: Column) -> Column:
@@ -145,13 +151,16 @@ def candidates(text: Column) -> Column:
     def loose_kind(hit: Column) -> Column:
         return F.coalesce(*[F.when(hit.rlike(test), KINDS.index(name)) for name, test in LOOSE_TESTS.items()], F.lit(len(BASE)))
 
-    def named(pattern: str, kind: Callable[[Column], Column], base: Callable[[Column], Column]) -> Column:
-        return F.transform(spans(text, pattern), lambda x: F.struct(
+    def hinted(hint: str) -> Column:
+        return text.contains(hint) if len(hint) == 1 else text.rlike(hint)
+
+    def named(pattern: str, hint: str, kind: Callable[[Column], Column], base: Callable[[Column], Column]) -> Column:
+        return F.transform(spans(text, pattern, hinted(hint)), lambda x: F.struct(
             x["start"].alias("start"), x["end"].alias("end"), x["hit"].alias("hit"), x["context"].alias("context"),
             kind(x["hit"]).alias("kind"), base(x["hit"]).alias("base")))
 
-    found = F.concat(*[named(PATTERNS[name], lambda _, i=i: F.lit(i), CHECKS[name]) for i, name in enumerate(BASE)],
-                     named(LOOSE, loose_kind, lambda _: F.lit(False)))
+    found = F.concat(*[named(PATTERNS[name], HINTS[name], lambda _, i=i: F.lit(i), CHECKS[name]) for i, name in enumerate(BASE)],
+                     named(LOOSE, LOOSE_HINT, loose_kind, lambda _: F.lit(False)))
     return F.transform(found, lambda x: F.struct(
         x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["base"].alias("base"),
         form_vote(x["kind"], x["hit"]).alias("form"), gazetteer_vote(x["kind"], x["hit"]).alias("gazetteer"),

@@ -161,7 +161,8 @@ def _load_table(spark: SparkSession, store: str, table: str, plan: list,
         tried = cast_columns(text.observe(counted, F.count_if(misfits(types)).alias("misfits")), types,
                              strict=False)
         result = _write_dated(tried, store, table, plan, options)
-        if not counted.get["misfits"]:
+        # Without rows there is nothing to observe either.
+        if not result[1] or not counted.get["misfits"]:
             return result
     types = infer_types(text.drop("__path"), known)
     return _write_dated(cast_columns(text, types), store, table, plan, options)

@@ -80,7 +80,7 @@ def _stretches(df: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
             for part in np.split(np.arange(len(once)), np.flatnonzero(np.diff(group["p"][once]) > 1) + 1):
                 runs = sorted(_shortest_runs(words[part], min_words))
                 if runs:
-                    out.append((number, *(group[c][0] for c in place), *(group[c][once][part] for c in ("at", "h1", "h2")),
+                    out.append((number, *(group[c][0] for c in place), int(group["p"][once][part[0]]), *(group[c][once][part] for c in ("at", "h1", "h2")),
                                 [{"at": a, "m": m} for a, m in runs]))
                     number += 1
             if len(out) > 1_000:
@@ -88,7 +88,7 @@ def _stretches(df: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
                 out = []
         yield pd.DataFrame(out, columns=names)
 
-    schema = ("s bigint, known boolean, key bigint, hash bigint, at array<int>, h1 array<bigint>, h2 array<bigint>, "
+    schema = ("s bigint, known boolean, key bigint, hash bigint, p int, at array<int>, h1 array<bigint>, h2 array<bigint>, "
               "runs array<struct<at:int,m:int>>")
     names = [x.split()[0] for x in schema.split(", ")]
     return written(kept.repartition(*place).sortWithinPartitions(*place, "p").mapInPandas(gather, schema), "stretches")
@@ -114,8 +114,8 @@ def later_copies(df: DataFrame, key: str, text: str, *, min_words: int = MIN_WOR
         ranks = written(pairs.join(_ranked(pairs), ["r1", "r2"]).groupBy("s").agg(
             F.transform(F.array_sort(F.collect_list(F.struct("i", "rank"))), lambda x: x["rank"]).alias("ranks")), "ranks")
         here = F.filter("runs", lambda r: (r["m"] >= span) & (r["m"] < 2 * span))  # noqa: B023 - built at once
-        named = (stretches.join(ranks, "s").select("known", "key", "hash", "at", "ranks", F.explode(here).alias("r"))
-                 .select("known", "key", "hash", F.get("at", F.col("r.at")).alias("first"),
+        named = (stretches.join(ranks, "s").select("known", "key", "hash", "p", "at", "ranks", F.explode(here).alias("r"))
+                 .select("known", "key", "hash", (F.col("p") + F.col("r.at")).alias("p"), F.get("at", F.col("r.at")).alias("first"),
                          F.get("at", F.col("r.at") + F.col("r.m") - 1).alias("last"), F.col("r.m").alias("m"),
                          F.get("ranks", F.col("r.at")).alias("a"), F.get("ranks", F.col("r.at") + F.col("r.m") - span).alias("b")))
         found = named if found is None else found.union(named)
@@ -125,7 +125,7 @@ def later_copies(df: DataFrame, key: str, text: str, *, min_words: int = MIN_WOR
             .select("s", "i", "z.*"))
         span *= 2
     if found is None:
-        found = stretches.select("known", "key", "hash", F.lit(0).alias("first"), F.lit(0).alias("last"), F.lit(1).alias("m"),
+        found = stretches.select("known", "key", "hash", "p", F.lit(0).alias("first"), F.lit(0).alias("last"), F.lit(1).alias("m"),
                                  F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
     found = written(found.withColumn("place", F.struct("known", "key", "hash", "first")), "runs")
     intervals = written(found.groupBy("m", "a", "b").agg(F.min("place").alias("earliest"), F.count(F.lit(1)).alias("n"))
@@ -137,18 +137,20 @@ def later_copies(df: DataFrame, key: str, text: str, *, min_words: int = MIN_WOR
 
     return (found.join(intervals, ["m", "a", "b"]).where("place > earliest")
             .groupBy(F.struct("known", "key", "hash").alias("document"))
-            .agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("runs"))
+            .agg(F.array_sort(F.collect_set(F.struct("p", "m", "first", "last"))).alias("runs"))
             .select("document", joined_up("runs").alias("runs")))
 
 
 def _union(runs: list) -> list[dict]:
-    """Sorted intervals of lines, put together where they touch or overlap."""
+    """Sorted runs put together where no line but empty ones lies between (``p`` and ``m`` leave those out)."""
     out: list[dict] = []
+    end = -1
     for run in runs:
-        if out and run["first"] <= out[-1]["last"] + 1:
+        if out and run["p"] <= end:
             out[-1]["last"] = max(out[-1]["last"], run["last"])
         else:
             out.append({"first": run["first"], "last": run["last"]})
+        end = max(end, run["p"] + run["m"])
     return out
 
 
@@ -156,7 +158,7 @@ def dedup_lines(df: DataFrame, key: str, text: str, *, min_words: int = MIN_WORD
     """The rows with later copies of repeated runs taken out of ``text``, and ``removed``: what went.
 
     ``removed`` lists the stretches of removed lines as ``first-last``, counted from 0, or is empty.
-    Empty lines within a removed run go with it. Null text stays null. The first copy stays whole: by
+    Empty lines between removed lines go with them. Null text stays null. The first copy stays whole: by
     key, null first, then by a hash of the text. Rows of equal key and text are one document and
     treated alike. Columns of the result's names are replaced; keys are whole numbers.
     """

@@ -118,8 +118,8 @@ class Dataset:
         known = {view.name.lower(): view.name for view in catalog.listTables() if view.isTemporary}
         hidden = {}
         for name in self._tables:
-            if set(re.findall(r"\w+", name.lower())) <= words:
-                view = self.prefix + name
+            view = self.prefix + name
+            if set(re.findall(r"\w+", view.lower())) <= words:
                 if view.lower() in known:
                     hidden[view] = self.spark.table(known[view.lower()])
                 self.table(name).createOrReplaceTempView(view)

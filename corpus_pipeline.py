@@ -53,8 +53,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Drop documents that hold a passage of the benchmark."""
     found = decontam.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="doc_id", text="text",
                            item_key="item_id", item_text="text")
-    leaked = written(found.select("key").distinct(), "leaked")
-    return docs.join(leaked, F.col("doc_id").eqNullSafe(F.col("key")), "left_anti")
+    other = free_name(docs, "_id")
+    leaked = written(found.select(F.col("key").alias(other)).distinct(), "leaked")
+    return docs.join(leaked, F.col("doc_id").eqNullSafe(F.col(other)), "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,7 +49,7 @@ def test_stages_on_the_smallest_tables(spark, small, tmp_path):
 
 def test_stages_take_odd_rows(spark, small):
     for rows in ([(k, t, "en", None, None) for k, t in ROWS], []):
-        docs = spark.createDataFrame([(*r, 1, 2) for r in rows], SCHEMA + ", `_text` int, `removed` int")
+        docs = spark.createDataFrame([(*r, 1, 2) for r in rows], SCHEMA + ", `key` int, `removed` int")
         for _, stage in pipeline.STAGES[:-1]:
             out = stage(spark, docs, small)
             assert out.columns == docs.columns and out.count() <= len(rows)

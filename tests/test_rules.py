@@ -6,6 +6,7 @@ from snapledger.operators.rules import (ForeignKey, apply_schema, cascade_delete
                                         validation_report)
 from snapledger.sources.dataset import Dataset
 
+# The shape and keywords of declared schemas and relations.
 SCHEMAS = {"tables": {"table1": {"columns": {
     "id": {"type": "INTEGER", "primary_key": True}, "name": {"type": "TEXT", "nullable": False},
     "created_at": {"type": "TIMESTAMP"}, "absent": {"type": "DECIMAL(10,2)"}}}}}

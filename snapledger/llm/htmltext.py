@@ -4,11 +4,13 @@
    (scripts, styles, forms, navigation, headers, footers, asides, and elements whose class, id or
    role says advert, notice, sidebar, comments and the like) makes no blocks. Blocks inside a
    declared ``<article>`` or ``<main>`` are the article; a page with such blocks has no others.
-2. Pages without a declared article are differenced. Within each host the pages are sorted by the
-   path of their URL; every page is paired with the neighbour whose path shares most leading parts,
-   their lines are aligned by a longest common subsequence, and shared lines are deleted: they come
-   from the site's template. A neighbour that is a copy (four fifths or more of the lines shared)
-   says nothing about the template and is passed over.
+2. All pages are differenced. Within each host the pages are sorted by the path of their URL; every
+   page is paired with the neighbour whose path shares most leading parts, their lines are aligned
+   by a longest common subsequence, and shared lines are deleted: they come from the site's
+   template. A neighbour that is a copy (four fifths or more of the lines shared) says nothing
+   about the template and is passed over.
+3. A declared article is one vote for its lines, so that a shared line needs a second vote against
+   it to go: it stands on at least ``HOST_PAGES`` different pages of the host.
 
 Only hashes of the lines are sorted and joined. The order over all hosts is one range partitioning
 with positions counted on, so a host with a third of all pages is dealt over many tasks.
@@ -28,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapledger.llm.common import col, free_name, running_starts, text_or_empty, written
+from snapledger.llm.common import col, free_name, running_starts, shuffled, text_or_empty, written
 
 #: Elements of HTML that hold no article text, by the standard's meaning of the tag.
 EXCLUDED = frozenset("head nav footer aside form script style noscript template iframe object svg math canvas audio "
@@ -49,6 +51,8 @@ NOISE = frozenset("ad ads advert adverts advertisement advertising adbox sponsor
 #: Those of them that mark an ``<article>`` or ``<main>`` itself as no article.
 NO_ARTICLE = frozenset("comment reply ad advert sponsored promo related widget".split())
 COPY = 0.8
+#: Different pages of a host that hold a line, from which on the host votes against it.
+HOST_PAGES = 6
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>"
                  r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)>|<[!?][^<>]*>", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
@@ -233,21 +237,21 @@ def _url_parts(url: str | None) -> tuple[str, list[str]]:
 
 
 def template_lines(pages: DataFrame, url: str, page: str, copy: float = COPY) -> DataFrame:
-    """``_host``, ``_lines`` (the hash of a page's lines) and the places of its lines that a neighbour shares."""
-    @F.pandas_udf("_host string, _path array<string>, _hashes array<bigint>, _lines string")
+    """``_host``, ``_lines`` (the key of a page's lines) and the places of its lines that are voted out."""
+    @F.pandas_udf("_host string, _path array<string>, _hashes array<bigint>, _lines string, _declared boolean")
     def lines(urls: pd.Series, texts: pd.Series) -> pd.DataFrame:
         out = []
         for target, text in zip(urls, texts, strict=True):
             found, declared = candidate_blocks(text)
             host, path = _url_parts(target)
-            out.append((host, path, [] if declared else _hashes(found), "" if declared else _key(found)))
-        return pd.DataFrame(out, columns=["_host", "_path", "_hashes", "_lines"])
+            out.append((host, path, _hashes(found), _key(found, declared), declared))
+        return pd.DataFrame(out, columns=["_host", "_path", "_hashes", "_lines", "_declared"])
 
-    open_pages = (pages.select(lines(col(url).cast("string"), text_or_empty(page)).alias("_p")).select("_p.*")
+    every = (pages.select(lines(col(url).cast("string"), text_or_empty(page)).alias("_p")).select("_p.*")
                   .where(F.size("_hashes") > 0)
-                  .groupBy("_host", "_lines").agg(F.min(F.struct("_path", "_hashes")).alias("_p"))
+                  .groupBy("_host", "_lines").agg(F.min(F.struct("_path", "_hashes", "_declared")).alias("_p"))
                   .select("_host", "_lines", "_p.*"))
-    ordered = written(open_pages, "page-lines").repartitionByRange("_host", "_path", "_lines")
+    ordered = written(every, "page-lines").repartitionByRange("_host", "_path", "_lines")
 
     def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task, n = TaskContext.get().partitionId(), 0
@@ -258,7 +262,7 @@ def template_lines(pages: DataFrame, url: str, page: str, copy: float = COPY) ->
 
     numbered = written(ordered.sortWithinPartitions("_host", "_path", "_lines")
                        .mapInPandas(number, "_host string, _lines string, _path array<string>, _hashes array<bigint>, "
-                                            "_task int, _at bigint"), "page-order")
+                                            "_declared boolean, _task int, _at bigint"), "page-order")
     starts = running_starts(numbered.groupBy("_task").agg(F.count(F.lit(1)).alias("_n")), "_task", "_n")
     spark = pages.sparkSession
     firsts = spark.createDataFrame(list(starts.items()), "_task int, _first bigint")
@@ -283,9 +287,18 @@ def template_lines(pages: DataFrame, url: str, page: str, copy: float = COPY) ->
             out.append(found)
         return pd.Series(out)
 
-    return (placed.join(beside, "_at", "left")
-            .select("_host", "_lines", shared("_host", "_path", "_hashes", "_before", "_after").alias("_drop"))
-            .where(F.size("_drop") > 0))
+    found = written(placed.join(beside, "_at", "left")
+                    .select("_host", "_lines", "_declared", "_hashes",
+                            shared("_host", "_path", "_hashes", "_before", "_after").alias("_drop"))
+                    .where(F.size("_drop") > 0), "shared-lines")
+    often = written(numbered.select("_host", F.explode(F.array_distinct("_hashes")).alias("_hash"))
+                    .groupBy("_host", "_hash").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= HOST_PAGES)
+                    .drop("_n"), "host-lines")
+    declared = (found.where("_declared").select("_host", "_lines", "_hashes", F.explode("_drop").alias("_i"))
+                .select("_host", "_lines", "_i", F.get("_hashes", F.col("_i")).alias("_hash"))
+                .join(shuffled(often), ["_host", "_hash"]))
+    return found.where(~F.col("_declared")).select("_host", "_lines", "_drop").union(
+        declared.groupBy("_host", "_lines").agg(F.collect_list("_i").alias("_drop")))
 
 
 def _shared_parts(a: list[str], b: list[str]) -> int:
@@ -295,8 +308,8 @@ def _shared_parts(a: list[str], b: list[str]) -> int:
     return n
 
 
-def _key(lines: list[str]) -> str:
-    return xxhash.xxh128_hexdigest("\n".join(lines))
+def _key(lines: list[str], declared: bool) -> str:
+    return xxhash.xxh128_hexdigest("\n".join(lines)) + ("d" if declared else "")
 
 
 def extract(pages: DataFrame, *, url: str = "url", page: str = "html", text: str = "text",
@@ -313,13 +326,13 @@ def extract(pages: DataFrame, *, url: str = "url", page: str = "html", text: str
         out = []
         for target, value in zip(urls, texts, strict=True):
             found, declared = candidate_blocks(value)
-            out.append((_url_parts(target)[0], "" if declared else _key(found), found))
+            out.append((_url_parts(target)[0], _key(found, declared), found))
         return pd.DataFrame(out, columns=["_host", "_lines", "_blocks"])
 
     kept = pages.drop(text) if text != page and text in pages.columns else pages
     p, d = free_name(kept, "_page"), free_name(kept, "_drops")
     drops = drops.select(F.col("_host").alias(f"{d}h"), F.col("_lines").alias(f"{d}l"), F.col("_drop").alias(d))
     rows = kept.withColumn(p, read(col(url).cast("string"), text_or_empty(page)))
-    joined = rows.join(drops, (F.col(p)["_host"] == F.col(f"{d}h")) & (F.col(p)["_lines"] == F.col(f"{d}l")), "left")
+    joined = rows.join(shuffled(drops), (F.col(p)["_host"] == F.col(f"{d}h")) & (F.col(p)["_lines"] == F.col(f"{d}l")), "left")
     left = F.filter(F.col(p)["_blocks"], lambda x, i: F.coalesce(~F.array_contains(F.col(d), i), F.lit(True)))
     return joined.withColumn(text, F.array_join(left, "\n")).select(*[col(c) for c in kept.columns if c != text], text)

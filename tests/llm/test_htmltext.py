@@ -66,6 +66,17 @@ def test_declared_articles_are_left_whole(spark):
     assert run(spark, rows) == {i: f"same line\nown {i}" for i in range(5)}
 
 
+def test_template_lines_inside_declared_articles_go(spark):
+    """A line of the site goes from the articles of the host; one that two of its pages share stays."""
+    page = lambda i: f"<article><h1>Story {i}</h1><p>It begins {i}</p><p>pair {i // 2}</p><p>Share this story</p></article>"
+    rows = [(i, f"http://h.example/news/{i:02d}", page(i)) for i in range(30)]
+    rows += [(100, "http://h.example/news/00/copy", page(0)), (101, "http://other.example/1", page(101))]
+    got = run(spark, rows)
+    for i in range(30):
+        assert got[i] == f"Story {i}\nIt begins {i}\npair {i // 2}"
+    assert got[100] == got[0] and got[101].endswith("Share this story")
+
+
 def test_odd_rows(spark):
     rows = [(1, None, None), (2, "", ""), (3, "no url", "<p>x"), (3, "no url", "<p>x"), (None, "http://a/b", "<p>y"), (4, "http://a/b", "<div>" * 30_000 + "z"),
             (5, "http://a/c", "w " * 200_000)]

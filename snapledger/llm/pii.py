@@ -42,7 +42,7 @@ PATTERNS = {
 #: Looser candidates of the further kinds, and which kind a match is: the first whose test it passes.
 SECRET = r"(?i:password|passwd|pwd|passphrase|token|secret|api[_-]?key|access[_-]?key)"
 LOOSE = "|".join([
-    rf"(?<![A-Za-z]){SECRET}[\"']?\s{{0,3}}+[:=]\s{{0,3}}+[\"']?[^\s\"']{{6,200}}+",
+    rf"(?<![A-Za-z]){SECRET}[\"']?\s{{0,3}}+[:=]\s{{0,3}}+[\"']?[^\s\"']{{6,}}+",
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[(\[{]at[)\]}] ?[A-Za-z0-9-]++(?: ?(?:[(\[{]dot[)\]}]|\.) ?[A-Za-z0-9-]++)++",
     r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     r"(?<![0-9A-Za-z+(-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])",

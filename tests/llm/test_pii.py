@@ -55,6 +55,13 @@ def test_very_long_runs(spark):
     assert [(s, e, k) for s, e, k, sure in got[3] if sure] == base(rows[2][1]) and not [x for x in got[2] if x[3]]
 
 
+def test_long_secrets_are_covered_to_their_end(spark):
+    rows = [(i, f"config key: token = {'eyJhbGciOi' * 60}{i:02d} end") for i in range(60)]
+    got = found(spark, rows)
+    for i, text in rows:
+        assert [(s, e) for s, e, k, _ in got[i] if k == "secret"] == [(text.index("token"), len(text) - len(" end"))]
+
+
 def test_labelers_add_what_the_base_lacks(spark):
     rows = [(i, f"config key: password=a1b2c3d4e5f6{i:02d} and write to joe{i} (at) mail.example (dot) com, call 212-555-01{i:02d}.") for i in range(60)]
     rows += [(100 + i, f"plain text number {i} mail x{i}@y.com") for i in range(60)]

@@ -48,14 +48,19 @@ NOISE = frozenset("ad ads advert adverts advertisement advertising adbox sponsor
                   "newsletter subscribe subscription signup popup modal overlay comment comments reply replies respond "
                   "disqus share sharing social related recommended pagination pager widget toolbar complementary "
                   "contentinfo search skip masthead topbar login".split())
-#: Those of them that mark an ``<article>`` or ``<main>`` itself as no article.
+#: Classes that mark an element inside a declared article as no part of it, as whole names.
+ARTICLE_NOISE = frozenset("comment comments comment-body comment-list comments-area ad ads advert adverts advertisement "
+                          "share-buttons sharing-buttons".split())
+#: Elements whose id says what they are about, not what they are for.
+SECTIONS = frozenset("h1 h2 h3 h4 h5 h6 section article main".split())
+#: Words in the class or role of an ``<article>`` or ``<main>`` that mark it as no article.
 NO_ARTICLE = frozenset("comment reply ad advert sponsored promo related widget".split())
 COPY = 0.8
 #: Different pages of a host that hold a line, from which on the host votes against it.
 HOST_PAGES = 6
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>"
                  r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)>|<[!?][^<>]*>", re.S)
-ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 PATH = re.compile(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)([^?#]*)")
 
 
@@ -68,11 +73,17 @@ def _noise(tag: str, attributes: str, in_main: bool) -> bool:
         name, value = name.lower(), "".join(values).lower()
         if name in ("class", "id", "role") and tag not in ("html", "body"):
             parts = re.split(r"[^a-z0-9]+", value)
-            if not (NO_ARTICLE if tag in ("article", "main") else NOISE).isdisjoint(parts) or "header" in parts and not in_main:
-                return True
+            if in_main:
+                if name == "class" and not ARTICLE_NOISE.isdisjoint(value.split()) or name == "role" and not NOISE.isdisjoint(parts):
+                    return True
+            elif name != "id" or tag not in SECTIONS:
+                if not (NO_ARTICLE if tag in ("article", "main") else NOISE).isdisjoint(parts) or "header" in parts:
+                    return True
+        if name == "hidden":
+            return True
         if name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
             return True
-    return bool(re.search(r"(?:^|\s)hidden(?:$|[\s/=])", attributes, re.I))
+    return False
 
 
 def blocks(page: str) -> list[tuple[str, bool]]:

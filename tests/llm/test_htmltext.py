@@ -21,6 +21,16 @@ def test_blocks(page, text):
     assert "\n".join(htmltext.candidate_blocks(page)[0]) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ('<p title="the hidden cost of x">a</p><p data-note="a hidden gem">b</p><p class=x HIDDEN>no</p><p hidden="">no</p>', "a\nb"),
+    ('<article><section id="related-work"><h2 id="search">a</h2>b</section><h2 id="share-of-votes">c</h2></article>', "a\nb\nc"),
+    ('<article><div class="login-example">a</div><div class="x share-buttons">no</div><div role=navigation>no</div></article>', "a"),
+    ('<article id="related-work">a</article>', "a"), ('<section id="related-work">a</section><h2 id="search">b</h2>', "a\nb"),
+])
+def test_article_text_is_not_taken_for_noise(page, text):
+    assert "\n".join(htmltext.candidate_blocks(page)[0]) == text
+
+
 def plain_length(a, b):
     row = [0] * (len(b) + 1)
     for x in a:

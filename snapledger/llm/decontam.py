@@ -1,8 +1,9 @@
 """Benchmark passages in documents: SimHash of item-sized windows, multi-index Hamming search, exact check.
 
-1. Windows. A window similar enough to an item shares a word n-gram with it (at a similarity above 0
-   it must), so windows are laid where an n-gram of the document is one of the benchmark's: as long
-   as that item and placed as it would lie. This loses no window that can match.
+1. Windows. A window of an item's length can only be as similar as the threshold if enough of its
+   n-grams are the benchmark's, whatever their order. Per document and item length, windows are laid
+   at every start that has so many n-grams of items of that length. This loses no window that
+   can match, wherever words were inserted, lost or moved.
 2. Fingerprints. Every window and every item gets a SimHash of 128 bits of its n-grams, each counted as
    often as it occurs.
 3. Search. The 128 bits are 8 blocks of 16. Two fingerprints within ``RADIUS`` = 31 bits agree in
@@ -82,22 +83,47 @@ def benchmark_items(items: DataFrame, key: str, text: str, words: int = WORDS) -
             .withColumn("gram", F.least("n", F.lit(words))))
 
 
-def windows(documents: DataFrame, items: DataFrame, sizes: list[int]) -> DataFrame:
+def starts(places: Column, total: Column, size: Column, threshold: float) -> Column:
+    """Starts of windows of ``size`` n-grams that can reach the threshold, of a document of ``total`` n-grams.
+
+    ``places``: sorted places of the document's n-grams that are the benchmark's. A whole window at the
+    threshold has ``2 * threshold / (1 + threshold)`` of ``size`` of them, one that is cut at an edge of the
+    document at least ``threshold``. Starts before the document are negative.
+    """
+    whole = lambda s: (s >= 0) & (s + size <= total)
+
+    def having(share: float) -> Column:
+        least = F.greatest(F.lit(1), F.ceil(size * F.lit(share) - F.lit(1e-9)).cast("int"))
+        return let(least, lambda k: F.flatten(F.transform(F.filter(F.zip_with(
+            F.slice(places, F.lit(1), F.greatest(F.lit(0), F.size(places) - k + 1)),
+            F.slice(places, k, F.size(places)), lambda first, last: F.struct(first.alias("first"), last.alias("last"))),
+            lambda x: x["last"] - x["first"] < size), lambda x: F.sequence(x["last"] - size + 1, x["first"]))))
+
+    cut = F.filter(F.array_distinct(having(threshold)), lambda s: ~whole(s))
+    return F.concat(F.filter(F.array_distinct(having(2 * threshold / (1 + threshold))), whole), cut)
+
+
+def windows(documents: DataFrame, items: DataFrame, sizes: list[int], threshold: float) -> DataFrame:
     """``key``, ``hash``, ``start``, ``length`` (in words) of the windows laid in documents (``key``, ``text``)."""
     found = None
     for size in sizes:
         filed = written(items.where(F.col("gram") == size).select(
-            "n", F.posexplode(grams(F.col("words"), size, True)).alias("j", "h"))
-            .select("h", "j", "n").distinct(), "benchmark-grams")
+            "n", F.explode(grams(F.col("words"), size, True)).alias("h")).distinct(), "benchmark-grams")
         parts = filed.count() // PART + 1
-        placed = documents.select("key", F.xxhash64("text").alias("hash"), F.posexplode(
-            let(words_of(F.col("text")), lambda words: grams(words, size, True))).alias("i", "h"))  # noqa: B023
+        placed = (documents.select("key", F.xxhash64("text").alias("hash"),
+                                   let(words_of(F.col("text")), lambda words: grams(words, size, True)).alias("all"))  # noqa: B023
+                  .select("key", "hash", F.size("all").alias("total"), F.posexplode("all").alias("i", "h")))
+        hits = None
         for part in range(parts):
             some = filed.where(F.pmod(F.xxhash64("h"), F.lit(parts)) == part) if parts > 1 else filed
-            hits = placed.join(F.broadcast(some), "h").select(
-                "key", "hash", F.greatest(F.lit(0), F.col("i") - F.col("j")).alias("start"),
-                (F.col("n") + F.least(F.lit(0), F.col("i") - F.col("j"))).alias("length"))
-            found = hits if found is None else found.union(hits)
+            more = placed.join(F.broadcast(some), "h").select("key", "hash", "total", "n", "i")
+            hits = more if hits is None else hits.union(more)
+        per_length = (hits.groupBy("key", "hash", "total", "n").agg(F.sort_array(F.collect_set("i")).alias("places"))
+                      .select("key", "hash", "n", F.explode(starts(F.col("places"), F.col("total"), F.col("n") - size + 1,
+                                                                   threshold)).alias("s")))
+        laid = per_length.select("key", "hash", F.greatest(F.lit(0), F.col("s")).alias("start"),
+                                 (F.col("n") + F.least(F.lit(0), F.col("s"))).alias("length"))
+        found = laid if found is None else found.union(laid)
     return found.distinct()
 
 
@@ -110,19 +136,35 @@ def leaks(documents: DataFrame, items: DataFrame, *, key: str, text: str, item_k
     at a document's edge are cut there. Rows of one key are one document here: the best of them
     counts. No items or no documents: an empty result. Other columns are ignored.
     """
+    best = F.max(F.struct("similarity", -F.col("start"), F.col("length"))).alias("best")
+    found = matches(documents, items, key=key, text=text, item_key=item_key, item_text=item_text, words=words,
+                    threshold=threshold)
+    return (found.groupBy("key", "item").agg(best)
+            .select("key", "item", F.col("best.similarity").alias("similarity"), (-F.col("best.col2")).alias("start"),
+                    F.col("best.length").alias("length")))
+
+
+def text_hash(text: str) -> Column:
+    """What texts of one key are told apart by."""
+    return F.xxhash64(text_or_empty(text))
+
+
+def matches(documents: DataFrame, items: DataFrame, *, key: str, text: str, item_key: str, item_text: str,
+            words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
+    """As ``leaks``, but all windows that match, with the ``hash`` of the text that they stand in."""
     rows = documents.select(col(key).alias("key"), text_or_empty(text).alias("text"))
     known = written(benchmark_items(items, item_key, item_text, words), "benchmark")
     sizes = sorted(r[0] for r in known.select("gram").distinct().collect())
     gram = lambda words, n: F.coalesce(*[F.when(n == size, grams(words, size)) for size in sizes])
     if not sizes:
-        return rows.select("key", F.lit(None).cast(dict(items.dtypes)[item_key]).alias("item"), F.lit(0.0).alias("similarity"),
+        return rows.select("key", text_hash("text").alias("hash"), F.lit(None).cast(dict(items.dtypes)[item_key]).alias("item"), F.lit(0.0).alias("similarity"),
                            F.lit(0).alias("start"), F.lit(0).alias("length")).where(F.lit(False))
-    laid = written(windows(rows, known, sizes), "windows")
-    read = (rows.withColumn("hash", F.xxhash64("text")).join(shuffled(laid.withColumnsRenamed({"key": "k", "hash": "h"})),
+    laid = written(windows(rows, known, sizes, threshold), "windows")
+    read = (rows.withColumn("hash", text_hash("text")).join(shuffled(laid.withColumnsRenamed({"key": "k", "hash": "h"})),
                                                              F.col("key").eqNullSafe(F.col("k")) & (F.col("hash") == F.col("h")))
-            .select("key", "start", F.slice(words_of(F.col("text")), F.col("start") + 1, F.col("length")).alias("words"))
+            .select("key", "hash", "start", F.slice(words_of(F.col("text")), F.col("start") + 1, F.col("length")).alias("words"))
             .withColumn("length", F.size("words")).withColumn("parts", gram(F.col("words"), F.least("length", F.lit(words)))))
-    signed = written(read.select("key", "start", "length", "parts", simhash(F.col("parts"), 1).alias("low"),
+    signed = written(read.select("key", "hash", "start", "length", "parts", simhash(F.col("parts"), 1).alias("low"),
                                  simhash(F.col("parts"), 2).alias("high")), "window-fingerprints")
     filed = known.withColumn("item_parts", gram(F.col("words"), F.col("gram")))
     filed = written(filed.select("item", "item_parts", simhash(F.col("item_parts"), 1).alias("item_low"),
@@ -137,10 +179,6 @@ def leaks(documents: DataFrame, items: DataFrame, *, key: str, text: str, item_k
              .select("low", "high", "b.*").join(index, ["block", "value"])
              .where(distance(("low", "high"), ("item_low", "item_high")) <= RADIUS)
              .select("low", "high", "item").distinct())
-    matched = (signed.join(written(pairs, "near-pairs"), ["low", "high"]).join(filed.select("item", "item_parts"), "item")
-               .withColumn("similarity", weighted_jaccard(F.col("parts"), F.col("item_parts")))
-               .where(F.col("similarity") >= threshold))
-    best = F.max(F.struct("similarity", -F.col("start"), F.col("length"))).alias("best")
-    return (matched.groupBy("key", "item").agg(best)
-            .select("key", "item", F.col("best.similarity").alias("similarity"), (-F.col("best.col2")).alias("start"),
-                    F.col("best.length").alias("length")))
+    return (signed.join(written(pairs, "near-pairs"), ["low", "high"]).join(filed.select("item", "item_parts"), "item")
+            .withColumn("similarity", weighted_jaccard(F.col("parts"), F.col("item_parts")))
+            .where(F.col("similarity") >= threshold).select("key", "hash", "item", "similarity", "start", "length"))

@@ -58,6 +58,23 @@ def test_against_all_windows(spark):
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_windows_between_the_diagonals_of_hits(spark):
+    """Words inserted in the middle and lost at the ends, or moved: the best window starts on no shared n-gram's diagonal."""
+    cases = [(59, 1, 2), (100, 3, 6), (200, 8, 16)]
+    items = [(i, " ".join(f"w{i}x{j}" for j in range(n))) for i, (n, _, _) in enumerate(cases)]
+    documents = []
+    for i, (n, lost, more) in enumerate(cases):
+        have = items[i][1].split()[lost:n - lost]
+        have[len(have) // 2:len(have) // 2] = [f"new{j}" for j in range(more)]
+        documents.append((i, " ".join([f"a{j}" for j in range(300)] + have + [f"b{j}" for j in range(300)])))
+    swapped = items[1][1].split()
+    documents.append((9, " ".join(["a"] * 40 + swapped[50:] + swapped[:50] + ["b"] * 40)))
+    want = brute(documents, items)
+    got = run(spark, frame(spark, documents), frame(spark, items, ("item_id", "text")))
+    assert want.keys() == {(0, 0), (1, 1), (2, 2), (9, 1)} and got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_search_finds_every_fingerprint_in_the_radius(spark):
     """Items are filed so that up to 31 of 128 changed bits still meet in a block."""
     rng = random.Random(6)

@@ -40,22 +40,25 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of each class of similar documents the one with the smallest id, once."""
-    classes = jaccard.similarity_classes(docs, "doc_id", "text")
-    keep = written(classes.where(F.col("class_id").eqNullSafe(F.col("doc_id"))).select("doc_id").distinct(), "kept")
-    known, other = free_name(docs, "_known"), free_name(docs, "_id")
-    keep = keep.select(F.col("doc_id").alias(other), F.lit(True).alias(known))
-    return (docs.join(keep, F.col("doc_id").eqNullSafe(F.col(other)), "left").where(F.col(known))
-            .drop(known, other).dropDuplicates(["doc_id"]))
+    """Keep one row of each class of similar documents: that with the smallest id, text hash and other values."""
+    classes = jaccard.text_classes(jaccard.keyed_texts(docs, "doc_id", "text"))
+    keep = written(classes.select("class_id", "class_hash").distinct(), "kept")
+    keep = keep.select(F.col("class_id").alias("id"), F.col("class_hash").alias("known"))
+    rows = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("row"), col("doc_id").alias("key"),
+                       jaccard.text_hash("text").alias("hash"))
+    kept = rows.join(keep, F.col("key").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("known")))
+    rest = F.to_json(F.struct(F.col("row")["text"].isNull().alias("t"), *[F.col("row")[c].alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"]),
+                     {"ignoreNullFields": "false"})
+    return kept.groupBy("hash").agg(F.min_by("row", rest).alias("row")).select("row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a passage of the benchmark."""
-    found = decontam.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="doc_id", text="text",
-                           item_key="item_id", item_text="text")
-    other = free_name(docs, "_id")
-    leaked = written(found.select(F.col("key").alias(other)).distinct(), "leaked")
-    return docs.join(leaked, F.col("doc_id").eqNullSafe(F.col(other)), "left_anti")
+    """Drop documents that hold a passage of the benchmark, each told by id and text."""
+    found = decontam.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="doc_id", text="text",
+                             item_key="item_id", item_text="text")
+    other, text = free_name(docs, "_id"), free_name(docs, "_text")
+    leaked = written(found.select(F.col("key").alias(other), F.col("hash").alias(text)).distinct(), "leaked")
+    return docs.join(leaked, F.col("doc_id").eqNullSafe(F.col(other)) & (decontam.text_hash("text") == F.col(text)), "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snapledger.llm.common import col, shuffled, sorted_groups, text_or_empty, written
@@ -232,8 +232,27 @@ def similarity_classes(df: DataFrame, key: str, text: str, *, words: int = WORDS
     each other. Texts of fewer than ``words`` words are compared as a whole. Repeated rows are copies;
     a null key sorts first. An empty table gives an empty result. Other columns are ignored.
     """
-    rows = df.select(col(key).alias("_key"), text_or_empty(text).alias("_text")).withColumn("_hash", F.md5("_text"))
+    rows = keyed_texts(df, key, text)
+    per_text = text_classes(rows, words, threshold, tolerance)
+    return rows.select("_key", "_hash").join(per_text, "_hash").select(F.col("_key").alias(key), "class_id", "n_links", "n_copies")
+
+
+def text_hash(text: str) -> Column:
+    """What texts are told apart by."""
+    return F.md5(text_or_empty(text))
+
+
+def keyed_texts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``_key``, ``_text`` and ``_hash`` of the rows."""
+    return df.select(col(key).alias("_key"), text_or_empty(text).alias("_text"), text_hash(text).alias("_hash"))
 
+
+def text_classes(rows: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """Per ``_hash`` of ``keyed_texts`` its ``class_id``, ``n_links``, ``n_copies``, and ``class_hash``.
+
+    The class is represented by its row with the smallest key (``class_id``) and, among texts with that
+    key, the smallest hash (``class_hash``); no two classes have the same hash.
+    """
     @F.pandas_udf("binary")
     def sign(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
@@ -251,10 +270,12 @@ def similarity_classes(df: DataFrame, key: str, text: str, *, words: int = WORDS
     links = found.where("b IS NULL").groupBy(F.col("a").alias("_id")).agg(F.sum("n").alias("n_links"))
     linked = written(classes.withColumnRenamed("id", "_id").join(links, "_id")
                      .join(nodes.select("_id", "_node", "_first"), "_id"), "linked")
-    firsts = linked.groupBy("component").agg(F.min(F.struct(F.col("_first").isNotNull(), "_first"))["_first"].alias("class_id"))
+    first = F.min(F.struct(F.col("_first").isNotNull(), "_first", "_node"))
+    firsts = linked.groupBy("component").agg(first.alias("_f")).select(
+        "component", F.col("_f._first").alias("class_id"), F.col("_f._node").alias("class_hash"))
     known = nodes.select("_node", "_first", "_copies").join(
-        linked.join(firsts, "component").select("_node", "class_id", "n_links", F.lit(True).alias("_in")), "_node", "left")
-    per_text = written(known.select(
+        linked.join(firsts, "component").select("_node", "class_id", "class_hash", "n_links", F.lit(True).alias("_in")), "_node", "left")
+    return written(known.select(
         F.col("_node").alias("_hash"), F.when(F.col("_in"), F.col("class_id")).otherwise(F.col("_first")).alias("class_id"),
+        F.coalesce("class_hash", "_node").alias("class_hash"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("_copies").alias("n_copies")), "classes")
-    return rows.select("_key", "_hash").join(per_text, "_hash").select(F.col("_key").alias(key), "class_id", "n_links", "n_copies")

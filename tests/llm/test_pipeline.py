@@ -1,5 +1,6 @@
 """The pipeline stage by stage against plain Python, and the queries on the smallest tables."""
 
+import hashlib
 from collections import Counter
 
 import pytest
@@ -55,6 +56,19 @@ def test_stages_take_odd_rows(spark, small):
             assert out.columns == docs.columns and out.count() <= len(rows)
 
 
+def test_rows_with_null_or_repeated_ids_are_told_by_their_text(spark, small):
+    leak = spark.read.parquet(f"{small}/benchmark.parquet").select("text").orderBy("item_id").first()[0]
+    own = lambda n: " ".join(f"w{n}x{j}" for j in range(40))
+    rows = [(None, own(1), "a"), (None, own(2), "a"), (None, own(2), "b"), (7, own(3), "a"), (7, own(4), "a"), (7, own(3) + " end", "a"),
+            (8, own(4), "a"), (None, own(5) + " " + leak, "a"), (7, leak, "a"), (9, own(4) + " end", "a")]
+    docs = spark.createDataFrame([(k, t, "en", v, 1) for k, t, v in rows], SCHEMA)
+    plain = lambda df: sorted(((r[0], r[1], r[3]) for r in df.collect()), key=str)
+    third = min((own(3), own(3) + " end"), key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    want = [(None, own(1), "a"), (None, own(2), "a"), (7, third, "a"), (7, own(4), "a"), (None, own(5) + " " + leak, "a"), (7, leak, "a")]
+    assert plain(pipeline.near_duplicates(spark, docs, small)) == sorted(want, key=str)
+    assert plain(pipeline.decontaminate(spark, docs, small)) == sorted([r for r in rows if leak not in r[1]], key=str)
+
+
 @pytest.mark.parametrize("name", [n for n in queries.QUERIES if n not in ("pipeline",)])
 def test_queries_cover_whole_tables(spark, small, name):
     df = queries.QUERIES[name](spark, small)

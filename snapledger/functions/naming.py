@@ -125,3 +125,8 @@ def sanitize_columns(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 def snapshot_table_name(table: Column | str, date: Column | str) -> Column:
     """``<table>_<yyyymmdd>``, the name one dated copy of a table goes by."""
     return F.concat(_as_column(table), F.lit("_"), F.date_format(_as_column(date), "yyyyMMdd"))
+
+
+def quoted(name: str) -> str:
+    """A column name as a reference to just that column, dots and all."""
+    return "`" + name.replace("`", "``") + "`"

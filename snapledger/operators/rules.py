@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from snapledger.functions.naming import quoted
 from snapledger.functions.types import INTEGER_SHAPE, NUMBER_SHAPE, TIME_SHAPE, spark_type
 from snapledger.sources.dataset import Dataset
 from snapledger.sources.local import local_frame
@@ -68,12 +69,19 @@ def schema_conformance(df: DataFrame, table: str, columns: dict[str, dict]) -> D
 
     A declared column that the table lacks has NULL counts.
     """
+    aggregates, structs = _type_counts(df, table, columns)
+    counted = df.agg(*(aggregates or [F.count(F.lit(1)).alias("n")]))
+    return counted.select(F.inline(F.array(*structs)))
+
+
+def _type_counts(df: DataFrame, table: str, columns: dict[str, dict]) -> tuple[list[Column], list[Column]]:
+    """The aggregates that count a column's values and misfits, and per column the row they make."""
     present = set(df.columns)
     aggregates, structs = [], []
     for i, (name, spec) in enumerate(columns.items()):
         kind = spec["type"].upper()
         if name in present:
-            value = F.col(f"`{name}`")
+            value = F.col(quoted(name))
             aggregates.append(F.count(value).alias(f"n{i}"))
             aggregates.append(F.count_if(
                 value.isNotNull() & ~fits(df, name, spark_type(kind))).alias(f"f{i}"))
@@ -84,8 +92,31 @@ def schema_conformance(df: DataFrame, table: str, columns: dict[str, dict]) -> D
             F.lit(table).alias("table_name"), F.lit(name).alias("column_name"),
             F.lit(kind).alias("declared_type"), counts[0].alias("n_values"),
             counts[1].alias("n_failed")))
-    counted = df.agg(*(aggregates or [F.count(F.lit(1)).alias("n")]))
-    return counted.select(F.inline(F.array(*structs)))
+    return aggregates, structs
+
+
+def _table_report(df: DataFrame, table: str, columns: dict[str, dict]) -> DataFrame:
+    """Types, required columns and key of a table: one aggregate for whatever is counted row by row, and one
+    by key."""
+    typed = {name: spec for name, spec in columns.items() if "type" in spec}
+    key = primary_key(columns)
+    required = [name for name, spec in columns.items() if spec.get("nullable") is False or spec.get("primary_key")]
+    present = set(df.columns)
+    row = lambda rule, column, count: F.struct(
+        F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), F.lit(column).alias("column_name"),
+        count.cast("bigint").alias("n_violations"))
+    aggregates, structs = _type_counts(df, table, typed)
+    rows = [row("type", name, s["n_failed"]) for name, s in zip(typed, structs, strict=True)]
+    for i, name in enumerate(required):
+        if name in present:
+            aggregates.append(F.count_if(F.col(quoted(name)).isNull()).alias(f"null{i}"))
+        rows.append(row("not_null", name, F.col(f"null{i}")) if name in present else row("missing_column", name, F.lit(1)))
+    counted = df.agg(*aggregates) if aggregates else local_frame(df.sparkSession, [(0,)], "n bigint")
+    report = counted.select(F.inline(F.array(*rows))) if rows else local_frame(df.sparkSession, [], REPORT_SCHEMA)
+    if key and set(key) <= present:
+        surplus = duplicate_keys(df, key).agg(F.coalesce(F.sum(F.col("n_rows") - 1), F.lit(0)).alias("n"))
+        report = report.unionByName(surplus.select(F.inline(F.array(row("primary_key", ",".join(key), F.col("n"))))))
+    return report
 
 
 def primary_key(columns: dict[str, dict]) -> list[str]:
@@ -161,9 +192,9 @@ def orphan_keys(child: DataFrame, column: str, parent: DataFrame, parent_column:
     The child is counted per value first, so what is joined is distinct values: a value that a
     third of all rows share is one row by then. NULL refers to nothing and is no orphan.
     """
-    values = (child.where(F.col(column).isNotNull())
-              .groupBy(F.col(column).alias("fk_value")).agg(F.count(F.lit(1)).alias("n_rows")))
-    parents = parent.select(F.col(parent_column).alias("fk_value"))
+    value = F.col(quoted(column))
+    values = child.where(value.isNotNull()).groupBy(value.alias("fk_value")).agg(F.count(F.lit(1)).alias("n_rows"))
+    parents = parent.select(F.col(quoted(parent_column)).alias("fk_value"))
     return values.join(parents, "fk_value", "left_anti")
 
 
@@ -171,23 +202,49 @@ def orphan_rows(child: DataFrame, column: str, parent: DataFrame, parent_column:
     """The rows without a parent, whole. Runs a job that finds the orphan values first."""
     missing = materialized(orphan_keys(child, column, parent, parent_column).select(
         F.col("fk_value").alias("__fk")), "orphans")
-    return child.join(missing, child[column] == missing["__fk"], "left_semi")
+    return child.join(missing, F.col(quoted(column)) == F.col("__fk"), "left_semi")
 
 
 def orphan_report(tables: dict[str, DataFrame], keys: list[ForeignKey]) -> DataFrame:
-    """Per foreign key: orphan rows and distinct orphan values."""
-    report = None
-    for key in keys:
-        part = orphan_keys(tables[key.table], key.column, tables[key.parent], key.parent_column).agg(
-            F.count(F.lit(1)).alias("n_values"),
-            F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"))
-        part = part.select(F.lit(key.table).alias("table_name"), F.lit(key.column).alias("column_name"),
-                           F.lit(f"{key.parent}.{key.parent_column}").alias("parent"),
-                           "n_values", "n_rows")
-        report = part if report is None else report.unionByName(part)
-    if report is None:
+    """Per foreign key: orphan rows and distinct orphan values.
+
+    The keys of a table are counted in one scan of it (a job, where there are several), and their distinct
+    values looked up among the parents.
+    """
+    if not keys:
         raise ValueError("no foreign keys declared")
-    return report
+    parts = []
+    for table in dict.fromkeys(key.table for key in keys):
+        own = [key for key in keys if key.table == table]
+        if len(own) == 1:
+            found = [orphan_keys(tables[table], own[0].column, tables[own[0].parent], own[0].parent_column)]
+        else:
+            counted = materialized(_counted_values(tables[table], [key.column for key in own]), "fk-values")
+            found = [counted.where(F.col("key") == i).select(F.col(f"v{i}").alias("fk_value"), "n_rows").join(
+                tables[key.parent].select(F.col(quoted(key.parent_column)).alias("fk_value")), "fk_value", "left_anti")
+                for i, key in enumerate(own)]
+        parts += [orphans.agg(F.count(F.lit(1)).alias("n_values"), F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows")).select(
+            F.lit(key.table).alias("table_name"), F.lit(key.column).alias("column_name"),
+            F.lit(f"{key.parent}.{key.parent_column}").alias("parent"), "n_values", "n_rows")
+            for key, orphans in zip(own, found, strict=True)]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def _counted_values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """How often each value of several columns occurs: ``key`` (which column), ``v<key>`` (its value), ``n_rows``.
+
+    Every column keeps its type; the others are NULL in its rows. Counted map-side before the shuffle.
+    """
+    kinds = [df.schema[name].dataType for name in columns]
+
+    def of(i: int) -> Column:
+        values = [F.col(quoted(columns[j])) if i == j else F.lit(None).cast(kind) for j, kind in enumerate(kinds)]
+        return F.struct(F.lit(i).alias("key"), *[value.alias(f"v{j}") for j, value in enumerate(values)])
+
+    stacked = df.select(F.inline(F.array(*[of(i) for i in range(len(columns))])))
+    names = [f"v{j}" for j in range(len(columns))]
+    there = functools.reduce(operator.or_, [F.col(name).isNotNull() for name in names])
+    return stacked.where(there).groupBy("key", *names).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 def _cascade_order(keys: list[ForeignKey], roots: set[str]) -> list[str]:
@@ -226,11 +283,11 @@ def cascade_delete(tables: dict[str, DataFrame], keys: list[ForeignKey],
         falls = [F.coalesce(F.expr(deleted[table]), F.lit(False))] if table in deleted else []
         for i, key in enumerate(k for k in cascading if k.table == table and k.parent in marked and k.parent != table):
             fallen = marked[key.parent].where("deleted").select(
-                F.col(key.parent_column).alias(f"__gone{i}"))
+                F.col(quoted(key.parent_column)).alias(f"__gone{i}"))
             gone = materialized(fallen.where(F.col(f"__gone{i}").isNotNull()).distinct(), "fallen")
-            df = df.join(gone, df[key.column] == gone[f"__gone{i}"], "left")
+            df = df.join(gone, F.col(quoted(key.column)) == F.col(f"__gone{i}"), "left")
             falls.append(F.col(f"__gone{i}").isNotNull())
-        names = tables[table].columns
+        names = [F.col(quoted(name)) for name in tables[table].columns]
         marked[table] = df.select(*names, functools.reduce(operator.or_, falls).alias("deleted"))
         for key in cascading:
             if key.table == key.parent == table:
@@ -239,19 +296,25 @@ def cascade_delete(tables: dict[str, DataFrame], keys: list[ForeignKey],
 
 
 def _fall_within(df: DataFrame, key: ForeignKey) -> DataFrame:
-    """Deletion along a key that refers to its own table, level by level until no further row falls.
+    """Deletion along a key that refers to its own table: a fixed point over its key columns alone.
 
-    What a level looks up are the keys that fell in the one before; rows whose key is NULL have none.
+    A round joins only the keys that fell in the one before, so the table itself is read twice, whatever the
+    depth: for the two columns, and for the result. Rounds write what is new in them; a row whose key is NULL
+    refers to nothing.
     """
-    names = df.columns
-    while True:
-        df = materialized(df, "falling")
-        gone = df.where("deleted").select(F.col(f"`{key.parent_column}`").alias("__gone")).where("__gone IS NOT NULL").distinct()
-        more = df.join(gone, F.col(f"`{key.column}`") == F.col("__gone"), "left").withColumn(
-            "__falls", F.col("deleted") | F.col("__gone").isNotNull())
-        if not more.where("__falls AND NOT deleted").limit(1).count():
-            return df
-        df = more.withColumn("deleted", F.col("__falls")).select(*[F.col(f"`{name}`") for name in names])
+    parent, child = F.col(quoted(key.parent_column)), F.col(quoted(key.column))
+    links = materialized(df.select(parent.alias("__id"), child.alias("__of"), "deleted").where("__id IS NOT NULL"), "links")
+    frontier = materialized(links.where("deleted").select("__id").distinct(), "fallen")
+    links = links.where("__of IS NOT NULL AND NOT deleted").select("__id", "__of")
+    fallen = frontier
+    while frontier.limit(1).count():
+        found = links.join(frontier.withColumnRenamed("__id", "__gone"), F.col("__of") == F.col("__gone")).select("__id").distinct()
+        frontier = materialized(found.join(fallen, "__id", "left_anti"), "fallen")
+        fallen = fallen.unionByName(frontier)
+    names = [F.col(quoted(name)) for name in df.columns if name != "deleted"]
+    gone = materialized(fallen.select(F.col("__id").alias("__gone")), "all-fallen")
+    return df.join(gone, child == F.col("__gone"), "left").select(
+        *names, (F.col("deleted") | F.col("__gone").isNotNull()).alias("deleted"))
 
 
 def cascade_summary(marked: dict[str, DataFrame]) -> DataFrame:
@@ -277,13 +340,8 @@ def validation_report(dataset: Dataset, schemas: dict | None, rules: dict | None
         if table not in dataset.tables:
             missing.append((table, "missing_table", None, 1))
             continue
-        typed = {name: spec for name, spec in columns.items() if "type" in spec}
-        df = dataset.table(table)
-        if typed:
-            parts.append(schema_conformance(df, table, typed).select(
-                "table_name", F.lit("type").alias("rule"), "column_name",
-                F.col("n_failed").alias("n_violations")))
-        parts.append(null_and_key_check(df, table, columns))
+        if columns:
+            parts.append(_table_report(dataset.table(table), table, columns))
     keys = []
     for key in foreign_keys(rules):
         lost = [(key.table, "missing_table" if name not in dataset.tables else "missing_column",

@@ -124,6 +124,18 @@ def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.cascade_summary(marked)
 
 
+@workload("cascade_self", """
+    WITH RECURSIVE boxes AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 50 <> 0 THEN p_partkey - 1 END AS inside FROM part),
+    gone AS (SELECT id FROM boxes WHERE id % 100 = 0 UNION SELECT b.id FROM boxes AS b JOIN gone AS g ON b.inside = g.id)
+    SELECT id, inside, id IN (SELECT id FROM gone) AS deleted FROM boxes""")
+def cascade_self(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes inside boxes, fifty deep: whatever is inside a deleted one falls."""
+    key = F.col("p_partkey")
+    boxes = read(spark, sf_dir, "part").select(key.alias("id"), F.when(key % 50 != 0, key - 1).alias("inside"))
+    keys = [rules.ForeignKey("boxes", "inside", "boxes", "id", "CASCADE")]
+    return rules.cascade_delete({"boxes": boxes}, keys, {"boxes": "id % 100 = 0"})["boxes"]
+
+
 @workload("default_view", """
     SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders""")
 def declared_view(spark: SparkSession, sf_dir: str) -> DataFrame:

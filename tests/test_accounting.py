@@ -11,6 +11,7 @@ from snapledger.plans.log import read_log
 from snapledger.sources.csv import read_csv_text
 from snapledger.sources.dataset import Dataset
 from snapledger.storage import scratch_dir
+from snapledger.workloads.rules import RELATIONS, SCHEMAS
 
 RUN = datetime.datetime(2024, 1, 1)
 
@@ -90,6 +91,37 @@ def test_cascade_along_a_key_to_its_own_table(spark):
     assert marked.columns == ["id", "boss", "deleted"] and marked.count() == 9
 
 
+def test_cascade_down_a_deep_chain_writes_no_table(spark, monkeypatch):
+    written = []
+    kept = rules.materialized
+    monkeypatch.setattr(rules, "materialized", lambda df, label: written.append((label, df.columns)) or kept(df, label))
+    df = spark.createDataFrame([(i, i - 1 if i % 60 else None, "v" * 20) for i in range(180)], "id int, `in.side` int, v string")
+    keys = [rules.ForeignKey("t", "in.side", "t", "id", "CASCADE")]
+    marked = rules.cascade_delete({"t": df}, keys, {"t": "id = 70"})["t"]
+    assert sorted(r["id"] for r in marked.where("deleted").collect()) == list(range(70, 120))
+    assert marked.count() == 180 and marked.columns == ["id", "in.side", "v", "deleted"]
+    assert [label for label, _ in written].count("links") == 1
+    assert all(set(columns) <= {"__id", "__of", "__gone", "deleted"} for _, columns in written)
+
+
+def test_all_rules_of_a_table_take_three_scans_at_most(spark, small, monkeypatch):
+    scans = []
+    kept = rules.materialized
+
+    def count(df, label=None):
+        scans.append(sum("lineitem" in line for line in df._jdf.queryExecution().executedPlan().toString().splitlines()
+                         if "FileScan" in line))
+        return kept(df, label) if label else None
+
+    monkeypatch.setattr(rules, "materialized", count)
+    names = ("orders", "lineitem", "part", "customer")
+    tables = {name: spark.read.parquet(f"{small}/{name}.parquet") for name in names}
+    report = rules.validation_report(Dataset(spark, tables), SCHEMAS, RELATIONS)
+    count(report)
+    assert 1 <= sum(scans) <= 3
+    assert report.where("rule = 'foreign_key'").count() == 3
+
+
 def test_a_query_finds_only_its_own_dataset(spark):
     one = Dataset(spark, {"only_here": spark.range(3).toDF("id")})
     other = Dataset(spark, {"elsewhere": spark.range(5).toDF("id")})

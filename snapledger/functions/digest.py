@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from snapledger.functions.naming import quoted
+
 # 22 + 22 + 20 bits: sums of 2^41 such pieces still fit in a bigint.
 PIECES = [(0, 22), (22, 22), (44, 20)]
 SEEDS = (17, 40503)
@@ -13,7 +15,7 @@ SEEDS = (17, 40503)
 
 def comparable(field: T.StructField) -> Column:
     """The column in a form that can be grouped and compared (maps become sorted entry arrays)."""
-    return _comparable(F.col(f"`{field.name}`"), field.dataType)
+    return _comparable(F.col(quoted(field.name)), field.dataType)
 
 
 def _comparable(value: Column, data_type: T.DataType) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import functools
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -94,15 +95,13 @@ def fit_mask(value: Column) -> Column:
             .otherwise(none))
 
 
-def infer_text_types(df: DataFrame, columns: list[str] | None = None,
-                     without_values: str | None = "string") -> dict[str, str | None]:
-    """Narrowest type that holds every value of each text column, from one aggregate over all rows.
-
-    A column without values is of the type ``without_values``.
+def text_masks(df: DataFrame, columns: list[str] | None = None) -> dict[str, int | None]:
+    """Per text column the rungs that hold all of its values, as one mask; None without values.
 
     Per value a bit mask of the rungs it fits, per column the AND of the masks: one int of state
     per column in each task, and one row per column back to the driver. Columns are turned to rows
-    first, so that the compiled expression is one, and small, however wide the table is.
+    first, so that the compiled expression is one, and small, however wide the table is. Masks of
+    several loads are merged by AND, so no load needs to be read again for the types of all.
     """
     names = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
     names = [name for name in names if columns is None or name in columns]
@@ -111,8 +110,16 @@ def infer_text_types(df: DataFrame, columns: list[str] | None = None,
     rows = text_cells(df, names).groupBy("column_name").agg(
         F.bit_and(fit_mask(F.col("value"))).alias("mask")).collect()
     masks = {row["column_name"]: row["mask"] for row in rows}
-    return {name: without_values if masks.get(name) is None else type_of_mask(masks[name])
-            for name in names}
+    return {name: masks.get(name) for name in names}
+
+
+def infer_text_types(df: DataFrame, columns: list[str] | None = None,
+                     without_values: str | None = "string") -> dict[str, str | None]:
+    """Narrowest type that holds every value of each text column, from one aggregate over all rows.
+
+    A column without values is of the type ``without_values``.
+    """
+    return {name: without_values if mask is None else type_of_mask(mask) for name, mask in text_masks(df, columns).items()}
 
 
 def text_cells(df: DataFrame, names: list[str]) -> DataFrame:
@@ -143,6 +150,14 @@ def type_of_mask(mask: int) -> str:
     return "string"
 
 
+def type_mask(kind: str) -> int:
+    """The rungs that hold whatever a column of a type may hold."""
+    if kind not in LADDER:
+        return 0
+    # A double does not hold every bigint.
+    return sum(1 << LADDER.index(rung) for rung in {kind, "timestamp_ntz" if kind == "date" else kind})
+
+
 def misfits(types: dict[str, str]) -> Column:
     """Whether a row of text has a value that is not of the type named for its column."""
     found = F.lit(False)
@@ -168,10 +183,14 @@ def _digits(kind: str) -> tuple[int, int] | None:
     return (INTEGER_DIGITS[kind], 0) if kind in INTEGER_DIGITS else None
 
 
+FLOATING = ("float", "double")
+
+
 def wider_type(left: str, right: str) -> str:
-    """Type that holds both, for columns whose type differs between snapshots.
+    """Type that holds the values of both without loss, for columns whose type differs between snapshots.
 
-    Raises where a decimal meets a type with which it has no lossless one in common.
+    A double does not hold every bigint, so these two become text (see `common_form`). Raises where a
+    decimal meets a type with which it has no lossless one in common.
     """
     if left == right:
         return left
@@ -182,9 +201,28 @@ def wider_type(left: str, right: str) -> str:
             raise ValueError(f"no type holds both {left} and {right} without loss")
         return f"decimal({whole + scale},{scale})"
     if left in WIDENING and right in WIDENING:
-        # A float cannot hold every int, nor bigint text digits beyond a double: go to double.
-        top = max(WIDENING.index(left), WIDENING.index(right))
-        return "double" if top >= WIDENING.index("float") else WIDENING[top]
+        floating = left in FLOATING or right in FLOATING
+        if floating and "bigint" in (left, right):
+            return "string"
+        # A float cannot hold every int: go to double.
+        return "double" if floating else WIDENING[max(WIDENING.index(left), WIDENING.index(right))]
     if "date" in (left, right) and {left, right} & {"timestamp_ntz", "timestamp"}:
         return left if right == "date" else right
     return "string"
+
+
+def exact_text(value: Column, kind: str) -> Column:
+    """A number as text: the same for equal numbers, whatever integer or floating type holds them."""
+    if kind not in FLOATING:
+        return value.cast("string")
+    double = value.cast("double")
+    whole = (F.rint(double) == double) & (double >= -2.0 ** 63) & (double < 2.0 ** 63)
+    return F.when(whole, double.try_cast("bigint").cast("string")).otherwise(double.cast("string"))
+
+
+def common_form(value: Column, own: str, kinds: set[str]) -> Column:
+    """A column of one type in the type that holds all of several without loss, equal for equal values."""
+    if "bigint" in kinds and kinds & set(FLOATING) and own in WIDENING:
+        return exact_text(value, own)
+    wide = functools.reduce(wider_type, sorted(kinds))
+    return value if own == wide else value.cast(wide)

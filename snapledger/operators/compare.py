@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snapledger.functions.digest import comparable, hash_pieces, row_hashes
-from snapledger.functions.types import shown_type, wider_type
+from snapledger.functions.naming import quoted
+from snapledger.functions.types import common_form, shown_type
 from snapledger.sources.dataset import Dataset
 from snapledger.sources.local import local_frame
 from snapledger.storage import materialized
@@ -61,13 +62,12 @@ def _common_columns(left: DataFrame, right: DataFrame, keys: list[str],
 
 
 def _aligned(left: DataFrame, right: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Both sides cut to the columns, with those whose types differ cast to the wider type."""
+    """Both sides cut to the columns, those whose types differ in a form that is equal for equal values only."""
     def cut(df: DataFrame, other: DataFrame) -> DataFrame:
         columns = []
         for name in names:
             own, there = (d.schema[name].dataType.simpleString() for d in (df, other))
-            value = F.col(f"`{name}`")
-            columns.append(value if own == there else value.cast(wider_type(own, there)).alias(name))
+            columns.append(common_form(F.col(quoted(name)), own, {own, there}).alias(name))
         return df.select(*columns)
 
     return cut(left, right), cut(right, left)
@@ -89,19 +89,19 @@ def compare_rows(left: DataFrame, right: DataFrame, keys: list[str],
         fields = [df.schema[name] for name in names]
         pieces = [(piece * sign).alias(f"__h{i}")
                   for i, piece in enumerate(hash_pieces(row_hashes(fields)))]
-        return df.select(*keys, F.lit(int(sign < 0)).cast("bigint").alias("n_left"),
+        return df.select(*map(quoted, keys), F.lit(int(sign < 0)).cast("bigint").alias("n_left"),
                          F.lit(int(sign > 0)).cast("bigint").alias("n_right"), *pieces)
 
     stacked = digested(left, -1).unionByName(digested(right, 1))
     sums = [name for name in stacked.columns if name not in keys]
-    totals = stacked.groupBy(*keys).agg(*[F.sum(name).alias(name) for name in sums])
+    totals = stacked.groupBy(*map(quoted, keys)).agg(*[F.sum(name).alias(name) for name in sums])
     equal = F.col("n_left") == F.col("n_right")
     for name in sums:
         if name.startswith("__h"):
             equal = equal & (F.col(name) == 0)
     status = (F.when(F.col("n_left") == 0, ADDED).when(F.col("n_right") == 0, REMOVED)
               .when(equal, SAME).otherwise(CHANGED))
-    return totals.select(*keys, status.alias("status"), "n_left", "n_right")
+    return totals.select(*map(quoted, keys), status.alias("status"), "n_left", "n_right")
 
 
 def compare_summary(left: DataFrame, right: DataFrame, keys: list[str],
@@ -125,25 +125,25 @@ def compare_cells(left: DataFrame, right: DataFrame, keys: list[str],
     left, right = _aligned(left, right, keys + names)
     changed = materialized(
         compare_rows(left, right, keys, names).where(F.col("status") == CHANGED).select(
-            *[F.col(key).alias(f"__key_{key}") for key in keys],
+            *[F.col(quoted(key)).alias(f"__key_{i}") for i, key in enumerate(keys)],
             ((F.col("n_left") == 1) & (F.col("n_right") == 1)).alias("__unique")), "changed")
 
     def cells(df: DataFrame, sign: int) -> DataFrame:
         # Null-safe: a key value may be NULL like any other.
         match = F.lit(True)
-        for key in keys:
-            match = match & df[key].eqNullSafe(changed[f"__key_{key}"])
+        for i, key in enumerate(keys):
+            match = match & df[quoted(key)].eqNullSafe(changed[f"__key_{i}"])
         hit = df.join(changed, match, "inner")
         pairs = F.array(*[F.struct(F.lit(name).alias("column_name"),
                                    _cell_text(df, name).alias("value")) for name in names])
-        return hit.select(*[df[key] for key in keys], "__unique", F.lit(sign).cast("bigint").alias("n"),
+        return hit.select(*[df[quoted(key)] for key in keys], "__unique", F.lit(sign).cast("bigint").alias("n"),
                           F.inline(pairs))
 
     net = (cells(left, -1).unionByName(cells(right, 1))
-           .groupBy(*keys, "__unique", "column_name", "value").agg(F.sum("n").alias("n"))
+           .groupBy(*map(quoted, keys), "__unique", "column_name", "value").agg(F.sum("n").alias("n"))
            .where("n <> 0"))
     apart = F.when(~F.col("__unique"), F.struct("value"))
-    return (net.withColumn("__apart", apart).groupBy(*keys, "column_name", "__apart").agg(
+    return (net.withColumn("__apart", apart).groupBy(*map(quoted, keys), "column_name", "__apart").agg(
         F.max(F.when(F.col("n") < 0, F.col("value"))).alias("old_value"),
         F.max(F.when(F.col("n") > 0, F.col("value"))).alias("new_value"),
         F.max(F.abs("n")).alias("n_cells")).drop("__apart"))
@@ -169,7 +169,7 @@ def compare_multiset(left: DataFrame, right: DataFrame, columns: list[str] | Non
         values = [comparable(df.schema[name]).alias(name) for name in names]
         return df.select(*values, F.lit(sign).cast("bigint").alias("__n"))
 
-    net = (counted(left, -1).unionByName(counted(right, 1)).groupBy(*names)
+    net = (counted(left, -1).unionByName(counted(right, 1)).groupBy(*map(quoted, names))
            .agg(F.sum("__n").alias("__n")).where("__n <> 0"))
-    return net.select(*names, F.when(F.col("__n") > 0, ADDED).otherwise(REMOVED).alias("status"),
+    return net.select(*map(quoted, names), F.when(F.col("__n") > 0, ADDED).otherwise(REMOVED).alias("status"),
                       F.abs("__n").alias("n_copies"))

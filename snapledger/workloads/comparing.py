@@ -162,3 +162,24 @@ def union(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = new_orders(spark, sf_dir).withColumn("o_totalprice", F.col("o_totalprice").cast("double"))
     new = new.drop("o_custkey").withColumn("channel", F.lit("web"))
     return union_snapshots({"2000-01-01": old, "2001-08-02": new})
+
+
+@workload("compare_types", """
+    WITH l AS (SELECT o_orderkey, o_custkey + 9007199254740992 AS big, o_custkey % 100 AS small, CAST(o_orderdate AS DATE) AS day FROM orders),
+    r AS (SELECT o_orderkey, CAST(o_custkey + 9007199254740992 AS DOUBLE) AS big,
+                 CASE WHEN o_orderpriority = '5-LOW' THEN o_custkey % 100 + 0.5 ELSE o_custkey % 100 END AS small,
+                 CASE WHEN o_orderstatus = 'P' THEN o_orderdate + INTERVAL 1 HOUR ELSE CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) END AS day
+          FROM orders)
+    SELECT o_orderkey, CASE WHEN l.big <> CAST(r.big AS HUGEINT) OR l.small <> r.small OR CAST(l.day AS TIMESTAMP) <> r.day
+                            THEN 'changed' ELSE 'same' END AS status
+    FROM l JOIN r USING (o_orderkey)""")
+def compare_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies whose types differ, compared without loss: bigint and double, int and decimal, date and timestamp."""
+    orders = read(spark, sf_dir, "orders")
+    big, small, day = F.col("o_custkey") + 2 ** 53, (F.col("o_custkey") % 100).cast("int"), F.col("o_orderdate").cast("date")
+    left = orders.select("o_orderkey", big.cast("bigint").alias("big"), small.alias("small"), day.alias("day"))
+    half = F.when(F.col("o_orderpriority") == "5-LOW", F.lit("0.5")).otherwise(F.lit("0")).cast("decimal(2,1)")
+    later = F.when(F.col("o_orderstatus") == "P", F.col("o_orderdate") + F.expr("INTERVAL 1 HOUR")).otherwise(day.cast("timestamp_ntz"))
+    right = orders.select("o_orderkey", big.cast("double").alias("big"), (small + half).cast("decimal(8,2)").alias("small"),
+                          later.cast("timestamp_ntz").alias("day"))
+    return compare.compare_rows(left, right, ["o_orderkey"]).select("o_orderkey", "status")

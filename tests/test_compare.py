@@ -5,7 +5,8 @@ import pytest
 
 from snapledger.operators.compare import (compare_cells, compare_multiset, compare_rows, compare_schemas,
                                           compare_summary, compare_tables)
-from snapledger.operators.history import record_history
+from snapledger.operators.filters import filter_rows
+from snapledger.operators.history import record_history, union_snapshots
 from snapledger.sources.dataset import Dataset
 
 SCHEMA = "k int, j string, a int, b string"
@@ -157,3 +158,31 @@ def test_history(spark):
              for r in record_history(df, ["k"]).collect()}
     assert found == {1: ("2020-01-01", "2020-01-05", 4, 2), 2: ("2020-01-02", "2020-01-02", 1, 0),
                      3: ("2020-01-01", "2020-01-02", 2, 0), None: ("2020-01-01", "2020-01-02", 2, 1)}
+
+
+def test_numbers_are_compared_exactly_across_types(spark):
+    big = 2 ** 53
+    left = spark.createDataFrame([(1, big), (2, big + 1), (3, 0), (4, None), (5, 7), (6, 9223372036854775807)], "id int, n bigint")
+    right = spark.createDataFrame([(1, float(big)), (2, float(big)), (3, -0.0), (4, None), (5, 7.5), (6, 9.223372036854775807e18)],
+                                  "id int, n double")
+    status = {r["id"]: r["status"] for r in compare_rows(left, right, ["id"]).collect()}
+    assert status == {1: "same", 2: "changed", 3: "same", 4: "same", 5: "changed", 6: "changed"}
+    cells = {(r["id"], r["old_value"], r["new_value"]) for r in compare_cells(left, right, ["id"]).where("id < 6").collect()}
+    assert cells == {(2, "9007199254740993", "9007199254740992"), (5, "7", "7.5")}
+    odd = spark.createDataFrame([(float("nan"),), (float("inf"),), (1e300,)], "x double")
+    assert compare_multiset(odd, spark.createDataFrame([(1,)], "x bigint")).count() == 4
+    assert compare_multiset(spark.createDataFrame([(5.0,)], "x double"), spark.createDataFrame([(5,)], "x bigint")).count() == 0
+    # As a union, both are read as the same text.
+    both = union_snapshots({"2020-01-01": left.limit(2), "2020-01-02": right.limit(2)})
+    assert {r["n"] for r in both.collect()} == {"9007199254740992", "9007199254740993"}
+
+
+def test_dotted_names(spark):
+    left = spark.createDataFrame([(1, "x"), (2, "y")], "`a.b` int, `c.d` string")
+    right = spark.createDataFrame([(1, "x"), (2, "z")], "`a.b` int, `c.d` string")
+    assert {tuple(r)[:2] for r in compare_rows(left, right, ["a.b"]).collect()} == {(1, "same"), (2, "changed")}
+    assert [tuple(r) for r in compare_cells(left, right, ["a.b"]).collect()] == [(2, "c.d", "y", "z", 1)]
+    assert compare_multiset(left, right).count() == 2
+    assert filter_rows(left, {"column": "c.d", "op": "=", "value": "y"}).count() == 1
+    nested = spark.createDataFrame([((1,),)], "s struct<f:int>")
+    assert filter_rows(nested, {"column": "s.f", "op": "=", "value": 1}).count() == 1

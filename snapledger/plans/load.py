@@ -1,8 +1,10 @@
 """Loading dump trees into date-partitioned tables.
 
-A store is a folder with ``<table>/schema=<n>/snapshot_date=<date>/`` parquet data, one ``schema``
-folder per set of columns and types a table has had, and an ``import_log``. The log says which
-folder holds the current data of a ``(table, date)``; a folder it does not name is not read.
+A store is a folder with ``<table>/schema=<n>/__load=<id>/snapshot_date=<date>/`` parquet data, one
+``schema`` folder per set of columns and types a table has had, and an ``import_log``. The log says which
+folders hold the current data of a ``(table, date)``: that of the load which owns the date, and those of
+loads that added files later. A folder it does not name is not read. Beside it lie ``import_files``, the
+ledger of files whose rows were loaded, and ``import_rejects``, the malformed rows that were left out.
 """
 
 from __future__ import annotations
@@ -14,23 +16,25 @@ import json
 import operator
 import uuid
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from snapledger.functions.naming import sanitize_text, snapshot_date, unique_names
+from snapledger.functions.naming import quoted, sanitize_text, snapshot_date, unique_names
 from snapledger.functions.text import add_search_key
-from snapledger.functions.types import LADDER, literal, misfits, wider_type
+from snapledger.functions.types import LADDER, common_form, fit_mask, literal, text_masks, type_of_mask, wider_type
 from snapledger.plans import log as load_log
-from snapledger.sources.csv import cast_columns, infer_types, read_csv_text
-from snapledger.sources.discover import (SOURCE_OF_PATH, describe_files, discover_sources,
-                                         list_source_tables, newest)
+from snapledger.plans.log import LOAD_COLUMN
+from snapledger.sources.csv import cast_columns, merged_types, read_csv_rows, sound_rows
+from snapledger.sources.discover import (SOURCE_OF_PATH, describe_files, discover_sources, list_location_files,
+                                         newest)
 from snapledger.sources.local import local_frame
+from snapledger.sources.records import CORRUPT
+from snapledger.storage import materialized
 
 ON_CONFLICT = ("keep", "replace")
-# Loads of one schema lie side by side, told apart by this part of their path.
-LOAD_COLUMN = "__load"
+LOAD, ADD = "LOAD", "ADD"
 
 
 @dataclass(frozen=True)
@@ -56,6 +60,14 @@ def log_path(store: str) -> str:
     return f"{store.rstrip('/')}/import_log"
 
 
+def ledger_path(store: str) -> str:
+    return f"{store.rstrip('/')}/import_files"
+
+
+def rejects_path(store: str) -> str:
+    return f"{store.rstrip('/')}/import_rejects"
+
+
 def dump_date(source: Column, options: LoadOptions) -> Column:
     return snapshot_date(source, options.date_mode, options.date_override, options.default_date)
 
@@ -66,35 +78,49 @@ def table_folder(table: str) -> str:
     return clean if clean == table else f"{clean}_{hashlib.md5(table.encode()).hexdigest()}"
 
 
-def plan_load(files: DataFrame, log: DataFrame, options: LoadOptions) -> DataFrame:
-    """What to do with each ``(source, table)`` found: LOAD, SKIPPED_EXISTS, EMPTY or ERROR.
+def plan_load(files: DataFrame, log: DataFrame, ledger: DataFrame, options: LoadOptions) -> DataFrame:
+    """What to do with each file found: LOAD, ADD, SKIPPED_EXISTS, EMPTY or ERROR, decided by source and table.
 
-    With 'keep' the first source by name gets a ``(table, date)`` and keys loaded before are left
-    alone; with 'replace' the last one gets it. Works on the file listing, with aggregates only.
+    With 'keep' the first source by name gets a ``(table, date)`` and what was loaded before is left alone;
+    with 'replace' the last one gets it. Either way files that came to the owner's dump after it was loaded
+    are added to the date, if all files loaded before are still there; else the dump was written anew, which
+    only 'replace' takes. ``is_new``: the file is not in the ledger. Works on the file listing, with
+    aggregates only; nothing in it grows with the files but the listing itself.
     """
     if options.tables is not None:
         files = files.where(F.col("table_name").isin(*options.tables))
-    found = list_source_tables(files).withColumn(
-        "snapshot_date", dump_date(F.col("source_file"), options))
+    key, dump = ["table_name", "snapshot_date"], ["source_file", "table_name", "location", "snapshot_date"]
+    listed = files.withColumn("snapshot_date", dump_date(F.col("source_file"), options))
+    seen = ledger.select("path", F.col("base_table").alias("table_name"), F.col("file_date").alias("snapshot_date"),
+                         F.col("length").alias("seen_length"), F.col("modified_at").alias("seen_at"))
+    same = (F.col("length") == F.col("seen_length")) & F.col("modified_at").eqNullSafe(F.col("seen_at"))
+    listed = listed.join(seen, ["path", *key], "left").withColumn("is_new", F.col("seen_length").isNull())
+    new = F.col("is_new") & (F.col("length") > 0)
+    found = listed.groupBy(*dump).agg(
+        F.sum("length").alias("n_bytes"), F.count_if(new).alias("n_new"), F.count_if(~F.col("is_new")).alias("n_seen"),
+        F.count_if(~F.col("is_new") & same).alias("n_same"))
     usable = found.where((F.col("n_bytes") > 0) & F.col("snapshot_date").isNotNull())
     pick = F.min if options.on_conflict == "keep" else F.max
-    winners = usable.groupBy("table_name", "snapshot_date").agg(
-        pick(F.struct("source_file", "location")).alias("winner"))
-    planned = found.join(winners, ["table_name", "snapshot_date"], "left")
+    winners = usable.groupBy(*key).agg(pick(F.struct("source_file", "location")).alias("winner"))
+    owned = load_log.loaded_keys(log).groupBy("base_table", "file_date").agg(F.max("source_file").alias("owner"))
+    known = ledger.groupBy("base_table", "file_date").agg(F.count(F.lit(1)).alias("n_known"))
+    owned = owned.join(known, ["base_table", "file_date"], "left").withColumnsRenamed(
+        {"base_table": "table_name", "file_date": "snapshot_date"})
+    planned = found.join(winners, key, "left").join(owned, key, "left")
+    wins = F.col("winner") == F.struct("source_file", "location")
+    # All that was loaded is still there, and more.
+    still = F.col("n_same") if options.on_conflict == "replace" else F.col("n_seen")
+    grown = (F.col("owner") == F.col("source_file")) & (F.col("n_new") > 0) & (still == F.col("n_known"))
+    taken = F.col("owner").isNotNull()
     if options.on_conflict == "keep":
-        done = load_log.loaded_keys(log).select(
-            F.col("base_table").alias("table_name"), F.col("file_date").alias("snapshot_date"),
-            F.lit(True).alias("done"))
-        planned = planned.join(done, ["table_name", "snapshot_date"], "left")
+        action = F.when(taken, F.when(grown, ADD).otherwise(load_log.SKIPPED)).when(wins, LOAD).otherwise(load_log.SKIPPED)
     else:
-        planned = planned.withColumn("done", F.lit(False))
+        action = F.when(~wins, load_log.SKIPPED).when(taken & grown, ADD).otherwise(LOAD)
     action = (F.when(F.col("snapshot_date").isNull(), load_log.ERROR)
-              .when(F.col("n_bytes") == 0, load_log.EMPTY)
-              .when(F.coalesce("done", F.lit(False)), load_log.SKIPPED)
-              .when(F.col("winner") != F.struct("source_file", "location"), load_log.SKIPPED)
-              .otherwise("LOAD"))
-    return planned.select("source_file", "table_name", "location", "snapshot_date", "n_files", "n_bytes",
-                          action.alias("action"))
+              .when(F.col("n_bytes") == 0, load_log.EMPTY).otherwise(action))
+    actions = planned.select(*[F.col(c).alias(f"of_{c}") for c in dump], action.alias("action"))
+    both = functools.reduce(operator.and_, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in dump])
+    return listed.join(actions, both).select(*dump, "path", "length", "modified_at", "is_new", "action")
 
 
 def schema_folder(df: DataFrame) -> str:
@@ -129,102 +155,157 @@ def _schema_path() -> Column:
     return F.regexp_replace("store_path", f"/{LOAD_COLUMN}=[^/]*$", "").alias("schema_path")
 
 
-def _known_types(spark: SparkSession, log: DataFrame, table: str) -> dict[str, str]:
-    """Types the table's columns have in the store, the widest where they differ."""
+def _known_types(spark: SparkSession, log: DataFrame, table: str, masks: dict[str, int]) -> dict[str, str]:
+    """Types the table's columns have in the store: what all values allow where their masks are known."""
     types: dict[str, str] = {}
     paths = (load_log.loaded_keys(log).where(F.col("base_table") == table)
              .groupBy(_schema_path()).agg(F.min("store_path").alias("store_path")).collect())
     for row in paths:
         for field in spark.read.parquet(row["store_path"]).schema:
             kind = field.dataType.simpleString()
-            types[field.name] = wider_type(types[field.name], kind) if field.name in types else kind
+            if field.name in masks:
+                types[field.name] = type_of_mask(masks[field.name])
+            else:
+                types[field.name] = wider_type(types[field.name], kind) if field.name in types else kind
     types.pop("snapshot_date", None)
     return types
 
 
-def _load_table(spark: SparkSession, store: str, table: str, plan: list,
-                log: DataFrame, options: LoadOptions) -> tuple[str, dict]:
-    """All files of a table into its dated partitions; returns the folder and the rows per date.
+@dataclass(frozen=True)
+class Loaded:
+    """What a load of a table's files left: its folder, rows by date, malformed rows by source, types as masks."""
+
+    path: str | None
+    rows: dict
+    dropped: dict
+    masks: dict
+
+
+def _load_table(spark: SparkSession, store: str, table: str, plan: list, files: DataFrame,
+                log: DataFrame, options: LoadOptions) -> Loaded:
+    """The planned files of a table into dated partitions of a folder of this load.
 
-    The first load of a table scans the values twice, for their types and to write them. Later ones
-    write them as the types the table has and look for misfits on the way: only if there are any
-    are the types worked out anew.
+    What the values of each column fit is observed while they are written. The first load of a table
+    scans them before, to know the types. Later ones write them as the types the table has; if the masks
+    say that some value is not of them, the types that hold both the old and the new values are known by
+    then, and only the writing is repeated.
     """
-    text = read_csv_text(spark, [row["location"] for row in plan], options.read_mode, keep_path=True)
-    columns = [name for name in text.columns if name != "__path"]
+    # Of files added later, the older ones in their folders are left out unread.
+    since = None if any(row["action"] == LOAD for row in plan) else files.agg(F.min("modified_at")).first()[0]
+    rows = read_csv_rows(spark, [row["location"] for row in plan], options.read_mode, files.select("path"), since)
+    columns = [name for name in rows.columns if name not in ("__path", CORRUPT)]
+    write = functools.partial(_write_dated, rows, store=store, table=table, plan=plan, options=options,
+                              load=f"l{uuid.uuid4().hex}")
     if options.typing == "text":
-        return _write_dated(text, store, table, plan, options)
-    known = _known_types(spark, log, table)
+        return replace(write({name: "string" for name in columns}), masks=dict.fromkeys(columns, 0))
+    known_masks = load_log.known_masks(log, table)
+    known = _known_types(spark, log, table, known_masks)
     types = {name: known.get(name) for name in columns}
     if all(t == "string" or t in LADDER for t in types.values()):
-        counted = Observation()
-        tried = cast_columns(text.observe(counted, F.count_if(misfits(types)).alias("misfits")), types,
-                             strict=False)
-        result = _write_dated(tried, store, table, plan, options)
-        # Without rows there is nothing to observe either.
-        if not result[1] or not counted.get["misfits"]:
+        result = write(types, strict=False, masked=True)
+        masks = result.masks
+        fitting = merged_types(masks, known_masks, known)
+        if all(fitting[name] == types[name] for name in masks):
             return result
-    types = infer_types(text.drop("__path"), known)
-    return _write_dated(cast_columns(text, types), store, table, plan, options)
+    else:
+        masks = text_masks(sound_rows(rows))
+        fitting = merged_types(masks, known_masks, known)
+    return replace(write({**known, **fitting}), masks=masks)
+
 
+def _write_dated(rows: DataFrame, types: dict[str, str], *, store: str, table: str, plan: list, options: LoadOptions,
+                 load: str, strict: bool = True, masked: bool = False) -> Loaded:
+    """Date the rows by the source their file belongs to and write them; the malformed ones go to the rejects.
 
-def _write_dated(rows: DataFrame, store: str, table: str, plan: list,
-                 options: LoadOptions) -> tuple[str, dict]:
-    """Date the rows by the source their file belongs to and write them; rows per date."""
+    One pass writes the sound rows and observes how many are malformed and, ``masked``, what each column's
+    values fit.
+    """
     spark = rows.sparkSession
-    keyed = [name for name, kind in rows.dtypes if kind == "string" and name in options.search_columns]
-    rows = add_search_key(rows, keyed)
+    columns = [name for name in rows.columns if name not in ("__path", CORRUPT)]
+    sound = F.col(CORRUPT).isNull()
+    observed = Observation()
+    fits = [F.bit_and(F.when(sound, fit_mask(F.col(f"`{name}`")))).alias(f"m{i}") for i, name in enumerate(columns) if masked]
+    watched = rows.observe(observed, F.count_if(~sound).alias("malformed"), *fits)
+    typed = cast_columns(watched.where(sound).drop(CORRUPT), types, strict)
+    keyed = [name for name, kind in typed.dtypes if kind == "string" and name in options.search_columns]
+    typed = add_search_key(typed, keyed)
     # One short row per source of this table, of a size Spark knows, so it joins as it sees fit.
     dates = local_frame(spark, [(row["source_file"], row["snapshot_date"]) for row in plan],
                         "__source string, __date date")
-    rows = rows.withColumn("__source", F.regexp_extract("__path", SOURCE_OF_PATH, 1))
-    dated = rows.join(dates, "__source").drop("__source", "__path")
+    source = F.regexp_extract("__path", SOURCE_OF_PATH, 1)
+    dated = typed.withColumn("__source", source).join(dates, "__source").drop("__source", "__path")
     # A dump may itself have a column of the partition column's name.
     names = unique_names(["snapshot_date", *dated.columns[:-1]])[1:]
     dated = dated.toDF(*names, "snapshot_date")
     # What is read back and counted is what this load wrote, even where it replaces a date.
-    path = write_snapshots(dated, store, table, f"l{uuid.uuid4().hex}")
+    path = write_snapshots(dated, store, table, load)
     # The schema is given because a dump without rows leaves no file to take it from.
     counts = (spark.read.schema(dated.schema).parquet(path)
               .where(F.col("snapshot_date").isin([row["snapshot_date"] for row in plan]))
               .groupBy("snapshot_date").count().collect())
-    return path, {row["snapshot_date"]: row["count"] for row in counts}
+    written = {row["snapshot_date"]: row["count"] for row in counts}
+    dropped, masks = {}, {}
+    # Without any row there is nothing to observe; whether all were malformed is then asked of the rejects.
+    seen = observed.get if written else None
+    if options.read_mode == "drop" and (seen is None or seen["malformed"]):
+        bad = rows.where(~sound).withColumn("source_file", source).join(dates, F.col("source_file") == F.col("__source"))
+        (bad.select("source_file", F.lit(table).alias("base_table"), F.col("__date").alias("file_date"),
+                    F.col("__path").alias("path"), F.col(CORRUPT).alias("record"), F.lit(load).alias("load"))
+         .write.mode("overwrite").parquet(f"{rejects_path(store)}/part={load}"))
+        rejects = spark.read.parquet(f"{rejects_path(store)}/part={load}")
+        dropped = {row["source_file"]: row["count"] for row in rejects.groupBy("source_file").count().collect()}
+    if seen is not None and masked:
+        masks = {name: seen[f"m{i}"] for i, name in enumerate(columns)}
+    return Loaded(path, written, dropped, masks)
 
 
 def import_files(spark: SparkSession, files: DataFrame, store: str,
                  run_at: datetime.datetime, options: LoadOptions = LoadOptions()) -> DataFrame:
     """Load the listed dump files, table by table, and log what became of each.
 
-    What comes to the driver is a row per source and table, not per file. A table that fails is
-    logged as ERROR and the others go on. Returns this run's log rows.
+    ``files`` is all there is of the dumps it names. What comes to the driver is a row per source and
+    table, not per file. A table that fails is logged as ERROR and the others go on. Files enter the ledger
+    before the log names their load, so a load that dies in between is done over. Returns this run's log rows.
     """
     log = load_log.read_log(spark, log_path(store))
-    plan = plan_load(files, log, options).collect()
+    ledger = load_log.read_ledger(spark, ledger_path(store), log)
+    planned = materialized(plan_load(files, log, ledger, options), "plan")
+    plan = planned.groupBy("source_file", "table_name", "location", "snapshot_date", "action").agg(
+        F.count(F.lit(1)).alias("n_files")).collect()
 
     entries = []
 
-    def note(row, status, rows=None, message=None, path=None):
+    def note(row, status, rows=None, message=None, done: Loaded | None = None):
         date = row["snapshot_date"]
         suffix = date.strftime("%Y%m%d") if date else None
         name = sanitize_text(row["table_name"])
+        masks = {c: m for c, m in done.masks.items() if m is not None} if done else None
         entries.append((None, row["source_file"], date, run_at,
                         f"{name}_{suffix}" if suffix else name, rows, suffix, status, message,
-                        row["table_name"], path))
+                        row["table_name"], done.path if done else None,
+                        done.dropped.get(row["source_file"], 0) if done else None, row["action"] == ADD, masks))
 
     for row in plan:
         if row["action"] == load_log.ERROR:
             note(row, load_log.ERROR, message="no valid date in the name and no default given")
-        elif row["action"] != "LOAD":
+        elif row["action"] not in (LOAD, ADD):
             note(row, row["action"], 0 if row["action"] == load_log.EMPTY else None)
     to_load: dict[str, list] = {}
     for row in plan:
-        if row["action"] == "LOAD":
+        if row["action"] in (LOAD, ADD):
             to_load.setdefault(row["table_name"], []).append(row)
 
     def load(table: str, todo: list) -> list[tuple]:
+        chosen = planned.where((F.col("table_name") == table) & ((F.col("action") == LOAD) | (F.col("action") == ADD) & F.col("is_new")))
+        if len(todo) < len(to_load[table]):
+            chosen = chosen.where(F.struct("source_file", "location").isin(
+                [F.struct(F.lit(row["source_file"]), F.lit(row["location"])) for row in todo]))
         try:
-            path, counts = _load_table(spark, store, table, todo, log, options)
-            return [(row, counts.get(row["snapshot_date"], 0), path, None) for row in todo]
+            done = _load_table(spark, store, table, todo, chosen, log, options)
+            (chosen.select("path", "length", "modified_at", "source_file", F.col("table_name").alias("base_table"),
+                           F.col("snapshot_date").alias("file_date"), F.lit(done.path.rpartition("=")[2]).alias("load"))
+             .coalesce(1).write.parquet(f"{ledger_path(store)}/part={done.path.rpartition('=')[2]}"))
+            return [(row, done.rows.get(row["snapshot_date"], 0), done, None) for row in todo]
         except Exception as error:  # noqa: BLE001 - one bad table must not stop the others
             if len(todo) > 1:
                 # Together they failed: halve them until only the bad ones are left alone.
@@ -235,14 +316,14 @@ def import_files(spark: SparkSession, files: DataFrame, store: str,
     # Small tables would leave a cluster idle one after the other, so a few load side by side.
     with ThreadPoolExecutor(max_workers=options.parallel_tables) as pool:
         outcomes = list(pool.map(load, to_load, to_load.values()))
-    for row, rows, path, error in (result for results in outcomes for result in results):
+    for row, rows, done, error in (result for results in outcomes for result in results):
         if error:
             note(row, load_log.ERROR, message=error)
         elif rows:
-            note(row, load_log.LOADED, rows, path=path)
+            note(row, load_log.LOADED, rows, done=done)
         else:
             # A header without rows leaves nothing to read back.
-            note(row, load_log.EMPTY, 0)
+            note(row, load_log.EMPTY, 0, done=done)
 
     # Ids go by source, table and date; the rows are here already, so they are numbered here.
     entries.sort(key=lambda row: (row[1], row[9], row[2] or datetime.date.min))
@@ -279,18 +360,21 @@ def import_latest(spark: SparkSession, root: str, store: str, run_at: datetime.d
 
 def import_paths(spark: SparkSession, listing: DataFrame, store: str, run_at: datetime.datetime,
                  options: LoadOptions = LoadOptions()) -> DataFrame:
-    """`import_files` for a raw listing (path, modificationTime, length), as a stream delivers it."""
-    return import_files(spark, describe_files(listing), store, run_at, options)
+    """Load the dumps that a raw listing (path, modificationTime, length), as a stream delivers it, has files of.
+
+    Their folders are listed anew, so that it can be told what came to them and what has gone.
+    """
+    return import_files(spark, list_location_files(describe_files(listing)), store, run_at, options)
 
 
 def open_snapshots(spark: SparkSession, store: str, table: str) -> DataFrame:
     """All dated copies of a table under one schema, with ``snapshot_date`` as partition column.
 
     Copies with other columns are united by name, with NULL for what one lacks, and columns whose
-    type changed are read as the wider type. Filters on ``snapshot_date`` prune to their folders.
+    type changed are read as the one that holds all their values. Filters on ``snapshot_date`` prune to their folders.
     """
-    keys = load_log.loaded_keys(load_log.read_log(spark, log_path(store))).where(
-        F.col("base_table") == table)
+    log = load_log.read_log(spark, log_path(store))
+    keys = load_log.loaded_keys(log).where(F.col("base_table") == table)
     folders = keys.groupBy(_schema_path(), "store_path").agg(F.collect_list("file_date").alias("dates")) \
         .orderBy("schema_path", "store_path").collect()
     if not folders:
@@ -298,7 +382,8 @@ def open_snapshots(spark: SparkSession, store: str, table: str) -> DataFrame:
     by_schema: dict[str, list] = {}
     for folder in folders:
         by_schema.setdefault(folder["schema_path"], []).append(folder)
-    return unite([_read_loads(spark, path, loads) for path, loads in by_schema.items()])
+    types = {name: type_of_mask(mask) for name, mask in load_log.known_masks(log, table).items()}
+    return unite([_read_loads(spark, path, loads) for path, loads in by_schema.items()], types)
 
 
 def _read_loads(spark: SparkSession, path: str, loads: list) -> DataFrame:
@@ -312,21 +397,21 @@ def _read_loads(spark: SparkSession, path: str, loads: list) -> DataFrame:
     return rows.where(current).drop(LOAD_COLUMN)
 
 
-def unite(parts: list[DataFrame]) -> DataFrame:
-    """Union by name; missing columns are NULL and differing types go to the wider one."""
-    types: dict[str, str] = {}
+def unite(parts: list[DataFrame], known: dict[str, str] | None = None) -> DataFrame:
+    """Union by name; missing columns are NULL and differing types go to the ``known`` one or one that holds all."""
+    kinds: dict[str, set[str]] = {}
     for part in parts:
         for field in part.schema:
-            kind = field.dataType.simpleString()
-            types[field.name] = wider_type(types[field.name], kind) if field.name in types else kind
-    result = None
-    for part in parts:
-        own = {f.name: f.dataType.simpleString() for f in part.schema}
-        part = part.select(*[
-            F.col(f"`{name}`") if own[name] == types[name]
-            else F.col(f"`{name}`").cast(types[name]).alias(name) for name in part.columns])
-        result = part if result is None else result.unionByName(part, allowMissingColumns=True)
-    return result
+            kinds.setdefault(field.name, set()).add(field.dataType.simpleString())
+
+    def form(name: str, own: str) -> Column:
+        value, wide = F.col(quoted(name)), (known or {}).get(name, "string")
+        if len(kinds[name]) == 1:
+            return value
+        return (common_form(value, own, kinds[name]) if wide == "string" else value.cast(wide)).alias(name)
+
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [
+        part.select(*[form(f.name, f.dataType.simpleString()) for f in part.schema]) for part in parts])
 
 
 def full_refresh(df: DataFrame, path: str) -> None:

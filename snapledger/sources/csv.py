@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import csv
+import functools
+import operator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from snapledger.functions.naming import unique_names
-from snapledger.functions.types import infer_text_types, wider_type
-from snapledger.sources.records import csv_records, has_stray_quote, parse_records, quote_count
+from snapledger.functions.types import text_masks, type_mask, type_of_mask
+from snapledger.sources.discover import LOCATION_OF_PATH
+from snapledger.sources.records import CORRUPT, count_starts, csv_records, parse_records, quote_count
 from snapledger.storage import file_path, materialized, plain_glob
 
 # Empty and absent are the same in these dumps, quoted or not: both are NULL when read. Quotes are
@@ -20,54 +23,62 @@ CSV_OPTIONS = {
     "quote": '"', "escape": '"', "nullValue": "", "emptyValue": "",
     "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
 }
-READ_MODES = {"drop": "DROPMALFORMED", "fail": "FAILFAST"}
+READ_MODES = {"drop": "PERMISSIVE", "fail": "FAILFAST"}
 
 
-def csv_profiles(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Per file its header line and whether a value in it may run over a line end.
+def _of_files(df: DataFrame, files: DataFrame | None, since=None, name: str = "path") -> DataFrame:
+    """Rows of the listed files. Files changed before ``since`` are none of them, and so are not opened."""
+    if since is not None:
+        df = df.where(F.col("_metadata.file_modification_time") >= F.lit(since))
+    return df if files is None else df.join(files.withColumnRenamed("path", name), name, "left_semi")
+
+
+def csv_profiles(spark: SparkSession, paths: list[str], files: DataFrame | None = None, since=None) -> DataFrame:
+    """Per file its header line, whether a value in it may run over a line end, and its lines that are not blank.
 
     One scan of the raw lines with map-side aggregation: one small row per file is shuffled. The
     two `collect_set` values keep Spark on the hash-based aggregate (`min_by` on text alone would
     sort every line).
     """
-    lines = spark.read.text([plain_glob(path) for path in paths]).select(
+    lines = _of_files(spark.read.text([plain_glob(path) for path in paths]), None, since).select(
         F.col("value"), file_path().alias("path"),
         F.col("_metadata.file_block_start").alias("block_start"),
         F.monotonically_increasing_id().alias("line"))
+    lines = _of_files(lines, files)
     return lines.groupBy("path").agg(
         # The header is the first line that is not blank, as it is for Spark's reader.
         F.min_by("value", F.when((F.col("block_start") == 0) & (F.trim("value") != ""), F.col("line")))
         .alias("header"),
-        F.array_contains(F.collect_set(quote_count(F.col("value")) % 2), 1).alias("multi_line"))
+        F.array_contains(F.collect_set(quote_count(F.col("value")) % 2), 1).alias("multi_line"),
+        F.count_if(F.trim("value") != "").alias("n_lines"))
 
 
 def header_names(line: str) -> list[str]:
     return next(csv.reader([line]))
 
 
-def _read_group(spark: SparkSession, paths: list[str], names: list[str], mode: str,
-                multi_line: bool = False) -> DataFrame:
+def _read_group(spark: SparkSession, paths: list[str], names: list[str], mode: str, multi_line: bool = False,
+                files: DataFrame | None = None, since=None) -> DataFrame:
     schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
+    if mode == "drop":
+        schema = schema.add(CORRUPT, T.StringType())
     reader = spark.read.schema(schema).options(
-        header=True, mode=READ_MODES[mode], columnPruning=False, multiLine=multi_line, **CSV_OPTIONS)
-    df = reader.csv([plain_glob(path) for path in paths])
-    return df.select(*names, file_path().alias("__path"))
-
+        header=True, mode=READ_MODES[mode], columnPruning=False, multiLine=multi_line,
+        columnNameOfCorruptRecord=CORRUPT, **CSV_OPTIONS)
+    df = _of_files(reader.csv([plain_glob(path) for path in paths]), None, since)
+    # Spark does not read the malformed lines alone, so they are never asked for without another column.
+    anything = F.length(F.coalesce(F.col(f"`{names[0]}`"), F.lit(""))) >= 0
+    corrupt = (F.when(anything, F.col(CORRUPT)) if mode == "drop" else F.lit(None).cast("string")).alias(CORRUPT)
+    df = df.select(*[F.col(f"`{name}`") for name in names], file_path().alias("__path"), corrupt)
+    return _of_files(df, files, name="__path")
 
-def _read_records(spark: SparkSession, paths: list[str], names: list[str], mode: str) -> DataFrame:
-    """Put records together once, in a scratch table that later passes split as they like."""
-    records = materialized(csv_records(spark, paths), "records")
-    # In files with quotes inside bare values only reading in sequence tells where records end.
-    odd = [row["path"] for row in records.where(has_stray_quote(F.col("record")))
-           .select("path").distinct().collect()]
-    sound = records.where(~F.col("path").isin(odd)) if odd else records
-    df = parse_records(sound, names, READ_MODES[mode], CSV_OPTIONS)
-    return df.unionByName(_read_group(spark, odd, names, mode, multi_line=True)) if odd else df
 
+def read_csv_rows(spark: SparkSession, paths: list[str], mode: str = "drop",
+                  files: DataFrame | None = None, since=None) -> DataFrame:
+    """All rows as text with their ``__path``; in ``__corrupt`` the line of a malformed one, else NULL.
 
-def read_csv_text(spark: SparkSession, paths: list[str], mode: str = "drop",
-                  keep_path: bool = False) -> DataFrame:
-    """All columns as text. ``drop`` leaves malformed rows out, ``fail`` stops at the first one.
+    Mode ``fail`` stops at the first malformed row. With ``files`` (a ``path`` column) only theirs count,
+    whatever else lies below the paths by the time they are read; none of them was changed before ``since``.
 
     Spark matches CSV columns by position, so files are grouped by header and the groups united by
     name. Files in which a quoted value runs over a line end would be read by one task each; their
@@ -75,25 +86,53 @@ def read_csv_text(spark: SparkSession, paths: list[str], mode: str = "drop",
     """
     if mode not in READ_MODES:
         raise ValueError(f"unknown read mode {mode!r}; use one of {sorted(READ_MODES)}")
-    # One row per file, kept while the groups are told apart so that the lines are scanned once.
-    profiles = csv_profiles(spark, paths).where(F.trim("header") != "").persist()
-    try:
-        groups = profiles.select("header", "multi_line").distinct().orderBy("header", "multi_line").collect()
-        # Only files that do not all have the same header need to be named one by one.
-        files = [paths] if len(groups) == 1 else [
-            [row["path"] for row in profiles.where(
-                (F.col("header") == group["header"]) & (F.col("multi_line") == group["multi_line"]))
-             .select("path").collect()] for group in groups]
-    finally:
-        profiles.unpersist()
+    # One row per file, written so that the lines are scanned once; the driver sees headers and folders.
+    profiles = materialized(csv_profiles(spark, paths, files, since).where(F.trim("header") != ""), "headers")
+    headers = profiles.select("header", "multi_line").distinct().collect()
+    groups: dict[tuple[str, bool], list[str]] = {}
+    if len(headers) == 1:
+        groups[tuple(headers[0])] = paths
+    else:
+        folders = profiles.select("header", "multi_line", F.regexp_replace("path", *LOCATION_OF_PATH).alias("folder")).distinct()
+        for row in folders.orderBy("header", "multi_line", "folder").collect():
+            groups.setdefault((row["header"], row["multi_line"]), []).append(row["folder"])
     result = None
-    for group, own in zip(groups, files):
-        names = unique_names(header_names(group["header"]))
-        df = (_read_records if group["multi_line"] else _read_group)(spark, own, names, mode)
+    for (header, multi_line), own in groups.items():
+        names = unique_names(header_names(header))
+        members = files if len(groups) == 1 else profiles.where(
+            (F.col("header") == header) & (F.col("multi_line") == multi_line)).select("path")
+        df = (parse_records(csv_records(spark, own, members), names, READ_MODES[mode], CSV_OPTIONS) if multi_line
+              else _read_group(spark, own, names, mode, files=members, since=since))
         result = df if result is None else result.unionByName(df, allowMissingColumns=True)
     if result is None:
         raise ValueError(f"nothing but empty files in {paths}")
-    return result if keep_path else result.drop("__path")
+    return result
+
+
+def sound_rows(rows: DataFrame) -> DataFrame:
+    """The rows that are not malformed, without their path."""
+    return rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT, "__path")
+
+
+def read_csv_text(spark: SparkSession, paths: list[str], mode: str = "drop",
+                  keep_path: bool = False) -> DataFrame:
+    """All columns as text. ``drop`` leaves malformed rows out, ``fail`` stops at the first one."""
+    rows = read_csv_rows(spark, paths, mode).where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    return rows if keep_path else rows.drop("__path")
+
+
+def count_records(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``path`` and ``n_records`` of every file that is not empty: its records without the header.
+
+    Counted from the lines alone, so that it can be held against a load; lines that an open quote swallows count as one.
+    """
+    profiles = materialized(csv_profiles(spark, paths).where(F.trim("header") != ""), "headers")
+    plain = profiles.where("NOT multi_line").select("path", (F.col("n_lines") - 1).alias("n_records"))
+    over = profiles.where("multi_line").select("path")
+    folders = [row[0] for row in over.select(F.regexp_replace("path", *LOCATION_OF_PATH)).distinct().collect()]
+    if not folders:
+        return plain
+    return plain.unionByName(count_starts(spark, folders, over))
 
 
 def cast_columns(df: DataFrame, types: dict[str, str], strict: bool = True) -> DataFrame:
@@ -124,10 +163,20 @@ def read_table_dump(spark: SparkSession, paths: list[str], typing: str = "infer"
 
 def infer_types(df: DataFrame, known_types: dict[str, str]) -> dict[str, str]:
     """Types for text columns: what all values allow, no narrower than what was known before."""
-    types = infer_text_types(df, without_values=None)
-    for name, kind in types.items():
-        known = known_types.get(name)
-        types[name] = (kind or known or "string") if not (kind and known) else wider_type(kind, known)
+    return merged_types(text_masks(df), {}, known_types)
+
+
+def merged_types(masks: dict[str, int | None], known_masks: dict[str, int], known_types: dict[str, str]) -> dict[str, str]:
+    """Types of columns from the masks of their new values and of those loaded before.
+
+    A column without new values keeps its type. Masks say what holds old and new values without loss;
+    a column known by its type only has the rungs that hold every value of that type.
+    """
+    types = {}
+    for name, mask in masks.items():
+        known = known_masks.get(name, type_mask(known_types[name]) if name in known_types else None)
+        both = [m for m in (mask, known) if m is not None]
+        types[name] = type_of_mask(functools.reduce(operator.and_, both)) if mask is not None else known_types.get(name, "string")
     return types
 
 

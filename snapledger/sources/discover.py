@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from snapledger.sources.local import local_frame
-from snapledger.storage import exists, list_children
+from snapledger.storage import exists, list_children, plain_glob
 
 # A dump tree is <root>/<source>/<table>.csv, each table one file or a folder of part files. The
 # folders may be written as source=<source> and table=<table>.csv, as one Spark job leaves them. The leading
@@ -35,6 +35,17 @@ def describe_files(files: DataFrame) -> DataFrame:
         F.regexp_replace("path", *LOCATION_OF_PATH).alias("location"))
 
 
+def listed_files(spark: SparkSession, paths: list[str], glob: str = FILE_GLOB) -> DataFrame:
+    return describe_files(spark.read.format("binaryFile").option("recursiveFileLookup", True)
+                          .option("pathGlobFilter", glob).load(paths))
+
+
+def list_location_files(files: DataFrame) -> DataFrame:
+    """All files there are now of the dumps that some files are known of; a row per dump comes to the driver."""
+    places = [plain_glob(row["location"]) for row in files.select("location").distinct().collect()]
+    return listed_files(files.sparkSession, places) if places else files
+
+
 def discover_sources(spark: SparkSession, root: str, glob: str = FILE_GLOB,
                      single: bool = False) -> DataFrame:
     """All matching files below a folder of sources, or of one source if it is a ``single`` one.
@@ -44,9 +55,12 @@ def discover_sources(spark: SparkSession, root: str, glob: str = FILE_GLOB,
     """
     if not exists(spark, root):
         raise FileNotFoundError(f"no such folder: {root}")
-    files = describe_files(
-        spark.read.format("binaryFile").option("recursiveFileLookup", True)
-        .option("pathGlobFilter", glob).load(root))
+    files = listed_files(spark, [root], glob)
+    return files.unionByName(empty_tables(spark, root, files, single))
+
+
+def empty_tables(spark: SparkSession, root: str, files: DataFrame, single: bool = False) -> DataFrame:
+    """A row of length 0 for each table in the folder tree of which there is no file in the listing."""
     sources = [root] if single else [
         path for _, path, is_folder in list_children(spark, root) if is_folder]
     tables = [(path,) for source in sources
@@ -54,7 +68,7 @@ def discover_sources(spark: SparkSession, root: str, glob: str = FILE_GLOB,
     folders = describe_files(local_frame(spark, tables, "path string").select(
         "path", F.lit(0).cast("bigint").alias("length"),
         F.lit(None).cast("timestamp").alias("modificationTime")))
-    return files.unionByName(folders.join(files, ["source_file", "table_name"], "left_anti"))
+    return folders.join(files, ["source_file", "table_name"], "left_anti").select(*files.columns)
 
 
 def list_source_tables(files: DataFrame, table_type: str | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapledger.functions.naming import (date_text_compat, sanitize_name, snapshot_date,
@@ -12,6 +12,7 @@ from snapledger.functions.naming import (date_text_compat, sanitize_name, snapsh
 from snapledger.functions.types import type_profile
 from snapledger.operators.reshape import columns_to_rows, is_ragged
 from snapledger.plans import load, log
+from snapledger.plans.accounting import load_accounting as account
 from snapledger.plans.load import LoadOptions, batch_import, open_snapshots
 from snapledger.sources.csv import (load_as_text, read_table_dump, write_csv,
                                     write_dumps)
@@ -134,13 +135,14 @@ def roundtrip_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table_dump(spark, [path])
 
 
-def _order_lines(orders: DataFrame) -> DataFrame:
-    """CSV lines of orders, those of pending ones malformed: a field short or a field too many."""
+def _order_lines(orders: DataFrame, *more: Column) -> DataFrame:
+    """CSV lines of orders, those of pending ones malformed: fields short or a field too many."""
     fields = [F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), F.col("o_orderstatus"),
               F.col("o_totalprice").cast("string"), F.date_format("o_orderdate", "yyyy-MM-dd")]
     line = F.concat_ws(",", *fields)
     pending = F.col("o_orderstatus") == "P"
     return orders.select(
+        *[c.alias("source") for c in more],
         F.when(pending & (F.col("o_orderpriority") < "3"), F.concat(F.lit("bad,"), F.col("o_orderpriority")))
         .when(pending, F.concat(line, F.lit(",surplus"))).otherwise(line).alias("value"))
 
@@ -335,6 +337,58 @@ def load_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run.select("source_file", "base_table", "row_count", "status")
 
 
+def _dump_lines(lines: DataFrame, root: str, table: str) -> None:
+    """Dump files of ready-made lines: columns ``source`` and one named as the header."""
+    (lines.withColumn("table", F.lit(f"{table}.csv")).write.mode("append").partitionBy("source", "table")
+     .options(header=True, quote="", sep="\u0001", escape="", lineSep="\n").csv(root))
+
+
+ORDER_HEADER = "o_orderkey,o_custkey,o_orderstatus,o_totalprice,o_orderdate"
+
+
+@workload("load_accounting", """
+    WITH orders_by AS (SELECT year(o_orderdate) AS y, o_orderstatus = 'P' AS bad FROM orders)
+    SELECT 'shop_31_12_' || y AS source_file, 'orders' AS table_name, 'OK' AS status, CAST(count(*) AS BIGINT) AS n_records,
+           CAST(count(*) FILTER (NOT bad) AS BIGINT) AS n_loaded, CAST(count(*) FILTER (bad) AS BIGINT) AS n_dropped,
+           CAST(0 AS BIGINT) AS n_failed, CAST(0 AS BIGINT) AS n_not_taken, CAST(0 AS BIGINT) AS n_unaccounted
+    FROM orders_by GROUP BY y
+    UNION ALL SELECT 'tally_31_12_' || y, 'orders', 'SKIPPED_EXISTS', count(*), 0, 0, 0, count(*), 0 FROM orders_by GROUP BY y
+    UNION ALL SELECT 'shop_31_12_2001', 'customer', 'OK', count(*), count(*), 0, 0, 0, 0 FROM customer
+    UNION ALL SELECT 'shop_undated', 'customer', 'ERROR', count(*), 0, 0, count(*), 0, 0 FROM customer
+    UNION ALL SELECT 'shop_31_12_2002', 'parts', 'OK', count(*), count(*), 0, 0, 0, 0 FROM part
+    UNION ALL SELECT 'shop_31_12_2003', 'documents', 'OK', count(*), count(*), 0, 0, 0, 0 FROM documents""")
+def load_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Malformed lines, stray quotes, values over line ends, undated and second dumps: every record is accounted for."""
+    root, store = scratch_dir(spark, "dumps"), scratch_dir(spark, "store")
+    orders = read(spark, sf_dir, "orders")
+    for prefix in ("shop", "tally"):
+        lines = _order_lines(orders, year_end_source(prefix)).withColumnRenamed("value", ORDER_HEADER)
+        _dump_lines(lines, root, "orders")
+    dump_customers(spark, sf_dir, root)
+    dump_customers(spark, sf_dir, root, "shop_undated")
+    # Inches are written as a quote in a bare name; texts run over line ends.
+    _dump_lines(read(spark, sf_dir, "part").select(F.lit("shop_31_12_2002").alias("source"), F.concat(
+        F.col("p_partkey").cast("string"), F.lit(","), F.col("p_size").cast("string"), F.lit('" '), "p_type")
+        .alias("p_partkey,p_type")), root, "parts")
+    write_dumps(read(spark, sf_dir, "documents").withColumn("source", F.lit("shop_31_12_2003")), root, "documents", "source")
+    batch_import(spark, root, store, RUN_AT)
+    return account(spark, root, store)
+
+
+@workload("read_rejects", """
+    SELECT 'shop_31_12_' || year(o_orderdate) AS source_file, make_date(year(o_orderdate), 12, 31) AS file_date,
+           CASE WHEN o_orderpriority < '3' THEN 'bad,' || o_orderpriority
+                ELSE concat_ws(',', o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d'), 'surplus') END
+           AS record
+    FROM orders WHERE o_orderstatus = 'P'""")
+def read_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The malformed lines that a load left out, as they stand in the dumps."""
+    root, store = scratch_dir(spark, "dumps"), scratch_dir(spark, "store")
+    _dump_lines(_order_lines(read(spark, sf_dir, "orders"), year_end_source("shop")).withColumnRenamed("value", ORDER_HEADER), root, "orders")
+    run = batch_import(spark, root, store, RUN_AT)
+    return log.read_rejects(spark, load.rejects_path(store), run).select("source_file", "file_date", "record")
+
+
 @workload("batch_import", """
     SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority,
            NULL AS channel, make_date(year(o_orderdate), 12, 31) AS snapshot_date FROM orders
@@ -418,3 +472,19 @@ def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
             write_dumps(part, root, "orders", "source")
         import_new(spark, root, store, checkpoint, lambda: next(times)).awaitTermination()
     return open_snapshots(spark, store, "orders")
+
+
+@workload("incremental_parts", """
+    SELECT *, make_date(year(o_orderdate), 12, 31) AS snapshot_date FROM orders""")
+def incremental_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part files that come to a dump in three instalments; a lost checkpoint replays all of them without harm."""
+    root, store = scratch_dir(spark, "landing"), scratch_dir(spark, "store")
+    checkpoint, again = scratch_dir(spark, "stream"), scratch_dir(spark, "stream")
+    times = iter(RUN_AT + datetime.timedelta(hours=i) for i in range(100))
+    orders = read(spark, sf_dir, "orders").withColumn("source", year_end_source("shop"))
+    third = F.pmod(F.xxhash64("o_orderkey"), F.lit(3))
+    for part in range(3):
+        write_dumps(orders.where(third == part), root, "orders", "source")
+        import_new(spark, root, store, checkpoint, lambda: next(times)).awaitTermination()
+    import_new(spark, root, store, again, lambda: next(times)).awaitTermination()
+    return open_snapshots(spark, store, "orders")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from snapledger.operators.history import union_snapshots
 from snapledger.operators.search import search
 from snapledger.plans import log as load_log
+from snapledger.plans.accounting import load_accounting
 from snapledger.plans.load import (LoadOptions, batch_import, import_latest, load_if_absent, load_snapshot, log_path,
-                                   open_snapshots, unite)
+                                   open_snapshots, rejects_path, unite)
 from snapledger.plans.log import import_summary, load_manifest, read_log, write_manifest
 from snapledger.streaming.incremental import import_new
 
@@ -119,8 +120,8 @@ def test_later_loads_keep_the_types_while_they_fit(spark, tmp_path, monkeypatch)
     import snapledger.plans.load as load
     root, store = tmp_path / "in", str(tmp_path / "store")
     calls = []
-    inferred = load.infer_types
-    monkeypatch.setattr(load, "infer_types", lambda *a: calls.append(1) or inferred(*a))
+    scanned = load.text_masks
+    monkeypatch.setattr(load, "text_masks", lambda *a: calls.append(1) or scanned(*a))
 
     def add(day, text):
         dump(root, f"a_{day}_02_2020", "t", "id,v,d\n" + text)
@@ -132,9 +133,10 @@ def test_later_loads_keep_the_types_while_they_fit(spark, tmp_path, monkeypatch)
     assert add("02", "2,7,\n,,\n")[1] == 1
     types = dict(open_snapshots(spark, store, "t").dtypes)
     assert (types["id"], types["v"], types["d"]) == ("bigint", "double", "date")
-    # A cast would take these, cutting the time off; the shape of the value says otherwise.
-    assert add("03", "3,2,2024-01-01 10:00:00\n")[1] == 2
-    assert add("04", "x4,2,2024-01-05\n")[1] == 3
+    # A cast would take these, cutting the time off; the shape of the value says otherwise. What types hold
+    # old and new values is known from the masks of both, without another scan.
+    assert add("03", "3,2,2024-01-01 10:00:00\n")[1] == 1
+    assert add("04", "x4,2,2024-01-05\n")[1] == 1
     df = open_snapshots(spark, store, "t")
     types = dict(df.dtypes)
     assert (types["id"], types["v"], types["d"]) == ("string", "double", "timestamp_ntz")
@@ -221,3 +223,108 @@ def test_union_of_snapshots(spark):
     assert dict(df.dtypes) == {"id": "bigint", "n": "double", "w": "string", "snapshot_date": "date"}
     assert {tuple(r[c] for c in ("id", "n", "w")) for r in df.collect()} == {(1, 5.0, None), (2, 2.5, "x")}
     assert unite([old]).columns == ["id", "n"]
+
+
+def test_masks_of_loads_widen_without_loss(spark, tmp_path):
+    root, store = tmp_path / "in", str(tmp_path / "store")
+    for day, text in (("01", "1,5\n"), ("02", "12345678901234567,7\n"), ("03", "2.5,6.5\n")):
+        dump(root, f"a_{day}_02_2020", "t", "id,v\n" + text)
+        batch_import(spark, str(root), store, RUN + int(day) * DAY)
+    df = open_snapshots(spark, store, "t")
+    # No double holds 17 digits, so ids become text; the others fit one.
+    assert dict(df.dtypes) == {"id": "string", "v": "double", "snapshot_date": "date"}
+    assert {(r["id"], r["v"]) for r in df.collect()} == {("1", 5.0), ("12345678901234567", 7.0), ("2.5", 6.5)}
+
+
+def test_text_and_typed_loads_of_one_table(spark, tmp_path):
+    root, store = tmp_path / "in", str(tmp_path / "store")
+    dump(root, "a_01_02_2020", "t", "id\n007\n")
+    batch_import(spark, str(root), store, RUN, LoadOptions(typing="text"))
+    dump(root, "a_02_02_2020", "t", "id\n8\n")
+    batch_import(spark, str(root), store, RUN + DAY)
+    assert {r["id"] for r in open_snapshots(spark, store, "t").collect()} == {"007", "8"}
+
+
+def part(root, source, table, name, text, age=0):
+    folder = root / source / f"{table}.csv"
+    folder.mkdir(parents=True, exist_ok=True)
+    (folder / f"{name}.csv").write_text(text)
+    os.utime(folder / f"{name}.csv", (10**9 - age, 10**9 - age))
+
+
+@pytest.mark.parametrize("conflict", ["keep", "replace"])
+def test_late_part_files_are_added_once(spark, tmp_path, conflict):
+    root, store, options = tmp_path / "in", str(tmp_path / "store"), LoadOptions(on_conflict=conflict)
+    times, checkpoints = iter(RUN + i * DAY for i in range(20)), iter(str(tmp_path / f"c{i}") for i in range(9))
+
+    def stream(checkpoint):
+        import_new(spark, str(root), store, checkpoint, lambda: next(times), options).awaitTermination()
+        return sorted(r["id"] for r in open_snapshots(spark, store, "t").collect())
+
+    first = next(checkpoints)
+    part(root, "a_01_02_2020", "t", "p1", "id,v\n1,x\n2,y\n")
+    assert stream(first) == [1, 2]
+    # One is older than what was loaded, one has its columns the other way round.
+    part(root, "a_01_02_2020", "t", "p2", "id,v\n3,z\n", age=500)
+    part(root, "a_01_02_2020", "t", "p3", "v,id\nw,4\n")
+    assert stream(first) == [1, 2, 3, 4]
+    assert stream(first) == [1, 2, 3, 4]
+    # All of it comes again, as after a lost checkpoint.
+    assert stream(next(checkpoints)) == [1, 2, 3, 4]
+    part(root, "a_01_02_2020", "t", "p4", "id,v\n5,only\nbroken\n")
+    batch_import(spark, str(root), store, next(times), options)
+    assert sorted(r["id"] for r in open_snapshots(spark, store, "t").collect()) == [1, 2, 3, 4, 5]
+    last = read_log(spark, log_path(store)).orderBy(F.col("import_id").desc()).first()
+    assert (last["row_count"], last["n_dropped"], last["adds"]) == (1, 1, True)
+
+
+def test_a_dump_written_anew_is_no_late_part(spark, tmp_path):
+    root, store = tmp_path / "in", str(tmp_path / "store")
+    part(root, "a_01_02_2020", "t", "p1", "id\n1\n")
+    batch_import(spark, str(root), store, RUN)
+    (root / "a_01_02_2020" / "t.csv" / "p1.csv").unlink()
+    part(root, "a_01_02_2020", "t", "q1", "id\n7\n")
+    assert {r["status"] for r in batch_import(spark, str(root), store, RUN + DAY).collect()} == {"SKIPPED_EXISTS"}
+    assert [r["id"] for r in open_snapshots(spark, store, "t").collect()] == [1]
+    batch_import(spark, str(root), store, RUN + 2 * DAY, LoadOptions(on_conflict="replace"))
+    assert [r["id"] for r in open_snapshots(spark, store, "t").collect()] == [7]
+
+
+def test_a_load_that_died_before_its_log_entry_is_done_over(spark, tmp_path, monkeypatch):
+    root, store = tmp_path / "in", str(tmp_path / "store")
+    part(root, "a_01_02_2020", "t", "p1", "id\n1\nbad,line\n")
+    with monkeypatch.context() as patch:
+        patch.setattr(load_log, "append_log", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            batch_import(spark, str(root), store, RUN)
+    assert read_log(spark, log_path(store)).count() == 0
+    run = batch_import(spark, str(root), store, RUN + DAY)
+    assert statuses(run) == {("a_01_02_2020", "t"): ("OK", 1)}
+    assert open_snapshots(spark, store, "t").count() == 1
+    assert [r["record"] for r in load_log.read_rejects(spark, rejects_path(store), run).collect()] == ["bad,line"]
+
+
+def test_tables_without_bytes_are_logged_once_by_a_stream(spark, tmp_path):
+    root, store, checkpoint = tmp_path / "in", str(tmp_path / "store"), str(tmp_path / "c")
+    times = iter(RUN + i * DAY for i in range(9))
+    dump(root, "a_01_02_2020", "z", "")
+    for _ in range(2):
+        import_new(spark, str(root), store, checkpoint, lambda: next(times)).awaitTermination()
+    assert statuses(read_log(spark, log_path(store))) == {("a_01_02_2020", "z"): ("EMPTY", 0)}
+    assert read_log(spark, log_path(store)).count() == 1
+
+
+def test_every_record_is_accounted_for(spark, tmp_path):
+    root, store = tmp_path / "in", str(tmp_path / "store")
+    dump(root, "a_01_02_2020", "t", "id,v\n1,x\n2\n3,y,z\n4,\"p\nq\"\n")
+    dump(root, "a_01_02_2020", "broken", "id,v\n1,x\n2,\"open\n3,y\n")
+    dump(root, "b_01_02_2020", "t", "id,v\n9,x\n")
+    dump(root, "undated", "u", "id\n1\n2\n")
+    dump(root, "a_01_02_2020", "h", "id\n")
+    run = batch_import(spark, str(root), store, RUN)
+    message = {r["base_table"]: r["message"] for r in run.collect()}["broken"]
+    assert "broken.csv line 3" in message
+    got = {(r["source_file"], r["table_name"]): tuple(r)[2:] for r in load_accounting(spark, str(root), store).collect()}
+    assert got == {("a_01_02_2020", "t"): ("OK", 4, 2, 2, 0, 0, 0), ("a_01_02_2020", "broken"): ("ERROR", 2, 0, 0, 2, 0, 0),
+                   ("b_01_02_2020", "t"): ("SKIPPED_EXISTS", 1, 0, 0, 0, 1, 0),
+                   ("undated", "u"): ("ERROR", 2, 0, 0, 2, 0, 0), ("a_01_02_2020", "h"): ("EMPTY", 0, 0, 0, 0, 0, 0)}

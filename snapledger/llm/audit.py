@@ -1,10 +1,10 @@
 """How document filters interact, from a sparse document-term matrix.
 
 1. Documents are cut into shards of about ``SHARD_BYTES``. A shard is a sparse matrix in compressed rows
-   whose columns are numbers of its own list of words.
-2. All lists together give the global dictionary. Each word of a list is looked up in it once, so what is
-   shuffled are the lists, not the words of the texts, and a word that stands in every document is one row
-   a shard.
+   whose columns are numbers of its own list of words, which is ordered by the words' hashes.
+2. The lists are cut into hash buckets of about ``BUCKET_WORDS`` words each. A bucket numbers its words, list
+   after list, and hands every list the numbers of its words back. Lists move as blocks; a word that stands
+   in every document is one entry a shard.
 3. A shard meets the global numbers of its words and becomes part of the corpus-wide matrix. Row sums are
    numbers of words, nonzero counts numbers of different words.
 4. Each document gets its set of failed filters. Sets are counted per part of the corpus, and what every
@@ -14,82 +14,153 @@
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 from itertools import permutations
 from math import factorial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType
 
 from snapledger.llm.common import col, running_starts, shuffled, text_or_empty, written
+from snapledger.sources.local import local_frame
 
 FILTERS = "ABCDE"
 LEAST_WORDS, LEAST_DISTINCT, MOST_CAPITALS = 200, 50, 3
 CAPITALS, SYMBOLS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"#$%&*|"
 #: A shard ends with the document that takes it beyond this much text.
-SHARD_BYTES = 1 << 21
+SHARD_BYTES = 1 << 23
+#: Entries of all lists that a bucket of the dictionary has, about; it holds their different words.
+BUCKET_WORDS = 1 << 20
+#: Ranges of hashes that buckets are made of, and entries of a bucket that are numbered at a time.
+SLICES, HELD_WORDS = 1 << 14, 1 << 22
 
 
-def _shards(rows: DataFrame, key_type: DataType, part_type: DataType) -> DataFrame:
-    """A row per shard: its documents' keys, parts and properties, its words, and its matrix of local columns."""
-    fields = {"_shard": pa.int64(), "_keys": None, "_parts": None, "_points": pa.list_(pa.int64()), "_capitals": pa.list_(pa.int64()),
-              "_symbols": pa.list_(pa.bool_()), "_hashes": pa.list_(pa.binary()), "_words": pa.list_(pa.binary()),
-              "_indptr": pa.list_(pa.int32()), "_indices": pa.list_(pa.int32()), "_counts": pa.list_(pa.int32())}
+def packed(values: np.ndarray, kind: str = "<i4") -> pa.Array:
+    """Integers as one binary value, which Spark moves without looking at each of them."""
+    return pa.array([np.ascontiguousarray(values, kind).tobytes()], pa.binary())
+
+
+def unpacked(value: pa.Array, kind: str = "<i4") -> np.ndarray:
+    """The integers of a row's packed value."""
+    return np.frombuffer(value[0].as_buffer(), kind)
+
+
+def _shard(number: int, keys: pa.Array, parts: pa.Array, texts: pa.Array) -> list[pa.Array]:
+    """One row: the documents' keys, parts and properties, their words by hash, and the matrix of local columns.
+
+    A row's columns ascend and are written as the gaps between them. Integers are packed (`packed`). ``_cuts``: where in the list of words each
+    of ``SLICES`` equal ranges of hashes begins.
+    """
+    split = pc.ascii_split_whitespace(texts)  # at \x20 and \x09 to \x0D; ends of a text may give empty pieces
+    tokens, owner = split.flatten(), np.repeat(np.arange(len(texts)), split.value_lengths().to_numpy())
+    full = pc.greater(pc.binary_length(tokens), 0)
+    coded = tokens.filter(full).dictionary_encode()
+    owner = owner[full.to_numpy(zero_copy_only=False)]
+    words = coded.dictionary.cast(pa.binary())
+    hashes = np.fromiter(map(zlib.crc32, words.to_pylist()), np.int64, len(words))
+    order = np.argsort(hashes, kind="stable")
+    rank = np.empty(len(words), np.int64)
+    rank[order] = np.arange(len(words))
+    cells = np.sort(owner * max(1, len(words)) + rank[coded.indices.to_numpy()])
+    begins = np.flatnonzero(np.diff(cells, prepend=-1))
+    counts = np.diff(np.r_[begins, len(cells)])
+    rows, columns = np.divmod(cells[begins], max(1, len(words)))
+    indptr = np.searchsorted(rows, np.arange(len(texts) + 1))
+    gaps = np.diff(columns, prepend=0)
+    heads = np.unique(indptr[:-1][indptr[:-1] < indptr[1:]])
+    gaps[heads] = columns[heads]
+    cuts = np.searchsorted(hashes[order], (np.arange(SLICES) << 32) // SLICES)
+    raw = texts.cast(pa.binary()).to_pylist()
+    one = lambda values, kind: pa.array([values], pa.list_(kind))
+    whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+    return [pa.array([number]), whole(keys), whole(parts), whole(pc.utf8_length(texts).cast(pa.int64())),
+            one(np.array([len(x) - len(x.translate(None, CAPITALS)) for x in raw], np.int64), pa.int64()),
+            one([len(x) != len(x.translate(None, SYMBOLS)) for x in raw], pa.bool_()),
+            one([hashlib.blake2b(x, digest_size=16).digest() for x in raw], pa.binary()), whole(words.take(pa.array(order))),
+            *[packed(x) for x in (cuts, indptr, gaps, counts)]]
+
+
+def _shards(rows: DataFrame) -> DataFrame:
+    """A row per shard; see `_shard`."""
+    key, part = (rows.schema[c].dataType.simpleString() for c in ("_key", "_part"))
+    schema = (f"_shard bigint, _keys array<{key}>, _parts array<{part}>, _points array<bigint>, _capitals array<bigint>, "
+              "_symbols array<boolean>, _hashes array<binary>, _words array<binary>, _cuts binary, _indptr binary, "
+              "_gaps binary, _counts binary")
+    names = [field.split()[0] for field in schema.split(", ")]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            texts, begin = batch.column("_text"), 0
-            held, words, points, capitals, symbols, hashes = 0, {}, [], [], [], []
-            indptr, indices, counts = [0], [], []
-            for at, text in enumerate(texts):
-                text = text.as_py()
-                raw = text.encode()
-                found = Counter(raw.split())  # splits bytes at \x20 and \x09 to \x0D
-                indices += [words.setdefault(word, len(words)) for word in found]
-                counts += found.values()
-                indptr.append(len(indices))
-                points.append(len(text))
-                capitals.append(len(raw) - len(raw.translate(None, CAPITALS)))
-                symbols.append(len(raw) != len(raw.translate(None, SYMBOLS)))
-                hashes.append(hashlib.blake2b(raw, digest_size=16).digest())
-                held += len(raw)
-                if held > SHARD_BYTES or at + 1 == len(texts):
-                    piece = batch.slice(begin, at + 1 - begin)
-                    lists = [piece.column(c) for c in ("_key", "_part")]
-                    arrays = [pa.array([number]), *[pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists],
-                              *[pa.array([np.array(x) if kind.value_type in (pa.int64(), pa.int32()) else x], kind)
-                                for x, kind in zip((points, capitals, symbols, hashes, list(words), indptr, indices, counts),
-                                                   list(fields.values())[3:], strict=True)]]
-                    yield pa.RecordBatch.from_arrays(arrays, list(fields))
-                    number, begin = number + 1, at + 1
-                    held, words, points, capitals, symbols, hashes = 0, {}, [], [], [], []
-                    indptr, indices, counts = [0], [], []
-
-    schema = (f"_shard bigint, _keys array<{key_type.simpleString()}>, _parts array<{part_type.simpleString()}>, _points array<bigint>, "
-              "_capitals array<bigint>, _symbols array<boolean>, _hashes array<binary>, _words array<binary>, "
-              "_indptr array<int>, _indices array<int>, _counts array<int>")
+            ends = np.cumsum(pc.binary_length(batch.column("_text")).to_numpy(), dtype=np.int64)
+            begin = 0
+            while begin < len(batch):
+                held = ends[begin - 1] if begin else 0
+                end = min(len(batch), int(np.searchsorted(ends, held + SHARD_BYTES)) + 1)
+                piece = batch.slice(begin, end - begin)
+                yield pa.RecordBatch.from_arrays(_shard(number, *(piece.column(c) for c in ("_key", "_part", "_text"))), names)
+                number, begin = number + 1, end
+
     return rows.mapInArrow(build, schema)
 
 
-def _dictionary(lists: DataFrame) -> DataFrame:
-    """``_word`` and its number from 0 up, of all shards' words."""
+def _numbered(lists: DataFrame) -> DataFrame:
+    """Per list (``_shard``) and bucket the ``_numbers`` of its words within the bucket, and from number ``_first`` up
+    the words (``_new``) that no list before it had."""
+    total = lists.agg(F.sum(F.size("_words"))).first()[0] or 0
+    buckets = min(SLICES, max(1, -(-total // BUCKET_WORDS)))
+    # Slices of the range of hashes, dealt over the buckets in runs.
+    run = np.arange(buckets) * SLICES // buckets
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(len(batch)):
+                shard = batch.slice(at, 1)
+                words = shard.column("_words").flatten()
+                bounds = np.r_[unpacked(shard.column("_cuts"))[run], len(words)].astype(np.int32)
+                some = pa.array(np.diff(bounds) > 0)
+                yield pa.RecordBatch.from_arrays(
+                    [x.filter(some) for x in (pa.array(np.arange(buckets)), pa.array(np.full(buckets, shard.column("_shard")[0].as_py())),
+                                              pa.ListArray.from_arrays(pa.array(bounds), words))], ["_bucket", "_shard", "_words"])
+
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        partition, at = TaskContext.get().partitionId(), 0
+        held, entries, known = [], 0, {}
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(batch), partition, np.int32)),
-                                              pa.array(np.arange(at, at + len(batch)))], ["_word", "_in", "_at"])
-            at += len(batch)
+            for at in range(len(batch)):
+                row = batch.slice(at, 1)
+                other = held and row.column("_bucket")[0] != held[0].column("_bucket")[0]
+                if other or entries > HELD_WORDS:
+                    yield _numbers(held, known, more=not other)
+                    held, entries, known = [], 0, {} if other else known
+                held.append(row)
+                entries += len(row.column("_words").flatten())
+        if held:
+            yield _numbers(held, known, more=False)
+
+    cuts = lists.select("_shard", "_words", "_cuts").mapInArrow(cut, "_bucket bigint, _shard bigint, _words array<binary>")
+    return (cuts.repartition("_bucket").sortWithinPartitions("_bucket", "_shard")
+            .mapInArrow(number, "_bucket bigint, _shard bigint, _numbers binary, _first int, _new array<binary>"))
+
 
-    placed = written(lists.select("_word").distinct().mapInArrow(number, "_word binary, _in int, _at bigint"), "words")
-    starts = running_starts(placed.select("_in", F.lit(1).alias("_n")), "_in", "_n")
-    start = F.element_at(F.create_map(*[F.lit(x) for pair in starts.items() for x in pair]), F.col("_in")) if starts else F.lit(0)
-    return placed.select("_word", (start + F.col("_at")).cast("bigint").alias("_number"))
+def _numbers(rows: list[pa.RecordBatch], known: dict[bytes, int], more: bool) -> pa.RecordBatch:
+    """Numbers for the lists of one bucket, going on from the ``known`` words, which are kept if ``more`` lists follow."""
+    lists = pa.concat_arrays([row.column("_words") for row in rows])
+    coded, first = lists.flatten().dictionary_encode(), len(known)
+    numbers, new = coded.indices.to_numpy(), coded.dictionary
+    if first or more:
+        of = np.array([known.setdefault(word, len(known)) for word in coded.dictionary.to_pylist()], np.int32)
+        numbers, new = of[numbers], new.filter(pa.array(of >= first))
+    n, ends = len(rows), np.cumsum(lists.value_lengths().to_numpy())
+    blobs = [x.astype("<i4").tobytes() for x in np.split(numbers, ends[:-1])]
+    column = lambda name: pa.concat_arrays([row.column(name) for row in rows])
+    return pa.RecordBatch.from_arrays(
+        [column("_bucket"), column("_shard"), pa.array(blobs, pa.binary()),
+         pa.array(np.full(n, first, np.int32)), pa.ListArray.from_arrays(pa.array([0] + [len(new)] * n, pa.int32()), new)],
+        ["_bucket", "_shard", "_numbers", "_first", "_new"])
 
 
 def document_term_matrix(df: DataFrame, key: str, text: str, part: str) -> tuple[DataFrame, DataFrame]:
@@ -97,30 +168,43 @@ def document_term_matrix(df: DataFrame, key: str, text: str, part: str) -> tuple
 
     Dictionary: ``_word`` (UTF-8), ``_number`` (0 up, the column of the matrix). A shard has a row per
     document (``_keys``, ``_parts``; code points, capitals A-Z, whether it has a symbol, a hash of the text)
-    and ``_indptr``, ``_indices``, ``_counts``: the words of row i and how often they stand in it are at
+    and, packed as little-endian integers of 4, 8 and 4 bytes, ``_indptr``, ``_indices``, ``_counts``: the words of row i and how often they stand in it are at
     ``_indptr[i]`` to ``_indptr[i + 1]``. Words are what white space (\\x20, \\x09 to \\x0D) separates. Null
     text: the empty text, a row without words.
     """
-    rows = df.select(col(key).alias("_key"), col(part).alias("_part"), text_or_empty(text).alias("_text"))
-    local = written(_shards(rows, rows.schema["_key"].dataType, rows.schema["_part"].dataType), "local-shards")
-    lists = local.select("_shard", F.posexplode("_words").alias("_local", "_word"))
-    words = _dictionary(lists)
-    numbers = (lists.join(shuffled(words), "_word").groupBy("_shard")
-               .agg(F.sort_array(F.collect_list(F.struct("_local", "_number")))["_number"].alias("_numbers")))
-    joined = local.drop("_words").join(shuffled(numbers), "_shard", "left")
-    kinds = dict(local.dtypes)
-    columns = [c for c in local.columns if c != "_words"]
+    spark = df.sparkSession
+    local = written(_shards(df.select(col(key).alias("_key"), col(part).alias("_part"), text_or_empty(text).alias("_text"))), "local-shards")
+    numbered = written(_numbered(local), "word-numbers")
+    # One number per bucket, of a size Spark knows.
+    starts = running_starts(numbered.select("_bucket", F.size("_new").alias("_n")), "_bucket", "_n")
+    starts = local_frame(spark, list(starts.items()), "_bucket bigint, _start bigint")
+    placed = numbered.join(starts, "_bucket")
+    words = placed.select("_start", "_first", F.posexplode("_new").alias("_at", "_word")).select(
+        "_word", (F.col("_start") + F.col("_first") + F.col("_at")).alias("_number"))
+    numbers = placed.groupBy("_shard").agg(F.sort_array(F.collect_list(F.struct("_bucket", "_start", "_numbers"))).alias("_numbers"))
+    joined = local.drop("_words", "_cuts").join(shuffled(numbers), "_shard", "left")
+    columns = ["_indices" if c == "_gaps" else c for c in joined.columns if c != "_numbers"]
+    kinds = dict(local.dtypes) | {"_indices": "binary"}
 
     def renumber(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(len(batch)):
                 shard = batch.slice(at, 1)
-                numbers = shard.column("_numbers").flatten().to_numpy(zero_copy_only=False)
-                indices = numbers[shard.column("_indices").flatten().to_numpy()] if len(numbers) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([indices], pa.list_(pa.int64())) if c == "_indices" else shard.column(c)
-                                                  for c in columns], columns)
+                cuts = shard.column("_numbers").flatten()  # by bucket, so by hash, as the local columns are
+                found = [np.frombuffer(x.as_buffer(), "<i4") + int(start.as_py())
+                         for x, start in zip(cuts.field("_numbers"), cuts.field("_start"), strict=True)]
+                indices = _global(shard, np.concatenate([np.zeros(0, np.int64), *found]))
+                yield pa.RecordBatch.from_arrays([packed(indices, "<i8") if c == "_indices" else shard.column(c) for c in columns], columns)
+
+    return joined.mapInArrow(renumber, ", ".join(f"{c} {kinds[c]}" for c in columns)), words
+
 
-    return joined.mapInArrow(renumber, ", ".join(f"{c} {'array<bigint>' if c == '_indices' else kinds[c]}" for c in columns)), words
+def _global(shard: pa.RecordBatch, numbers: np.ndarray) -> np.ndarray:
+    """The global columns of a shard's matrix: its gaps added up row by row and looked up."""
+    indptr, total = unpacked(shard.column("_indptr")), np.cumsum(unpacked(shard.column("_gaps")), dtype=np.int64)
+    before = np.r_[0, total][indptr[:-1]]
+    local = total - np.repeat(before, np.diff(indptr))
+    return numbers[local]
 
 
 def _failures(shards: DataFrame) -> DataFrame:
@@ -132,8 +216,8 @@ def _failures(shards: DataFrame) -> DataFrame:
             for at in range(len(batch)):
                 shard = batch.slice(at, 1)
                 values = lambda c: shard.column(c).flatten().to_numpy(zero_copy_only=False)  # noqa: E731, B023
-                indptr = values("_indptr").astype(np.int64)
-                sums = np.r_[0, np.cumsum(values("_counts"), dtype=np.int64)]
+                indptr = unpacked(shard.column("_indptr")).astype(np.int64)
+                sums = np.r_[0, np.cumsum(unpacked(shard.column("_counts")), dtype=np.int64)]
                 words, different = sums[indptr[1:]] - sums[indptr[:-1]], np.diff(indptr)
                 failed = [words < LEAST_WORDS, 100 * different < LEAST_DISTINCT * words,
                           100 * values("_capitals") > MOST_CAPITALS * values("_points"), values("_symbols").astype(bool)]

@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 from itertools import permutations
 
+import numpy as np
 import pytest
 
 from snapledger.llm import audit
@@ -64,9 +65,10 @@ def corpus(seed, count):
     return rows
 
 
-@pytest.mark.parametrize("shard", [1 << 21, 3000])
-def test_against_every_order_applied(spark, monkeypatch, shard):
+@pytest.mark.parametrize(("shard", "bucket"), [(1 << 23, 1 << 20), (3000, 100)])
+def test_against_every_order_applied(spark, monkeypatch, shard, bucket):
     monkeypatch.setattr(audit, "SHARD_BYTES", shard)
+    monkeypatch.setattr(audit, "BUCKET_WORDS", bucket)
     rows, rng = corpus(1, 60), random.Random(2)
     labels = [(k, rng.choice([0, 1, None]), rng.choice([0, 1, None])) for k in range(0, 90)] + [(5, 1, 1), (None, 1, 1)]
     assert run(spark, rows, labels) == brute(rows, labels)
@@ -80,8 +82,11 @@ def test_odd_rows(spark):
     assert run(spark, [], labels) == {}
 
 
-def test_matrix_holds_every_word_of_every_document(spark, monkeypatch):
+@pytest.mark.parametrize("bucket", [1 << 20, 50])
+def test_matrix_holds_every_word_of_every_document(spark, monkeypatch, bucket):
     monkeypatch.setattr(audit, "SHARD_BYTES", 2000)
+    monkeypatch.setattr(audit, "BUCKET_WORDS", bucket)
+    monkeypatch.setattr(audit, "HELD_WORDS", 3 * bucket // 10)
     rows = corpus(4, 30) + [(999, None, "en"), (998, " \t", "en")]
     shards, words = audit.document_term_matrix(frame(spark, rows, ("doc_id", "text", "lang"), ("bigint", "string", "string")),
                                                "doc_id", "text", "lang")
@@ -89,11 +94,12 @@ def test_matrix_holds_every_word_of_every_document(spark, monkeypatch):
     assert sorted(known) == list(range(len(known)))
     got, seen = defaultdict(Counter), Counter()
     for shard in shards.collect():
-        assert shard["_indptr"][0] == 0
+        indptr, indices, counts = (np.frombuffer(shard[c], k) for c, k in (("_indptr", "<i4"), ("_indices", "<i8"), ("_counts", "<i4")))
+        assert indptr[0] == 0
         for i, key in enumerate(shard["_keys"]):
             seen[key] += 1
-            for at in range(shard["_indptr"][i], shard["_indptr"][i + 1]):
-                got[key][known[shard["_indices"][at]]] += shard["_counts"][at]
+            row = slice(indptr[i], indptr[i + 1])
+            got[key].update({known[c]: n for c, n in zip(indices[row].tolist(), counts[row].tolist(), strict=True)})
     want = defaultdict(Counter)
     for key, text, _ in rows:
         want[key] += Counter(WORD.findall(text or ""))

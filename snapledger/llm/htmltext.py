@@ -1,16 +1,18 @@
 """Main text of web pages: page differencing between neighbours by URL, on top of a block reader.
 
 1. A reader turns a page into blocks of text. What HTML itself declares as no part of the article
-   (scripts, styles, forms, navigation, headers, footers, asides, and elements whose class, id or
-   role says advert, notice, sidebar, comments and the like) makes no blocks. Blocks inside a
-   declared ``<article>`` or ``<main>`` are the article; a page with such blocks has no others.
+   (scripts, styles, forms, navigation, headers, footers, asides, and elements with a class, id or role
+   that says advert, notice, sidebar, comments and the like and nothing else) makes no blocks, nor does
+   a block outside an ``<article>`` or ``<main>`` that is mostly links. All other blocks are candidates,
+   unless declared articles outweigh the rest of the page, or the other way round, by ``OUTWEIGHED``.
 2. All pages are differenced. Within each host the pages are sorted by the path of their URL; every
-   page is paired with the neighbour whose path shares most leading parts, their lines are aligned
-   by a longest common subsequence, and shared lines are deleted: they come from the site's
-   template. A neighbour that is a copy (four fifths or more of the lines shared) says nothing
-   about the template and is passed over.
-3. A declared article is one vote for its lines, so that a shared line needs a second vote against
-   it to go: it stands on at least ``HOST_PAGES`` different pages of the host.
+   page is paired with the neighbour whose path shares most leading parts, and their lines are aligned
+   by a longest common subsequence. A neighbour that is a copy (four fifths or more of the lines
+   shared) says nothing about the template and is passed over.
+3. A shared line is deleted as part of the site's template, unless its place speaks for it. Prose (a
+   paragraph, heading, list item and the like) between two lines of the page's own stays, and so does
+   any line between two own lines of a declared article, and all prose of one. No count decides: what
+   happens to a line does not depend on how many pages there are.
 
 Only hashes of the lines are sorted and joined. The order over all hosts is one range partitioning
 with positions counted on, so a host with a third of all pages is dealt over many tasks.
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from snapledger.llm.common import col, free_name, running_starts, shuffled, text_or_empty, written
 
 #: Elements of HTML that hold no article text, by the standard's meaning of the tag.
-EXCLUDED = frozenset("head nav footer aside form script style noscript template iframe object svg math canvas audio "
+EXCLUDED = frozenset("head nav footer aside form script style noscript template iframe object svg canvas audio "
                      "video button select textarea datalist dialog menu title".split())
 #: Raw text elements: nothing in them is markup.
 RAW = frozenset("script style textarea title noscript iframe template".split())
@@ -42,43 +44,51 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements that run on within a line; all others begin and end a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s "
                    "samp small span strike strong sub sup time tt u var wbr".split())
-#: Words in a class, id or role that mark an element as no part of the article.
+#: Words of a class, id or role that mark an element as no part of the article.
 NOISE = frozenset("ad ads advert adverts advertisement advertising adbox sponsor sponsored promo promotion banner sidebar "
                   "nav navbar navigation menu breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices "
                   "newsletter subscribe subscription signup popup modal overlay comment comments reply replies respond "
                   "disqus share sharing social related recommended pagination pager widget toolbar complementary "
                   "contentinfo search skip masthead topbar login".split())
-#: Classes that mark an element inside a declared article as no part of it, as whole names.
-ARTICLE_NOISE = frozenset("comment comments comment-body comment-list comments-area ad ads advert adverts advertisement "
-                          "share-buttons sharing-buttons".split())
-#: Elements whose id says what they are about, not what they are for.
-SECTIONS = frozenset("h1 h2 h3 h4 h5 h6 section article main".split())
+#: Words that may stand beside them in one name without changing what it says; with any other word it says something else.
+BESIDE = frozenset("area bar block body box button buttons container form inner item items left link links list outer page post "
+                   "posts right section side site slot thread top unit bottom wrapper".split())
 #: Words in the class or role of an ``<article>`` or ``<main>`` that mark it as no article.
 NO_ARTICLE = frozenset("comment reply ad advert sponsored promo related widget".split())
+#: Elements whose id says what they are about, not what they are for.
+SECTIONS = frozenset("h1 h2 h3 h4 h5 h6 section article main".split())
+#: Elements of running text.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th caption figcaption".split())
+#: So many times the characters make declared articles, or the rest of the page, all of the main text.
+OUTWEIGHED = 5
+IN_ARTICLE, IS_PROSE = 1, 2
 COPY = 0.8
-#: Different pages of a host that hold a line, from which on the host votes against it.
-HOST_PAGES = 6
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>"
                  r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)>|<[!?][^<>]*>", re.S)
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 PATH = re.compile(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)([^?#]*)")
 
 
+def _says(value: str, words: frozenset[str]) -> bool:
+    """Whether one of the names in a class, id or role is made of such words, and of words that mean nothing beside them."""
+    for name in value.split():
+        parts = [x for x in re.split(r"[^a-z0-9]+", name) if x]
+        if not words.isdisjoint(parts) and all(x in words or x in BESIDE for x in parts):
+            return True
+    return False
+
+
 def _noise(tag: str, attributes: str, in_main: bool) -> bool:
     if tag in EXCLUDED or tag == "header" and not in_main:
         return True
     if not attributes:
         return False
+    words = NO_ARTICLE if tag in ("article", "main") else NOISE if in_main else NOISE | {"header"}
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
-        if name in ("class", "id", "role") and tag not in ("html", "body"):
-            parts = re.split(r"[^a-z0-9]+", value)
-            if in_main:
-                if name == "class" and not ARTICLE_NOISE.isdisjoint(value.split()) or name == "role" and not NOISE.isdisjoint(parts):
-                    return True
-            elif name != "id" or tag not in SECTIONS:
-                if not (NO_ARTICLE if tag in ("article", "main") else NOISE).isdisjoint(parts) or "header" in parts:
-                    return True
+        if name in ("class", "role") and tag not in ("html", "body") or name == "id" and tag not in SECTIONS | {"html", "body"}:
+            if _says(value, words):
+                return True
         if name == "hidden":
             return True
         if name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
@@ -86,9 +96,9 @@ def _noise(tag: str, attributes: str, in_main: bool) -> bool:
     return False
 
 
-def blocks(page: str) -> list[tuple[str, bool]]:
-    """Text blocks of a page in order, each with whether it is inside a declared article."""
-    out: list[tuple[str, bool]] = []
+def blocks(page: str) -> list[tuple[str, int]]:
+    """Text blocks of a page in order, each with flags: whether it is inside a declared article, and prose."""
+    out: list[tuple[str, int]] = []
     buffer: list[str] = []
     linked = [0, 0]  # characters inside links, and all, of the block at hand
     opened: list[tuple[str, bool, bool]] = []  # tag, whether it hides, whether it is an article
@@ -97,9 +107,10 @@ def blocks(page: str) -> list[tuple[str, bool]]:
 
     def flush() -> None:
         text = " ".join("".join(buffer).split())
-        # Outside an article, a block that is nothing but links is a menu.
-        if text and (main or linked[0] < linked[1]):
-            out.append((text, main > 0))
+        # Outside an article, a block that is mostly links is a menu.
+        if text and (main or 2 * linked[0] <= linked[1]):
+            inside = next((tag for tag, *_ in reversed(opened) if tag not in INLINE), "")
+            out.append((text, IN_ARTICLE * (main > 0) + IS_PROSE * (inside in PROSE)))
         buffer.clear()
         linked[:] = [0, 0]
 
@@ -167,11 +178,28 @@ def blocks(page: str) -> list[tuple[str, bool]]:
     return out
 
 
-def candidate_blocks(page: str) -> tuple[list[str], bool]:
-    """The blocks that may be the article, and whether the page itself declares them to be."""
+def candidate_blocks(page: str) -> list[tuple[str, int]]:
+    """The blocks that may be the main text: all, but for the lighter of declared articles and the rest if the other
+    outweighs it."""
     found = blocks(page)
-    declared = [text for text, article in found if article]
-    return (declared, True) if declared else ([text for text, _ in found], False)
+    declared = sum(len(text) for text, flags in found if flags & IN_ARTICLE)
+    rest = sum(len(text) for text, _ in found) - declared
+    if declared > OUTWEIGHED * rest:
+        return [x for x in found if x[1] & IN_ARTICLE]
+    return [x for x in found if not x[1] & IN_ARTICLE] if rest > OUTWEIGHED * declared else found
+
+
+def template_places(shared: list[int], flags: list[int]) -> list[int]:
+    """Which of the lines that a page shares with its neighbour are the site's and not its own."""
+    apart = set(range(len(flags))).difference(shared)
+    first, last = min(apart, default=len(flags)), max(apart, default=-1)
+
+    def falls(i: int) -> bool:
+        edge = i < first or i > last
+        if flags[i] & IN_ARTICLE:
+            return edge and not flags[i] & IS_PROSE
+        return edge or not flags[i] & IS_PROSE
+    return [i for i in shared if falls(i)]
 
 
 def common_lines(a: list[int], b: list[int]) -> list[int]:
@@ -248,19 +276,19 @@ def _url_parts(url: str | None) -> tuple[str, list[str]]:
 
 
 def template_lines(pages: DataFrame, url: str, page: str, copy: float = COPY) -> DataFrame:
-    """``_host``, ``_lines`` (the key of a page's lines) and the places of its lines that are voted out."""
-    @F.pandas_udf("_host string, _path array<string>, _hashes array<bigint>, _lines string, _declared boolean")
+    """``_host``, ``_lines`` (the key of a page's lines) and the places of its lines that are the site's."""
+    @F.pandas_udf("_host string, _path array<string>, _hashes array<bigint>, _flags array<int>, _lines string")
     def lines(urls: pd.Series, texts: pd.Series) -> pd.DataFrame:
         out = []
         for target, text in zip(urls, texts, strict=True):
-            found, declared = candidate_blocks(text)
+            found = candidate_blocks(text)
             host, path = _url_parts(target)
-            out.append((host, path, _hashes(found), _key(found, declared), declared))
-        return pd.DataFrame(out, columns=["_host", "_path", "_hashes", "_lines", "_declared"])
+            out.append((host, path, _hashes([x for x, _ in found]), [x for _, x in found], _key(found)))
+        return pd.DataFrame(out, columns=["_host", "_path", "_hashes", "_flags", "_lines"])
 
     every = (pages.select(lines(col(url).cast("string"), text_or_empty(page)).alias("_p")).select("_p.*")
                   .where(F.size("_hashes") > 0)
-                  .groupBy("_host", "_lines").agg(F.min(F.struct("_path", "_hashes", "_declared")).alias("_p"))
+                  .groupBy("_host", "_lines").agg(F.min(F.struct("_path", "_hashes", "_flags")).alias("_p"))
                   .select("_host", "_lines", "_p.*"))
     ordered = written(every, "page-lines").repartitionByRange("_host", "_path", "_lines")
 
@@ -273,7 +301,7 @@ def template_lines(pages: DataFrame, url: str, page: str, copy: float = COPY) ->
 
     numbered = written(ordered.sortWithinPartitions("_host", "_path", "_lines")
                        .mapInPandas(number, "_host string, _lines string, _path array<string>, _hashes array<bigint>, "
-                                            "_declared boolean, _task int, _at bigint"), "page-order")
+                                            "_flags array<int>, _task int, _at bigint"), "page-order")
     starts = running_starts(numbered.groupBy("_task").agg(F.count(F.lit(1)).alias("_n")), "_task", "_n")
     spark = pages.sparkSession
     firsts = spark.createDataFrame(list(starts.items()), "_task int, _first bigint")
@@ -283,7 +311,7 @@ def template_lines(pages: DataFrame, url: str, page: str, copy: float = COPY) ->
         near.select((F.col("_at") - 1).alias("_at"), F.struct("_h", "_path", "_hashes").alias("_after")), "_at", "full")
 
     @F.pandas_udf("array<int>")
-    def shared(host: pd.Series, path: pd.Series, hashes: pd.Series, before: pd.DataFrame,
+    def fallen(host: pd.Series, path: pd.Series, hashes: pd.Series, flags: pd.Series, before: pd.DataFrame,
                after: pd.DataFrame) -> pd.Series:
         out = []
         for i, name in enumerate(host):
@@ -295,21 +323,12 @@ def template_lines(pages: DataFrame, url: str, page: str, copy: float = COPY) ->
                 if len(found) < copy * len(mine):
                     break
                 found = []
-            out.append(found)
+            out.append(template_places(found, list(flags[i])))
         return pd.Series(out)
 
-    found = written(placed.join(beside, "_at", "left")
-                    .select("_host", "_lines", "_declared", "_hashes",
-                            shared("_host", "_path", "_hashes", "_before", "_after").alias("_drop"))
-                    .where(F.size("_drop") > 0), "shared-lines")
-    often = written(numbered.select("_host", F.explode(F.array_distinct("_hashes")).alias("_hash"))
-                    .groupBy("_host", "_hash").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= HOST_PAGES)
-                    .drop("_n"), "host-lines")
-    declared = (found.where("_declared").select("_host", "_lines", "_hashes", F.explode("_drop").alias("_i"))
-                .select("_host", "_lines", "_i", F.get("_hashes", F.col("_i")).alias("_hash"))
-                .join(shuffled(often), ["_host", "_hash"]))
-    return found.where(~F.col("_declared")).select("_host", "_lines", "_drop").union(
-        declared.groupBy("_host", "_lines").agg(F.collect_list("_i").alias("_drop")))
+    return (placed.join(beside, "_at", "left")
+            .select("_host", "_lines", fallen("_host", "_path", "_hashes", "_flags", "_before", "_after").alias("_drop"))
+            .where(F.size("_drop") > 0))
 
 
 def _shared_parts(a: list[str], b: list[str]) -> int:
@@ -319,8 +338,8 @@ def _shared_parts(a: list[str], b: list[str]) -> int:
     return n
 
 
-def _key(lines: list[str], declared: bool) -> str:
-    return xxhash.xxh128_hexdigest("\n".join(lines)) + ("d" if declared else "")
+def _key(found: list[tuple[str, int]]) -> str:
+    return xxhash.xxh128_hexdigest("\n".join(f"{flags} {text}" for text, flags in found))
 
 
 def extract(pages: DataFrame, *, url: str = "url", page: str = "html", text: str = "text",
@@ -336,8 +355,8 @@ def extract(pages: DataFrame, *, url: str = "url", page: str = "html", text: str
     def read(urls: pd.Series, texts: pd.Series) -> pd.DataFrame:
         out = []
         for target, value in zip(urls, texts, strict=True):
-            found, declared = candidate_blocks(value)
-            out.append((_url_parts(target)[0], _key(found, declared), found))
+            found = candidate_blocks(value)
+            out.append((_url_parts(target)[0], _key(found), [x for x, _ in found]))
         return pd.DataFrame(out, columns=["_host", "_lines", "_blocks"])
 
     kept = pages.drop(text) if text != page and text in pages.columns else pages

@@ -5,8 +5,8 @@ back to its character n-grams of length 4; if none of them is known to 3, then 2
 language is the one with the greatest sum over all its words.
 
 Training counts on a sample that holds at most about ``max_documents`` documents per language (a
-parameter), and the model keeps at most ``max_entries`` words and as many n-grams per language. It
-is therefore of bounded size and is broadcast. Prediction covers every whole text.
+parameter). The model keeps every word and n-gram of these documents, so it is as large as they make it,
+however large the corpus is, and is broadcast. Prediction covers every whole text.
 """
 
 from __future__ import annotations
@@ -19,13 +19,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from snapledger.llm.common import col, free_name
+from snapledger.llm.common import col, free_name, written
 
 UNDETERMINED = "und"
 MAX_DOCUMENTS = 2_000
-MAX_ENTRIES = 50_000
 LONGEST = 4
 WORD = re.compile(r"[^\W\d_]+")
 #: Unseen words of a worker that are remembered at a time.
@@ -54,12 +52,6 @@ def _sample(labelled: DataFrame, max_documents: int) -> DataFrame:
     return labelled.where(F.pmod(F.xxhash64("key", "text"), F.lit(scale)) < keep)
 
 
-def _counted(pairs: DataFrame, entry: str, max_entries: int) -> list:
-    best = Window.partitionBy("lang").orderBy(F.desc("n"), entry)
-    return (pairs.withColumn("place", F.row_number().over(best)).where(F.col("place") <= max_entries)
-            .select("lang", entry, "n").collect())
-
-
 def _scores(rows: list, languages: list[str]) -> tuple[dict[str, int], np.ndarray]:
     index: dict[str, int] = {}
     for row in rows:
@@ -72,8 +64,7 @@ def _scores(rows: list, languages: list[str]) -> tuple[dict[str, int], np.ndarra
     return index, np.log((counts + 0.5) / total)
 
 
-def train(labelled: DataFrame, *, key: str, text: str, lang: str, max_documents: int = MAX_DOCUMENTS,
-          max_entries: int = MAX_ENTRIES) -> Model:
+def train(labelled: DataFrame, *, key: str, text: str, lang: str, max_documents: int = MAX_DOCUMENTS) -> Model:
     """A model from rows with a text and a language; rows that lack either are left out.
 
     Counting runs in Spark on the sample; only the model's entries come to the driver.
@@ -81,19 +72,16 @@ def train(labelled: DataFrame, *, key: str, text: str, lang: str, max_documents:
     rows = labelled.select(col(key).alias("key"), col(text).cast("string").alias("text"),
                            col(lang).cast("string").alias("lang")).dropna(subset=["text", "lang"])
     picked = _sample(rows, max_documents)
-    words = (picked.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
-                           .alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).cache())
-    try:
-        padded = F.concat(F.lit("^"), "word", F.lit("$"))
-        grams = F.flatten(F.transform(
-            F.sequence(F.lit(1), F.lit(LONGEST)),
-            lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1))),
-                                  lambda at: F.substr(padded, at, n))))
-        word_rows = _counted(words.where("n > 1"), "word", max_entries)
-        gram_rows = _counted(words.select("lang", "n", F.explode(F.array_distinct(grams)).alias("gram"))
-                             .groupBy("lang", "gram").agg(F.sum("n").alias("n")), "gram", max_entries)
-    finally:
-        words.unpersist()
+    words = written(picked.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
+                    .groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "words")
+    padded = F.concat(F.lit("^"), "word", F.lit("$"))
+    grams = F.flatten(F.transform(
+        F.sequence(F.lit(1), F.lit(LONGEST)),
+        lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1))),
+                              lambda at: F.substr(padded, at, n))))
+    word_rows = words.select("lang", "word", "n").orderBy("word", "lang").collect()
+    gram_rows = (words.select("lang", "n", F.explode(F.array_distinct(grams)).alias("gram"))
+                 .groupBy("lang", "gram").agg(F.sum("n").alias("n")).orderBy("gram", "lang").collect())
     languages = sorted({r["lang"] for r in word_rows} | {r["lang"] for r in gram_rows})
     word_index, word_scores = _scores(word_rows, languages)
     gram_index, gram_scores = _scores(gram_rows, languages)
@@ -124,11 +112,13 @@ class Scorer:
         return score
 
     def predict(self, text: str | None) -> tuple[str, float]:
+        """The language and how sure that is: the share of probability that the average word gives it."""
         languages = self.model.languages
         if text is None or not languages or not any(map(str.isalpha, text)):
             return UNDETERMINED, 0.0
         place, total, rows = self.model.words, np.zeros(len(languages)), []
-        for word in WORD.findall(text.lower()):
+        words = WORD.findall(text.lower())
+        for word in words:
             row = place.get(word)
             if row is None:
                 total = total + self.back_off(word)
@@ -137,14 +127,15 @@ class Scorer:
         if rows:
             total = total + self.model.word_scores[rows].sum(axis=0)
         best = int(total.argmax())
-        return languages[best], float(1 / np.exp(total - total[best]).sum())
+        return languages[best], float(1 / np.exp((total - total[best]) / max(1, len(words))).sum())
 
 
 def predict_language(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows with ``lang_pred`` and ``score`` (columns of these names are replaced).
 
     ``und`` with score 0 where the text is null or has no letter, or nothing was learned. Ties go to
-    the language that sorts first. The score is the winner's share of probability.
+    the language that sorts first. The score is the winner's share of probability for a word of average
+    evidence: a sum over words would make it 1 for any text of some length. Texts of any length are read whole.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 

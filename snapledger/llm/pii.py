@@ -1,7 +1,8 @@
 """Personal data in texts, by weak supervision over labelers that vote on candidate spans.
 
 1. Candidates. Base kinds (e-mail, IP address, card, phone) by their patterns and checks; further
-   kinds (secrets, masked e-mail, local phone, social security number, IBAN) by looser patterns.
+   kinds (secrets, masked e-mail, local phone, social security number, IBAN, a card number beside other
+   digits, with which the plain pattern takes it for one long number) by looser patterns.
 2. Labelers. Three vote yes, no or nothing on every candidate: a regex labeler on its form, a
    gazetteer labeler on lists of known parts, and a context labeler on the words just before it.
 3. Expectation-maximisation over the votes estimates how often each labeler says what for true and
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from snapledger.llm.common import col, let, text_or_empty, written
 
 BASE = ["email", "ip", "card", "phone"]
-KINDS = [*BASE, "secret", "masked_email", "local_phone", "ssn", "iban"]
+KINDS = [*BASE, "secret", "masked_email", "local_phone", "ssn", "iban", "card_in_run"]
 # Patterns match what the plain ones do, with possessive repetition and look-behind in place of
 # backtracking, so that very long runs take linear time and no deep recursion.
 #   email [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+
@@ -47,9 +48,11 @@ LOOSE = "|".join([
     r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     r"(?<![0-9A-Za-z+(-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])",
     r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}+(?: ?[A-Z0-9]{1,3})?+(?![0-9A-Za-z])",
+    r"(?<![0-9])[0-9]{13,19}+(?![0-9])", r"(?<![0-9])[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])",
 ])
 LOOSE_TESTS = {"secret": rf"^{SECRET}", "masked_email": r"[(\[{]at[)\]}]", "ssn": r"^[0-9]{3}-[0-9]{2}-",
-               "local_phone": r"^\(?[0-9]{3}\)?[ .-][0-9]{3}", "iban": r"^[A-Z]{2}[0-9]{2}"}
+               "local_phone": r"^\(?[0-9]{3}\)?[ .-][0-9]{3}", "iban": r"^[A-Z]{2}[0-9]{2}",
+               "card_in_run": r"^[0-9]{13}|^[0-9]{4}[ -][0-9]{4}[ -]"}
 # The gazetteers.
 DOMAINS = "com org net edu gov mil int info biz io co ai app dev de fr es it nl be ch at uk ie us ca au nz jp cn in br mx pl se no dk fi pt eu".split()
 COUNTRIES = "AT BE CH CZ DE DK ES FI FR GB GR HU IE IT LU NL NO PL PT SE".split()
@@ -62,6 +65,7 @@ CUES = {
     "local_phone": "phone|tel|call|fax|mobile|telefon", "ssn": "ssn|social|security|insurance",
     "iban": "iban|bank|konto|account|compte|cuenta",
 }
+CUES["card_in_run"] = CUES["card"]
 AGAINST = r"version|release|isbn|issn|order|invoice|part no|serial|section|chapter|\bv\.?\s*$|#\s*$"
 #: What a text must hold for a match at all; quick to look for, so that most texts need no more.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][0-9 -]{11}", "phone": "+"}
@@ -123,7 +127,7 @@ def form_vote(kind: Column, hit: Column) -> Column:
     value = F.regexp_replace(hit, rf"^{SECRET}[\"']?\s*[:=]\s*[\"']?", "")
     return _by_kind(kind, {
         "email": number(hit.rlike(r"\.[A-Za-z]{2,24}$") & ~hit.rlike(r"\.\.|^\.|\.@")), "ip": number(_small_parts(hit)),
-        "card": number(luhn(hit)), "phone": number(digits.between(10, 14)),
+        "card": number(luhn(hit)), "card_in_run": number(luhn(hit)), "phone": number(digits.between(10, 14)),
         "secret": number((F.length(value) >= 8) & value.rlike("[0-9]") & value.rlike("[A-Za-z]")),
         "masked_email": number(hit.rlike(r"[A-Za-z]{2,24}$")), "local_phone": number(hit.rlike(r"^\(?[2-9]")),
         "ssn": number(~hit.rlike("^(?:000|666|9)|-00-|-0000$")), "iban": number((digits >= 8) & (F.length(hit) >= 15))})
@@ -135,7 +139,7 @@ def gazetteer_vote(kind: Column, hit: Column) -> Column:
     domain = r"(?i)[.)\]}] ?(?:" + "|".join(DOMAINS) + ")$"
     return _by_kind(kind, {
         "email": known(domain), "masked_email": known(domain), "phone": known(rf"^\+(?:{CALLING})"),
-        "card": known("^[3-6]"), "iban": known("^(?:" + "|".join(COUNTRIES) + ")"),
+        "card": known("^[3-6]"), "card_in_run": known("^[3-6]"), "iban": known("^(?:" + "|".join(COUNTRIES) + ")"),
         "ip": _vote(~hit.rlike(r"^(?:0|10|127|192\.168|172\.(?:1[6-9]|2[0-9]|3[01]))\."), F.lit(True)),
         "secret": _vote(hit.rlike("(?i)^(?:pass|pwd|token|secret)"), F.lit(False))})
 
@@ -161,6 +165,8 @@ def candidates(text: Column) -> Column:
 
     found = F.concat(*[named(PATTERNS[name], HINTS[name], lambda _, i=i: F.lit(i), CHECKS[name]) for i, name in enumerate(BASE)],
                      named(LOOSE, LOOSE_HINT, loose_kind, lambda _: F.lit(False)))
+    # Digits beside a card number are no candidate unless they pass the check that cards have to.
+    found = F.filter(found, lambda x: (x["kind"] != KINDS.index("card_in_run")) | luhn(x["hit"]))
     return F.transform(found, lambda x: F.struct(
         x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["base"].alias("base"),
         form_vote(x["kind"], x["hit"]).alias("form"), gazetteer_vote(x["kind"], x["hit"]).alias("gazetteer"),

@@ -70,6 +70,27 @@ def test_labelers_add_what_the_base_lacks(spark):
     assert all([k for _, _, k, _ in got[100 + i]] == ["email"] for i in range(60))
 
 
+def with_check_digit(number):
+    return next(number + d for d in "0123456789" if luhn(number + d))
+
+
+def test_cards_beside_other_digits_are_added(spark):
+    rng = np.random.default_rng(11)
+    cards = [with_check_digit("4" + "".join(map(str, rng.integers(0, 10, 14)))) for _ in range(120)]
+    spaced = lambda c: " ".join(c[i:i + 4] for i in range(0, 16, 4))
+    wrong = lambda c: c[:-1] + str((int(c[-1]) + 5) % 10)
+    rows = [(i, f"pay {a} {b} now") for i, (a, b) in enumerate(zip(cards[:40], cards[40:80], strict=True))]
+    rows += [(100 + i, f"pay {spaced(c)} 12 times") for i, c in enumerate(cards[80:100])]
+    rows += [(200 + i, f"pay {wrong(c)} {wrong(c)} now") for i, c in enumerate(cards[100:])]
+    got = found(spark, rows)
+    for key, text in rows:
+        numbers = [m.span() for m in re.finditer(r"[0-9]{16}|[0-9]{4}(?: [0-9]{4}){3}", text)] if key < 200 else []
+        sure = base(text)
+        want = [x for x in numbers if not any(s < x[1] and x[0] < e for s, e, _ in sure)]
+        assert [(s, e) for s, e, k, _ in got[key] if k == "card_in_run"] == want, text
+        assert sure or want or key >= 200
+
+
 def test_estimation_finds_the_good_labeler():
     rng = np.random.default_rng(8)
     truth = rng.random(5000) < 0.5

@@ -55,6 +55,7 @@ def arguments() -> argparse.ArgumentParser:
     viewer("count", "rows of a table")
     viewer("sql", "run a query", table=False).add_argument("query")
     find = viewer("search", "find a word, ignoring case and accents")
+    find.add_argument("--config", help="folder with declared mappings: search the table's principal fields")
     find.add_argument("word")
     find.add_argument("--columns", nargs="+")
     check = viewer("validate", "check declared rules", table=False)
@@ -106,7 +107,8 @@ def result(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     if args.command == "sql":
         return data.sql(args.query)
     if args.command == "search":
-        return search(data.table(args.table), args.word, args.columns)
+        mapping = read_config(spark, args.config).mapping(args.table)
+        return search(data.table(args.table), args.word, args.columns, mapping=mapping)
     if args.command == "validate":
         config = read_config(spark, args.config)
         return validation_report(data, config.schemas, config.rules)

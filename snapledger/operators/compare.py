@@ -26,9 +26,14 @@ def _presence(changed: Column | None = None) -> Column:
     return (status.when(changed, CHANGED) if changed is not None else status).otherwise(SAME)
 
 
-def compare_tables(left: Dataset, right: Dataset) -> DataFrame:
-    """Which tables are only in one database or in both, with their row counts."""
+def compare_tables(left: Dataset, right: Dataset, counts: bool = True) -> DataFrame:
+    """Which tables are only in one database or in both, with their row counts.
+
+    Without ``counts`` only names are compared: no table is opened, and the counts are NULL.
+    """
     def counted(dataset: Dataset, side: str) -> DataFrame:
+        if not counts:
+            return dataset.list_tables().withColumn(f"{side}_rows", F.lit(None).cast("bigint"))
         return dataset.row_counts().withColumnRenamed("row_count", f"{side}_rows")
 
     return _both_sides(counted(left, "left"), counted(right, "right"), ["table_name"]).select(

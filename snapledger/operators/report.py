@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RESULT_TYPE = "map<string, struct<success: boolean, elapsed_time: double, error: string>>"
@@ -29,6 +29,16 @@ def run_summary(results: DataFrame, by: str = "implementation") -> DataFrame:
         F.round(success / tested * 100, 1).alias("success_rate"))
 
 
-def save_results(df: DataFrame, path: str) -> None:
-    """Keep results as JSON; the caller puts its time stamp into the path."""
+def save_results(df: DataFrame, path: str, timestamp: str | None = None) -> None:
+    """Keep results as JSON; the caller puts its time stamp into the path, or into every record.
+
+    With a ``timestamp`` each record is ``{"timestamp": ..., "results": {...}}``, the row being the results.
+    """
+    if timestamp is not None:
+        df = df.select(F.lit(timestamp).alias("timestamp"), F.struct("*").alias("results"))
     df.write.mode("errorifexists").json(path)
+
+
+def read_results(spark: SparkSession, path: str, results: str) -> DataFrame:
+    """Saved results with their time stamp, ``results`` being the schema of what was kept."""
+    return spark.read.schema(f"timestamp string, results struct<{results}>").json(path).select("timestamp", "results.*")

@@ -16,10 +16,14 @@ from pyspark.sql import types as T
 
 from snapledger.functions.naming import quoted
 from snapledger.functions.types import INTEGER_SHAPE, NUMBER_SHAPE, TIME_SHAPE, spark_type
+from snapledger.operators.reshape import derived_columns
+from snapledger.sources.config import Config
 from snapledger.sources.dataset import Dataset
 from snapledger.sources.local import local_frame
 from snapledger.storage import materialized
 
+# Levels of a cascade within a table that one job follows.
+LEVELS = 4
 REPORT_SCHEMA = "table_name string, rule string, column_name string, n_violations bigint"
 
 
@@ -39,6 +43,11 @@ def apply_schema(df: DataFrame, columns: dict[str, dict]) -> DataFrame:
         for name in df.columns])
 
 
+def declared_table(dataset: Dataset, table: str, config: Config) -> DataFrame:
+    """A table as the configuration declares it: its types, and the columns derived from its own."""
+    return derived_columns(apply_schema(dataset.table(table), config.columns(table)), config.derived(table))
+
+
 # The texts a declared type can hold, by what Spark calls it; casts alone would take more.
 TEXT_SHAPES = {"tinyint": INTEGER_SHAPE, "smallint": INTEGER_SHAPE, "int": INTEGER_SHAPE, "bigint": INTEGER_SHAPE,
                "float": NUMBER_SHAPE, "double": NUMBER_SHAPE, "date": r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$",
@@ -298,19 +307,23 @@ def cascade_delete(tables: dict[str, DataFrame], keys: list[ForeignKey],
 def _fall_within(df: DataFrame, key: ForeignKey) -> DataFrame:
     """Deletion along a key that refers to its own table: a fixed point over its key columns alone.
 
-    A round joins only the keys that fell in the one before, so the table itself is read twice, whatever the
-    depth: for the two columns, and for the result. Rounds write what is new in them; a row whose key is NULL
-    refers to nothing.
+    A round joins only the keys that fell in the one before, a few levels at a time, so the table itself is
+    read twice, whatever the depth: for the two columns, and for the result. Rounds write what is new in them;
+    a row whose key is NULL refers to nothing.
     """
     parent, child = F.col(quoted(key.parent_column)), F.col(quoted(key.column))
     links = materialized(df.select(parent.alias("__id"), child.alias("__of"), "deleted").where("__id IS NOT NULL"), "links")
-    frontier = materialized(links.where("deleted").select("__id").distinct(), "fallen")
+    fallen = frontier = materialized(links.where("deleted").select("__id").distinct(), "fallen")
     links = links.where("__of IS NOT NULL AND NOT deleted").select("__id", "__of")
-    fallen = frontier
     while frontier.limit(1).count():
-        found = links.join(frontier.withColumnRenamed("__id", "__gone"), F.col("__of") == F.col("__gone")).select("__id").distinct()
-        frontier = materialized(found.join(fallen, "__id", "left_anti"), "fallen")
-        fallen = fallen.unionByName(frontier)
+        level, levels = frontier, []
+        for i in range(LEVELS):
+            level = links.join(level.withColumnRenamed("__id", "__gone"), F.col("__of") == F.col("__gone")).select("__id").distinct()
+            levels.append(level.withColumn("__level", F.lit(i)))
+        found = functools.reduce(DataFrame.unionByName, levels).groupBy("__id").agg(F.min("__level").alias("__level"))
+        found = materialized(found.join(fallen, "__id", "left_anti"), "fallen")
+        fallen = fallen.unionByName(found.select("__id"))
+        frontier = found.where(F.col("__level") == LEVELS - 1).select("__id")
     names = [F.col(quoted(name)) for name in df.columns if name != "deleted"]
     gone = materialized(fallen.select(F.col("__id").alias("__gone")), "all-fallen")
     return df.join(gone, child == F.col("__gone"), "left").select(

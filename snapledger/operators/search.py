@@ -13,13 +13,16 @@ from snapledger.functions.text import search_key, search_key_of
 
 
 def search(df: DataFrame, word: str, columns: list[str] | None = None,
-           key_suffix: str | None = None) -> DataFrame:
+           key_suffix: str | None = None, mapping: dict | None = None) -> DataFrame:
     """Rows in which a column contains the word, ignoring case and accents.
 
-    ``matched_columns`` tells which ones did. With ``key_suffix`` the keys stored beside the data
+    Without ``columns`` those that a declared mapping calls principal are searched, and without one all text
+    columns. ``matched_columns`` tells which ones did. With ``key_suffix`` the keys stored beside the data
     are used (see `add_search_key`), and the search is a native scan of just those.
     """
-    names = columns or [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+    texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+    principal = [name for name in (mapping or {}).get("principal_fields", []) if name in texts]
+    names = columns or principal or texts
     if not names:
         raise ValueError("no text columns to search")
     needle = F.lit(search_key_of(word))

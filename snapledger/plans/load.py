@@ -23,7 +23,10 @@ from pyspark.sql import functions as F
 
 from snapledger.functions.naming import quoted, sanitize_text, snapshot_date, unique_names
 from snapledger.functions.text import add_search_key
-from snapledger.functions.types import LADDER, common_form, fit_mask, literal, text_masks, type_of_mask, wider_type
+from snapledger.functions.types import LADDER, common_form, fit_mask, literal, spark_type, text_masks, type_of_mask, wider_type
+from snapledger.operators.rules import apply_schema, declared_columns, fits
+from snapledger.operators.search import search
+from snapledger.operators.textindex import candidate_files, write_index
 from snapledger.plans import log as load_log
 from snapledger.plans.log import LOAD_COLUMN
 from snapledger.sources.csv import cast_columns, merged_types, read_csv_rows, sound_rows
@@ -31,7 +34,7 @@ from snapledger.sources.discover import (SOURCE_OF_PATH, describe_files, discove
                                          newest)
 from snapledger.sources.local import local_frame
 from snapledger.sources.records import CORRUPT
-from snapledger.storage import materialized
+from snapledger.storage import exists, file_path, materialized
 
 ON_CONFLICT = ("keep", "replace")
 LOAD, ADD = "LOAD", "ADD"
@@ -48,7 +51,8 @@ class LoadOptions:
     typing: str = "infer"              # or 'text'
     read_mode: str = "drop"            # or 'fail'
     tables: tuple[str, ...] | None = None
-    search_columns: tuple[str, ...] = ()   # text columns to store search keys of
+    search_columns: tuple[str, ...] = ()   # text columns to store search keys of, and an index of these
+    schemas: dict | None = None        # declared types by table, as in a configuration
     parallel_tables: int = 4
 
     def __post_init__(self):
@@ -68,6 +72,10 @@ def rejects_path(store: str) -> str:
     return f"{store.rstrip('/')}/import_rejects"
 
 
+def index_path(store: str) -> str:
+    return f"{store.rstrip('/')}/import_index"
+
+
 def dump_date(source: Column, options: LoadOptions) -> Column:
     return snapshot_date(source, options.date_mode, options.date_override, options.default_date)
 
@@ -173,12 +181,18 @@ def _known_types(spark: SparkSession, log: DataFrame, table: str, masks: dict[st
 
 @dataclass(frozen=True)
 class Loaded:
-    """What a load of a table's files left: its folder, rows by date, malformed rows by source, types as masks."""
+    """What a load of a table's files left: its folder, rows by date, malformed rows by source, types as masks,
+    and by declared column the values that its type cannot hold."""
 
     path: str | None
     rows: dict
     dropped: dict
     masks: dict
+    misfits: dict
+
+    def message(self) -> str | None:
+        told = ", ".join(f"{name}: {n}" for name, n in self.misfits.items())
+        return f"values not of the declared type, in all sources of this load: {told}" if told else None
 
 
 def _load_table(spark: SparkSession, store: str, table: str, plan: list, files: DataFrame,
@@ -188,7 +202,8 @@ def _load_table(spark: SparkSession, store: str, table: str, plan: list, files:
     What the values of each column fit is observed while they are written. The first load of a table
     scans them before, to know the types. Later ones write them as the types the table has; if the masks
     say that some value is not of them, the types that hold both the old and the new values are known by
-    then, and only the writing is repeated.
+    then, and only the writing is repeated. Columns with a declared type are of that type; a value that it
+    cannot hold becomes NULL and is counted.
     """
     # Of files added later, the older ones in their folders are left out unread.
     since = None if any(row["action"] == LOAD for row in plan) else files.agg(F.min("modified_at")).first()[0]
@@ -200,6 +215,9 @@ def _load_table(spark: SparkSession, store: str, table: str, plan: list, files:
         return replace(write({name: "string" for name in columns}), masks=dict.fromkeys(columns, 0))
     known_masks = load_log.known_masks(log, table)
     known = _known_types(spark, log, table, known_masks)
+    declared = {name: spec for name, spec in declared_columns(options.schemas, table).items() if name in columns and "type" in spec}
+    write = functools.partial(write, declared=declared)
+    columns = [name for name in columns if name not in declared]
     types = {name: known.get(name) for name in columns}
     if all(t == "string" or t in LADDER for t in types.values()):
         result = write(types, strict=False, masked=True)
@@ -208,13 +226,13 @@ def _load_table(spark: SparkSession, store: str, table: str, plan: list, files:
         if all(fitting[name] == types[name] for name in masks):
             return result
     else:
-        masks = text_masks(sound_rows(rows))
+        masks = text_masks(sound_rows(rows), columns)
         fitting = merged_types(masks, known_masks, known)
     return replace(write({**known, **fitting}), masks=masks)
 
 
 def _write_dated(rows: DataFrame, types: dict[str, str], *, store: str, table: str, plan: list, options: LoadOptions,
-                 load: str, strict: bool = True, masked: bool = False) -> Loaded:
+                 load: str, strict: bool = True, masked: bool = False, declared: dict | None = None) -> Loaded:
     """Date the rows by the source their file belongs to and write them; the malformed ones go to the rejects.
 
     One pass writes the sound rows and observes how many are malformed and, ``masked``, what each column's
@@ -224,9 +242,14 @@ def _write_dated(rows: DataFrame, types: dict[str, str], *, store: str, table: s
     columns = [name for name in rows.columns if name not in ("__path", CORRUPT)]
     sound = F.col(CORRUPT).isNull()
     observed = Observation()
-    fits = [F.bit_and(F.when(sound, fit_mask(F.col(f"`{name}`")))).alias(f"m{i}") for i, name in enumerate(columns) if masked]
-    watched = rows.observe(observed, F.count_if(~sound).alias("malformed"), *fits)
-    typed = cast_columns(watched.where(sound).drop(CORRUPT), types, strict)
+    declared = declared or {}
+    open_columns = [name for name in columns if name not in declared]
+    fitting = [F.bit_and(F.when(sound, fit_mask(F.col(quoted(name))))).alias(f"m{i}") for i, name in enumerate(open_columns) if masked]
+    misfits = [F.count_if(sound & F.col(quoted(name)).isNotNull() & ~fits(rows, name, spark_type(spec["type"]))).alias(f"f{i}")
+               for i, (name, spec) in enumerate(declared.items())]
+    watched = rows.observe(observed, F.count_if(~sound).alias("malformed"), *fitting, *misfits)
+    typed = apply_schema(watched.where(sound).drop(CORRUPT), declared)
+    typed = cast_columns(typed, {name: kind for name, kind in types.items() if name not in declared}, strict)
     keyed = [name for name, kind in typed.dtypes if kind == "string" and name in options.search_columns]
     typed = add_search_key(typed, keyed)
     # One short row per source of this table, of a size Spark knows, so it joins as it sees fit.
@@ -255,8 +278,11 @@ def _write_dated(rows: DataFrame, types: dict[str, str], *, store: str, table: s
         rejects = spark.read.parquet(f"{rejects_path(store)}/part={load}")
         dropped = {row["source_file"]: row["count"] for row in rejects.groupBy("source_file").count().collect()}
     if seen is not None and masked:
-        masks = {name: seen[f"m{i}"] for i, name in enumerate(columns)}
-    return Loaded(path, written, dropped, masks)
+        masks = {name: seen[f"m{i}"] for i, name in enumerate(open_columns)}
+    lost = {name: seen[f"f{i}"] for i, name in enumerate(declared) if seen is not None and seen[f"f{i}"]}
+    if written and keyed:
+        write_index(spark, path, keyed, f"{index_path(store)}/part={load}")
+    return Loaded(path, written, dropped, masks, lost)
 
 
 def import_files(spark: SparkSession, files: DataFrame, store: str,
@@ -320,7 +346,7 @@ def import_files(spark: SparkSession, files: DataFrame, store: str,
         if error:
             note(row, load_log.ERROR, message=error)
         elif rows:
-            note(row, load_log.LOADED, rows, done=done)
+            note(row, load_log.LOADED, rows, done.message(), done)
         else:
             # A header without rows leaves nothing to read back.
             note(row, load_log.EMPTY, 0, done=done)
@@ -386,6 +412,24 @@ def open_snapshots(spark: SparkSession, store: str, table: str) -> DataFrame:
     return unite([_read_loads(spark, path, loads) for path, loads in by_schema.items()], types)
 
 
+def search_snapshots(spark: SparkSession, store: str, table: str, word: str, columns: list[str]) -> DataFrame:
+    """`search` over all dated copies of a table by the keys stored at load, opening files that may hold the word.
+
+    Which these are the index says that a load wrote beside its keys. Files of loads without one are all read.
+    """
+    rows = open_snapshots(spark, store, table)
+    log = load_log.read_log(spark, log_path(store))
+    loads = [row["load"] for row in load_log.loaded_keys(log).where(F.col("base_table") == table)
+             .select(load_log.load_of("store_path").alias("load")).distinct().collect()]
+    indexed = [f"{index_path(store)}/part={load}" for load in loads]
+    if all(exists(spark, path) for path in indexed):
+        found = candidate_files(spark.read.parquet(*indexed), word, columns)
+        if found is not None:
+            paths = [row["path"] for row in found.collect()]
+            rows = rows.where(file_path().isin(paths)) if paths else rows.limit(0)
+    return search(rows, word, columns, "_search")
+
+
 def _read_loads(spark: SparkSession, path: str, loads: list) -> DataFrame:
     """The loads of one schema as one scan, each with the dates for which it is the current one."""
     rows = spark.read.option("basePath", path).parquet(*[load["store_path"] for load in loads])

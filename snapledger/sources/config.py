@@ -11,7 +11,7 @@ from snapledger.storage import exists, list_children
 
 # The sub-folders of a configuration and what their files declare.
 FOLDERS = {
-    "schemas": "schemas",                    # {"tables": {table: {"columns": {...}}}}
+    "schemas": "schemas",                    # {"tables": {table: {"columns": {...}, "derived": {...}}}}
     "column_mappings": "mappings",           # {table: {"id_fields": [...], ...}}
     "table_rules": "rules",                  # {"foreign_keys": {table: {column: {...}}}}
     "display_preferences": "views",          # {table: {"visible_columns": [...], ...}}
@@ -31,6 +31,13 @@ class Config:
     def view(self, table: str) -> dict | None:
         return self.views.get(table)
 
+    def columns(self, table: str) -> dict[str, dict]:
+        return self.schemas.get("tables", {}).get(table, {}).get("columns", {})
+
+    def derived(self, table: str) -> dict[str, str]:
+        """Columns declared as SQL expressions next to the stored ones."""
+        return self.schemas.get("tables", {}).get(table, {}).get("derived", {})
+
 
 def merged(left: dict, right: dict) -> dict:
     """Declarations of two files together; where both say something, the later file counts."""

@@ -177,34 +177,35 @@ def csv_load_failfast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table_dump(spark, [path], mode="fail")
 
 
-@workload("infer_types", """
-    WITH texts AS (
-        SELECT 'l_orderkey' AS column_name, CAST(l_orderkey AS VARCHAR) AS v FROM lineitem
-        UNION ALL SELECT 'l_discount', CAST(l_discount AS VARCHAR) FROM lineitem
-        UNION ALL SELECT 'l_returnflag', l_returnflag FROM lineitem
-        UNION ALL SELECT 'l_shipdate', strftime(l_shipdate, '%Y-%m-%d') FROM lineitem
-        UNION ALL SELECT 'is_returned', CAST(l_returnflag = 'R' AS VARCHAR) FROM lineitem
-        UNION ALL SELECT 'shipped_at', strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') FROM lineitem),
+_LINE_TEXTS = {
+    **{name: f"CAST({name} AS VARCHAR)" for name in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+                                                     "l_extendedprice", "l_discount", "l_tax")},
+    "l_returnflag": "l_returnflag", "l_linestatus": "l_linestatus", "l_shipdate": "strftime(l_shipdate, '%Y-%m-%d')",
+    "is_returned": "CAST(l_returnflag = 'R' AS VARCHAR)", "shipped_at": "strftime(l_shipdate, '%Y-%m-%d %H:%M:%S')",
+    "zip": "lpad(CAST(l_suppkey AS VARCHAR), 6, '0')", "serial": "'9' || lpad(CAST(l_orderkey AS VARCHAR), 19, '0')"}
+
+
+@workload("infer_types", f"""
+    WITH texts AS ({" UNION ALL ".join(f"SELECT '{name}' AS column_name, {value} AS v FROM lineitem" for name, value in _LINE_TEXTS.items())}),
     counts AS (SELECT column_name, count(v) AS n_values,
         count(CASE WHEN lower(v) IN ('true', 'false') THEN 1 END) AS n_boolean,
-        count(CASE WHEN regexp_full_match(v, '[+-]?[0-9]+') THEN try_cast(v AS BIGINT) END) AS n_bigint,
-        count(CASE WHEN v NOT LIKE '%-%' AND v NOT LIKE '%:%' AND lower(v) NOT IN ('true', 'false')
-                   THEN try_cast(v AS DOUBLE) END) AS n_double,
-        count(CASE WHEN length(v) = 10 THEN try_cast(v AS DATE) END) AS n_date,
-        count(CASE WHEN length(v) >= 10 THEN try_cast(v AS TIMESTAMP) END) AS n_timestamp_ntz
+        count(CASE WHEN regexp_full_match(v, '[+-]?[0-9]+') AND NOT regexp_matches(v, '^[+-]?0[0-9]') THEN try_cast(v AS BIGINT) END) AS n_bigint,
+        count(CASE WHEN v NOT LIKE '%-%' AND v NOT LIKE '%:%' AND lower(v) NOT IN ('true', 'false') AND NOT regexp_matches(v, '^[+-]?0[0-9]')
+                   AND NOT (regexp_full_match(v, '[+-]?[0-9]+') AND length(v) > 15) THEN try_cast(v AS DOUBLE) END) AS n_double,
+        count(CASE WHEN length(v) = 10 AND v LIKE '%-%' THEN try_cast(v AS DATE) END) AS n_date,
+        count(CASE WHEN length(v) >= 10 AND v LIKE '%-%' THEN try_cast(v AS TIMESTAMP) END) AS n_timestamp_ntz
         FROM texts GROUP BY column_name)
     SELECT *, CASE n_values WHEN n_boolean THEN 'boolean' WHEN n_bigint THEN 'bigint'
                             WHEN n_double THEN 'double' WHEN n_date THEN 'date'
                             WHEN n_timestamp_ntz THEN 'timestamp_ntz' ELSE 'string' END AS inferred_type
     FROM counts""")
 def infer_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = read(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").cast("string").alias("l_orderkey"),
-        F.col("l_discount").cast("string").alias("l_discount"), "l_returnflag",
-        F.date_format("l_shipdate", "yyyy-MM-dd").alias("l_shipdate"),
-        (F.col("l_returnflag") == "R").cast("string").alias("is_returned"),
-        F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss").alias("shipped_at"))
-    return type_profile(texts)
+    """All columns of the lines as a dump has them, and identifiers: zero-padded, and of twenty digits."""
+    lines = read(spark, sf_dir, "lineitem")
+    return type_profile(load_as_text(lines.withColumns({
+        "l_shipdate": F.date_format("l_shipdate", "yyyy-MM-dd"), "is_returned": F.col("l_returnflag") == "R",
+        "shipped_at": F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss"), "zip": F.lpad(F.col("l_suppkey").cast("string"), 6, "0"),
+        "serial": F.concat(F.lit("9"), F.lpad(F.col("l_orderkey").cast("string"), 19, "0"))})))
 
 
 @workload("load_as_varchar", """
@@ -267,6 +268,28 @@ def load_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return open_snapshots(spark, store, "orders")
 
 
+DECLARED = {"tables": {"orders": {"columns": {
+    "o_orderkey": {"type": "INTEGER"}, "o_totalprice": {"type": "DECIMAL(12,2)"}, "o_orderdate": {"type": "TIMESTAMP"},
+    "o_orderpriority": {"type": "INTEGER"}}}}}
+
+
+@workload("load_declared", """
+    SELECT CAST(o_orderkey AS INTEGER) AS o_orderkey, o_custkey, o_orderstatus,
+           CAST(round(o_totalprice, 2) AS DECIMAL(12,2)) AS o_totalprice, o_orderdate,
+           CAST(CASE WHEN o_orderpriority = '5-LOW' THEN 5 END AS INTEGER) AS o_orderpriority,
+           make_date(year(o_orderdate), 12, 31) AS snapshot_date,
+           'values not of the declared type, in all sources of this load: o_orderpriority: '
+           || (SELECT count(*) FROM orders WHERE o_orderpriority <> '5-LOW') AS message
+    FROM orders""")
+def load_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns get their declared types at load, the others inferred ones; misfits are NULL and counted in the log."""
+    root, store = scratch_dir(spark, "dumps"), scratch_dir(spark, "store")
+    low = F.when(F.col("o_orderpriority") == "5-LOW", "5").otherwise(F.col("o_orderpriority"))
+    write_dumps(read(spark, sf_dir, "orders").withColumns({"o_orderpriority": low, "source": year_end_source("shop")}), root, "orders", "source")
+    run = batch_import(spark, root, store, RUN_AT, LoadOptions(schemas=DECLARED))
+    return open_snapshots(spark, store, "orders").join(run.select(F.col("file_date").alias("snapshot_date"), "message"), "snapshot_date")
+
+
 @workload("load_full_refresh", "SELECT * FROM orders WHERE o_orderstatus = 'F'")
 def load_full_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{scratch_dir(spark, 'refresh')}/orders.parquet"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapledger.operators.report import explode_results, run_summary, save_results
+from snapledger.operators.report import explode_results, read_results, run_summary, save_results
 from snapledger.storage import scratch_dir
 from snapledger.workloads import read, workload
 
@@ -40,3 +40,14 @@ def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     save_results(_runs(spark, sf_dir), path)
     saved = spark.read.schema("event_id bigint, implementations string").json(path)
     return run_summary(explode_results(saved, "implementations", ["event_id"]))
+
+
+@workload("save_results", """
+    SELECT '20240115_120000' AS timestamp, event_id, event_type AS implementation, event_type <> 'error' AS success,
+           value AS elapsed_time, CASE WHEN event_type = 'error' THEN props END AS error FROM events""")
+def saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results kept under their time stamp and read back."""
+    path, stamp = f"{scratch_dir(spark, 'results')}/benchmark_results_20240115_120000.json", "20240115_120000"
+    save_results(_runs(spark, sf_dir), path, stamp)
+    rows = read_results(spark, path, "event_id: bigint, implementations: string")
+    return explode_results(rows, "implementations", ["timestamp", "event_id"])

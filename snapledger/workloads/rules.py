@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapledger.operators import rules
 from snapledger.operators.present import default_view
 from snapledger.operators.reshape import select_by_role
+from snapledger.sources.config import read_config
 from snapledger.sources.dataset import Dataset
+from snapledger.storage import scratch_dir
 from snapledger.workloads import read, workload
 
 SCHEMAS = {"tables": {
@@ -136,6 +140,23 @@ def cascade_self(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.cascade_delete({"boxes": boxes}, keys, {"boxes": "id % 100 = 0"})["boxes"]
 
 
+@workload("declared_table", """
+    SELECT CAST(o_orderkey AS INTEGER) AS o_orderkey, o_custkey, nullif(o_orderstatus, 'O') AS o_orderstatus,
+           CASE WHEN o_orderpriority <> '1-URGENT' THEN o_orderdate END AS o_orderdate,
+           CASE WHEN o_orderpriority = '5-LOW' THEN 5 END AS o_orderpriority,
+           year(CASE WHEN o_orderpriority <> '1-URGENT' THEN o_orderdate END) AS order_year,
+           coalesce(o_orderpriority = '5-LOW', false) AS can_wait
+    FROM orders WHERE o_orderstatus <> 'P'""")
+def declared_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declared types and the columns derived from them, both read from configuration files."""
+    folder = f"{scratch_dir(spark, 'config')}"
+    declared = {"tables": {"orders": {**SCHEMAS["tables"]["orders"], "derived": {
+        "order_year": "year(o_orderdate)", "can_wait": "coalesce(o_orderpriority = 5, false)"}}}}
+    spark.createDataFrame([(json.dumps(declared),)], "value string").coalesce(1).write.text(f"{folder}/schemas/orders.json")
+    data = Dataset(spark, _flawed(spark, sf_dir), prefix="flawed_")
+    return rules.declared_table(data, "orders", read_config(spark, folder))
+
+
 @workload("default_view", """
     SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders""")
 def declared_view(spark: SparkSession, sf_dir: str) -> DataFrame:

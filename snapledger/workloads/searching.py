@@ -11,6 +11,7 @@ from snapledger.functions.text import add_search_key
 from snapledger.operators.filters import filter_rows
 from snapledger.operators.reshape import derived_columns
 from snapledger.operators.search import search, search_like
+from snapledger.operators.textindex import search_indexed, write_index
 from snapledger.plans.builder import build_query
 from snapledger.sources.dataset import open_dataset
 from snapledger.storage import scratch_dir
@@ -39,6 +40,29 @@ def search_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", F.array_join("matched_columns", ",").alias("matched_columns"))
 
 
+@workload("search_indexed", _SEARCH.format(word="etion"))
+def search_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys and trigram filters are written with the data; the search opens the files that may hold the word."""
+    folder = scratch_dir(spark, "indexed")
+    data, index = f"{folder}/documents.parquet", f"{folder}/index"
+    rows = add_search_key(read(spark, sf_dir, "documents"), ["text", "source"])
+    rows.repartitionByRange(16, "lang", "source").write.parquet(data)
+    write_index(spark, data, ["text", "source"], index)
+    hits = search_indexed(spark, data, index, "ÉTION", ["text", "source"])
+    return hits.select("doc_id", F.array_join("matched_columns", ",").alias("matched_columns"))
+
+
+@workload("search_principal", """
+    SELECT c_custkey, c_name, c_mktsegment, concat_ws(',', CASE WHEN contains(lower(c_name), 'r#0000') THEN 'c_name' END,
+           CASE WHEN contains(lower(c_mktsegment), 'r#0000') THEN 'c_mktsegment' END) AS matched_columns
+    FROM customer WHERE contains(lower(c_name), 'r#0000') OR contains(lower(c_mktsegment), 'r#0000')""")
+def search_principal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without named columns, what the mapping calls principal is searched."""
+    mapping = {"id_fields": ["c_custkey"], "principal_fields": ["c_name", "c_mktsegment", "c_gone"]}
+    hits = search(read(spark, sf_dir, "customer"), "R#0000", mapping=mapping)
+    return hits.select("c_custkey", "c_name", "c_mktsegment", F.array_join("matched_columns", ",").alias("matched_columns"))
+
+
 @workload("search_conversations", """
     SELECT conv_id, turn, role, 'text' AS matched_columns FROM conversations
     WHERE contains(strip_accents(lower(text)), 'etion')""")

@@ -5,8 +5,12 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from snapledger.functions.text import add_search_key
 from snapledger.operators import rules
-from snapledger.plans.load import LoadOptions, batch_import, open_snapshots
+from snapledger.operators.compare import compare_tables
+from snapledger.operators.search import search
+from snapledger.operators.textindex import search_indexed, write_index
+from snapledger.plans.load import LoadOptions, batch_import, open_snapshots, search_snapshots
 from snapledger.plans.log import read_log
 from snapledger.sources.csv import read_csv_text
 from snapledger.sources.dataset import Dataset
@@ -101,7 +105,7 @@ def test_cascade_down_a_deep_chain_writes_no_table(spark, monkeypatch):
     assert sorted(r["id"] for r in marked.where("deleted").collect()) == list(range(70, 120))
     assert marked.count() == 180 and marked.columns == ["id", "in.side", "v", "deleted"]
     assert [label for label, _ in written].count("links") == 1
-    assert all(set(columns) <= {"__id", "__of", "__gone", "deleted"} for _, columns in written)
+    assert all(set(columns) <= {"__id", "__of", "__gone", "__level", "deleted"} for _, columns in written)
 
 
 def test_all_rules_of_a_table_take_three_scans_at_most(spark, small, monkeypatch):
@@ -147,3 +151,50 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
         scratch_dir(session, "x")
     session.conf = Conf(**{"spark.master": "spark://host:7077", "spark.checkpoint.dir": "hdfs:///c"})
     assert scratch_dir(session, "x").startswith("hdfs:///c/x-")
+
+
+def test_an_index_of_trigrams_skips_files(spark, tmp_path):
+    words = ["étude", "Stadt", "garden", "naïve 🙂🙂 x", "ab", "zebra"]
+    rows = [(i, f"{words[i % 6]} {i}", "plain") for i in range(600)]
+    df = add_search_key(spark.createDataFrame(rows, "id int, text string, kind string"), ["text", "kind"])
+    data, index = str(tmp_path / "data"), str(tmp_path / "index")
+    df.withColumn("part", F.col("id") % 6).repartition(6, "part").write.partitionBy("part").parquet(data)
+    write_index(spark, data, ["text", "kind"], index)
+    for word in ("ÉTUDE", "adt", "b 1", "e 🙂🙂", "zebra 59", "plain", "nowhere", "ab", ""):
+        got = search_indexed(spark, data, index, word, ["text", "kind"])
+        want = search(spark.read.parquet(data), word, ["text", "kind"], "_search")
+        assert sorted(r["id"] for r in got.collect()) == sorted(r["id"] for r in want.collect()), word
+    every = len(spark.read.parquet(data).inputFiles())
+    assert len(search_indexed(spark, data, index, "étude", ["text"]).inputFiles()) == 1 < every
+    assert len(search_indexed(spark, data, index, "plain", ["text"]).inputFiles()) == 0
+
+
+def test_the_index_of_a_load_is_searched(spark, tmp_path):
+    root, store = tmp_path / "in", str(tmp_path / "store")
+    for day, text in (("01", "1,Élan\n2,other\n"), ("02", "3,nothing\n"), ("03", "4,the élan\n")):
+        dump(root, f"a_2024-01-{day}", "t", "id,v\n" + text)
+        batch_import(spark, str(root), store, RUN + datetime.timedelta(days=int(day)), LoadOptions(search_columns=("v",)))
+    found = search_snapshots(spark, store, "t", "ELAN", ["v"])
+    assert sorted(r["id"] for r in found.collect()) == [1, 4]
+    assert search_snapshots(spark, store, "t", "gone with", ["v"]).count() == 0
+    assert search_snapshots(spark, store, "t", "e", ["v"]).count() == 3
+
+
+def test_declared_types_at_load(spark, tmp_path):
+    root, store = tmp_path / "in", str(tmp_path / "store")
+    schemas = {"tables": {"t": {"columns": {"id": {"type": "INTEGER"}, "day": {"type": "DATE"}, "gone": {"type": "TEXT"}}}}}
+    options = LoadOptions(schemas=schemas)
+    dump(root, "a_2024-01-01", "t", "id,day,v\n1,2024-01-01,7\nx,2020,8\n")
+    run = batch_import(spark, str(root), store, RUN, options)
+    assert [r["message"] for r in run.collect()] == ["values not of the declared type, in all sources of this load: id: 1, day: 1"]
+    dump(root, "a_2024-01-02", "t", "id,day,v\n3,2024-01-02,2.5\n")
+    batch_import(spark, str(root), store, RUN + datetime.timedelta(days=1), options)
+    df = open_snapshots(spark, store, "t")
+    assert dict(df.dtypes) == {"id": "int", "day": "date", "v": "double", "snapshot_date": "date"}
+    assert sorted((r["id"] or 0, str(r["day"]), r["v"]) for r in df.collect()) == [(0, "None", 8.0), (1, "2024-01-01", 7.0), (3, "2024-01-02", 2.5)]
+
+
+def test_names_alone_are_compared_without_opening_a_table(spark, tmp_path):
+    left, right = Dataset(spark, {"a": str(tmp_path / "gone.parquet")}), Dataset(spark, {"a": spark.range(2), "b": spark.range(1)})
+    found = {(r["table_name"], r["presence"], r["left_rows"]) for r in compare_tables(left, right, counts=False).collect()}
+    assert found == {("a", "both", None), ("b", "only_right", None)}

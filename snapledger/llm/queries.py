@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from snapledger.llm import (audit, decontam, fingerprint, htmltext, jaccard, langid, linededup, packing, pii, sharding, simhash,
-                            veccode, warc)
+from snapledger.llm import (audit, decontam, fingerprint, htmltext, jaccard, langid, linededup, packing, pii, pipeline,
+                            sharding, simhash, veccode, warc)
 from snapledger.storage import scratch_dir
 from snapledger.workloads import Query, Workload, read
 
@@ -97,7 +96,7 @@ QUERIES: dict[str, Query] = {
     "op11_vector_codes": vector_codes,
     "op12_filter_audit": filter_audit,
     "op13_simhash": near_duplicates,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 VECTOR_CODES_SQL = """
 WITH RECURSIVE kept AS (

@@ -5,8 +5,8 @@ from collections import Counter
 
 import pytest
 
-import corpus_pipeline as pipeline
-from snapledger.llm import packing, queries
+import corpus_pipeline
+from snapledger.llm import packing, pipeline, queries
 from tests.llm.odd import ROWS
 from tests.llm.test_decontam import brute as leaks
 from tests.llm.test_jaccard import brute as classes
@@ -54,6 +54,15 @@ def test_stages_take_odd_rows(spark, small):
         for _, stage in pipeline.STAGES[:-1]:
             out = stage(spark, docs, small)
             assert out.columns == docs.columns and out.count() <= len(rows)
+        want = Counter()
+        for key, text in [(r[0], r[1]) for r in rows]:
+            tokens = len(packing.encoder()(text or "")) + 1
+            want.update((key, piece) for piece in range(-(-tokens // 2048)))
+        assert Counter((r["doc_id"], r["piece"]) for r in pipeline.pack(spark, docs, small).collect()) == want
+
+
+def test_the_root_module_has_the_same_pipeline():
+    assert (corpus_pipeline.STAGES, corpus_pipeline.ORACLE_SQL, corpus_pipeline.run) == (pipeline.STAGES, None, pipeline.run)
 
 
 def test_rows_with_null_or_repeated_ids_are_told_by_their_text(spark, small):
@@ -69,11 +78,20 @@ def test_rows_with_null_or_repeated_ids_are_told_by_their_text(spark, small):
     assert plain(pipeline.decontaminate(spark, docs, small)) == sorted([r for r in rows if leak not in r[1]], key=str)
 
 
-@pytest.mark.parametrize("name", [n for n in queries.QUERIES if n not in ("pipeline",)])
+@pytest.mark.parametrize("name", [n for n in queries.QUERIES if n not in ("pipeline", "op12_filter_audit")])
 def test_queries_cover_whole_tables(spark, small, name):
     df = queries.QUERIES[name](spark, small)
-    key = "page_id" if "page_id" in df.columns else "doc_id"
-    table = "pages" if key == "page_id" else "documents"
+    table, key = next((t, k) for t, k in (("pages", "page_id"), ("embeddings", "vec_id"), ("documents", "doc_id")) if k in df.columns)
     got = {r[0] for r in df.select(key).collect()}
     every = {r[0] for r in spark.read.parquet(f"{small}/{table}.parquet").select(key).collect()}
     assert got == every if name != "op9_decontamination" else got <= every
+
+
+def test_the_audit_counts_every_document(spark, small):
+    rows = queries.filter_audit(spark, small).collect()
+    sizes = Counter(r["lang"] or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect())
+    assert Counter(r["part"] for r in rows) == {part: 600 for part in sizes}
+    last = {(r["part"], r["filter_order"]): 0 for r in rows}
+    for r in rows:
+        last[r["part"], r["filter_order"]] += r["removed"] + (r["kept"] if r["step"] == 5 else 0)
+    assert all(n == sizes[part] for (part, _), n in last.items())

@@ -170,9 +170,11 @@ def matches(documents: DataFrame, items: DataFrame, *, key: str, text: str, item
     filed = written(filed.select("item", "item_parts", simhash(F.col("item_parts"), 1).alias("item_low"),
                                  simhash(F.col("item_parts"), 2).alias("item_high")), "item-fingerprints")
     near = F.filter(F.sequence(F.lit(0), F.lit((1 << BLOCK_BITS) - 1)), lambda x: F.bit_count(x) <= RADIUS // BLOCKS)
-    index = (filed.repartition("item").select("*", F.explode(blocks(F.col("item_low"), F.col("item_high"))).alias("b"))
+    # An item has as many index entries as there are values near its blocks; written, so that Spark knows how many
+    # that is before it picks a join.
+    index = written(filed.repartition("item").select("*", F.explode(blocks(F.col("item_low"), F.col("item_high"))).alias("b"))
              .select("item", "item_low", "item_high", "b.block", F.explode(F.transform(
-                 near, lambda x: x.bitwiseXOR(F.col("b.value")))).alias("value")))
+                 near, lambda x: x.bitwiseXOR(F.col("b.value")))).alias("value")), "item-index")
     # Windows with equal n-grams, as copies have, are searched once.
     distinct = signed.select("low", "high").distinct()
     pairs = (distinct.select("low", "high", F.explode(blocks(F.col("low"), F.col("high"))).alias("b"))

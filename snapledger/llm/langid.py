@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,16 +53,18 @@ def _sample(labelled: DataFrame, max_documents: int) -> DataFrame:
     return labelled.where(F.pmod(F.xxhash64("key", "text"), F.lit(scale)) < keep)
 
 
-def _scores(rows: list, languages: list[str]) -> tuple[dict[str, int], np.ndarray]:
-    index: dict[str, int] = {}
-    for row in rows:
-        index.setdefault(row[1], len(index))
-    counts = np.zeros((len(index), len(languages)))
+def _scores(rows: pa.Table, languages: list[str]) -> tuple[dict[str, int], np.ndarray]:
+    """The entries' places, and their log frequencies in each language, from columns ``lang``, ``entry``, ``n``."""
+    coded = rows["entry"].combine_chunks().dictionary_encode()
     place = {lang: i for i, lang in enumerate(languages)}
-    for lang, entry, n in rows:
-        counts[index[entry], place[lang]] += n
-    total = counts.sum(axis=0) + 0.5 * max(1, len(index))
-    return index, np.log((counts + 0.5) / total)
+    langs = rows["lang"].combine_chunks().dictionary_encode()
+    column = np.array([place[lang] for lang in langs.dictionary.to_pylist()], np.int64)[langs.indices.to_numpy()]
+    counts = np.zeros((len(coded.dictionary), len(languages)))
+    np.add.at(counts, (coded.indices.to_numpy(), column), rows["n"].to_numpy())
+    total = counts.sum(axis=0) + 0.5 * max(1, len(counts))
+    counts += 0.5
+    counts /= total
+    return {entry: i for i, entry in enumerate(coded.dictionary.to_pylist())}, np.log(counts, out=counts)
 
 
 def train(labelled: DataFrame, *, key: str, text: str, lang: str, max_documents: int = MAX_DOCUMENTS) -> Model:
@@ -79,12 +82,13 @@ def train(labelled: DataFrame, *, key: str, text: str, lang: str, max_documents:
         F.sequence(F.lit(1), F.lit(LONGEST)),
         lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1))),
                               lambda at: F.substr(padded, at, n))))
-    word_rows = words.select("lang", "word", "n").orderBy("word", "lang").collect()
-    gram_rows = (words.select("lang", "n", F.explode(F.array_distinct(grams)).alias("gram"))
-                 .groupBy("lang", "gram").agg(F.sum("n").alias("n")).orderBy("gram", "lang").collect())
-    languages = sorted({r["lang"] for r in word_rows} | {r["lang"] for r in gram_rows})
-    word_index, word_scores = _scores(word_rows, languages)
-    gram_index, gram_scores = _scores(gram_rows, languages)
+    languages = [row[0] for row in words.select("lang").distinct().orderBy("lang").collect()]
+    gram_rows = (words.select("lang", "n", F.explode(F.array_distinct(grams)).alias("entry"))
+                 .groupBy("lang", "entry").agg(F.sum("n").alias("n")).orderBy("entry", "lang"))
+    word_rows = words.select("lang", F.col("word").alias("entry"), "n").orderBy("entry", "lang")
+    # As columns, one after the other: rows of Python objects would take many times the room.
+    word_index, word_scores = _scores(word_rows.toArrow(), languages)
+    gram_index, gram_scores = _scores(gram_rows.toArrow(), languages)
     return Model(languages, word_index, word_scores, gram_index, gram_scores)
 
 

@@ -2,7 +2,8 @@
 
 1. Every text is a sequence of line ids (128-bit hashes of its non-empty lines). Lines that occur
    once in the corpus end a sequence: no repeated run crosses them. Only stretches of repeated lines
-   are looked at further.
+   are looked at further. The documents that share a line are dealt over parts, and equal rows are
+   taken once there, so neither a frequent line nor a repeated row is one task's work.
 2. The suffixes of these stretches are sorted by prefix doubling. The rank of a suffix is the number
    of suffixes that sort before all those with the same first 2**k lines. A round pairs the ranks at
    p and p + 2**k, sorts the distinct pairs over the cluster, and sums their counts up into the ranks
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from snapledger.llm.common import col, free_name, running_starts, shuffled, sorted_groups, text_or_empty, written
 
 MIN_WORDS = 50
+#: Parts that the documents sharing a line are dealt over, whatever their number.
+PARTS = 16
 
 
 def _ranked(pairs: DataFrame) -> DataFrame:
@@ -68,19 +71,20 @@ def _stretches(df: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
         .select("known", "key", "hash", "p", "at", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"),
                 F.regexp_count("line", F.lit(r"\S+")).alias("words")))
     lines = written(lines, "lines")
-    repeated = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
-    kept = lines.join(repeated, ["h1", "h2"])
     place = ["known", "key", "hash"]
+    repeated = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
+        "h1", "h2", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    # A document lies in one part, so equal rows meet where they are joined and count once before they are moved.
+    kept = (lines.withColumn("part", F.pmod("hash", F.lit(PARTS)).cast("int")).join(shuffled(repeated), ["h1", "h2", "part"])
+            .groupBy("h1", "h2", "part", *place, "p").agg(F.first("at").alias("at"), F.first("words").alias("words")))
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number, out = TaskContext.get().partitionId() << 40, []
         for group in sorted_groups(batches, place):
-            once = np.flatnonzero(np.diff(group["p"], prepend=-1))  # equal rows of one document count once
-            words = group["words"][once]
-            for part in np.split(np.arange(len(once)), np.flatnonzero(np.diff(group["p"][once]) > 1) + 1):
-                runs = sorted(_shortest_runs(words[part], min_words))
+            for part in np.split(np.arange(len(group["p"])), np.flatnonzero(np.diff(group["p"]) > 1) + 1):
+                runs = sorted(_shortest_runs(group["words"][part], min_words))
                 if runs:
-                    out.append((number, *(group[c][0] for c in place), int(group["p"][once][part[0]]), *(group[c][once][part] for c in ("at", "h1", "h2")),
+                    out.append((number, *(group[c][0] for c in place), int(group["p"][part[0]]), *(group[c][part] for c in ("at", "h1", "h2")),
                                 [{"at": a, "m": m} for a, m in runs]))
                     number += 1
             if len(out) > 1_000:
@@ -160,7 +164,8 @@ def dedup_lines(df: DataFrame, key: str, text: str, *, min_words: int = MIN_WORD
     ``removed`` lists the stretches of removed lines as ``first-last``, counted from 0, or is empty.
     Empty lines between removed lines go with them. Null text stays null. The first copy stays whole: by
     key, null first, then by a hash of the text. Rows of equal key and text are one document and
-    treated alike. Columns of the result's names are replaced; keys are whole numbers.
+    treated alike. Texts of any length are read whole; a task holds the repeated lines of one document at
+    a time, as hashes. Columns of the result's names are replaced; keys are whole numbers.
     """
     copies = written(later_copies(df, key, text, min_words=min_words), "copies")
     kept = df.select(*[col(c) for c in df.columns if c != "removed" or c == text])

@@ -49,6 +49,40 @@ def test_long_run_over_many_lines(spark):
     assert got == {1: "", 2: "0-299", 3: ""}
 
 
+def test_repeated_rows_and_very_long_texts(spark):
+    shared = "\n".join(f"row {i} of the shared part" for i in range(5_000))
+    rows = [(1, shared)] * 40 + [(2, f"own words\n{shared}\n{'x' * 200_000}")] * 40 + [(None, "row 1 of the shared part")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = linededup.dedup_lines(df, "doc_id", "text").groupBy("doc_id", "removed").count().collect()
+    assert {(r["doc_id"], r["removed"], r["count"]) for r in got} == {(1, "", 40), (2, "1-5000", 40), (None, "", 1)}
+    stretches = linededup._stretches(df, "doc_id", "text", 50)  # a row per document and not per copy of it
+    assert stretches.count() == 2
+
+
+def test_intervals_against_sorted_suffixes(spark):
+    """The runs of documents against longest common prefixes of neighbours in a sorted list of all suffixes."""
+    rng = random.Random(11)
+    block = [[f"b{b} line {i} has six words" for i in range(12)] for b in range(4)]
+    rows = [(d, "\n".join(x for _ in range(3) for x in rng.choice(block)[rng.randint(0, 4):rng.randint(6, 12)])) for d in range(30)]
+    docs = [text.split("\n") for _, text in rows]
+    suffixes = sorted((lines[i:], d, i) for d, lines in enumerate(docs) for i in range(len(lines)))
+    least, want = 18, defaultdict(set)  # three lines of six words
+    start = 0
+    for j in range(1, len(suffixes) + 1):
+        common = 0
+        if j < len(suffixes):
+            common = next((n for n, (x, y) in enumerate(zip(suffixes[j - 1][0], suffixes[j][0])) if x != y),
+                          min(len(suffixes[j - 1][0]), len(suffixes[j][0])))
+        if common < least // 6:
+            members = sorted((d, i) for lines, d, i in suffixes[start:j] if len(lines) >= least // 6)
+            for d, i in members[1:]:
+                want[d].update(range(i, i + least // 6))
+            start = j
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: removed(r["removed"]) for r in linededup.dedup_lines(df, "doc_id", "text", min_words=least).collect()}
+    assert got == {d: want[d] for d in range(len(rows))}
+
+
 def test_odd_rows(spark):
     got = linededup.dedup_lines(frame(spark), "doc_id", "text", min_words=6)
     assert got.count() == len(ROWS) and got.columns.count("removed") == 1

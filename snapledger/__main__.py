@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import argparse
 import datetime
+import json
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
 
 from snapledger.operators.compare import compare_cells, compare_rows, compare_schemas, compare_tables
+from snapledger.operators.filters import filter_rows
 from snapledger.operators.present import default_view
 from snapledger.operators.rules import validation_report
 from snapledger.operators.search import search
+from snapledger.plans.builder import build_query
 from snapledger.plans.load import LoadOptions, batch_import, import_latest, import_source, open_snapshots
 from snapledger.plans.log import load_manifest, write_manifest
 from snapledger.session import local_session
@@ -51,13 +54,17 @@ def arguments() -> argparse.ArgumentParser:
     viewer("schema", "columns of a table")
     look = viewer("preview", "first rows of a table")
     look.add_argument("--order-by", nargs="+")
+    look.add_argument("--filter", type=json.loads, help='JSON: {"column": ..., "op": ..., "value": ...}, or "and", "or", "not" of such')
     look.add_argument("--config", help="folder with declared views: show the table's default view")
     viewer("count", "rows of a table")
     viewer("sql", "run a query", table=False).add_argument("query")
+    viewer("build", "run a query given as its parts", table=False).add_argument(
+        "parts", type=json.loads, help='JSON: {"table": ..., "filter": ..., "group_by": [...], "aggregates": ..., "sort": ...}')
     find = viewer("search", "find a word, ignoring case and accents")
     find.add_argument("--config", help="folder with declared mappings: search the table's principal fields")
     find.add_argument("word")
     find.add_argument("--columns", nargs="+")
+    find.add_argument("--filter", type=json.loads, help="JSON as for preview: search only these rows")
     check = viewer("validate", "check declared rules", table=False)
     check.add_argument("--config", help="folder with declared schemas and rules")
     diff = viewer("compare", "compare with another dataset", table=False)
@@ -100,15 +107,20 @@ def result(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     if args.command == "preview":
         view = read_config(spark, args.config).view(args.table)
         if view:
-            return default_view(data.table(args.table), view).limit(shown_limit(args.rows))
+            return default_view(filter_rows(data.table(args.table), args.filter), view).limit(shown_limit(args.rows))
+        if args.filter:
+            return build_query(data, {"table": args.table, "filter": args.filter, "limit": shown_limit(args.rows),
+                                      "sort": [[name, "asc"] for name in args.order_by or []]})
         return data.preview(args.table, args.rows, args.order_by)
     if args.command == "count":
         return data.view_summary(args.table, args.rows)
     if args.command == "sql":
         return data.sql(args.query)
+    if args.command == "build":
+        return build_query(data, args.parts)
     if args.command == "search":
         mapping = read_config(spark, args.config).mapping(args.table)
-        return search(data.table(args.table), args.word, args.columns, mapping=mapping)
+        return search(filter_rows(data.table(args.table), args.filter), args.word, args.columns, mapping=mapping)
     if args.command == "validate":
         config = read_config(spark, args.config)
         return validation_report(data, config.schemas, config.rules)

@@ -35,6 +35,15 @@ def test_view_search_compare_and_export(spark, small, tmp_path, capsys):
     assert "Showing 25 of 25 rows" in run(capsys, "count", "nation", "--dataset", small)[1]
     assert "25" in run(capsys, "sql", "SELECT count(*) AS n FROM nation", "--dataset", small)[1]
     assert "NATION_7" in run(capsys, "search", "nation", "nátion_7", "--dataset", small)[1]
+    some = json.dumps({"or": [{"column": "n_nationkey", "op": "<", "value": 2}, {"column": "n_name", "op": "=", "value": "NATION_9"}]})
+    shown = run(capsys, "preview", "nation", "--filter", some, "--order-by", "n_name", "--dataset", small)[1]
+    assert [n for n in range(25) if f"NATION_{n} " in shown or f"NATION_{n}|" in shown] == [0, 1, 9]
+    found = run(capsys, "search", "nation", "nation_1", "--filter", some, "--dataset", small)[1]
+    assert "NATION_1" in found and "NATION_12" not in found
+    parts = {"table": "nation", "group_by": ["n_regionkey"], "aggregates": {"n": {"function": "count"}}, "sort": [["n_regionkey", "desc"]]}
+    code, out = run(capsys, "build", json.dumps(parts), "--dataset", small)
+    assert code == 0 and out.count("|5 ") == 5
+    assert main(["build", '{"table": "nation", "colour": 1}', "--dataset", small]) == 1
     assert main(["preview", "nope", "--dataset", small]) == 1
     assert main(["preview", "nope", "--dataset", f"{small}/nowhere"]) == 1
     assert run(capsys, "sql", "SELECT * FROM region", "--dataset", small, "--csv", str(tmp_path / "r"))[0] == 0

@@ -134,7 +134,8 @@ def leaks(documents: DataFrame, items: DataFrame, *, key: str, text: str, item_k
     Words are compared in lower case and without ASCII punctuation. An item of fewer than ``words`` words
     counts as one n-gram; items without words match nothing, nor do null or empty documents. Windows
     at a document's edge are cut there. Rows of one key are one document here: the best of them
-    counts. No items or no documents: an empty result. Other columns are ignored.
+    counts; rows without a key are one document too. Texts of any length are read whole, a text's words
+    being one array. No items or no documents: an empty result. Other columns are ignored.
     """
     best = F.max(F.struct("similarity", -F.col("start"), F.col("length"))).alias("best")
     found = matches(documents, items, key=key, text=text, item_key=item_key, item_text=item_text, words=words,

@@ -129,8 +129,8 @@ def fingerprints(df: DataFrame, key: str, text: str) -> DataFrame:
 
     The edited text has its last half (rounded down, in code points) replaced by as much of the
     beginning of the next text by key. ``near_edited`` and ``near_next`` compare the fingerprint with
-    those of the edited and of the next text. Repeated rows have equal results; an empty table gives
-    an empty one; other columns are ignored.
+    those of the edited and of the next text. Texts of any length are read whole into vectors of one
+    size. Repeated rows have equal results; an empty table gives an empty one; other columns are ignored.
     """
     half = F.floor(F.col("_chars") / 2).cast("int")
     edited = F.concat(F.substr("_text", F.lit(1), F.col("_chars") - half), F.substr("_head", F.lit(1), half))

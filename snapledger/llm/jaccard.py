@@ -230,7 +230,8 @@ def similarity_classes(df: DataFrame, key: str, text: str, *, words: int = WORDS
     ``n_links``: other texts that are at least ``threshold`` similar; ``n_copies``: rows of this very
     text. Null text: the empty text. Texts without words have no links, but equal ones are copies of
     each other. Texts of fewer than ``words`` words are compared as a whole. Repeated rows are copies;
-    a null key sorts first. An empty table gives an empty result. Other columns are ignored.
+    a null key sorts first. Texts of any length are read whole; a task holds those of two blocks, in a
+    tile as their n-grams' hashes. An empty table gives an empty result. Other columns are ignored.
     """
     rows = keyed_texts(df, key, text)
     per_text = text_classes(rows, words, threshold, tolerance)

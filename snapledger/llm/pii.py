@@ -234,7 +234,8 @@ def personal_data(df: DataFrame, key: str, text: str) -> DataFrame:
 
     Null text: the empty text, which has no spans. Repeated rows have equal spans and count as often
     as they occur when reliabilities are estimated. Base spans of different kinds may overlap. An empty
-    table, or one without candidates, has nothing to learn from and none to add. Other columns are ignored.
+    table, or one without candidates, has nothing to learn from and none to add. Texts of any length are read
+    whole, in linear time. A null key is carried through. Other columns are ignored.
     """
     found = written(df.select(col(key).alias("key"), candidates(text_or_empty(text)).alias("found")), "candidates")
     rows = (found.select(F.explode("found").alias("x")).select("x.*").groupBy(*FEATURES)

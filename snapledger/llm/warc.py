@@ -105,7 +105,8 @@ def write_archives(pages: DataFrame, path: str, *, key: str = "page_id", url: st
 
     Null payload: the empty one. Null URL: a record without target. Null key: the smallest key,
     record id ``null``. Rows that share the largest key of a payload are all responses. Repeated rows
-    give repeated records. An empty table gives an empty index and no archive. Other columns are ignored.
+    give repeated records. Pages of any length are one record each, and a task holds a batch of them. An
+    empty table gives an empty index and no archive. Other columns are ignored.
     """
     rows = pages.select(col(key).alias("_key"), col(url).cast("string").alias("_url"),
                         text_or_empty(payload).alias("_payload"))

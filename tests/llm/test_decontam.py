@@ -75,6 +75,13 @@ def test_windows_between_the_diagonals_of_hits(spark):
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_very_long_texts_null_keys_and_repeated_rows(spark):
+    item = " ".join(f"w{j}" for j in range(40))
+    long = " ".join(f"own{j % 5_003}" for j in range(120_000))
+    documents = [(1, f"{long} {item} {long}"), (None, f"{long} {item}"), (2, long), (None, "nothing of it"), (3, "x" * 300_000)] + [(4, item)] * 30
+    assert run(spark, frame(spark, documents), frame(spark, [(7, item), (None, None)], ("item_id", "text"))) == {(1, 7): 1.0, (None, 7): 1.0, (4, 7): 1.0}
+
+
 def test_search_finds_every_fingerprint_in_the_radius(spark):
     """Items are filed so that up to 31 of 128 changed bits still meet in a block."""
     rng = random.Random(6)

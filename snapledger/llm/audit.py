@@ -38,6 +38,8 @@ SHARD_BYTES = 1 << 23
 BUCKET_WORDS = 1 << 20
 #: Ranges of hashes that buckets are made of, and entries of a bucket that are numbered at a time.
 SLICES, HELD_WORDS = 1 << 14, 1 << 22
+#: Tokens of a shard that are sorted at a time; a longer document is sorted by itself.
+SORTED_TOKENS = 1 << 17
 
 
 def packed(values: np.ndarray, kind: str = "<i4") -> pa.Array:
@@ -57,34 +59,58 @@ def _shard(number: int, keys: pa.Array, parts: pa.Array, texts: pa.Array) -> lis
     of ``SLICES`` equal ranges of hashes begins.
     """
     split = pc.ascii_split_whitespace(texts)  # at \x20 and \x09 to \x0D; ends of a text may give empty pieces
-    tokens, owner = split.flatten(), np.repeat(np.arange(len(texts)), split.value_lengths().to_numpy())
+    tokens, ends = split.flatten(), np.cumsum(split.value_lengths().to_numpy(), dtype=np.int64)
     full = pc.greater(pc.binary_length(tokens), 0)
     coded = tokens.filter(full).dictionary_encode()
-    owner = owner[full.to_numpy(zero_copy_only=False)]
+    ends = np.r_[0, np.cumsum(full.to_numpy(zero_copy_only=False))][ends]
+    del split, tokens, full
     words = coded.dictionary.cast(pa.binary())
-    hashes = np.fromiter(map(zlib.crc32, words.to_pylist()), np.int64, len(words))
+    hashes = np.fromiter((zlib.crc32(word.as_buffer()) for word in words), np.int64, len(words))
     order = np.argsort(hashes, kind="stable")
-    rank = np.empty(len(words), np.int64)
+    rank = np.empty(len(words), np.int32)
     rank[order] = np.arange(len(words))
-    cells = np.sort(owner * max(1, len(words)) + rank[coded.indices.to_numpy()])
-    begins = np.flatnonzero(np.diff(cells, prepend=-1))
-    counts = np.diff(np.r_[begins, len(cells)])
-    rows, columns = np.divmod(cells[begins], max(1, len(words)))
-    indptr = np.searchsorted(rows, np.arange(len(texts) + 1))
-    gaps = np.diff(columns, prepend=0)
-    heads = np.unique(indptr[:-1][indptr[:-1] < indptr[1:]])
-    gaps[heads] = columns[heads]
     cuts = np.searchsorted(hashes[order], (np.arange(SLICES) << 32) // SLICES)
+    words = words.take(pa.array(order))
+    indptr, gaps, counts = _rows(rank[coded.indices.to_numpy()], ends)
+    del coded, hashes, order, rank
     raw = texts.cast(pa.binary()).to_pylist()
     one = lambda values, kind: pa.array([values], pa.list_(kind))
     whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
     return [pa.array([number]), whole(keys), whole(parts), whole(pc.utf8_length(texts).cast(pa.int64())),
             one(np.array([len(x) - len(x.translate(None, CAPITALS)) for x in raw], np.int64), pa.int64()),
             one([len(x) != len(x.translate(None, SYMBOLS)) for x in raw], pa.bool_()),
-            one([hashlib.blake2b(x, digest_size=16).digest() for x in raw], pa.binary()), whole(words.take(pa.array(order))),
+            one([hashlib.blake2b(x, digest_size=16).digest() for x in raw], pa.binary()), whole(words),
             *[packed(x) for x in (cuts, indptr, gaps, counts)]]
 
 
+def _rows(columns: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Compressed rows from the column of every token, documents one after the other up to ``ends``.
+
+    A row's columns ascend. It takes runs of documents, so that 64-bit cells of few tokens are held at a time.
+    """
+    width, indptr, gaps, counts = int(columns.max(initial=0)) + 1, [np.zeros(1, np.int64)], [], []
+    at, done = 0, 0
+    while at < len(ends):
+        begin = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, begin + SORTED_TOKENS, "right")))
+        own = ends[at:to] - begin
+        cells = np.repeat(np.arange(to - at), np.diff(own, prepend=0)) * width
+        cells += columns[begin:begin + len(cells)]
+        cells.sort()
+        begins = np.flatnonzero(np.diff(cells, prepend=-1))
+        counts.append(np.diff(begins, append=len(cells)).astype(np.int32))
+        rows, found = np.divmod(cells[begins], width)
+        heads = np.searchsorted(rows, np.arange(to - at + 1))
+        gap = np.diff(found, prepend=0)
+        first = np.unique(heads[:-1][heads[:-1] < heads[1:]])
+        gap[first] = found[first]
+        gaps.append(gap.astype(np.int32))
+        indptr.append(heads[1:] + done)
+        at, done = to, done + len(begins)
+    none = np.zeros(0, np.int32)
+    return np.concatenate(indptr), np.concatenate([none, *gaps]), np.concatenate([none, *counts])
+
+
 def _shards(rows: DataFrame) -> DataFrame:
     """A row per shard; see `_shard`."""
     key, part = (rows.schema[c].dataType.simpleString() for c in ("_key", "_part"))
@@ -163,15 +189,8 @@ def _numbers(rows: list[pa.RecordBatch], known: dict[bytes, int], more: bool) ->
         ["_bucket", "_shard", "_numbers", "_first", "_new"])
 
 
-def document_term_matrix(df: DataFrame, key: str, text: str, part: str) -> tuple[DataFrame, DataFrame]:
-    """The corpus as shards of one sparse matrix in compressed rows, and its dictionary.
-
-    Dictionary: ``_word`` (UTF-8), ``_number`` (0 up, the column of the matrix). A shard has a row per
-    document (``_keys``, ``_parts``; code points, capitals A-Z, whether it has a symbol, a hash of the text)
-    and, packed as little-endian integers of 4, 8 and 4 bytes, ``_indptr``, ``_indices``, ``_counts``: the words of row i and how often they stand in it are at
-    ``_indptr[i]`` to ``_indptr[i + 1]``. Words are what white space (\\x20, \\x09 to \\x0D) separates. Null
-    text: the empty text, a row without words.
-    """
+def _joined(df: DataFrame, key: str, text: str, part: str) -> tuple[DataFrame, DataFrame]:
+    """Local shards beside the ``_numbers`` of their words, ready for `_matrix`, and the dictionary."""
     spark = df.sparkSession
     local = written(_shards(df.select(col(key).alias("_key"), col(part).alias("_part"), text_or_empty(text).alias("_text"))), "local-shards")
     numbered = written(_numbered(local), "word-numbers")
@@ -183,20 +202,38 @@ def document_term_matrix(df: DataFrame, key: str, text: str, part: str) -> tuple
         "_word", (F.col("_start") + F.col("_first") + F.col("_at")).alias("_number"))
     numbers = placed.groupBy("_shard").agg(F.sort_array(F.collect_list(F.struct("_bucket", "_start", "_numbers"))).alias("_numbers"))
     joined = local.drop("_words", "_cuts").join(shuffled(numbers), "_shard", "left")
-    columns = ["_indices" if c == "_gaps" else c for c in joined.columns if c != "_numbers"]
-    kinds = dict(local.dtypes) | {"_indices": "binary"}
+    return joined, words
 
-    def renumber(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(len(batch)):
-                shard = batch.slice(at, 1)
-                cuts = shard.column("_numbers").flatten()  # by bucket, so by hash, as the local columns are
-                found = [np.frombuffer(x.as_buffer(), "<i4") + int(start.as_py())
-                         for x, start in zip(cuts.field("_numbers"), cuts.field("_start"), strict=True)]
-                indices = _global(shard, np.concatenate([np.zeros(0, np.int64), *found]))
-                yield pa.RecordBatch.from_arrays([packed(indices, "<i8") if c == "_indices" else shard.column(c) for c in columns], columns)
 
-    return joined.mapInArrow(renumber, ", ".join(f"{c} {kinds[c]}" for c in columns)), words
+def document_term_matrix(df: DataFrame, key: str, text: str, part: str) -> tuple[DataFrame, DataFrame]:
+    """The corpus as shards of one sparse matrix in compressed rows, and its dictionary.
+
+    Dictionary: ``_word`` (UTF-8), ``_number`` (0 up, the column of the matrix). A shard has a row per
+    document (``_keys``, ``_parts``; code points, capitals A-Z, whether it has a symbol, a hash of the text)
+    and, packed as little-endian integers of 4, 8 and 4 bytes, ``_indptr``, ``_indices``, ``_counts``: the words of row i and how often they stand in it are at
+    ``_indptr[i]`` to ``_indptr[i + 1]``. Words are what white space (\\x20, \\x09 to \\x0D) separates. Null
+    text: the empty text, a row without words.
+    """
+    joined, words = _joined(df, key, text, part)
+    kinds = dict(joined.dtypes) | {"_indices": "binary"}
+    return joined.mapInArrow(_matrix, ", ".join(f"{c} {kinds[c]}" for c in _matrix_columns(joined.columns))), words
+
+
+def _matrix_columns(columns: list[str]) -> list[str]:
+    return ["_indices" if c == "_gaps" else c for c in columns if c != "_numbers"]
+
+
+def _matrix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shards that have met the ``_numbers`` of their words, one at a time, as shards of the corpus-wide matrix."""
+    for batch in batches:
+        columns = _matrix_columns(batch.schema.names)
+        for at in range(len(batch)):
+            shard = batch.slice(at, 1)
+            cuts = shard.column("_numbers").flatten()  # by bucket, so by hash, as the local columns are
+            found = [np.frombuffer(x.as_buffer(), "<i4") + int(start.as_py())
+                     for x, start in zip(cuts.field("_numbers"), cuts.field("_start"), strict=True)]
+            indices = _global(shard, np.concatenate([np.zeros(0, np.int64), *found]))
+            yield pa.RecordBatch.from_arrays([packed(indices, "<i8") if c == "_indices" else shard.column(c) for c in columns], columns)
 
 
 def _global(shard: pa.RecordBatch, numbers: np.ndarray) -> np.ndarray:
@@ -207,26 +244,27 @@ def _global(shard: pa.RecordBatch, numbers: np.ndarray) -> np.ndarray:
     return numbers[local]
 
 
-def _failures(shards: DataFrame) -> DataFrame:
-    """Per document ``_key``, ``_part``, ``_hash`` and the filters A to D that it fails, as bits of ``_mask``."""
-    key, part = (dict(shards.dtypes)[c].removeprefix("array<")[:-1] for c in ("_keys", "_parts"))
+def _failures(joined: DataFrame) -> DataFrame:
+    """Per document ``_key``, ``_part``, ``_hash`` and the filters A to D that it fails, as bits of ``_mask``.
+
+    A shard of the matrix is judged where it is made: one Python worker a task, and no shard goes through Spark again.
+    """
+    key, part = (dict(joined.dtypes)[c].removeprefix("array<")[:-1] for c in ("_keys", "_parts"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(len(batch)):
-                shard = batch.slice(at, 1)
-                values = lambda c: shard.column(c).flatten().to_numpy(zero_copy_only=False)  # noqa: E731, B023
-                indptr = unpacked(shard.column("_indptr")).astype(np.int64)
-                sums = np.r_[0, np.cumsum(unpacked(shard.column("_counts")), dtype=np.int64)]
-                words, different = sums[indptr[1:]] - sums[indptr[:-1]], np.diff(indptr)
-                failed = [words < LEAST_WORDS, 100 * different < LEAST_DISTINCT * words,
-                          100 * values("_capitals") > MOST_CAPITALS * values("_points"), values("_symbols").astype(bool)]
-                mask = sum(f.astype(np.int32) << i for i, f in enumerate(failed))
-                yield pa.RecordBatch.from_arrays(
-                    [shard.column("_keys").flatten(), shard.column("_parts").flatten(), shard.column("_hashes").flatten(),
-                     pa.array(mask.astype(np.int32))], ["_key", "_part", "_hash", "_mask"])
+        for shard in _matrix(batches):
+            values = lambda c: shard.column(c).flatten().to_numpy(zero_copy_only=False)  # noqa: E731, B023
+            indptr = unpacked(shard.column("_indptr")).astype(np.int64)
+            sums = np.r_[0, np.cumsum(unpacked(shard.column("_counts")), dtype=np.int64)]
+            words, different = sums[indptr[1:]] - sums[indptr[:-1]], np.diff(indptr)
+            failed = [words < LEAST_WORDS, 100 * different < LEAST_DISTINCT * words,
+                      100 * values("_capitals") > MOST_CAPITALS * values("_points"), values("_symbols").astype(bool)]
+            mask = sum(f.astype(np.int32) << i for i, f in enumerate(failed))
+            yield pa.RecordBatch.from_arrays(
+                [shard.column("_keys").flatten(), shard.column("_parts").flatten(), shard.column("_hashes").flatten(),
+                 pa.array(mask.astype(np.int32))], ["_key", "_part", "_hash", "_mask"])
 
-    return shards.mapInArrow(judge, f"_key {key}, _part {part}, _hash binary, _mask int")
+    return joined.mapInArrow(judge, f"_key {key}, _part {part}, _hash binary, _mask int")
 
 
 def _effects(cells: DataFrame) -> DataFrame:
@@ -262,8 +300,8 @@ def filter_audit(df: DataFrame, labels: DataFrame, *, key: str, text: str, part:
     key with several labels counts as good (toxic) if one of them is 1. An empty table gives an empty result;
     other columns are ignored.
     """
-    shards, _ = document_term_matrix(df, key, text, part)
-    documents = written(_failures(shards), "failures")
+    joined, _ = _joined(df, key, text, part)
+    documents = written(_failures(joined), "failures")
     copied = written(documents.groupBy("_hash").agg(F.min("_key").alias("_low"), F.count(F.lit(1)).alias("_n"))
                      .where("_n > 1").select(F.col("_hash").alias("_copy"), "_low"), "copied-texts")
     known = written(labels.groupBy(col(label_key).alias("_of")).agg(

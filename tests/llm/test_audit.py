@@ -106,3 +106,26 @@ def test_matrix_holds_every_word_of_every_document(spark, monkeypatch, bucket):
     assert {k: c for k, c in got.items() if c} == {k: c for k, c in want.items() if c}
     assert seen == Counter(k for k, *_ in rows)
     assert len(set(known.values())) == len(known)
+
+
+def test_no_shard_passes_two_python_workers_of_a_task(spark, monkeypatch):
+    """A second one beside the first, and the matrix in Arrow between them, took an executor beyond its memory."""
+    plans, write = {}, audit.written
+
+    def written(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, label)
+    monkeypatch.setattr(audit, "written", written)
+    rows = corpus(6, 20)
+    assert run(spark, rows, []) == brute(rows, [])
+    assert plans["failures"].count("MapInArrow") == 1
+
+
+@pytest.mark.parametrize("held", [1, 7, 1 << 17])
+def test_rows_of_a_shard_are_compressed_in_runs(monkeypatch, held):
+    monkeypatch.setattr(audit, "SORTED_TOKENS", held)
+    docs = [[], [3, 1, 3], [], [0], [5, 0, 5, 5, 2, 1, 0, 4], [], [3, 3, 1]]
+    indptr, gaps, counts = audit._rows(np.array(sum(docs, []), np.int32), np.cumsum([len(d) for d in docs]))
+    got = [{int(c): int(n) for c, n in zip(np.cumsum(gaps[a:b]), counts[a:b])} for a, b in zip(indptr, indptr[1:])]
+    assert got == [dict(Counter(d)) for d in docs]
+    assert [x.tolist() for x in audit._rows(np.zeros(0, np.int32), np.zeros(0, np.int64))] == [[0], [], []]

@@ -153,9 +153,9 @@ def _tied_in_buckets(nodes: DataFrame, limits: list[tuple[int, int]]) -> DataFra
                                             F.bit_xor(F.xxhash64("_id")).alias("_members"))
                .where("_n > 1").groupBy("_n", "_low", "_members").agg(F.min("_bucket").alias("_bucket")))
     buckets = written(buckets.select("_bucket", "_n", "_low"), "buckets")
-    members = written(bands.join(buckets, "_bucket"), "bucket-members")
+    members = written(bands.join(shuffled(buckets), "_bucket"), "bucket-members")
     large = members.where(F.col("_n") > BLOCK).select(F.col("_low").alias("a"), F.col("_id").alias("b"))
-    small = members.where(F.col("_n") <= BLOCK).select("_bucket", "_id").join(nodes.select("_id", "_signature"), "_id")
+    small = shuffled(members.where(F.col("_n") <= BLOCK).select("_bucket", "_id")).join(nodes.select("_id", "_signature"), "_id")
 
     def tie(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: list[tuple[int, int]] = []
@@ -181,7 +181,7 @@ def _verified_in_tiles(texts: DataFrame, nodes: DataFrame, clusters: DataFrame,
     members = (clusters.join(sizes, "component")
                .select(F.col("id").alias("_id"), "component", blocks.alias("_blocks"),
                        F.pmod(F.xxhash64("id"), blocks).alias("_block")))
-    described = written(members.join(nodes.select("_id", "_node", "_first", "_signature"), "_id"), "cluster-members")
+    described = written(shuffled(members).join(nodes.select("_id", "_node", "_first", "_signature"), "_id"), "cluster-members")
     # The first row of each text, by text and key, so that a text with many copies is not gathered.
     full = (texts.join(shuffled(described), (texts["_hash"] == described["_node"])
                        & texts["_key"].eqNullSafe(described["_first"]))
@@ -269,13 +269,14 @@ def text_classes(rows: DataFrame, words: int = WORDS, threshold: float = THRESHO
     found = written(_verified_in_tiles(rows, nodes, clusters, words, threshold, limits), "links")
     classes = components(found.where("b IS NOT NULL").select("a", "b"))
     links = found.where("b IS NULL").groupBy(F.col("a").alias("_id")).agg(F.sum("n").alias("n_links"))
-    linked = written(classes.withColumnRenamed("id", "_id").join(links, "_id")
+    linked = written(shuffled(classes.withColumnRenamed("id", "_id").join(links, "_id"))
                      .join(nodes.select("_id", "_node", "_first"), "_id"), "linked")
     first = F.min(F.struct(F.col("_first").isNotNull(), "_first", "_node"))
     firsts = linked.groupBy("component").agg(first.alias("_f")).select(
         "component", F.col("_f._first").alias("class_id"), F.col("_f._node").alias("class_hash"))
     known = nodes.select("_node", "_first", "_copies").join(
-        linked.join(firsts, "component").select("_node", "class_id", "class_hash", "n_links", F.lit(True).alias("_in")), "_node", "left")
+        shuffled(linked.join(firsts, "component").select("_node", "class_id", "class_hash", "n_links", F.lit(True).alias("_in"))),
+        "_node", "left")
     return written(known.select(
         F.col("_node").alias("_hash"), F.when(F.col("_in"), F.col("class_id")).otherwise(F.col("_first")).alias("class_id"),
         F.coalesce("class_hash", "_node").alias("class_hash"),

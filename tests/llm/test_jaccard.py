@@ -87,3 +87,18 @@ def test_components(spark):
     got = {r["id"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 150: 100, 200: 100}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_no_side_that_grows_with_the_corpus_is_broadcast(spark, monkeypatch):
+    """Broadcast while it is small and shuffled later, a join of all nodes made the shuffle grow faster than the corpus."""
+    plans, write = {}, jaccard.written
+
+    def written(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, label)
+    monkeypatch.setattr(jaccard, "written", written)
+    monkeypatch.setattr(graph, "written", lambda df, label: written(df, label if label not in plans else f"{label} again"))
+    rows = near_copies(3, 4, 5, 60)
+    assert run(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+    for label, key in (("bucket-members", "_bucket"), ("edges", "_id"), ("cluster-members", "_id"), ("linked", "_id"), ("classes", "_node")):
+        assert f"SortMergeJoin [{key}#" in plans[label], label
